@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import chat_format, sharding, topk_search, url_filter
+from . import chat_format, jaccard_join, sharding, topk_search, url_filter
 
 QUERIES = {
     "op2_topk_search": topk_search.op2_topk_search,
     "op3_chat_format": chat_format.op3_chat_format,
     "op4_url_filter": url_filter.op4_url_filter,
     "op8_sharding": sharding.op8_sharding,
+    "op9_jaccard_join": jaccard_join.op9_jaccard_join,
 }
 
 ORACLES = {
     "op2_topk_search": topk_search.ORACLE_SQL,
     "op4_url_filter": url_filter.ORACLE_SQL,
+    "op9_jaccard_join": jaccard_join.ORACLE_SQL,
 }
