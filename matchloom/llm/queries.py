@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat_format, jaccard_join, sharding, topk_search, url_filter
+from . import chat_format, jaccard_join, language_id, sharding, topk_search, toxicity, url_filter
 
 QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
     "op2_topk_search": topk_search.op2_topk_search,
     "op3_chat_format": chat_format.op3_chat_format,
     "op4_url_filter": url_filter.op4_url_filter,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_sharding": sharding.op8_sharding,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
 }
