@@ -304,6 +304,24 @@ def jaccard_join(docs: DataFrame, *, n: int = 5, id_col: str = "doc_id", text_co
     return members.join(found, "key", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
+def keep_one(docs: DataFrame, *, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows whose id is their component's smallest, columns as they were.
+
+    Of several rows of one id and equal texts one stays. Rows with a null id and
+    texts without words stay.
+    """
+    found = jaccard_join(docs, n=n, id_col=id_col, text_col=text_col)
+    gone = reliable(found.where(F.col(id_col).isNotNull() & (F.col(id_col) != F.col("component_id"))).select(id_col).distinct())
+    rest = docs.join(F.broadcast(gone) if gone.count() <= SENT_IDS else gone, id_col, "left_anti")
+    again = found.where(F.col(id_col).isNotNull() & (F.col(id_col) == F.col("component_id"))).groupBy(id_col).agg(F.count("*").alias("c")).where("c > 1").select(id_col)
+    again = reliable(again)
+    if again.isEmpty():
+        return rest
+    several = F.broadcast(again) if again.count() <= SENT_IDS else again
+    one = rest.join(several, id_col, "left_semi").dropDuplicates([id_col, text_col]).select(*docs.columns)
+    return rest.join(several, id_col, "left_anti").select(*docs.columns).unionByName(one)
+
+
 def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat_format, jaccard_join, language_id, sharding, topk_search, toxicity, url_filter
+from . import chat_format, decontaminate, jaccard_join, language_id, packing, sharding, topk_search, toxicity, url_filter
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op2_topk_search": topk_search.op2_topk_search,
     "op3_chat_format": chat_format.op3_chat_format,
     "op4_url_filter": url_filter.op4_url_filter,
+    "op5_packing": packing.op5_packing,
+    "op6_decontamination": decontaminate.op6_decontamination,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_sharding": sharding.op8_sharding,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
@@ -17,5 +19,6 @@ QUERIES = {
 ORACLES = {
     "op2_topk_search": topk_search.ORACLE_SQL,
     "op4_url_filter": url_filter.ORACLE_SQL,
+    "op6_decontamination": decontaminate.ORACLE_SQL,
     "op9_jaccard_join": jaccard_join.ORACLE_SQL,
 }
