@@ -11,8 +11,9 @@ counts are summed per document and per pair.
    of its shingles in its partner, which bounds that sum from below.
 3. *Order.* For the classes left, fragments count exact document frequencies;
    each set is put in the order (frequency, hash), rarest first.
-4. *Pairs.* Groups of near copies are first tied to one leader each (by shared
-   minimum hashes), so that no group's pairs are all emitted. Then every two
+4. *Pairs.* Groups of near copies are first tied together by comparing each
+   set with one other of the same minimum hash, in some rounds, so that no
+   group's pairs are all emitted. Then every two
    classes of different groups that share a shingle in their prefixes, and pass
    the length and position bounds, are a pair: prefixes make this exact.
 5. *Overlaps.* Segments of both sides meet by fragment, partial overlaps are
@@ -39,7 +40,7 @@ FRAGMENT = 1_500_000
 SENT_IDS = 500_000
 #: Segments that a set is cut into when overlaps are counted.
 SEGMENTS = 8
-SEEDS = tuple(int(x) for x in np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, 3, dtype=np.int64))
+SEEDS = tuple(int(x) for x in np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, 8, dtype=np.int64))
 
 
 def _key(grams: np.ndarray) -> int:
@@ -244,15 +245,9 @@ def jaccard_classes(docs: DataFrame, *, n: int = 5, id_col: str = "doc_id", text
     some = docs.select(id_col, text_col).join(F.broadcast(ids) if held <= SENT_IDS else ids, id_col, "left_semi")
     sets = reliable(_ordered_sets(some, n, id_col, text_col, max(16, -(-int(grams or 0) // FRAGMENT))))
     segments = reliable(_by_segment(sets))
-    links, live = None, sets.select("key", "n", "low")
+    links, groups = None, None
     for j in range(len(SEEDS)):
-        live = live.withColumn("bucket", F.col("low")[j])
-        leaders = live.groupBy("bucket").agg(F.min(F.struct("key", "n")).alias("l"), F.count("*").alias("c")).where("c > 1")
-        tied = live.join(leaders, "bucket").where(F.col("key") != F.col("l.key"))
-        tied = reliable(_linked(tied.select(F.col("key").alias("a"), F.col("l.key").alias("b"), F.col("n").alias("na"), F.col("l.n").alias("nb")), segments, num, den))
-        links = tied if links is None else links.unionByName(tied)
-        live = live.join(tied.select(F.col("a").alias("key")), "key", "left_anti")
-    groups = connected_components(links)
+        links, groups = _tie(sets, segments, links, groups, j, num, den)
     rows = sets.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("grp", F.coalesce("root", "key"))
     prefixes = _prefixes(rows)
     mixed = prefixes.groupBy("gram").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("gram")
@@ -264,6 +259,23 @@ def jaccard_classes(docs: DataFrame, *, n: int = 5, id_col: str = "doc_id", text
     return prints.select("id", "n", "key"), links.unionByName(reliable(_linked(pairs, segments, num, den)))
 
 
+def _tie(sets: DataFrame, segments: DataFrame, links: DataFrame | None, groups: DataFrame | None, j: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """One round of tying groups together: all sets of one ``j``-th minimum hash
+    are compared with one of them unless a link has joined them before. The
+    one is that of the fewest shingles of its own (an original rather than its
+    copies), in later rounds any, so that no set depends on a single partner."""
+    some = sets.select("key", "n", "size", F.col("low")[j].alias("bucket"))
+    some = some.withColumn("grp", F.col("key")) if groups is None else some.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("grp", F.coalesce("root", "key"))
+    first = (F.col("n") - F.col("size")) if j < 3 else F.xxhash64("key", F.lit(j))
+    leaders = some.groupBy("bucket").agg(F.min(F.struct(first.cast("long").alias("o"), "key", "n", "grp")).alias("l"), F.count("*").alias("c")).where("c > 1")
+    tied = some.join(leaders, "bucket").where(F.col("grp") != F.col("l.grp"))
+    tied = reliable(_linked(tied.select(F.col("key").alias("a"), F.col("l.key").alias("b"), F.col("n").alias("na"), F.col("l.n").alias("nb")), segments, num, den))
+    if groups is not None and tied.isEmpty():
+        return links, groups
+    links = tied if links is None else links.unionByName(tied)
+    return links, connected_components(links)
+
+
 def _prefixes(rows: DataFrame) -> DataFrame:
     """``gram, key, n, rank, grp``: the shared shingles among each set's first
     floor(n / 4) + 1 in the global order; single ones come first and need no row."""
