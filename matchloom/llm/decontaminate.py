@@ -72,7 +72,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     texts = keyed.join(F.broadcast(rows) if small else rows, "__row", "left_semi").groupBy("__row").agg(F.first(text_col).alias("text"))
     found = texts.select("__row", tokens(F.col("text")).alias("words")).join(hits, "__row").join(items.withColumnRenamed("words", "item_words"), "item")
     same = F.transform(F.sequence(F.lit(0), F.size("item_words") - 1), _equal)
-    compared = found.select("__row", "item", same.alias("same"))
+    compared = reliable(found.select("__row", "item", same.alias("same")))
     total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
     long = F.exists(F.sequence(F.lit(1), F.greatest(F.size("same") - WINDOW + 1, F.lit(1))), lambda at: total(F.slice("same", at, F.lit(WINDOW))) >= WINDOW - MISSES)
     ok = F.when(F.size("same") >= WINDOW, long).otherwise(total(F.col("same")) == F.size("same"))

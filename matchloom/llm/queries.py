@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, jaccard_join, language_id, packing, sharding, topk_search, toxicity, url_filter
+from . import chat_format, decontaminate, jaccard_join, language_id, license_scan, packing, sharding, topk_search, toxicity, url_filter
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
+    "op10_license_scan": license_scan.op10_license_scan,
     "op2_topk_search": topk_search.op2_topk_search,
     "op3_chat_format": chat_format.op3_chat_format,
     "op4_url_filter": url_filter.op4_url_filter,
