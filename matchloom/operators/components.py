@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import reliable
+from ..session import compact, reliable
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -37,4 +37,4 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 def _settle(edges: DataFrame) -> tuple[DataFrame, tuple]:
     edges = reliable(edges)
     mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return edges, tuple(mark)
+    return compact(edges, mark[0]), tuple(mark)

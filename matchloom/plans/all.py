@@ -1,3 +1,3 @@
 """Imports every module of registered queries."""
 
-from . import columns  # noqa: F401
+from . import columns, matching  # noqa: F401

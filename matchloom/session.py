@@ -30,3 +30,10 @@ def reliable(df: DataFrame) -> DataFrame:
     a lost executor costs nothing that was computed before."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def compact(df: DataFrame, rows: int, per_partition: int = 200_000) -> DataFrame:
+    """``df``, whose row count is known, in no more partitions than it needs.
+    Up to ``per_partition`` short rows are one partition, over which grouping and
+    joining exchange nothing; larger tables keep many."""
+    return df.coalesce(max(1, -(-rows // per_partition)))
