@@ -31,11 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..session import reliable
+from ..session import compact, reliable
 from .words import mix, shingle_sets, slices
 
 #: Shingles that one fragment task takes in, about.
 FRAGMENT = 1_500_000
+#: Shingles of one partition of the sets, about.
+PARTITION = 1_000_000
 #: Classes up to which ids are sent to all tasks instead of joined by a shuffle.
 SENT_IDS = 500_000
 #: Segments that a set is cut into when overlaps are counted.
@@ -221,8 +223,15 @@ def _by_segment(sets: DataFrame) -> DataFrame:
 def _linked(pairs: DataFrame, segments: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs ``a, b`` (with ``na, nb``) of a Jaccard similarity of ``num/den``
     or more: partial overlaps by fragment, summed per pair."""
-    left = pairs.join(segments.withColumnRenamed("key", "a").withColumnRenamed("seg", "seg_a"), "a")
-    met = left.join(segments.withColumnRenamed("key", "b").withColumnRenamed("seg", "seg_b"), ["b", "f"])
+    pairs = reliable(pairs)
+    count = pairs.count()
+    if not count:
+        return pairs.select("a", "b")
+    pairs = compact(pairs, count)
+    sent = F.broadcast if count <= SENT_IDS else lambda df: df  # then only segments of paired sets move
+    left = segments.withColumnsRenamed({"key": "a", "seg": "seg_a"}).join(sent(pairs), "a")
+    right = segments.withColumnsRenamed({"key": "b", "seg": "seg_b"}).join(sent(pairs.select("b").distinct()), "b", "left_semi")
+    met = left.join(right, ["b", "f"])
     partial = met.select("a", "b", "na", "nb", F.size(F.array_intersect("seg_a", "seg_b")).alias("part"))
     whole = partial.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("part").alias("both"))
     return whole.where(den * F.col("both") >= num * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
@@ -244,10 +253,13 @@ def jaccard_classes(docs: DataFrame, *, n: int = 5, id_col: str = "doc_id", text
     ids = left.where("id is not null").select(F.col("id").alias(id_col)).distinct()
     some = docs.select(id_col, text_col).join(F.broadcast(ids) if held <= SENT_IDS else ids, id_col, "left_semi")
     sets = reliable(_ordered_sets(some, n, id_col, text_col, max(16, -(-int(grams or 0) // FRAGMENT))))
+    held, shared_grams = sets.agg(F.count("*"), F.sum("size")).first()
+    sets = sets.coalesce(max(1, -(-int(shared_grams or 0) // PARTITION)))
     segments = reliable(_by_segment(sets))
+    brief = compact(sets.select("key", "n", "size", "low"), held)
     links, groups = None, None
     for j in range(len(SEEDS)):
-        links, groups = _tie(sets, segments, links, groups, j, num, den)
+        links, groups = _tie(brief, segments, links, groups, j, num, den)
     rows = sets.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("grp", F.coalesce("root", "key"))
     prefixes = _prefixes(rows)
     mixed = prefixes.groupBy("gram").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("gram")
