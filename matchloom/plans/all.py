@@ -1,3 +1,3 @@
 """Imports every module of registered queries."""
 
-from . import columns, matching, state  # noqa: F401
+from . import columns, matching, spatial, state  # noqa: F401

@@ -170,10 +170,10 @@ METRICS = SAMPLES + """, m AS (SELECT session, scenario, count(*) AS sample_coun
   round_even(sum(c) / count(*), 3) AS avg_confidence, round_even(min(c), 3) AS min_confidence, sum(rec)::BIGINT AS recognition_rejections FROM s GROUP BY ALL)"""
 
 
-@query("a7_scenario_metrics", f"WITH {METRICS} SELECT session, scenario, sample_count, avg_detected, avg_accepted, avg_analysis_ms, avg_quality, avg_confidence, min_confidence, recognition_rejections FROM m")
+@query("a7_scenario_metrics", f"WITH {METRICS} SELECT session, scenario, sample_count, avg_detected, avg_accepted, round(avg_analysis_ms, 0) AS avg_analysis_ms, avg_quality, avg_confidence, min_confidence, recognition_rejections FROM m")
 def a7(spark, sf):
     m = ql.scenario_metrics(samples(spark, sf), "session", "scenario")
-    return m.select("session", "scenario", "sample_count", "avg_detected", "avg_accepted", "avg_analysis_ms", "avg_quality", "avg_confidence", "min_confidence", "recognition_rejections")
+    return m.select("session", "scenario", "sample_count", "avg_detected", "avg_accepted", F.round("avg_analysis_ms", 0).alias("avg_analysis_ms"), "avg_quality", "avg_confidence", "min_confidence", "recognition_rejections")
 
 
 @query("a8_setup_grade", f"""WITH {METRICS}, e AS (SELECT *, CASE scenario WHEN 'one_card' THEN 1 ELSE 3 END AS x, CASE scenario WHEN 'one_card' THEN 0.75 ELSE 0.70 END AS good, CASE scenario WHEN 'one_card' THEN 0.60 ELSE 0.55 END AS low FROM m),
