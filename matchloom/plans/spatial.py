@@ -97,9 +97,9 @@ def u2(spark, sf):
     return kept.groupBy("detector").agg(F.count("*").alias("n"))
 
 
-@query("j7_prefix_join", "SELECT p_partkey AS part, CASE WHEN starts_with(p_type, 'ECONOMY') THEN 'eco' WHEN starts_with(p_type, 'E') THEN 'other' WHEN starts_with(p_type, 'STANDARD') THEN 'std' ELSE 'unknown' END AS owner FROM part")
+@query("j7_prefix_join", "SELECT p_partkey AS part, CASE WHEN starts_with(p_type, 'SM') THEN 'small' WHEN starts_with(p_type, 'S') THEN 'other' WHEN starts_with(p_type, 'STANDARD') THEN 'std' ELSE 'unknown' END AS owner FROM part")
 def j7(spark, sf):
-    owners = spark.createDataFrame([("eco", "ECONOMY", 0), ("other", "E", 1), ("std", "STANDARD", 2)], "owner string, prefix string, ordinal int").coalesce(1)
+    owners = spark.createDataFrame([("small", "SM", 0), ("other", "S", 1), ("std", "STANDARD", 2)], "owner string, prefix string, ordinal int").coalesce(1)
     parts = table(spark, sf, "part")
     named = tb.prefix_join(parts.select(F.col("p_type").alias("id")).distinct(), owners, "unknown")
     return parts.join(F.broadcast(named), parts.p_type == named.id).select(F.col("p_partkey").alias("part"), "owner")  # one row for each type
@@ -164,15 +164,15 @@ def u4(spark, sf):
     return tb.symmetric_difference(table(spark, sf, "orders").select(F.col("o_custkey").alias("k")), table(spark, sf, "customer").where("c_custkey % 3 > 0").select(F.col("c_custkey").alias("k")))
 
 
-@query("u5_required_subset", "SELECT user_id, count(DISTINCT event_type) FILTER (event_type IN ('click', 'view', 'login')) = 3 AS complete FROM events GROUP BY 1")
+@query("u5_required_subset", "SELECT user_id, count(DISTINCT event_type) FILTER (event_type IN ('click', 'view', 'signup')) = 3 AS complete FROM events GROUP BY 1")
 def u5(spark, sf):
-    required = F.array(*map(F.lit, ("click", "view", "login")))
+    required = F.array(*map(F.lit, ("click", "view", "signup")))
     return table(spark, sf, "events").groupBy("user_id").agg((F.size(F.array_except(required, F.collect_set("event_type"))) == 0).alias("complete"))
 
 
-@query("u6_listing_filter", "SELECT p_partkey, lower(regexp_replace(p_name, '^(\\w+) ', '')) AS name FROM part WHERE ends_with(p_type, 'STEEL')")
+@query("u6_listing_filter", "SELECT p_partkey, lower(regexp_replace(p_name, '^(\\w+) ', '')) AS name FROM part WHERE ends_with(p_type, 'MO')")
 def u6(spark, sf):
-    return table(spark, sf, "part").where(F.endswith(F.col("p_type"), F.lit("STEEL"))).select("p_partkey", F.lower(F.regexp_replace("p_name", r"^(\w+) ", "")).alias("name"))
+    return table(spark, sf, "part").where(F.endswith(F.col("p_type"), F.lit("MO"))).select("p_partkey", F.lower(F.regexp_replace("p_name", r"^(\w+) ", "")).alias("name"))
 
 
 MINIMUMS = [("BUILDING", 6), ("HOUSEHOLD", 10**6), ("ABSENT", 1)]

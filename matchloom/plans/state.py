@@ -86,11 +86,11 @@ def w12(spark, sf):
 
 
 def _markers(spark, sf):
-    marker = F.when(F.col("item_id") == "login", "start").when(F.col("seq") % 10 == 3, "stop").otherwise(F.col("item_id"))
+    marker = F.when(F.col("item_id") == "signup", "start").when(F.col("seq") % 10 == 3, "stop").otherwise(F.col("item_id"))
     return readings(spark, sf).withColumn("marker", F.when(F.col("seq") % 9 == 0, "start").otherwise(marker))
 
 
-MARKERS = READINGS + f""", k AS (SELECT *, CASE WHEN seq % 9 = 0 OR item_id = 'login' THEN 'start' WHEN seq % 10 = 3 THEN 'stop' ELSE item_id END AS marker FROM r), x AS (SELECT *, sum((marker = 'start')::INT) OVER {W} AS session FROM k),
+MARKERS = READINGS + f""", k AS (SELECT *, CASE WHEN seq % 9 = 0 OR item_id = 'signup' THEN 'start' WHEN seq % 10 = 3 THEN 'stop' ELSE item_id END AS marker FROM r), x AS (SELECT *, sum((marker = 'start')::INT) OVER {W} AS session FROM k),
 y AS (SELECT *, first(ts_ms) OVER (PARTITION BY entity_id, session ORDER BY ts_ms, seq) AS begin, coalesce(sum((marker = 'stop')::INT) OVER (PARTITION BY entity_id, session ORDER BY ts_ms, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stopped FROM x WHERE session > 0)"""
 
 
