@@ -1,3 +1,3 @@
 """Imports every module of registered queries."""
 
-from . import columns, matching, spatial, state, streams  # noqa: F401
+from . import columns, matching, sources, spatial, state, streams  # noqa: F401
