@@ -41,7 +41,7 @@ t AS (SELECT query_id, max(CASE WHEN rank = 1 THEN item_id END) AS predicted_id,
 
 @query("j1_knn_join", f"WITH {DESC} SELECT query_id, item_id, good, total FROM g WHERE good > 0")
 def j1(spark, sf):
-    return mt.good_matches(mt.knn_join(*_split(descriptors(spark, sf)))).where("good > 0")
+    return mt.good_matches(mt.knn_join(*_split(descriptors(spark, sf)), reduce=0.79)).where("good > 0")
 
 
 def _ranked(spark, sf):
@@ -74,7 +74,7 @@ def flagship(spark, sf):
 def j2(spark, sf):
     """Approximate neighbours and their recall against the exact join."""
     q, r = _split(codes(spark, sf))
-    exact = mt.knn_join(q, r, distance=sc.hamming, value="code").select("query_id", "item_id", F.col("d1").alias("exact"))
+    exact = mt.knn_join(q, r, metric="hamming").select("query_id", "item_id", F.col("d1").alias("exact"))
     at = Window.partitionBy("query_id").orderBy("exact", "item_id")
     nearest = exact.withColumn("rank", F.row_number().over(at)).where("rank <= 5")
     found = mt.knn_codes_lsh(q, r).select("query_id", "item_id", "d1")
