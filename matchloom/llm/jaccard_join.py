@@ -42,7 +42,7 @@ PARTITION = 1_000_000
 SENT_IDS = 500_000
 #: Segments that a set is cut into when overlaps are counted.
 SEGMENTS = 8
-SEEDS = tuple(int(x) for x in np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, 8, dtype=np.int64))
+SEEDS = tuple(int(x) for x in np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, 4, dtype=np.int64))
 
 
 def _key(grams: np.ndarray) -> int:
@@ -237,8 +237,8 @@ def _linked(pairs: DataFrame, segments: DataFrame, num: int, den: int) -> DataFr
     return whole.where(den * F.col("both") >= num * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
-def jaccard_classes(docs: DataFrame, *, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """``(members, links)``: ``members`` has ``id, n, key`` of every row (``key``
+def jaccard_classes(docs: DataFrame, *, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, int]:
+    """``(members, links, count of links)``: ``members`` has ``id, n, key`` of every row (``key``
     null without words) and ``links`` the pairs ``a, b`` of class keys that tie
     all linked classes together (similarity 0.75 or more)."""
     num, den = 3, 4
@@ -257,9 +257,13 @@ def jaccard_classes(docs: DataFrame, *, n: int = 5, id_col: str = "doc_id", text
     sets = sets.coalesce(max(1, -(-int(shared_grams or 0) // PARTITION)))
     segments = reliable(_by_segment(sets))
     brief = compact(sets.select("key", "n", "size", "low"), held)
-    links, groups = None, None
+    links, groups, known = None, None, 0
     for j in range(len(SEEDS)):
-        links, groups = _tie(brief, segments, links, groups, j, num, den)
+        tied, count = _tie(brief, segments, groups, j, num, den)
+        if groups is None or count:
+            known += count
+            links = tied if links is None else compact(links.unionByName(tied), known)
+            groups = connected_components(links, rows=known)
     rows = sets.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("grp", F.coalesce("root", "key"))
     prefixes = _prefixes(rows)
     mixed = prefixes.groupBy("gram").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("gram")
@@ -268,10 +272,12 @@ def jaccard_classes(docs: DataFrame, *, n: int = 5, id_col: str = "doc_id", text
     most = F.least(F.col("n_a") - F.col("rank_a"), F.col("n_b") - F.col("rank_b"))  # overlap if this is the first shared shingle
     pairs = a.join(b, "gram").where((F.col("grp_a") < F.col("grp_b")) & (7 * most >= 3 * (F.col("n_a") + F.col("n_b"))))
     pairs = pairs.groupBy(F.col("key_a").alias("a"), F.col("key_b").alias("b")).agg(F.first("n_a").alias("na"), F.first("n_b").alias("nb"))
-    return prints.select("id", "n", "key"), links.unionByName(reliable(_linked(pairs, segments, num, den)))
+    last = reliable(_linked(pairs, segments, num, den))
+    more = last.count()
+    return prints.select("id", "n", "key"), compact(links.unionByName(last), known + more), known + more
 
 
-def _tie(sets: DataFrame, segments: DataFrame, links: DataFrame | None, groups: DataFrame | None, j: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+def _tie(sets: DataFrame, segments: DataFrame, groups: DataFrame | None, j: int, num: int, den: int) -> tuple[DataFrame, int]:
     """One round of tying groups together: all sets of one ``j``-th minimum hash
     are compared with one of them unless a link has joined them before. The
     one is that of the fewest shingles of its own (an original rather than its
@@ -282,10 +288,8 @@ def _tie(sets: DataFrame, segments: DataFrame, links: DataFrame | None, groups:
     leaders = some.groupBy("bucket").agg(F.min(F.struct(first.cast("long").alias("o"), "key", "n", "grp")).alias("l"), F.count("*").alias("c")).where("c > 1")
     tied = some.join(leaders, "bucket").where(F.col("grp") != F.col("l.grp"))
     tied = reliable(_linked(tied.select(F.col("key").alias("a"), F.col("l.key").alias("b"), F.col("n").alias("na"), F.col("l.n").alias("nb")), segments, num, den))
-    if groups is not None and tied.isEmpty():
-        return links, groups
-    links = tied if links is None else links.unionByName(tied)
-    return links, connected_components(links)
+    count = tied.count()
+    return compact(tied, count), count
 
 
 def _prefixes(rows: DataFrame) -> DataFrame:
@@ -320,8 +324,8 @@ def jaccard_join(docs: DataFrame, *, n: int = 5, id_col: str = "doc_id", text_co
     Classes and shingles are told apart by 64-bit hashes: two different sets
     share a key with a probability of 3e-6 in ten million documents.
     """
-    members, links = jaccard_classes(docs, n=n, id_col=id_col, text_col=text_col)
-    roots = connected_components(links).withColumnRenamed("node", "key")
+    members, links, count = jaccard_classes(docs, n=n, id_col=id_col, text_col=text_col)
+    roots = connected_components(links, rows=count).withColumnRenamed("node", "key")
     classes = members.where("key is not null").groupBy("key").agg(F.min("id").alias("own"))
     least = classes.join(roots, "key").groupBy("root").agg(F.min("own").alias("least"))
     found = classes.join(roots.join(least, "root"), "key", "left").select("key", F.coalesce("least", "own").alias("component"))

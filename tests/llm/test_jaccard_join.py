@@ -77,7 +77,7 @@ def test_large_group_of_near_copies_makes_few_pairs(spark):
     base = [f"w{i}" for i in range(120)]
     rows = [(i, " ".join(base[:k] + [f"x{i}"] + base[k + 1 :])) for i in range(400) for k in [i % 120]]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    _, links = jj.jaccard_classes(df)
+    _, links, _ = jj.jaccard_classes(df)
     assert links.count() < 3 * len(rows)
     assert {r.component_id for r in jj.jaccard_join(df).collect()} == {0}
 
