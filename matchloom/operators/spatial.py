@@ -46,26 +46,32 @@ def unoccupied(candidates: DataFrame, occupied: DataFrame, over: float = 0.1) ->
     return candidates.join(hit.select("frame_id", F.col("a_box_id").alias("box_id")).distinct(), ["frame_id", "box_id"], "left_anti")
 
 
-def assign(tracked: DataFrame, candidates: DataFrame, least: float = 0.5) -> DataFrame:
-    """Each tracked box, in order of id, takes its best unused candidate.
+def _first_unused(df: DataFrame, order: list[Column], owner: str, candidate: str) -> DataFrame:
+    """Walks each frame's rows in order: an owner takes its first candidate that
+    no owner before has taken. A choice depends on those before it in its frame
+    only; rows are streamed and one frame's taken candidates are held."""
+
+    def walk(batches):
+        frame, taken, served = None, set(), None
+        for pdf in batches:
+            keep = []
+            for f, o, c in zip(pdf["frame_id"], pdf[owner], pdf[candidate], strict=True):
+                if f != frame:
+                    frame, taken, served = f, set(), None
+                keep.append(o != served and c not in taken)
+                if keep[-1]:
+                    taken.add(c)
+                    served = o
+            yield pdf[keep]
+
+    return df.repartition("frame_id").sortWithinPartitions("frame_id", *order).mapInPandas(walk, df.schema)
 
-    The choice of one box depends on those before it in its frame only, so each
-    frame's pairs (few: an IoU of ``least`` is rare) are walked by themselves.
-    """
-    import pandas as pd
 
+def assign(tracked: DataFrame, candidates: DataFrame, least: float = 0.5) -> DataFrame:
+    """Each tracked box, in order of id, takes its best unused candidate of an
+    IoU of ``least`` or more: ``frame_id, a_box_id, b_box_id, iou``."""
     pairs = iou_join(tracked, candidates, least).select("frame_id", "a_box_id", "b_box_id", "iou")
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, rows = set(), []
-        for a, group in pdf.sort_values(["a_box_id", "iou", "b_box_id"], ascending=[True, False, True]).groupby("a_box_id", sort=False):
-            free = [(b, v) for b, v in zip(group["b_box_id"], group["iou"], strict=True) if b not in used]
-            if free:
-                used.add(free[0][0])
-                rows.append((pdf["frame_id"].iloc[0], a, *free[0]))
-        return pd.DataFrame(rows, columns=["frame_id", "a_box_id", "b_box_id", "iou"])
-
-    return pairs.groupBy("frame_id").applyInPandas(walk, pairs.schema)
+    return _first_unused(pairs, [F.col("a_box_id"), F.desc("iou"), F.col("b_box_id")], "a_box_id", "b_box_id")
 
 
 def best_in_region(boxes: DataFrame, regions: DataFrame) -> DataFrame:
@@ -86,18 +92,8 @@ def best_in_region(boxes: DataFrame, regions: DataFrame) -> DataFrame:
 
 def assign_regions(ranked: DataFrame) -> DataFrame:
     """Each region, in order, takes its best candidate not taken before."""
-    import pandas as pd
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, rows = set(), []
-        for region, group in pdf.sort_values(["region_id", "rank"]).groupby("region_id", sort=False):
-            free = next((b for b in group["box_id"] if b not in used), None)
-            if free is not None:
-                used.add(free)
-                rows.append((pdf["frame_id"].iloc[0], region, free))
-        return pd.DataFrame(rows, columns=["frame_id", "region_id", "box_id"])
-
-    return ranked.groupBy("frame_id").applyInPandas(walk, ranked.select("frame_id", "region_id", "box_id").schema)
+    rows = ranked.select("frame_id", "region_id", "box_id", "rank")
+    return _first_unused(rows, [F.col("region_id"), F.col("rank")], "region_id", "box_id").drop("rank")
 
 
 def suppress(boxes: DataFrame, least: float, *, rank: Column) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import change_kinds
+from ..session import reliable
 
 
 def _over(keys: Sequence[str], order: Sequence[str]):
@@ -138,11 +139,26 @@ def best_of(df: DataFrame, score: str, *, keys: Sequence[str], order: Sequence[s
     return df.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(score), *order))).where("r = 1").drop("r")
 
 
+def global_position(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """``pos`` of each row in the order of the whole table, and its ``size``:
+    ranges of the order are numbered by themselves and their counts added up, so
+    no task sees the whole table."""
+    ranged = reliable(df.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
+    counts = ranged.groupBy("range").agg(F.count("*").alias("n"))  # one row for each range
+    whole = Window.orderBy("range")
+    before = counts.select("range", (F.sum("n").over(whole) - F.col("n")).alias("before"), F.sum("n").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("size"))
+    inside = F.row_number().over(Window.partitionBy("range").orderBy(*order))
+    return ranged.withColumn("inside", inside).join(F.broadcast(before), "range").select(*df.columns, (F.col("before") + F.col("inside") - 1).alias("pos"), "size")
+
+
 def evenly_spaced(df: DataFrame, n: int, *, order: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """``n`` rows of each ordered group, both ends included: positions round
     half-even. Groups of ``n`` rows or fewer are whole."""
-    w = Window.partitionBy(*keys)
-    out = df.withColumns({"pos": F.row_number().over(w.orderBy(*order)) - 1, "size": F.count("*").over(w)})
+    if keys:
+        w = Window.partitionBy(*keys)
+        out = df.withColumns({"pos": F.row_number().over(w.orderBy(*order)) - 1, "size": F.count("*").over(w)})
+    else:
+        out = global_position(df, order)
     wanted = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.rint(i * (F.col("size") - 1) / (n - 1)).cast("int"))
     return out.where((F.col("size") <= n) | F.array_contains(wanted, F.col("pos"))).drop("pos", "size")
 

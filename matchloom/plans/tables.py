@@ -56,7 +56,8 @@ METHODS = ("blocks", "codes", "fusion")
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Method x sample matrix: every line item judged by each method."""
     lines = table(spark, sf_dir, "lineitem")
-    per = lines.crossJoin(F.broadcast(spark.createDataFrame([(m, i) for i, m in enumerate(METHODS)], "method string, m int").coalesce(1)))
+    methods = F.array(*(F.struct(F.lit(m).alias("method"), F.lit(i).alias("m")) for i, m in enumerate(METHODS)))
+    per = lines.select("*", F.explode(methods).alias("by")).select("*", "by.method", "by.m")
     k = F.col("l_partkey") + F.col("l_suppkey") + F.col("m")
     right = k % 5 > 1
     return per.select(
