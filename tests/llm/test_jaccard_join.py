@@ -1,7 +1,6 @@
 import random
 
 import pyarrow as pa
-from pyspark.sql import functions as F
 
 from matchloom.llm import jaccard_join as jj
 from matchloom.llm import words
