@@ -56,21 +56,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     """One row per document row and benchmark item that overlap: ``__row`` (see
     ``_keyed``), the item and ``matched``, the most equal tokens on a diagonal.
 
-    Null and empty texts overlap with nothing. Equal items are reported each;
-    repeated document rows are reported once; empty tables give no rows.
+    Null and empty texts overlap with nothing. Equal items are reported each,
+    items with a null id under that null; repeated document rows are reported
+    once; empty tables give no rows.
     """
     items = benchmark.select(F.col(item_col).alias("item"), tokens(F.col(item_text)).alias("words")).where(F.size("words") >= SHORTEST).distinct()
-    item_seeds = reliable(_seeded(items, "item").withColumnRenamed("pos", "item_pos"))
+    items = items.withColumn("entry", F.xxhash64(F.col("item").isNull(), "item", "words"))  # items without id join too
+    item_seeds = reliable(_seeded(items, "entry").withColumnRenamed("pos", "item_pos"))
     if item_seeds.count() <= SENT_SEEDS:
         item_seeds = F.broadcast(item_seeds)
     keyed = _keyed(docs.select(id_col, text_col), id_col, text_col)
     words = keyed.select("__row", tokens(F.col(text_col)).alias("words"))
-    hits = _seeded(words, "__row").join(item_seeds, "seed").select("__row", "item", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
+    hits = _seeded(words, "__row").join(item_seeds, "seed").select("__row", "entry", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
     hits = reliable(hits)
     small = hits.count() <= SENT_HITS
     rows = hits.select("__row").distinct()
     texts = keyed.join(F.broadcast(rows) if small else rows, "__row", "left_semi").groupBy("__row").agg(F.first(text_col).alias("text"))
-    found = texts.select("__row", tokens(F.col("text")).alias("words")).join(hits, "__row").join(items.withColumnRenamed("words", "item_words"), "item")
+    found = texts.select("__row", tokens(F.col("text")).alias("words")).join(hits, "__row").join(items.withColumnRenamed("words", "item_words"), "entry")
     same = F.transform(F.sequence(F.lit(0), F.size("item_words") - 1), _equal)
     compared = reliable(found.select("__row", "item", same.alias("same")))
     total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
@@ -104,7 +106,7 @@ bi AS (SELECT item_id, p, array_to_string(v[p:p+3],' ') AS g FROM (SELECT item_i
 di AS (SELECT r, p, array_to_string(w[p:p+3],' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 2)) AS p FROM d WHERE len(w) >= 4)),
 h AS (SELECT DISTINCT r, item_id, di.p - bi.p AS s FROM di JOIN bi USING (g)),
 m AS (SELECT r, h.item_id, s, list_transform(range(1, len(v) + 1), lambda j: CASE WHEN s + j >= 1 AND w[s + j] IS NOT DISTINCT FROM v[j] THEN 1 ELSE 0 END) AS same
-  FROM h JOIN d USING (r) JOIN i ON h.item_id = i.item_id),
+  FROM h JOIN d USING (r) JOIN i ON h.item_id IS NOT DISTINCT FROM i.item_id),
 k AS (SELECT r, item_id, list_sum(same)::BIGINT AS matched, CASE WHEN len(same) >= 13
   THEN len(list_filter(range(1, len(same) - 11), lambda a: list_sum(same[a:a+12]) >= 11)) > 0 ELSE list_sum(same) = len(same) END AS ok FROM m)
 SELECT doc_id, item_id, max(matched) AS matched FROM k JOIN d USING (r) WHERE ok GROUP BY doc_id, text, item_id

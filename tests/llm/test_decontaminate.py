@@ -73,3 +73,11 @@ def test_empty_and_null_ids(spark):
     assert [r.doc_id for r in dc.decontaminate(some, items).collect()] == [0]
     assert dc.leaks(some.limit(0), items).collect() == [] == dc.leaks(some, items.limit(0)).collect()
     assert dc.decontaminate(some, items.limit(0)).count() == 2
+
+
+def test_items_without_id_count_too(spark):
+    text = "one two three four five six seven eight nine"
+    docs = spark.createDataFrame([(1, text), (2, "clean"), (3, "ten eleven twelve thirteen fourteen fifteen sixteen")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, text), (None, "ten eleven twelve thirteen fourteen fifteen sixteen"), (4, text)], "item_id long, text string")
+    assert sorted(((r["__row"].id, r.item or 0, r.matched) for r in dc.leaks(docs, items).collect())) == [(1, 0, 9), (1, 4, 9), (3, 0, 7)]
+    assert [r.doc_id for r in dc.decontaminate(docs, items).collect()] == [2]
