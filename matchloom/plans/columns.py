@@ -230,7 +230,7 @@ def p22(spark, sf):
 
 
 @query("p23_sample_score", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, round(l_discount*10*0.35 + l_tax*10*0.85 + CASE WHEN l_linenumber % 4 > 0 THEN (l_linenumber % 3) / (l_linenumber % 4)::DOUBLE ELSE 0.0 END * 0.70 + (l_linenumber % 3) * 0.10 - (l_suppkey % 2) * 2.0
-  - greatest(0.0, l_quantity * 6 - 120.0) / 120.0 * 0.35, 9) AS score FROM lineitem""")
+  - greatest(0.0, l_quantity * 6 - 120.0) / 120.0 * 0.35, 9) + 0.0 AS score FROM lineitem""")
 def p23(spark, sf):
     n = F.col("l_linenumber")
     score = so.sample_score(F.col("l_discount") * 10, F.col("l_tax") * 10, n % 4, n % 3, F.col("l_suppkey") % 2, F.col("l_quantity") * 6)
