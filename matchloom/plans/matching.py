@@ -162,7 +162,7 @@ def g1(spark, sf):
     d = descriptors(spark, sf).join(codes(spark, sf).select("item_id", F.col("code").alias("whole")), "item_id")
     d = d.withColumn("code", sc.sign_code(F.col("vec")) + F.col("whole").bitwiseAND(F.lit(-16).cast("long")))
     out = None
-    for name in ("ratio_test", "code_ratio_test"):
+    for name in mt.REGISTRY:
         best = mt.rank_candidates(mt.run_method(name, *_split(d)), keys=("method", "query_id")).select("method", "query_id", "predicted_id", "confidence")
         out = best if out is None else out.unionByName(best)
     return out

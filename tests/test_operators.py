@@ -101,6 +101,28 @@ def test_nearest_neighbours_and_ranking(spark):
     assert (best.predicted_id, best.gap, best.ambiguous) == (7, 0.0, True)
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_approximate_neighbours_recall(spark, sf):
+    from matchloom.plans import matching as pm
+
+    n, found, wrong = pm.j2(spark, f"/root/testdata/{sf}").agg(F.sum("n"), F.sum("found"), F.sum("wrong")).first()
+    print(sf, n, found)
+    assert n >= 100 and found >= 0.9 * n and wrong == 0
+
+
+def test_approximate_neighbours_are_counted_once(spark):
+    q = spark.createDataFrame([(1, 0, 5)], "item_id long, desc_no int, code long")
+    r = spark.createDataFrame([(7, 0, 5), (7, 1, -1), (8, 0, 4), (8, 1, 4)], "item_id long, desc_no int, code long")
+    assert rows(mt.knn_codes_lsh(q, r)) == [(1, 0, 7, 0.0, None), (1, 0, 8, 1.0, 1.0)]
+
+
+def test_every_registered_method_runs(spark):
+    from matchloom.plans import matching as pm
+
+    got = pm.g1(spark, "/root/testdata/sf0.001").groupBy("method").count().collect()
+    assert {x["method"] for x in got} == set(mt.REGISTRY) and len({x["count"] for x in got}) == 1
+
+
 def test_sample_scores(spark):
     df = spark.createDataFrame([(0.95, 0.0, 3, 0, 0, 40.0), (0.70, 0.80, 3, 2, 0, 55.0), (0.8, 0.6, 2, 1, 1, 40.0)], "g double, r double, c int, a int, f int, ms double")
     got = [x[0] for x in df.select(so.sample_score(*(F.col(c) for c in df.columns))).collect()]
