@@ -10,6 +10,7 @@ predicted family is found in the paragraph by its word pairs.
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -29,11 +30,15 @@ TEMPLATES = (
     ("apache-2.0", "You may not use this file except in compliance with the Apache License, Version 2.0"),
     ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("gpl-3.0", "Distributed under the GNU GPL v3 or any later version."),
+    ("gpl-3.0", "Distributed under GPLv3 or any later version."),
+    ("agpl-3.0", "Released under the AGPLv3."),
     ("gpl-2.0", "This program is licensed under the GNU General Public License, version 2."),
     ("lgpl", "Licensed under the GNU Lesser General Public License."),
+    ("lgpl", "Available under LGPL 2.1."),
     ("bsd", "Released under the BSD 3-Clause License."),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("mpl-2.0", "Available under the MPL 2.0."),
     ("cc-by-4.0", "Licensed under CC BY 4.0."),
     ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0."),
@@ -55,8 +60,8 @@ CONTRARY = (
     "Permission to use the file is subject to the terms of use.",
     "The software is distributed free of charge and without modification.",
 )
-#: Words of which a paragraph has one at least if it can be about a licence at all; every template has one.
-SIGNALS = ("licence", "license", "licensed", "rights", "permission", "copyright", "redistribution", "domain", "gnu", "gpl", "mit", "apache", "bsd", "mozilla", "cc", "cc0", "commons", "granted")
+#: Words of which every template has one. No line is passed over for want of them.
+SIGNALS = ("gplv3", "agplv3", "lgpl", "mpl", "licence", "license", "licensed", "rights", "permission", "copyright", "redistribution", "domain", "gnu", "gpl", "mit", "apache", "bsd", "mozilla", "cc", "cc0", "commons", "granted")
 UNKNOWN = "unknown"
 #: Paragraphs of the corpus that the unknown class is learned from, at most.
 SAMPLE = 3_000
@@ -84,6 +89,22 @@ def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).alias("doc_id"), lines.alias("paragraph", "body")).where(F.trim("body") != "")
 
 
+def lines(docs: DataFrame, follow: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, paragraph, w, tail, joined``: the words of each line that has
+    any, the next ``follow`` words of the lines after it, up to one without words,
+    and both. Columns, as functions over words would join them for each word."""
+    each = F.split(F.coalesce(F.col(text_col), F.lit("")), r"\r\n|[\n\r\x{2028}\x{2029}]")
+    held = docs.select(F.col(id_col).alias("doc_id"), F.transform(each, words).alias("all"))
+    held = held.withColumn("sizes", F.transform("all", F.size))
+
+    def after(i: Column) -> Column:
+        end = F.array_position(F.slice("sizes", i + 2, F.lit(follow)), 0).cast("int")  # lines before it have a word each
+        return F.slice(F.flatten(F.slice("all", i + 2, F.when(end > 0, end - 1).otherwise(follow))), 1, follow)
+
+    both = F.transform("all", lambda w, i: F.struct(w.alias("w"), after(i).alias("tail"), F.concat(w, after(i)).alias("joined")))
+    return held.select("doc_id", F.posexplode(both).alias("paragraph", "line")).select("doc_id", "paragraph", "line.w", "line.tail", "line.joined").where(F.size("w") > 0)
+
+
 @dataclass
 class Scanner:
     labels: list[str]
@@ -98,7 +119,31 @@ class Scanner:
         return scored.drop("features", "rawPrediction", "probability", "prediction").withColumn("odds", F.log((1 - F.col("p")[0] + 1e-12) / (F.col("p")[0] + 1e-12)))
 
 
-def _fixed(value: list, kind: str) -> Column:
+    def reachable(self, tokens: Column) -> Column:
+        """False only where the classifier gives less than ``CERTAIN`` to these
+        words and to any part of them.
+
+        The log odds of any licence are at most log(families) + the largest
+        intercept + the sum of each present term's best weight, both against the
+        unknown class, where that is positive. A term is present only with all its
+        words, so its weight is put on the longest of them."""
+        slope, base = float(self.calibration.coefficients[0]), float(self.calibration.intercept)
+        if slope <= 0:
+            return F.lit(True)
+        weights, intercepts = self.classes.coefficientMatrix.toArray(), self.classes.interceptVector.toArray()
+        most = (weights[1:] - weights[0]).max(axis=0)
+        gain: dict[str, float] = {}
+        for term, w in zip(self.vocabulary.vocabulary, most, strict=True):
+            if w > 0:
+                word = max(term.split(" "), key=lambda x: (len(x), x))
+                gain[word] = gain.get(word, 0.0) + float(w)
+        start = math.log(len(self.labels) - 1) + float((intercepts[1:] - intercepts[0]).max())
+        need = (math.log(CERTAIN / (1 - CERTAIN)) - base) / slope - start - 1e-6
+        present = F.array_intersect(tokens, _fixed(sorted(gain), "array<string>"))
+        return F.aggregate(present, F.lit(0.0), lambda s, x: s + F.element_at(_fixed(gain, "map<string,double>"), x)) >= need
+
+
+def _fixed(value: list | dict, kind: str) -> Column:
     """A constant of any type; the optimizer folds it once."""
     return F.from_json(F.lit(json.dumps(value)), kind)
 
@@ -142,31 +187,44 @@ def train(corpus: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
 
 
 def scan(docs: DataFrame, scanner: Scanner, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per paragraph that reads as a licence: ``doc_id, paragraph,
+    """One row per line that reads as a licence: ``doc_id, paragraph,
     family, probability, template, similarity, confirmed``.
 
     ``family`` is the predicted one where a template of it is found by
     ``SIMILAR`` of its word pairs (``confirmed``), else ``unknown``: a licence
-    that no template tells. Paragraphs without any of ``SIGNALS`` are passed over, as are
-    those under ``CERTAIN``.
-    Null and empty texts have no paragraph; repeated rows give repeated results;
+    that no template tells. Lines under ``CERTAIN`` are passed over. A notice that
+    is wrapped counts at the line it begins in: that line with as many words of
+    those after it as the longest template has is confirmed, while neither the
+    line nor what follows is. Later lines of it count only by themselves.
+    Null and empty texts have no line; repeated rows give repeated results;
     of equally similar templates the first holds. Other columns are not carried.
     """
-    signal = r"(?i)(?<![\p{L}\p{N}.])(?:" + "|".join(SIGNALS) + r")(?![\p{L}\p{N}])"
-    lines = paragraphs(docs, id_col, text_col).where(F.col("body").rlike(signal)).withColumn("w", words(F.col("body")))
-    grams = reliable(lines.select("doc_id", "paragraph", _grams(F.col("w")).alias("grams")))
-    calibrated = scanner.calibration
-    slope, base = float(calibrated.coefficients[0]), float(calibrated.intercept)
-    certain = 1 / (1 + F.exp(-(F.col("odds") * slope + base)))
-    scored = scanner._odds(grams).withColumn("probability", certain).where(F.col("probability") >= CERTAIN)
+    longest = scanner.templates.agg(F.max(F.size("w"))).first()[0]
+    terms = _fixed(list(scanner.vocabulary.vocabulary), "array<string>")  # others count nowhere
+    near = lines(docs, longest - 1, id_col, text_col).where(scanner.reachable(F.col("joined")))
+    found = reliable(near.select("doc_id", "paragraph", *(F.array_intersect(_grams(c), terms).alias(n) for n, c in (("line", F.col("w")), ("after", F.col("tail")), ("joined", F.col("joined"))))))
+    alone = reliable(_judged(found.withColumnRenamed("line", "grams"), scanner).withColumnsRenamed({"grams": "line", "judged": "own"}))
+    out = _judged(alone.withColumnRenamed("joined", "grams"), scanner)
+    pairs = F.element_at(_fixed([r.pairs for r in scanner.templates.orderBy("template").collect()], "array<array<string>>"), F.col("judged.template") + 1)
+    like = lambda grams: F.size(F.array_intersect(pairs, F.col(grams))) / F.size(pairs)
+    sure = lambda c: F.col(f"{c}.probability") >= CERTAIN
+    wrapped = sure("judged") & F.col("judged.confirmed") & (like("line") < SIMILAR) & (like("after") < SIMILAR)
+    whole = sure("own") & F.col("own.confirmed")
+    out = out.select("doc_id", "paragraph", F.when(whole, F.col("own")).when(wrapped, F.col("judged")).when(sure("own"), F.col("own")).alias("r")).where("r is not null")
+    return out.select("doc_id", "paragraph", F.when(F.col("r.confirmed"), F.col("r.guess")).otherwise(UNKNOWN).alias("family"), "r.probability", "r.template", "r.similarity", "r.confirmed")
+
+
+def _judged(rows: DataFrame, scanner: Scanner) -> DataFrame:
+    """``rows`` (with ``grams``) and ``judged``: guess, probability, template, similarity, confirmed."""
+    slope, base = float(scanner.calibration.coefficients[0]), float(scanner.calibration.intercept)
+    scored = scanner._odds(rows).withColumn("probability", 1 / (1 + F.exp(-(F.col("odds") * slope + base))))
     known = F.slice("p", 2, len(scanner.labels) - 1)
     scored = scored.withColumn("guess", F.element_at(_fixed(scanner.labels[1:], "array<string>"), F.array_position(known, F.array_max(known)).cast("int")))
     families = scanner.templates.groupBy(F.col("family").alias("guess")).agg(F.collect_list(F.struct("template", "pairs")).alias("templates"))
     likeness = F.transform("templates", lambda t: F.struct((F.size(F.array_intersect(t["pairs"], F.col("grams"))) / F.size(t["pairs"])).alias("similarity"), (-t["template"]).alias("t")))
-    scored = scored.join(F.broadcast(families), "guess")  # one row for each family
-    best = F.array_max(likeness)
-    out = scored.withColumn("best", best).withColumn("confirmed", F.col("best.similarity") >= SIMILAR)
-    return out.select("doc_id", "paragraph", F.when(F.col("confirmed"), F.col("guess")).otherwise(UNKNOWN).alias("family"), "probability", (-F.col("best.t")).alias("template"), F.col("best.similarity").alias("similarity"), "confirmed")
+    scored = scored.join(F.broadcast(families), "guess").withColumn("best", F.array_max(likeness))  # one row for each family
+    judged = F.struct("guess", "probability", (-F.col("best.t")).alias("template"), F.col("best.similarity").alias("similarity"), (F.col("best.similarity") >= SIMILAR).alias("confirmed"))
+    return scored.withColumn("judged", judged).drop("p", "odds", "probability", "guess", "templates", "best")
 
 
 def op10_license_scan(spark, sf_dir: str) -> DataFrame:

@@ -45,3 +45,30 @@ def test_edges(spark, scanner):
     odd = spark.createDataFrame([(None, None), (None, ""), (1, "\n\n"), (2, "All rights reserved."), (2, "All rights reserved."), (None, "Released under the MIT License."), (3, long)], "doc_id long, text string")
     assert sorted(str((r.doc_id, r.family)) for r in ls.scan(odd, s).collect()) == ["(2, 'all-rights-reserved')", "(2, 'all-rights-reserved')", "(3, 'mit')", "(None, 'mit')"]
     assert ls.scan(docs.limit(0), s).collect() == []
+
+
+def test_names_without_a_keyword(spark, scanner):
+    told = {"gpl-3.0": "Distributed under GPLv3 or any later version.", "lgpl": "Available under LGPL-2.1.", "agpl-3.0": "Released under the AGPLv3.", "mpl-2.0": "Available under the MPL 2.0."}
+    df = spark.createDataFrame([(i, f"w1 w2\n{t}") for i, t in enumerate(told.values())], "doc_id long, text string")
+    got = {r.doc_id: (r.family, r.paragraph) for r in ls.scan(df, scanner[1]).collect() if r.confirmed}
+    assert got == {i: (f, 1) for i, f in enumerate(told)}
+
+
+def test_wrapped_notices(spark, scanner):
+    mit = "w5 w6 w7\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the Software), to deal\nw8 w9"
+    narrow = "w5\n" + "\n".join("Redistribution and use in source and binary forms, with or without modification, are permitted".split())
+    cut = "Permission is hereby granted, free of charge, to any person\n\nobtaining a copy of this software and associated documentation files"
+    df = spark.createDataFrame([(1, mit), (2, narrow), (3, cut), (4, "w1 w2 w3\nReleased under the MIT License.\nw4")], "doc_id long, text string")
+    got = [(r.doc_id, r.family) for r in ls.scan(df, scanner[1]).collect() if r.confirmed]
+    assert sorted(got) == [(1, "mit"), (2, "bsd"), (4, "mit")]
+
+
+def test_lines_passed_over_are_uncertain(spark, scanner):
+    class Open(ls.Scanner):
+        def reachable(self, tokens):
+            return ls.F.lit(True)
+
+    docs, s = scanner
+    odd = docs.limit(40).unionByName(spark.createDataFrame([(900 + i, t[: 3 * len(t) // 4] + "\n" + t.upper()) for i, (_, t) in enumerate(ls.TEMPLATES)], docs.schema))
+    every = Open(s.labels, s.vocabulary, s.classes, s.calibration, s.templates)
+    assert sorted(map(str, ls.scan(odd, s).collect())) == sorted(map(str, ls.scan(odd, every).collect()))
