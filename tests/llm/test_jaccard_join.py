@@ -1,6 +1,9 @@
 import random
 
+import numpy as np
 import pyarrow as pa
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 
 from matchloom.llm import jaccard_join as jj
 from matchloom.llm import words
@@ -86,3 +89,66 @@ def test_empty_and_null_ids(spark):
     assert jj.jaccard_join(df).collect() == []
     some = spark.createDataFrame([(None, "a b c"), (4, "a b c"), (3, None)], "doc_id long, text string")
     assert sorted(map(tuple, jj.jaccard_join(some).collect()), key=str) == sorted([(None, 1, 4), (4, 1, 4), (3, 0, 3)], key=str)
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.lists(st.sampled_from(["a", "b", "c", "d"]), max_size=12).map(" ".join), max_size=50))
+def test_small_tables_against_brute_force(spark, texts):
+    rows = list(enumerate(texts))
+    got = sorted(tuple(r) for r in jj.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute(rows)
+
+
+def test_unlike_short_texts(spark):
+    rows = [(1, "alpha"), (2, "beta"), (3, "gamma")]
+    got = jj.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 1), (2, 1, 2), (3, 1, 3)]
+
+
+def test_links_through_a_row_without_id(spark):
+    first = [f"w{i}" for i in range(60)]
+    middle = first[:10] + ["x"] + first[11:]
+    last = middle[:40] + ["y"] + middle[41:]
+    rows = [(5, " ".join(first)), (None, " ".join(middle)), (7, " ".join(last))]
+    assert [c for _, _, c in brute([(5, rows[0][1]), (7, rows[2][1])])] == [5, 7]
+    got = {r.doc_id: r.component_id for r in jj.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {5: 5, None: 5, 7: 5}
+
+
+def test_keep_one_goes_by_rows(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, base, "p"), (2, base + " x", "q"), (2, "quite another text of some words here", "r"), (None, base, "s"), (None, "alone in this table of six words", "t"), (4, None, "u"), (1, base, "v"), (4, None, "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    kept = jj.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = sorted((r.doc_id or 0, r.text or "") for r in kept.collect())
+    assert got == sorted([(1, base), (2, rows[2][1]), (0, rows[4][1]), (4, ""), (4, "")])
+
+
+def test_unlinked_texts_of_one_passage_make_few_pairs(spark):
+    passage = [f"p{i}" for i in range(80)]
+    rng = random.Random(2)
+    rows = [(i, " ".join(passage + [f"u{rng.random()}" for _ in range(20)])) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = jj._ordered(jj._sets(docs, 5, "text"))
+    assert sets.count() == 600 and jj.jaccard_classes(docs)[2] == 0
+    none = spark.createDataFrame([], "node binary, root binary")
+    assert jj._prefix_pairs(sets, none).count() == 0
+    assert len({r.component_id for r in jj.jaccard_join(docs).collect()}) == 600
+
+
+def test_common_shingles_are_one_entry_a_batch():
+    common = np.arange(10, dtype=np.uint64) << np.uint64(58)
+    sets = {i: np.unique(np.concatenate([common[:8], np.array([i * 977 + 13], np.uint64) << np.uint64(40)])) for i in range(100)}
+    rows = list(jj._fragments(sets, 4))
+    assert sum(len(r["common"]) for r in rows) <= jj.WIDTH * 9 and sum(len(r["grams"]) for r in rows) <= jj.WIDTH * 100
+    shared: dict[int, int] = {}
+    for f in {r["f"] for r in rows}:
+        table = pa.Table.from_pylist([r for r in rows if r["f"] == f], schema=jj._SEGMENT_ARROW)
+        for key, n in zip(*jj._shared_in_fragment(table), strict=True):
+            shared[int(key)] = shared.get(int(key), 0) + int(n)
+    count = {}
+    for g in sets.values():
+        for x in g.tolist():
+            count[x] = count.get(x, 0) + 1
+    assert shared == {k: sum(count[x] > 1 for x in g.tolist()) for k, g in sets.items()}
