@@ -12,19 +12,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import compact, reliable
+
 FOUND = "query_id long, vec_id long, score long"
 _ARROW = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+#: Vectors whose sum of squares reaches this take no part: a score could pass a long.
+LARGEST = 2.0**62
+_NONE = np.iinfo(np.int64).max
 
 
 class Best:
     """The k best (score, smaller id first) of each query so far."""
 
     def __init__(self, queries: int, k: int):
-        self.scores = np.full((queries, k), -(2**62))
-        self.ids = np.full((queries, k), np.iinfo(np.int64).max)
+        self.scores = np.full((queries, k), np.iinfo(np.int64).min)
+        self.ids = np.full((queries, k), _NONE)
 
     @property
     def floor(self) -> np.ndarray:
@@ -37,7 +42,7 @@ class Best:
         q = np.concatenate([q, np.repeat(touched, k)])
         ids = np.concatenate([ids, self.ids[touched].ravel()])
         scores = np.concatenate([scores, self.scores[touched].ravel()])
-        order = np.lexsort((ids, -scores, q))
+        order = np.lexsort((ids, ~scores, q))
         q, ids, scores = q[order], ids[order], scores[order]
         rank = np.arange(len(q)) - np.searchsorted(q, q)
         top = rank < k
@@ -47,12 +52,18 @@ class Best:
 
 def search_block(best: Best, query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, columns: np.ndarray, block: int = 16) -> None:
     """Take one block of candidates (``columns``: dimensions x candidates, whole
-    numbers as float64) into ``best``. Sums of products stay under 2^53, so
-    every score is exact."""
+    numbers as float64) into ``best``.
+
+    Bounds are floats and lowered by what rounding can add to them, a share of
+    the norms' product; scores that a float may not hold (products of norms of
+    2^53 or more) are summed again as longs, so every score is exact while the
+    product of the norms is under 2^63."""
     dims = len(columns)
     cuts = list(range(block, dims, block)) + [dims]
     tail = lambda m, axis: np.sqrt(np.maximum(0, np.flip(np.cumsum(np.flip(m * m, axis), axis), axis)))
     q_tail, c_tail = tail(queries, 1), tail(columns, 0)
+    largest = q_tail[:, 0] * c_tail[0].max()
+    slack = 8 * (dims + 8) * 2.0**-53 * largest
     at = cuts[0]
     part = queries[:, :at] @ columns[:at]
     own = query_ids[:, None] == ids[None, :]
@@ -61,10 +72,9 @@ def search_block(best: Best, query_ids: np.ndarray, queries: np.ndarray, ids: np
     guess = np.where(own, -np.inf, part)
     seed = np.argpartition(-guess, k - 1, axis=1)[:, :k]
     full = np.einsum("qd,dqk->qk", queries, columns[:, seed])
-    floor = np.where(own[np.arange(len(seed))[:, None], seed], -np.inf, full).min(axis=1)
-    floor = np.maximum(floor, best.floor.astype(float))
-    slack = 1e-6
-    bound = part if at == dims else part + q_tail[:, at, None] * c_tail[at] + slack
+    floor = np.where(own[np.arange(len(seed))[:, None], seed], -np.inf, full).min(axis=1) if k == best.scores.shape[1] else np.full(len(seed), -np.inf)
+    floor = np.maximum(floor, best.floor.astype(float)) - slack
+    bound = part if at == dims else part + q_tail[:, at, None] * c_tail[at]
     q, c = np.nonzero((bound >= floor[:, None]) & ~own)
     score = part[q, c]
     for to in cuts[1:]:
@@ -73,67 +83,84 @@ def search_block(best: Best, query_ids: np.ndarray, queries: np.ndarray, ids: np
         score = score + np.einsum("pd,dp->p", queries[q, at:to], columns[at:to, c])
         at = to
         if at < dims:
-            live = score + q_tail[q, at] * c_tail[at, c] + slack >= floor[q]
+            live = score + q_tail[q, at] * c_tail[at, c] >= floor[q]
             q, c, score = q[live], c[live], score[live]
+    live = score >= floor[q]
+    q, c, score = q[live], c[live], score[live]
     if len(q):
-        live = score >= floor[q]
-        best.add(q[live], ids[c[live]], score[live].astype(np.int64))
-
-
-def _usable(vec: Column) -> Column:
-    return vec.isNotNull() & (F.size(vec) > 0) & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = 256.0, queries_at_once: int = 4096, query_slice: int = 128) -> DataFrame:
+        whole = score.astype(np.int64)
+        if largest.max() >= 2.0**53:
+            whole = np.einsum("pd,dp->p", queries.astype(np.int64)[q], columns.astype(np.int64)[:, c])
+        best.add(q, ids[c], whole)
+
+
+def _packed(vectors: DataFrame, scale: float, rows: int) -> DataFrame:
+    """``size, ids, columns``: the usable vectors of ``vectors`` (id, v), scaled and
+    floored, in vertical blocks of up to ``rows`` vectors of one length."""
+    schema = pa.schema([("size", pa.int32()), ("ids", pa.binary()), ("columns", pa.binary())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            flat = np.floor(lists.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False) * scale)
+            starts = np.cumsum(sizes) - sizes
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for size in np.unique(sizes[sizes > 0]):
+                at = np.flatnonzero(sizes == size)
+                for lo in range(0, len(at), rows):
+                    some = at[lo : lo + rows]
+                    block = flat[starts[some][:, None] + np.arange(size)]
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        fits = (block * block).sum(axis=1) < LARGEST  # false for what is not finite
+                    if fits.any():
+                        yield pa.RecordBatch.from_arrays([pa.array([size], pa.int32()), pa.array([ids[some][fits].tobytes()]), pa.array([np.ascontiguousarray(block[fits].T).tobytes()])], schema=schema)
+
+    return vectors.mapInArrow(work, "size int, ids binary, columns binary")
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = 256.0, query_rows: int = 128, candidate_rows: int = 1024, blocks_a_task: int = 32) -> DataFrame:
     """Each query's k best vectors: ``query_id, rank, vec_id, score``.
 
     Components become floor(scale * x), x as double; the score is their inner
     product; ties go to the smaller id; rows with the query's id (the query
     itself) are no candidates. Vectors that are null, empty or hold a null or
-    non-finite component, and rows without id, take no part; a query meets
+    non-finite component, rows without id, and vectors whose sum of squares is
+    2^62 or more (scores would not fit a long) take no part; a query meets
     vectors of its own length only. A repeated row counts once per repetition as
-    candidate and once as query. All queries meet all vectors: queries go in
-    blocks of ``queries_at_once``, which bounds what is sent to tasks, and each
-    task keeps k rows a query.
+    candidate; as query an id counts once, by its smallest usable vector. Other
+    columns are not carried; empty tables give no rows.
+
+    All queries meet all vectors, both packed into blocks: every task takes some
+    blocks of queries past some of candidates and keeps k rows a query.
     """
-    whole = lambda df: df.where(F.col(id_col).isNotNull() & _usable(F.col(vec_col))).select(F.col(id_col).cast("long").alias("id"), F.transform(vec_col, lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("v"))
-    asked = whole(queries).dropDuplicates(["id"])
-    stored = whole(vectors)
-    spark = vectors.sparkSession
-    blocks = max(1, -(-asked.count() // queries_at_once))
-    found = None
-    for b in range(blocks):
-        mine = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect()
-        by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for size in {len(r.v) for r in mine}:
-            rows = sorted((r for r in mine if len(r.v) == size), key=lambda r: r.id)
-            by_size[size] = (np.array([r.id for r in rows], np.int64), np.array([r.v for r in rows], np.float64))
-        sent = spark.sparkContext.broadcast(by_size)
-
-        def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            bests = {size: Best(len(ids), k) for size, (ids, _) in sent.value.items()}
-            for batch in batches:
-                sizes = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
-                flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-                starts = np.cumsum(sizes) - sizes
-                ids = batch.column(0).to_numpy(zero_copy_only=False)
-                for size, (query_ids, query_vecs) in sent.value.items():
-                    rows = np.flatnonzero(sizes == size)
-                    for lo in range(0, len(rows), 2048):
-                        some = rows[lo : lo + 2048]
-                        columns = np.ascontiguousarray(flat[starts[some][:, None] + np.arange(size)].T)
-                        for s in range(0, len(query_ids), query_slice):
-                            part = slice(s, s + query_slice)
-                            view = Best.__new__(Best)
-                            view.scores, view.ids = bests[size].scores[part], bests[size].ids[part]
-                            search_block(view, query_ids[part], query_vecs[part], ids[some], columns)
-            for size, best in bests.items():
-                got = best.ids != np.iinfo(np.int64).max
-                query = np.repeat(sent.value[size][0], k).reshape(best.ids.shape)
-                yield pa.RecordBatch.from_arrays([pa.array(query[got]), pa.array(best.ids[got]), pa.array(best.scores[got])], schema=_ARROW)
-
-        part = stored.mapInArrow(scan, FOUND)
-        found = part if found is None else found.unionByName(part)
+    v = F.col(vec_col).cast("array<double>")
+    whole = lambda df: df.where(F.col(id_col).isNotNull() & v.isNotNull()).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
+    usable = F.forall("v", lambda x: F.coalesce(F.abs(x * scale) < LARGEST, F.lit(False))) & (F.size("v") > 0)
+    asked = whole(queries).where(usable).groupBy("id").agg(F.min("v").alias("v"))
+    asked = reliable(_packed(asked, scale, query_rows).select(F.col("size").alias("with_size"), F.col("ids").alias("query_ids"), F.col("columns").alias("queries"), F.monotonically_increasing_id().alias("block")))
+    asked = compact(asked, asked.count(), blocks_a_task)
+    stored = _packed(whole(vectors), scale, candidate_rows)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bests: dict[int, tuple[np.ndarray, Best]] = {}
+        for batch in batches:
+            for size, ids, columns, with_size, query_ids, rows, block in zip(*batch.columns, strict=True):
+                if size.as_py() != with_size.as_py():
+                    continue
+                ids, query_ids = np.frombuffer(ids.as_buffer(), np.int64), np.frombuffer(query_ids.as_buffer(), np.int64)
+                if block.as_py() not in bests:
+                    bests[block.as_py()] = (query_ids.copy(), Best(len(query_ids), k))
+                columns = np.frombuffer(columns.as_buffer(), np.float64).reshape(size.as_py(), -1)
+                rows = np.ascontiguousarray(np.frombuffer(rows.as_buffer(), np.float64).reshape(size.as_py(), -1).T)
+                search_block(bests[block.as_py()][1], query_ids, rows, ids, columns)
+        for query_ids, best in bests.values():
+            got = best.ids != _NONE
+            query = np.repeat(query_ids, k).reshape(best.ids.shape)
+            yield pa.RecordBatch.from_arrays([pa.array(query[got]), pa.array(best.ids[got]), pa.array(best.scores[got])], schema=_ARROW)
+
+    # A stated query set against all rows, block by block.
+    found = stored.crossJoin(asked.hint("shuffle_replicate_nl")).mapInArrow(scan, FOUND)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

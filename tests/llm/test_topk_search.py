@@ -2,7 +2,7 @@ import math
 
 import numpy as np
 
-from matchloom.llm.topk_search import top_k
+from matchloom.llm.topk_search import Best, search_block, top_k
 
 
 def brute(rows, queries, k):
@@ -25,8 +25,31 @@ def test_against_brute_force(spark):
     rows += [(5, rows[5][1])]  # a repeated row
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, rank int").repartition(5)
     queries = [i for i in range(0, 411, 10)]
-    for at_once in (4096, 7):
-        got = sorted(tuple(r) for r in top_k(df, df.where("vec_id % 10 = 0"), 5, queries_at_once=at_once).collect())
+    for sizes in ({}, {"query_rows": 7, "candidate_rows": 11, "blocks_a_task": 2}):
+        got = sorted(tuple(r) for r in top_k(df, df.where("vec_id % 10 = 0"), 5, **sizes).collect())
         assert got == brute(rows, queries, 5)
     assert top_k(df.limit(0), df, 5).collect() == []
     assert top_k(df, df.limit(0), 5).collect() == []
+
+
+def test_equal_vectors_of_large_norm():
+    rng = np.random.default_rng(1)
+    for trial in range(60):
+        scale = (2e6, 5e7)[trial % 2]  # norms' products of about 3e14 and 2e17
+        query = np.floor(rng.normal(size=(1, 32)) * scale)
+        ids = rng.permutation(np.arange(1, 61))
+        columns = np.repeat(query.T, 60, axis=1)
+        columns[:, 40:] = np.floor(rng.normal(size=(32, 20)) * scale)
+        best = Best(1, 5)
+        for part in (slice(0, 30), slice(30, 60)):
+            search_block(best, np.array([0]), query, ids[part], np.ascontiguousarray(columns[:, part]))
+        assert best.ids[0].tolist() == sorted(ids[:40].tolist())[:5]
+        assert set(best.scores[0].tolist()) == {sum(int(x) ** 2 for x in query[0])}
+
+
+def test_large_components(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=8) * 2.0 ** rng.integers(0, 20)]) for i in range(120)] + [(200, [1e30] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(tuple(r) for r in top_k(df, df.where("vec_id % 10 = 0"), 5).collect())
+    assert got == brute(rows[:-1], range(0, 120, 10), 5)
