@@ -14,7 +14,7 @@ from collections import Counter
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,14 +107,15 @@ def pack_documents(docs: DataFrame, *, capacity: int = 2048, group_rows: int = 4
     groups = max(1, -(-cut.count() // group_rows))
     dealt = cut.withColumn("bin_group", F.pmod(F.xxhash64("doc_id", "start", "cluster", "source"), F.lit(groups)).cast("int"))
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n_tokens", "cluster", "doc_id", "start", "source"], ascending=[False, True, True, True, True], kind="stable")
-        none = lambda column: [None if pd.isna(x) else x for x in column]
-        pdf["bin"] = pack(pdf["n_tokens"].tolist(), none(pdf["source"]), none(pdf["cluster"]), capacity)
-        return pdf
+    order = [("n_tokens", "descending"), *((c, "ascending") for c in ("cluster", "doc_id", "start", "source"))]
+
+    def work(table: pa.Table) -> pa.Table:
+        table = table.sort_by(order)
+        bins = pack(table["n_tokens"].to_pylist(), table["source"].to_pylist(), table["cluster"].to_pylist(), capacity)
+        return table.append_column("bin", pa.array(bins, pa.int32()))
 
     schema = dealt.select("*", F.lit(0).alias("bin")).schema
-    return dealt.groupBy("bin_group").applyInPandas(work, schema).select("doc_id", "start", "n_tokens", "source", "bin_group", "bin")
+    return dealt.groupBy("bin_group").applyInArrow(work, schema).select("doc_id", "start", "n_tokens", "source", "bin_group", "bin")
 
 
 def op5_packing(spark, sf_dir: str) -> DataFrame:

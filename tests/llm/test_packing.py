@@ -56,3 +56,13 @@ def test_documents(spark):
     assert pack_documents(df.limit(0)).collect() == []
     twice = pack_documents(df.unionByName(df).withColumn("doc_id", F.when(F.col("doc_id") > 5, F.col("doc_id"))), capacity=100)
     assert twice.count() == 2 * len(got)
+
+
+def test_ids_come_back_as_they_are(spark):
+    ids = [9007199254740993, None, 9007199254740995]
+    df = spark.createDataFrame([(i, "a b c", "s") for i in ids], "doc_id long, text string, source string")
+    got = pack_documents(df).collect()
+    assert sorted(r.doc_id or 0 for r in got) == sorted(i or 0 for i in ids)
+    assert len({r.bin for r in got}) == 3  # one source, equal texts
+    named = pack_documents(df.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))).collect()
+    assert sorted(r.doc_id or "" for r in named) == ["", "d9007199254740993", "d9007199254740995"]
