@@ -9,9 +9,9 @@ Template: ``### Role:\\n`` + text + ``</turn>\\n``. Inside roles and texts the
 characters ``\\``, ``#``, ``<`` and (in roles) ``:`` get a ``\\`` before them, so no
 text can hold a control string and :func:`read_back` restores every turn.
 
-A conversation is cut by turn number into chunks, so that a very long one is
-spread over tasks; rows of a chunk are streamed in order and only one window is
-held at a time.
+A conversation of more tokens than ``segment_windows`` budgets is cut, by the
+prefix sums, into segments of so many, which are spread over tasks; each takes
+the turns before it along as history.
 """
 
 from __future__ import annotations
@@ -20,11 +20,17 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SCHEMA = "conv_id long, chunk long, window int, text string, n_tokens long, turns array<struct<role:string,start:int,stop:int,fresh:boolean>>, loss array<struct<start:int,stop:int>>"
+from ..session import reliable
+
+SCHEMA = "conv_id long, segment long, window int, text string, n_tokens long, turns array<struct<role:string,start:int,stop:int,fresh:boolean>>, loss array<struct<start:int,stop:int>>"
+#: Long conversations, and segment starts of them, up to which they are sent to all tasks instead of joined by a shuffle.
+SENT = 200_000
 
 _ESCAPE = re.compile(r"[\\#<]")
 _ESCAPE_ROLE = re.compile(r"[\\#<:]")
@@ -61,88 +67,144 @@ def read_back(text: str) -> list[tuple[str, str]]:
     return out
 
 
-def format_conversations(conversations: DataFrame, *, budget: int = 1024, history: int = 2, chunk_turns: int = 256, target: str = "assistant", system: str = "system") -> DataFrame:
+_TURN_FIELDS = "conv_id long, turn long, role string, text string, tokens long, at long, before long"
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` of long conversations with ``at`` (place in the conversation, from
+    0) and ``before`` (tokens of the turns before it). Turns are sorted over all
+    tasks; a task counts on from what the ranges before its own have of the
+    conversation that it begins in."""
+    order = ["conv_id", "turn", "role", "text", "__tie"]
+    ranged = rows.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = reliable(ranged.select("conv_id", "turn", "role", "text", "tokens"))
+    held = ranged.groupBy("conv_id", F.spark_partition_id().alias("range")).agg(F.count("*").alias("n"), F.sum("tokens").alias("t"))
+    earlier = Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    carried = held.select("range", F.sum("n").over(earlier).alias("n"), F.sum("t").over(earlier).alias("t")).where("n is not null")
+    carry = {r.range: (r.n, r.t) for r in carried.collect()}  # one conversation at most goes on into a range
+    schema = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("tokens", pa.int64()), ("at", pa.int64()), ("before", pa.int64())])
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, t = carry.get(TaskContext.get().partitionId(), (0, 0))
+        last, begun = None, False
+        for batch in batches:
+            at, before = [], []
+            for conv, tokens in zip(batch.column(0).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                if begun and conv != last:
+                    n, t = 0, 0
+                last, begun = conv, True
+                at.append(n)
+                before.append(t)
+                n, t = n + 1, t + tokens
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int64()), pa.array(before, pa.int64())], schema=schema)
+
+    return ranged.mapInArrow(number, _TURN_FIELDS)
+
+
+def _beside(df: DataFrame) -> tuple[DataFrame, Column]:
+    """A small table to join with, its conversation under another name, and the condition; null ids meet."""
+    df = df.withColumnRenamed("conv_id", "__conv")
+    return F.broadcast(df) if df.count() <= SENT else df, F.col("conv_id").eqNullSafe(F.col("__conv"))
+
+
+def spans(costs: list[int], first: int, budget: int, repeated) -> Iterator[tuple[int, int]]:
+    """The windows' own turns, as ranges of a segment's turns: from prefix sums of
+    their costs the furthest end that ``budget`` allows beside what is repeated."""
+    sums, lo = np.concatenate([[0], np.cumsum(np.asarray(costs, np.int64))]), first
+    while lo < len(costs):
+        hi = int(np.searchsorted(sums, sums[lo] + budget - repeated(lo), "right")) - 1
+        hi = max(hi, lo + 1)
+        yield lo, hi
+        lo = hi
+
+
+def format_conversations(conversations: DataFrame, *, budget: int = 1024, history: int = 2, segment_windows: int = 64, target: str = "assistant", system: str = "system") -> DataFrame:
     """Windows of every conversation (``SCHEMA``); ``turns`` gives each turn's
     role and span in ``text`` and whether it is the window's own (``fresh``).
 
-    A window takes its own turns while system, history and own turns stay within
-    ``budget`` tokens (words); a turn larger than what is left opens a window of
-    its own and may exceed the budget: turns are never cut or dropped. History
-    is up to ``history`` preceding turns, nearest first, within a quarter of the budget.
-    The system turn is the conversation's first of role ``system``; where it is
-    itself a window's own turn it is not repeated. Turns are ordered by turn,
-    then role and text; a null turn comes first; null roles and texts are empty;
-    repeated rows are repeated turns. A null conv_id is one conversation. Other
-    columns are not carried.
+    A turn has its words and one more token. A window takes its own turns while
+    system turn, history and own turns stay within ``budget`` tokens; a turn larger
+    than what is left opens a window of its own and may exceed the budget: turns
+    are never cut or dropped. History is up to ``history`` preceding turns,
+    nearest first, within a quarter of the budget. The system turn is the
+    conversation's first of role ``system``; where it is among a window's own
+    turns or its history, or comes later, it is not repeated. Turns are ordered
+    by turn, then role and text; a null turn comes first; null roles and texts are
+    empty; repeated rows are repeated turns. A null conv_id is one conversation.
+    Other columns are not carried; an empty table gives no rows.
     """
-    words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
-    rows = conversations.select(
-        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
-    ).withColumns({"tokens": words.cast("long"), "chunk": F.coalesce(F.floor(F.col("turn") / chunk_turns), F.lit(-(2**40))).cast("long"), "kind": F.lit(2)})
-    # The last turns of a chunk are also the history at the start of the next one.
-    spill = rows.where(F.col("turn") % chunk_turns >= chunk_turns - history).withColumns({"chunk": F.col("chunk") + 1, "kind": F.lit(1)}) if history else rows.limit(0)
-    first = rows.where(F.col("role") == system).groupBy("conv_id").agg(F.min(F.struct("turn", "text", "tokens", "chunk")).alias("s"))
-    later = rows.select("conv_id", "chunk").distinct().join(first, "conv_id").where(F.col("chunk") > F.col("s.chunk"))
-    lead = later.select("conv_id", F.col("s.turn").alias("turn"), F.lit(system).alias("role"), F.col("s.text").alias("text"), F.col("s.tokens").alias("tokens"), "chunk", F.lit(0).alias("kind"))
-    stream = rows.unionByName(spill).unionByName(lead)
-    order = ["conv_id", "chunk", "kind", "turn", "role", "text"]
-    stream = stream.repartition("conv_id", "chunk").sortWithinPartitions(*order).select(*order, "tokens")
+    words = F.regexp_count(F.col("text"), F.lit(r"[^ \t\n\x0B\f\r]+"))
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("tokens", (words + 1).cast("long"))
+    reach = segment_windows * budget
+    long = reliable(rows.groupBy("conv_id").agg(F.sum("tokens").alias("all")).where(F.col("all") > reach).select("conv_id"))
+    sent, same = _beside(long)
+    short = rows.join(sent, same, "left_anti").select("conv_id", "turn", "role", "text", "tokens", F.lit(None).cast("long").alias("at"), F.lit(0).cast("long").alias("segment"), F.lit(2).alias("kind"))
+    numbered = _numbered(rows.join(sent, same, "left_semi")).withColumns({"segment": F.floor(F.col("before") / reach), "kind": F.lit(2)}).drop("before")
+    first = numbered.where(F.col("role") == system).groupBy("conv_id").agg(F.min("at").alias("lead"))
+    starts = reliable(numbered.groupBy("conv_id", "segment").agg(F.min("at").alias("start")).where("segment > 0"))
+    # Turns that a segment repeats: those just before it, and the system turn.
+    wanted = starts.select("conv_id", F.col("segment").alias("into"), F.lit(1).alias("as"), F.explode(F.array(*(F.col("start") - k for k in range(1, history + 1)), F.lit(-1))).alias("place"))
+    led, same = _beside(reliable(first))
+    led = starts.join(led, same).where("lead < start").select("conv_id", F.col("segment").alias("into"), F.lit(0).alias("as"), F.col("lead").alias("place"))
+    wanted = reliable(wanted.where("place >= 0").unionByName(led))
+    near, same = _beside(wanted)
+    repeats = numbered.drop("segment", "kind").join(near, same & (F.col("at") == F.col("place"))).select("conv_id", "turn", "role", "text", "tokens", "at", F.col("into").alias("segment"), F.col("as").alias("kind"))
+    stream = short.unionByName(numbered).unionByName(repeats)
+    order = ["conv_id", "segment", "kind", "at", "turn", "role", "text"]
+    stream = stream.repartition("conv_id", "segment").sortWithinPartitions(*order).select(*order, "tokens")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[dict] = []
-        here, lead_turn, back, own, number, total = None, None, [], [], 0, 0
-
-        def repeated() -> list[tuple]:
-            """The history of the window that opens now: nearest turns first, as far as a quarter of the budget goes."""
-            kept, left = [], budget // 4
-            for turn in reversed(back):
-                left -= turn[2]
-                if left < 0:
-                    break
-                kept.append(turn)
-            return kept[::-1]
-
-        def close() -> dict:
-            nonlocal back, own, number
-            kept = repeated()
-            parts = [(lead_turn, False)] * bool(lead_turn and not any(t is lead_turn for t in [*own, *kept])) + [(t, False) for t in kept] + [(t, True) for t in own]
-            text, turns, loss, at = [], [], [], 0
-            for (role, body, _), fresh in parts:
-                piece, start, stop = render(role, body)
-                turns.append({"role": role, "start": at + start, "stop": at + stop, "fresh": fresh})
-                if fresh and role == target:
-                    loss.append({"start": at + start, "stop": at + stop})
-                text.append(piece)
-                at += len(piece)
-            row = {"conv_id": here[0], "chunk": here[1], "window": number, "text": "".join(text), "n_tokens": sum(t[2] for t, _ in parts), "turns": turns, "loss": loss}
-            back, own, number = [*back, *own][-history:] if history else [], [], number + 1
-            return row
+        here, lead, turns, first_own = None, None, [], 0  # turns: history and own turns of one segment
+
+        def flush() -> Iterator[dict]:
+            if not turns:
+                return
+            conv, segment = here
+            own_lead = next((i for i in range(first_own, len(turns)) if turns[i][0] == system), None) if lead is None else None
+
+            def back(lo: int) -> int:
+                """Where the history of a window from ``lo`` begins."""
+                left, at = budget // 4, lo
+                while at > 0 and lo - at < history and turns[at - 1][2] <= left:
+                    at -= 1
+                    left -= turns[at][2]
+                return at
+
+            def leads(lo: int) -> tuple | None:
+                """The system turn, where the window from ``lo`` repeats it beside its history."""
+                if lead is not None:
+                    return lead if all(t[3] is None or t[3] != lead[3] for t in turns[back(lo) : lo]) else None
+                return turns[own_lead] if own_lead is not None and own_lead < back(lo) else None
+
+            cost = lambda lo: sum(t[2] for t in turns[back(lo) : lo]) + (leads(lo)[2] if leads(lo) else 0)
+            for number, (lo, hi) in enumerate(spans([t[2] for t in turns], first_own, budget, cost)):
+                parts = [(leads(lo), False)] * bool(leads(lo)) + [(t, False) for t in turns[back(lo) : lo]] + [(t, True) for t in turns[lo:hi]]
+                text, marks, loss, at = [], [], [], 0
+                for (role, body, _, _), fresh in parts:
+                    piece, start, stop = render(role, body)
+                    marks.append({"role": role, "start": at + start, "stop": at + stop, "fresh": fresh})
+                    if fresh and role == target:
+                        loss.append({"start": at + start, "stop": at + stop})
+                    text.append(piece)
+                    at += len(piece)
+                yield {"conv_id": conv, "segment": segment, "window": number, "text": "".join(text), "n_tokens": sum(t[2] for t, _ in parts), "turns": marks, "loss": loss}
 
         for batch in batches:
-            for conv, chunk, kind, _, role, body, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if here != (conv, chunk):
-                    if own:
-                        out.append(close())
-                    here, lead_turn, back, own, number = (conv, chunk), None, [], [], 0
-                turn = (role, body, tokens)
+            for conv, segment, kind, at, _, role, body, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if here != (conv, segment):
+                    out.extend(flush())
+                    here, lead, turns, first_own = (conv, segment), None, [], 0
                 if kind == 0:
-                    lead_turn = turn
-                elif kind == 1:
-                    back = [*back, turn][-history:]
+                    lead = (role, body, tokens, at)
                 else:
-                    if own and total + tokens > budget:
-                        out.append(close())
-                    if not own:
-                        total = sum(t[2] for t in repeated()) + (lead_turn[2] if lead_turn else 0)
-                    total += tokens
-                    if lead_turn is None and role == system:
-                        lead_turn = turn
-                    own.append(turn)
+                    turns.append((role, body, tokens, at))
+                    first_own += kind == 1
                 if len(out) >= 64:
                     yield pa.RecordBatch.from_pylist(out, schema=ARROW)
                     out = []
-        if own:
-            out.append(close())
+        out.extend(flush())
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=ARROW)
 
@@ -150,7 +212,7 @@ def format_conversations(conversations: DataFrame, *, budget: int = 1024, histor
 
 
 _SPAN = [("start", pa.int32()), ("stop", pa.int32())]
-ARROW = pa.schema([("conv_id", pa.int64()), ("chunk", pa.int64()), ("window", pa.int32()), ("text", pa.string()), ("n_tokens", pa.int64()), ("turns", pa.list_(pa.struct([("role", pa.string()), *_SPAN, ("fresh", pa.bool_())]))), ("loss", pa.list_(pa.struct(_SPAN)))])
+ARROW = pa.schema([("conv_id", pa.int64()), ("segment", pa.int64()), ("window", pa.int32()), ("text", pa.string()), ("n_tokens", pa.int64()), ("turns", pa.list_(pa.struct([("role", pa.string()), *_SPAN, ("fresh", pa.bool_())]))), ("loss", pa.list_(pa.struct(_SPAN)))])
 
 
 def digest(windows: DataFrame) -> DataFrame:
@@ -190,7 +252,7 @@ def digest(windows: DataFrame) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=DIGEST_ARROW)
 
-    ordered = windows.repartition("conv_id").sortWithinPartitions("conv_id", "chunk", "window")
+    ordered = windows.repartition("conv_id").sortWithinPartitions("conv_id", "segment", "window")
     return ordered.mapInArrow(read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
@@ -202,3 +264,25 @@ def op3_chat_format(spark, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], given.schema)
     return digest(format_conversations(given.unionByName(more)))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE g AS (SELECT conv_id, turn, coalesce(role,'') AS role, coalesce(text,'') AS text FROM conversations
+  UNION ALL SELECT -7, i, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(i, r)),
+n AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+  1 + len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS c,
+  14 + length(role) + len(regexp_extract_all(role, '[\\#<:]')) + length(text) + len(regexp_extract_all(text, '[\\#<]')) AS f FROM g),
+p AS (SELECT *, sum(c) OVER (PARTITION BY conv_id ORDER BY i) - c AS before FROM n),
+l AS (SELECT conv_id, count(*) AS n, list(c ORDER BY i) AS c, list(f ORDER BY i) AS f, list(before ORDER BY i) AS b,
+  list(before // 65536 ORDER BY i) AS seg, min(i) FILTER (role = 'system') AS y, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256
+  FROM p GROUP BY conv_id),
+w(conv_id, s, e) AS (SELECT conv_id, 0::BIGINT, 0::BIGINT FROM l
+  UNION ALL SELECT conv_id, lo, greatest(lo, coalesce(list_max(list_filter(range(lo, n + 1), lambda k: b[k] + c[k] - b[lo] + rep <= 1024 AND seg[k] = seg[lo])), lo))
+  FROM (SELECT *, (SELECT coalesce(sum(x), 0) FROM (SELECT unnest(c[lo - h:lo - 1]) AS x)) + CASE WHEN y < lo - h THEN c[y] ELSE 0 END AS rep
+    FROM (SELECT l.*, e + 1 AS lo, CASE WHEN e < 1 OR c[e] > 256 THEN 0 WHEN e < 2 OR c[e] + c[e - 1] > 256 THEN 1 ELSE 2 END AS h FROM w JOIN l ON w.conv_id IS NOT DISTINCT FROM l.conv_id WHERE e < n))),
+v AS (SELECT l.conv_id, list_sum(f[s - h:e]) + CASE WHEN y < s - h THEN f[y] ELSE 0 END AS chars
+  FROM (SELECT w.*, CASE WHEN s < 2 OR l.c[s - 1] > 256 THEN 0 WHEN s < 3 OR l.c[s - 1] + l.c[s - 2] > 256 THEN 1 ELSE 2 END AS h, l.c, l.f, l.y FROM w JOIN l ON w.conv_id IS NOT DISTINCT FROM l.conv_id WHERE s > 0) l)
+SELECT l.conv_id, n::BIGINT AS n_turns, turns_sha256, loss_chars::BIGINT AS loss_chars, loss_sha256,
+  (SELECT sum(chars) FROM v WHERE v.conv_id IS NOT DISTINCT FROM l.conv_id)::BIGINT AS formatted_chars FROM l
+"""

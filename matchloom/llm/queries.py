@@ -19,6 +19,7 @@ QUERIES = {
 
 ORACLES = {
     "op2_topk_search": topk_search.ORACLE_SQL,
+    "op3_chat_format": chat_format.ORACLE_SQL,
     "op4_url_filter": url_filter.ORACLE_SQL,
     "op6_decontamination": decontaminate.ORACLE_SQL,
     "op9_jaccard_join": jaccard_join.ORACLE_SQL,
