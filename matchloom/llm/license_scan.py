@@ -1,10 +1,11 @@
 """Licence scans: a trained paragraph classifier, in DataFrame functions only.
 
 A multinomial logistic regression over sparse word n-grams (one to three words)
-tells licence families and an unknown class apart. A second, one-dimensional
-logistic regression turns its odds into a calibrated probability of being a
-licence at all. A prediction counts as confirmed when a template of the
-predicted family is found in the paragraph by its word pairs.
+tells licence families, other licences and no licence apart. A second,
+one-dimensional logistic regression, fitted on held-out documents, turns its odds
+into a calibrated probability of being a licence at all. A prediction counts as
+confirmed when a template of the predicted family is found in the paragraph by
+its word pairs.
 """
 
 from __future__ import annotations
@@ -24,6 +25,11 @@ from ..session import reliable
 #: Statements by which the licence families are named or granted.
 TEMPLATES = (
     ("mit", "Released under the MIT License."),
+    ("mit", "License: MIT"),
+    ("mit", "SPDX-License-Identifier: MIT"),
+    ("apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("gpl-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"),
+    ("gpl-3.0", "GNU GPLv3"),
     ("mit", "This project is licensed under the terms of the MIT license."),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -60,13 +66,30 @@ CONTRARY = (
     "Permission to use the file is subject to the terms of use.",
     "The software is distributed free of charge and without modification.",
 )
-#: Words of which every template has one. No line is passed over for want of them.
-SIGNALS = ("gplv3", "agplv3", "lgpl", "mpl", "licence", "license", "licensed", "rights", "permission", "copyright", "redistribution", "domain", "gnu", "gpl", "mit", "apache", "bsd", "mozilla", "cc", "cc0", "commons", "granted")
-UNKNOWN = "unknown"
-#: Paragraphs of the corpus that the unknown class is learned from, at most.
-SAMPLE = 3_000
-#: Least share of a template's word pairs in the paragraph; least calibrated probability.
-SIMILAR, CERTAIN = 0.7, 0.5
+#: Statements of licences that no family here is of, and of ones without a name.
+OTHERS = (
+    "Licensed under the Eclipse Public License 2.0.",
+    "This program is made available under the terms of the Eclipse Public License.",
+    "Licensed under the EUPL.",
+    "Released under the zlib License.",
+    "Distributed under the Boost Software License, Version 1.0.",
+    "This software is licensed under the terms in the accompanying license file.",
+    "This work is licensed under a license of its own.",
+    "Available under the Open Database License.",
+    "Licensed under the Universal Permissive License.",
+    "SPDX-License-Identifier: EPL-2.0",
+    "SPDX-License-Identifier: Zlib",
+)
+NONE, UNKNOWN = "none", "unknown"
+#: Documents that paragraphs are learned from, at most (half of them for calibration), and paragraphs of these without a licence.
+SAMPLE, PLAIN = 20_000, 3_000
+#: Least share of a template's word pairs in the paragraph; least calibrated
+#: probability of a licence; least share of its family where no template confirms it.
+SIMILAR, CERTAIN, CLEAR = 0.7, 0.5, 0.9
+
+_BREAK = r"(?:\r\n|[\n\r\x{2028}\x{2029}])"
+#: Blank lines end a paragraph, and so does a line that ends a sentence; other lines go on in the next.
+_PARAGRAPH_END = rf"{_BREAK}[ \t]*{_BREAK}\s*|(?<=[.!?])[ \t]*{_BREAK}"
 
 
 def words(text: Column) -> Column:
@@ -84,48 +107,46 @@ def _grams(tokens: Column) -> Column:
 
 
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, paragraph, body``: the lines of each text that have any character."""
-    lines = F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), r"\r\n|[\n\r\x{2028}\x{2029}]"))
-    return docs.select(F.col(id_col).alias("doc_id"), lines.alias("paragraph", "body")).where(F.trim("body") != "")
+    """``doc_id, paragraph, body``: the paragraphs of each text that have any character."""
+    parts = F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), _PARAGRAPH_END))
+    return docs.select(F.col(id_col).alias("doc_id"), parts.alias("paragraph", "body")).where(F.trim("body") != "")
 
 
-def lines(docs: DataFrame, follow: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, paragraph, w, tail, joined``: the words of each line that has
-    any, the next ``follow`` words of the lines after it, up to one without words,
-    and both. Columns, as functions over words would join them for each word."""
-    each = F.split(F.coalesce(F.col(text_col), F.lit("")), r"\r\n|[\n\r\x{2028}\x{2029}]")
-    held = docs.select(F.col(id_col).alias("doc_id"), F.transform(each, words).alias("all"))
-    held = held.withColumn("sizes", F.transform("all", F.size))
+def runs(text: Column, known: list[str]) -> Column:
+    """The distinct runs of consecutive words of ``known`` in a text. Every n-gram
+    of such words is in one of them; other words are not looked at again."""
+    marks = F.array_join(F.transform(words(text), lambda w: F.when(w.isin(known), w).otherwise("")), " ")
+    return F.array_distinct(F.filter(F.transform(F.split(marks, "  +"), lambda r: F.trim(r)), lambda r: r != ""))
 
-    def after(i: Column) -> Column:
-        end = F.array_position(F.slice("sizes", i + 2, F.lit(follow)), 0).cast("int")  # lines before it have a word each
-        return F.slice(F.flatten(F.slice("all", i + 2, F.when(end > 0, end - 1).otherwise(follow))), 1, follow)
 
-    both = F.transform("all", lambda w, i: F.struct(w.alias("w"), after(i).alias("tail"), F.concat(w, after(i)).alias("joined")))
-    return held.select("doc_id", F.posexplode(both).alias("paragraph", "line")).select("doc_id", "paragraph", "line.w", "line.tail", "line.joined").where(F.size("w") > 0)
+def _grams_of_runs(r: Column) -> Column:
+    return F.array_distinct(F.flatten(F.transform(r, lambda one: _grams(F.split(one, " ")))))
 
 
 @dataclass
 class Scanner:
-    labels: list[str]
+    labels: list[str]  # none, unknown, families
     vocabulary: CountVectorizerModel
     classes: LogisticRegressionModel
-    calibration: LogisticRegressionModel
+    calibration: LogisticRegressionModel | None
     templates: DataFrame
 
+    @property
+    def known(self) -> list[str]:
+        return sorted({w for term in self.vocabulary.vocabulary for w in term.split(" ")})
+
     def _odds(self, grams: DataFrame) -> DataFrame:
         """``grams`` with ``p`` (by class) and ``odds`` of any licence, as log."""
         scored = self.classes.transform(self.vocabulary.transform(grams)).withColumn("p", vector_to_array("probability"))
         return scored.drop("features", "rawPrediction", "probability", "prediction").withColumn("odds", F.log((1 - F.col("p")[0] + 1e-12) / (F.col("p")[0] + 1e-12)))
 
-
     def reachable(self, tokens: Column) -> Column:
         """False only where the classifier gives less than ``CERTAIN`` to these
-        words and to any part of them.
+        words in any order.
 
-        The log odds of any licence are at most log(families) + the largest
-        intercept + the sum of each present term's best weight, both against the
-        unknown class, where that is positive. A term is present only with all its
+        The log odds of any licence are at most log(classes - 1) + the largest
+        intercept + the sum of each present term's best weight, both against no
+        licence, where that is positive. A term is present only with all its
         words, so its weight is put on the longest of them."""
         slope, base = float(self.calibration.coefficients[0]), float(self.calibration.intercept)
         if slope <= 0:
@@ -152,79 +173,113 @@ def _vector(df: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=["odds"], outputCol="one").transform(df)
 
 
+def _some(df: DataFrame, most: int, *by: str) -> DataFrame:
+    """``most`` rows at most, those of the smallest hashes of ``by``. A threshold
+    on the hash, from the row count, leaves few rows to choose from."""
+    total = df.count()
+    place = F.xxhash64(*by)
+    if total > 2 * most:
+        df = df.where(place < int(-(2**63) + 2**64 * 1.5 * most / total))
+    return df.orderBy(place, *by).limit(most)
+
+
 def train(corpus: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> Scanner:
-    """Learn families from the templates, whole and with every single word left
-    out, alone and after other text; learn the unknown class from ``CONTRARY``,
-    from fragments of the templates, and from ``SAMPLE`` paragraphs of the corpus
-    (those of the smallest hashes) that hold no half of any template."""
+    """Learn from statements and from the paragraphs of ``SAMPLE`` documents.
+
+    Families are learned from the templates, whole and with every single word
+    left out, alone and after other text, and from the sample's paragraphs that
+    hold ``SIMILAR`` of a template; other licences from ``OTHERS`` and from
+    templates without the words that only one family has; no licence from
+    ``CONTRARY``, from fragments of the templates that name none, and from ``PLAIN`` paragraphs
+    of the sample that hold no half of any template. Half of the sample's documents
+    train the classes. On the other half, which the classes have not seen, the
+    calibration is fitted. Null ids and texts and repeated rows are rows like others.
+    """
     spark = corpus.sparkSession
     rows = spark.createDataFrame([(i, f, t) for i, (f, t) in enumerate(TEMPLATES)], "template int, family string, body string").coalesce(1)
     held = reliable(rows.select("template", "family", words(F.col("body")).alias("w")).withColumn("pairs", ngrams(F.col("w"), 2)))
-    without = F.transform(F.sequence(F.lit(0), F.size("w")), lambda i: F.filter("w", lambda x, j: (j + 1) != i))
-    part = lambda share: F.slice("w", 1, F.greatest(F.lit(1), F.floor(F.size("w") * share).cast("int")))
-    tail = F.reverse(F.slice(F.reverse("w"), 1, F.greatest(F.lit(1), F.floor(F.size("w") * 0.35).cast("int"))))
-    sample = paragraphs(corpus, id_col, text_col).orderBy(F.xxhash64("doc_id", "paragraph"), "doc_id", "paragraph").limit(SAMPLE)
-    plain = reliable(sample.select(words(F.col("body")).alias("w")).where(F.size("w") > 0))
-    each = _fixed([r.pairs for r in held.select("pairs").collect()], "array<array<string>>")
-    like = F.exists(each, lambda t: 2 * F.size(F.array_intersect(t, F.col("pairs"))) >= F.size(t))
-    plain = plain.withColumn("pairs", ngrams(F.col("w"), 2)).where(~like).select(F.lit(UNKNOWN).alias("family"), "w")
-    contrary = spark.createDataFrame([(t,) for t in CONTRARY], "body string").select(F.lit(UNKNOWN).alias("family"), words(F.col("body")).alias("w"))
-    known = held.select("family", F.explode(without).alias("w")).where(F.size("w") > 1)
-    led = held.select("family", F.concat(F.array(*map(F.lit, ("see", "below", "for", "more", "here"))), "w").alias("w"))
-    broken = held.select(F.lit(UNKNOWN).alias("family"), F.explode(F.array(part(0.35), tail)).alias("w"))
-    examples = known.unionByName(led).unionByName(plain).unionByName(contrary).unionByName(broken)
-    labels = [UNKNOWN, *sorted({f for f, _ in TEMPLATES})]
-    index = F.array_position(F.array(*map(F.lit, labels)), F.col("family")) - 1
-    examples = reliable(examples.select(index.cast("double").alias("label"), _grams(F.col("w")).alias("grams"), (F.abs(F.xxhash64("w", "family")) % 4 == 0).alias("test")))
-    terms = [r.g for r in held.select(F.explode(_grams(F.col("w"))).alias("g")).distinct().orderBy("g").collect()]
+    templates = held.orderBy("template").collect()
+    families: dict[str, set[str]] = {}
+    for r in templates:
+        for w in r.w:
+            families.setdefault(w, set()).add(r.family)
+    names = sorted(w for w, f in families.items() if len(f) == 1)  # words of one family only
+    others = spark.createDataFrame([(t,) for t in OTHERS], "body string").select(words(F.col("body")).alias("w")).coalesce(1)
+    contrary = spark.createDataFrame([(t,) for t in CONTRARY], "body string").select(words(F.col("body")).alias("w")).coalesce(1)
+    given = held.select("w").unionByName(others)
+    terms = [r.g for r in given.select(F.explode(_grams(F.col("w"))).alias("g")).distinct().orderBy("g").collect()]
+    labels = [NONE, UNKNOWN, *sorted({f for f, _ in TEMPLATES})]
     vocabulary = CountVectorizerModel.from_vocabulary(terms, "grams", "features")
     vocabulary = vocabulary.setBinary(True) if hasattr(vocabulary, "setBinary") else vocabulary
-    classes = LogisticRegression(family="multinomial", regParam=0.002, maxIter=60, tol=1e-5).fit(vocabulary.transform(examples.where("not test")))
-    out = Scanner(labels, vocabulary, classes, None, held)
+    out = Scanner(labels, vocabulary, None, None, held)
+    # Paragraphs of the corpus.
+    some = _some(corpus.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), SAMPLE, "doc_id", "text")
+    said = paragraphs(some).select((F.abs(F.xxhash64("doc_id", "body")) % 2 == 0).alias("test"), "body")
+    said = reliable(said.select("test", "body", _grams_of_runs(runs(F.col("body"), out.known)).alias("grams")))
+    each = _fixed([r.pairs for r in templates], "array<array<string>>")
+    share = F.transform(each, lambda t, i: F.struct((F.size(F.array_intersect(t, F.col("grams"))) / F.size(t)).alias("share"), (-i).alias("t")))
+    said = reliable(said.withColumn("best", F.array_max(share)))
+    name = F.element_at(_fixed([r.family for r in templates], "array<string>"), 1 - F.col("best.t"))
+    found = said.where(F.col("best.share") >= SIMILAR).select(name.alias("family"), "grams", "test")
+    plain = _some(said.where(F.col("best.share") < 0.5).select(F.lit(NONE).alias("family"), "body", "grams", "test"), PLAIN, "body").select("family", "grams", "test")
+    # Statements.
+    drop = F.transform(F.sequence(F.lit(0), F.size("w")), lambda i: F.filter("w", lambda x, j: (j + 1) != i))
+    part = lambda size: F.slice("w", 1, F.greatest(F.lit(1), F.floor(F.size("w") * size).cast("int")))
+    tail = F.reverse(F.slice(F.reverse("w"), 1, F.greatest(F.lit(1), F.floor(F.size("w") * 0.35).cast("int"))))
+    whole = held.select("family", "w").unionByName(others.select(F.lit(UNKNOWN).alias("family"), "w"))
+    told = whole.select("family", F.explode(drop).alias("w")).where(F.size("w") > 1)
+    led = whole.select("family", F.concat(F.array(*map(F.lit, ("see", "below", "for", "more", "here"))), "w").alias("w"))
+    nameless = held.where(F.exists("w", lambda w: w.isin("license", "licensed"))).select(F.lit(UNKNOWN).alias("family"), F.filter("w", lambda w: ~w.isin(names)).alias("w")).where(F.size("w") > 1)
+    broken = held.select(F.lit(NONE).alias("family"), F.explode(F.array(part(0.35), tail)).alias("w")).where(~F.exists("w", lambda w: w.isin(names)))
+    stated = told.unionByName(led).unionByName(nameless).unionByName(broken).unionByName(contrary.select(F.lit(NONE).alias("family"), "w"))
+    stated = stated.select("family", "w", (F.abs(F.xxhash64("w", "family")) % 4 == 0).alias("test")).unionByName(whole.select("family", "w", F.lit(False).alias("test")))
+    stated = stated.select("family", _grams(F.col("w")).alias("grams"), "test")
+    index = F.array_position(F.array(*map(F.lit, labels)), F.col("family")) - 1
+    examples = reliable(stated.unionByName(found).unionByName(plain).select(index.cast("double").alias("label"), "grams", "test"))
+    known = examples.where("not test")
+    shown = known.groupBy("label").agg((1 / F.count("*")).alias("weight"))  # every class counts alike
+    known = vocabulary.transform(known.join(F.broadcast(shown), "label"))
+    out.classes = LogisticRegression(family="multinomial", weightCol="weight", regParam=0.0005, maxIter=80, tol=1e-5).fit(known)
     odds = _vector(out._odds(examples.where("test")).withColumn("label", (F.col("label") > 0).cast("double")))
-    out.calibration = LogisticRegression(featuresCol="one", regParam=0.01, maxIter=50).fit(odds)
+    out.calibration = LogisticRegression(featuresCol="one", regParam=0.0005, maxIter=50).fit(odds)
     return out
 
 
 def scan(docs: DataFrame, scanner: Scanner, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per line that reads as a licence: ``doc_id, paragraph,
+    """One row per paragraph that reads as a licence: ``doc_id, paragraph,
     family, probability, template, similarity, confirmed``.
 
-    ``family`` is the predicted one where a template of it is found by
-    ``SIMILAR`` of its word pairs (``confirmed``), else ``unknown``: a licence
-    that no template tells. Lines under ``CERTAIN`` are passed over. A notice that
-    is wrapped counts at the line it begins in: that line with as many words of
-    those after it as the longest template has is confirmed, while neither the
-    line nor what follows is. Later lines of it count only by themselves.
-    Null and empty texts have no line; repeated rows give repeated results;
-    of equally similar templates the first holds. Other columns are not carried.
+    A paragraph ends at a blank line or where a line ends a sentence, so wrapped
+    notices are one. ``probability`` is the calibrated one of any licence,
+    ``CERTAIN`` at least. ``family`` is the likeliest where a template of it is
+    found by ``SIMILAR`` of its word pairs (``confirmed``) or where it has ``CLEAR``
+    of the probability of all licences; else ``unknown``: a licence that is none
+    of the families or not clearly one. A paragraph that grants two licences has
+    the likelier one. Null and empty texts have no paragraph; repeated rows give
+    repeated results; of equally similar templates the first holds (null without
+    a family). Whole texts are read; other columns are not carried.
     """
-    longest = scanner.templates.agg(F.max(F.size("w"))).first()[0]
+    near = paragraphs(docs, id_col, text_col).select("doc_id", "paragraph", runs(F.col("body"), scanner.known).alias("runs"))
+    near = near.where((F.size("runs") > 0) & scanner.reachable(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.split(r, " "))))))
     terms = _fixed(list(scanner.vocabulary.vocabulary), "array<string>")  # others count nowhere
-    near = lines(docs, longest - 1, id_col, text_col).where(scanner.reachable(F.col("joined")))
-    found = reliable(near.select("doc_id", "paragraph", *(F.array_intersect(_grams(c), terms).alias(n) for n, c in (("line", F.col("w")), ("after", F.col("tail")), ("joined", F.col("joined"))))))
-    alone = reliable(_judged(found.withColumnRenamed("line", "grams"), scanner).withColumnsRenamed({"grams": "line", "judged": "own"}))
-    out = _judged(alone.withColumnRenamed("joined", "grams"), scanner)
-    pairs = F.element_at(_fixed([r.pairs for r in scanner.templates.orderBy("template").collect()], "array<array<string>>"), F.col("judged.template") + 1)
-    like = lambda grams: F.size(F.array_intersect(pairs, F.col(grams))) / F.size(pairs)
-    sure = lambda c: F.col(f"{c}.probability") >= CERTAIN
-    wrapped = sure("judged") & F.col("judged.confirmed") & (like("line") < SIMILAR) & (like("after") < SIMILAR)
-    whole = sure("own") & F.col("own.confirmed")
-    out = out.select("doc_id", "paragraph", F.when(whole, F.col("own")).when(wrapped, F.col("judged")).when(sure("own"), F.col("own")).alias("r")).where("r is not null")
-    return out.select("doc_id", "paragraph", F.when(F.col("r.confirmed"), F.col("r.guess")).otherwise(UNKNOWN).alias("family"), "r.probability", "r.template", "r.similarity", "r.confirmed")
+    found = reliable(near.select("doc_id", "paragraph", F.array_intersect(_grams_of_runs(F.col("runs")), terms).alias("grams")))
+    judged = _judged(found, scanner).where(F.col("probability") >= CERTAIN)
+    family = F.when(F.col("confirmed") | (F.col("share") >= CLEAR), F.col("guess")).otherwise(UNKNOWN)
+    return judged.select("doc_id", "paragraph", family.alias("family"), "probability", "template", "similarity", "confirmed")
 
 
 def _judged(rows: DataFrame, scanner: Scanner) -> DataFrame:
-    """``rows`` (with ``grams``) and ``judged``: guess, probability, template, similarity, confirmed."""
+    """``rows`` (with ``grams``) and ``guess, share, probability, template, similarity, confirmed``."""
     slope, base = float(scanner.calibration.coefficients[0]), float(scanner.calibration.intercept)
     scored = scanner._odds(rows).withColumn("probability", 1 / (1 + F.exp(-(F.col("odds") * slope + base))))
-    known = F.slice("p", 2, len(scanner.labels) - 1)
-    scored = scored.withColumn("guess", F.element_at(_fixed(scanner.labels[1:], "array<string>"), F.array_position(known, F.array_max(known)).cast("int")))
+    licences = F.slice("p", 2, len(scanner.labels) - 1)
+    scored = scored.withColumn("guess", F.element_at(_fixed(scanner.labels[1:], "array<string>"), F.array_position(licences, F.array_max(licences)).cast("int")))
+    scored = scored.withColumn("share", F.array_max(licences) / (1 - F.col("p")[0] + 1e-12))
     families = scanner.templates.groupBy(F.col("family").alias("guess")).agg(F.collect_list(F.struct("template", "pairs")).alias("templates"))
     likeness = F.transform("templates", lambda t: F.struct((F.size(F.array_intersect(t["pairs"], F.col("grams"))) / F.size(t["pairs"])).alias("similarity"), (-t["template"]).alias("t")))
-    scored = scored.join(F.broadcast(families), "guess").withColumn("best", F.array_max(likeness))  # one row for each family
-    judged = F.struct("guess", "probability", (-F.col("best.t")).alias("template"), F.col("best.similarity").alias("similarity"), (F.col("best.similarity") >= SIMILAR).alias("confirmed"))
-    return scored.withColumn("judged", judged).drop("p", "odds", "probability", "guess", "templates", "best")
+    scored = scored.join(F.broadcast(families), "guess", "left").withColumn("best", F.array_max(likeness))  # one row for each family
+    best = {"template": -F.col("best.t"), "similarity": F.coalesce("best.similarity", F.lit(0.0)), "confirmed": F.coalesce(F.col("best.similarity") >= SIMILAR, F.lit(False))}
+    return scored.withColumns(best).drop("p", "odds", "templates", "best")
 
 
 def op10_license_scan(spark, sf_dir: str) -> DataFrame:
