@@ -7,20 +7,21 @@ five characters down to one, gives the score, and the word has their mean.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import reliable
+from .samples import bounded
 from .words import _VALUE, NOT_LETTER, _pieces, _power, mix, raw, slices
 
 LONGEST = 5
-#: Learning looks at so many labelled documents at most, and keeps so many words and n-grams.
-SAMPLE, WORDS, GRAMS = 12_000, 60_000, 120_000
+#: Learning looks at so many labelled documents at most; all of their words and n-grams are kept.
+SAMPLE = 12_000
 
 #: Lower case of ASCII; all that is no letter reads as one space.
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -32,15 +33,17 @@ class Table:
     """Hashed strings with a row of per-language scores each."""
 
     def __init__(self, strings: list[str], scores: np.ndarray):
-        hashes = np.array([_hash(s) for s in strings], np.uint64)
-        size = 1 << max(4, (4 * len(strings)).bit_length())
+        hashes = _hashes(strings)
+        size = 1 << max(4, (2 * len(strings)).bit_length())
         self.keys, self.rows, self.mask = np.zeros(size, np.uint64), np.full(size, -1, np.int32), np.uint64(size - 1)
-        self.scores = scores
-        for i, h in enumerate(hashes.tolist()):
-            at = h & (size - 1)
-            while self.rows[at] >= 0:
-                at = (at + 1) & (size - 1)
-            self.keys[at], self.rows[at] = h, i
+        self.scores = scores.astype(np.float32)
+        todo, at = np.arange(len(strings)), hashes & self.mask
+        while len(todo):
+            free = np.flatnonzero(self.rows[at[todo]] < 0)
+            free = free[np.unique(at[todo][free], return_index=True)[1]]  # one string a slot
+            self.rows[at[todo[free]]], self.keys[at[todo[free]]] = todo[free], hashes[todo[free]]
+            todo = np.delete(todo, free)
+            at[todo] = (at[todo] + np.uint64(1)) & self.mask
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Row numbers, -1 where unknown."""
@@ -56,10 +59,16 @@ class Table:
         return out
 
 
-def _hash(text: str) -> int:
-    part = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    up, _ = _power(len(part) + 1)
-    return int(mix((_VALUE[_FOLD[part]] * up[: len(part)]).sum(dtype=np.uint64)[None])[0])
+def _hashes(strings: list[str]) -> np.ndarray:
+    """The hash of each string."""
+    out = []
+    for lo in range(0, len(strings), 100_000):
+        data, offsets = raw(pa.array([s.encode("utf-8", "surrogatepass") for s in strings[lo : lo + 100_000]], pa.binary()))
+        up, down = _power(len(data) + 1)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_VALUE[_FOLD[data]] * up[: len(data)], out=sums[1:])
+        out.append(mix((sums[offsets[1:]] - sums[offsets[:-1]]) * down[offsets[:-1]]))
+    return np.concatenate([*out, np.zeros(0, np.uint64)])
 
 
 @dataclass
@@ -88,7 +97,8 @@ class Model:
             count += np.bincount(text, minlength=len(count))
             row = self.words.find(mix((sums[ends] - sums[starts]) * down[starts]))
             known = row >= 0
-            self._add(total, text[known], self.words.scores[row[known]])
+            for i in range(total.shape[1]):
+                total[:, i] += np.bincount(text[known], weights=self.words.scores[row[known], i], minlength=len(total))
             if not known.all():
                 self._back_off(total, text[~known], starts[~known], ends[~known], part)
         return total, count
@@ -108,61 +118,81 @@ class Model:
         word = np.searchsorted(begin, chars, "right") - 1
         stop = np.append(chars, len(flat))
         last = np.searchsorted(chars, begin + sizes)  # the character after each word's own
-        score, found = np.zeros((len(chars), len(self.langs))), np.zeros(len(chars), bool)
+        found = np.zeros(len(chars), bool)
+        hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # where the longest known n-gram is which
         at = np.arange(len(chars))
         for n in range(LONGEST, 0, -1):
-            fits = ~found & (at + n <= last[word])
-            todo = np.flatnonzero(fits)
+            todo = np.flatnonzero(~found & (at + n <= last[word]))
             row = self.grams[n - 1].find(mix((sums[stop[todo + n]] - sums[chars[todo]]) * down[chars[todo]]))
             hit = row >= 0
-            score[todo[hit]] = self.grams[n - 1].scores[row[hit]]
+            hits.append((todo[hit], row[hit], self.grams[n - 1].scores))
             found[todo[hit]] = True
-        per_word = np.bincount(word, minlength=len(starts)).astype(float)
-        mean = np.stack([np.bincount(word, weights=score[:, i], minlength=len(starts)) for i in range(score.shape[1])], 1) / per_word[:, None]
-        self._add(total, text, mean)
-
-    @staticmethod
-    def _add(total: np.ndarray, text: np.ndarray, scores: np.ndarray) -> None:
+        share = 1 / np.bincount(word, minlength=len(starts))  # a word has the mean of its characters
+        score = np.zeros(len(chars))
         for i in range(total.shape[1]):
-            total[:, i] += np.bincount(text, weights=scores[:, i], minlength=len(total))
+            score[:] = 0
+            for place, row, scores in hits:
+                score[place] = scores[row, i]
+            total[:, i] += np.bincount(text[word], weights=score * share[word], minlength=len(total))
 
 
 def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learn from the ``SAMPLE`` labelled rows of the smallest hashed ids, whole
-    texts. Frequencies are counted by Spark; the driver gets the ``WORDS`` most
-    frequent words and the ``GRAMS`` most frequent n-grams with their counts."""
-    spark = labelled.sparkSession
+    """Learn from ``SAMPLE`` labelled rows at most (those of the smallest hashed
+    ids), whole texts. Frequencies are counted by Spark; the driver gets every
+    word and n-gram of the sample once for each language."""
     usable = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    picked = usable.select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE)
+    picked = bounded(usable.select(id_col).distinct(), SAMPLE, id_col)
     some = usable.join(F.broadcast(picked), id_col, "left_semi").select(F.col(lang_col).alias("lang"), F.lower(text_col).alias("text"))
     counts = some.select("lang", F.explode(F.split("text", r"[^a-z\x{80}-\x{10FFFF}]+")).alias("word")).where("word <> ''").groupBy("lang", "word").count()
     counts = reliable(counts)
-    frequent = counts.groupBy("word").agg(F.sum("count").alias("all")).where("all > 2").orderBy(F.desc("all"), "word").limit(WORDS)
-    words = counts.join(F.broadcast(frequent.select("word")), "word", "left_semi").collect()
     padded = F.concat(F.lit(" "), "word", F.lit(" "))
     grams = None
     for n in range(1, LONGEST + 1):
         cut = F.transform(F.sequence(F.lit(1), F.length("word") + 3 - n), lambda i, n=n: F.substring(padded, i, F.lit(n)))
         part = counts.where(F.length("word") + 2 >= n).select("lang", "count", F.explode(cut).alias("gram"))
         grams = part if grams is None else grams.unionByName(part)
-    grams = reliable(grams.groupBy("lang", "gram").agg(F.sum("count").alias("count")))
-    often = grams.groupBy("gram").agg(F.sum("count").alias("all")).orderBy(F.desc("all"), "gram").limit(GRAMS)
-    kept = grams.join(F.broadcast(often.select("gram")), "gram", "left_semi").collect()
-    langs = sorted({r.lang for r in words} | {r.lang for r in kept})
-    return Model(langs, _scored([(r.word, r.lang, r["count"]) for r in words], langs), [_scored([(r.gram, r.lang, r["count"]) for r in kept if len(r.gram) == n], langs) for n in range(1, LONGEST + 1)])
-
+    words, grams = counts.toPandas(), grams.groupBy("lang", F.col("gram").alias("word")).agg(F.sum("count").alias("count")).toPandas()
+    langs = sorted({*words["lang"]})
+    size = grams["word"].str.len()
+    return Model(langs, _scored(words, langs), [_scored(grams[size == n], langs) for n in range(1, LONGEST + 1)])
+
+
+def _scored(counts: pd.DataFrame, langs: list[str]) -> Table:
+    strings = sorted({*counts["word"]})
+    seen = np.full((len(strings), len(langs)), 0.5)
+    if strings:
+        row, lang = np.searchsorted(np.array(strings, object), counts["word"].to_numpy(object)), np.searchsorted(langs, counts["lang"].to_list())
+        np.add.at(seen, (row, lang), counts["count"].to_numpy(float))
+        seen = np.log(seen / seen.sum(axis=0))
+    return Table(strings, seen)
+
+
+def _verdict(model: Model, spark: SparkSession, text: str) -> Column:
+    """``lang_pred`` and ``score`` of a text column; only texts leave the JVM."""
+    sent = spark.sparkContext.broadcast(model)
+    kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
+
+    @F.arrow_udf("struct<lang_pred:string,score:double>")
+    def judge(lowered: pa.Array, letter: pa.Array) -> pa.Array:
+        model, langs, scores = sent.value, [], []
+        for part in slices(pa.RecordBatch.from_arrays([lowered, letter], names=["text", "letter"]), 0):
+            has = part.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            if not model.langs:
+                langs += ["und"] * len(has)
+                scores.append(np.zeros(len(has)))
+                continue
+            sums, count = model.log_scores(part.column(0))
+            sums = sums * np.minimum(1, 20 / np.maximum(count, 1))[:, None]
+            share = np.exp(sums - sums.max(axis=1, keepdims=True))
+            langs += [model.langs[b] if h else "und" for b, h in zip(share.argmax(axis=1), has, strict=True)]
+            scores.append(np.where(has, 1 / share.sum(axis=1), 0.0))
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate([*scores, np.zeros(0)]))], fields=list(kind))
 
-def _scored(rows: list[tuple[str, str, int]], langs: list[str]) -> Table:
-    index = {s: i for i, s in enumerate(sorted({r[0] for r in rows}))}
-    seen = np.full((len(index), len(langs)), 0.5)
-    for s, lang, n in rows:
-        seen[index[s], langs.index(lang)] += n
-    scores = np.log(seen / seen.sum(axis=0)) if len(index) else seen
-    return Table(list(index), scores)
+    return judge(F.lower(text), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
 
 
-def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per row the id, ``lang_pred`` and ``score``; ``keep`` carries columns along.
+def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row the id, ``lang_pred`` and ``score``.
 
     ``score`` is the share of the likeliest language, from the summed scores of
     twenty words' worth at most, so mixed texts score lower. A text that is null
@@ -170,29 +200,8 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     learned. Whole texts are read. Rows stay as they are: repeated, null ids,
     ties (the first language in name order wins) and empty tables alike.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    own = {"lang_pred": "string", "score": "double"}
-    given = docs.select(F.col(id_col), *keep, F.lower(text_col).alias("__text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("__letter"))
-    carried = [c for c in [id_col, *keep] if c not in own]
-    schema = given.select(*carried, *(F.lit(None).cast(t).alias(c) for c, t in own.items())).schema
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
-        for batch in batches:
-            for part in slices(batch, batch.schema.get_field_index("__text")):
-                has = part.column("__letter").to_numpy(zero_copy_only=False).astype(bool)
-                if model.langs:
-                    sums, count = model.log_scores(part.column("__text"))
-                    sums = sums * np.minimum(1, 20 / np.maximum(count, 1))[:, None]
-                    share = np.exp(sums - sums.max(axis=1, keepdims=True))
-                    best = share.argmax(axis=1)
-                    score = np.where(has, 1 / share.sum(axis=1), 0.0)
-                    lang = [model.langs[b] if h else "und" for b, h in zip(best, has, strict=True)]
-                else:
-                    lang, score = ["und"] * len(has), np.zeros(len(has))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*carried, *own])
-
-    return given.mapInArrow(work, schema)
+    judged = docs.select(F.col(id_col), _verdict(model, docs.sparkSession, text_col).alias("__verdict"))
+    return judged.select(id_col, "__verdict.lang_pred", "__verdict.score")
 
 
 def _held_out(id_col: str = "doc_id"):
@@ -209,6 +218,5 @@ def keep_identified(docs: DataFrame, *, least: float = 0.3) -> DataFrame:
     """The documents with letters whose language is told with a score of ``least``
     or more; the language is learned from the ``lang`` that these documents carry."""
     model = train(docs.where(~_held_out()))
-    mark = docs.withColumn("__all", F.struct(*docs.columns))
-    found = identify(mark, model, keep=("__all",))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("__all.*")
+    judged = docs.withColumn("__verdict", _verdict(model, docs.sparkSession, "text"))
+    return judged.where((F.col("__verdict.lang_pred") != "und") & (F.col("__verdict.score") >= least)).select(*docs.columns)

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import reliable
+from .samples import bounded
 
 #: Statements by which the licence families are named or granted.
 TEMPLATES = (
@@ -173,16 +174,6 @@ def _vector(df: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=["odds"], outputCol="one").transform(df)
 
 
-def _some(df: DataFrame, most: int, *by: str) -> DataFrame:
-    """``most`` rows at most, those of the smallest hashes of ``by``. A threshold
-    on the hash, from the row count, leaves few rows to choose from."""
-    total = df.count()
-    place = F.xxhash64(*by)
-    if total > 2 * most:
-        df = df.where(place < int(-(2**63) + 2**64 * 1.5 * most / total))
-    return df.orderBy(place, *by).limit(most)
-
-
 def train(corpus: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> Scanner:
     """Learn from statements and from the paragraphs of ``SAMPLE`` documents.
 
@@ -213,7 +204,7 @@ def train(corpus: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     vocabulary = vocabulary.setBinary(True) if hasattr(vocabulary, "setBinary") else vocabulary
     out = Scanner(labels, vocabulary, None, None, held)
     # Paragraphs of the corpus.
-    some = _some(corpus.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), SAMPLE, "doc_id", "text")
+    some = bounded(corpus.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), SAMPLE, "doc_id", "text")
     said = paragraphs(some).select((F.abs(F.xxhash64("doc_id", "body")) % 2 == 0).alias("test"), "body")
     said = reliable(said.select("test", "body", _grams_of_runs(runs(F.col("body"), out.known)).alias("grams")))
     each = _fixed([r.pairs for r in templates], "array<array<string>>")
@@ -221,7 +212,7 @@ def train(corpus: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     said = reliable(said.withColumn("best", F.array_max(share)))
     name = F.element_at(_fixed([r.family for r in templates], "array<string>"), 1 - F.col("best.t"))
     found = said.where(F.col("best.share") >= SIMILAR).select(name.alias("family"), "grams", "test")
-    plain = _some(said.where(F.col("best.share") < 0.5).select(F.lit(NONE).alias("family"), "body", "grams", "test"), PLAIN, "body").select("family", "grams", "test")
+    plain = bounded(said.where(F.col("best.share") < 0.5).select(F.lit(NONE).alias("family"), "body", "grams", "test"), PLAIN, "body").select("family", "grams", "test")
     # Statements.
     drop = F.transform(F.sequence(F.lit(0), F.size("w")), lambda i: F.filter("w", lambda x, j: (j + 1) != i))
     part = lambda size: F.slice("w", 1, F.greatest(F.lit(1), F.floor(F.size("w") * size).cast("int")))

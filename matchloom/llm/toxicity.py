@@ -12,15 +12,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import reliable
+from .samples import bounded
 from .words import NOT_LETTER, slices, word_hashes
 
 #: Learning looks at so many labelled documents at most; terms are hashed to so
-#: many buckets, of which the so many that tell most are features.
-SAMPLE, BUCKETS, FEATURES, FACTORS = 20_000, 1 << 18, 1024, 8
+#: many buckets, and every bucket that occurs in those documents is a feature.
+SAMPLE, BUCKETS, FACTORS = 20_000, 1 << 18, 8
 
 
 @dataclass
@@ -63,57 +63,63 @@ def _terms(labelled: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", seed: int = 0) -> Machine:
-    """Learn from at most ``SAMPLE`` labelled documents (those of the smallest
-    hashed ids; where labels of one id differ the larger holds). Spark counts
-    terms; the driver fits the machine on the selected features."""
+    """Learn from ``SAMPLE`` labelled documents at most (those of the smallest
+    hashed ids; where labels of one id differ the larger holds). Spark hashes the
+    terms of their whole texts; the driver fits the machine on the buckets."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(F.col(label_col)).cast("int").alias("__toxic"))
-    picked = known.orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE)
+    picked = bounded(known, SAMPLE, id_col)
     joined = docs.select(id_col, F.col(text_col).alias("__text")).join(F.broadcast(picked), id_col)
-    terms = reliable(_terms(joined.select(F.col("__toxic").alias("toxic"), F.col("__text").alias("text"))))
-    rows, bad = terms.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    feature = np.full(BUCKETS, -1, np.int32)
-    if not rows or bad in (0, rows):
-        rate = (bad + 0.5) / (rows + 1) if rows else 0.01
+    held = _terms(joined.select(F.col("__toxic").alias("toxic"), F.col("__text").alias("text"))).toPandas()
+    toxic, feature = held["toxic"].to_numpy(float), np.full(BUCKETS, -1, np.int32)
+    if not len(toxic) or toxic.sum() in (0, len(toxic)):
+        rate = (toxic.sum() + 0.5) / (len(toxic) + 1) if len(toxic) else 0.01
         return Machine(feature, float(np.log(rate / (1 - rate))), np.zeros(1), np.zeros((1, FACTORS)))
-    counted = terms.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("toxic").alias("bad")).where(f"n >= {max(2, min(5, bad // 20))}").toPandas()
-    n, hit = counted["n"].to_numpy(float), counted["bad"].to_numpy(float)
-    expect = n * bad / rows
-    chi = (hit - expect) ** 2 / (expect * (1 - n / rows) * (1 - bad / rows) + 1e-9)
-    chosen = counted["term"].to_numpy()[np.lexsort((counted["term"].to_numpy(), -chi))[:FEATURES]]
-    feature[chosen] = np.arange(len(chosen))
-    wanted = F.array(*[F.lit(int(t)) for t in chosen]) if len(chosen) else F.array().cast("array<int>")
-    kept = terms.select("toxic", F.array_intersect("terms", wanted).alias("terms")).toPandas()
-    return _fit(feature, [feature[np.asarray(t, np.int64)] for t in kept["terms"]], kept["toxic"].to_numpy(float), seed)
-
-
-def _fit(feature: np.ndarray, rows: list[np.ndarray], toxic: np.ndarray, seed: int, epochs: int = 30, batch: int = 256) -> Machine:
+    seen = np.unique(np.concatenate([*held["terms"], np.zeros(0, np.int32)])).astype(np.int64)
+    feature[seen] = np.arange(len(seen))
+    return _fit(feature, [feature[np.asarray(t, np.int64)] for t in held["terms"]], toxic, seed)
+
+
+def _fit(feature: np.ndarray, rows: list[np.ndarray], toxic: np.ndarray, seed: int, epochs: int = 12, batch: int = 256) -> Machine:
+    """AdaGrad over batches; a step touches the features of its rows only.
+
+    Every feature counts with its evidence: how far its number of toxic documents
+    lies from chance, in standard deviations, with five of them as whole weight.
+    So the many terms of few documents stay, but cannot be learned by heart."""
     rng = np.random.default_rng(seed)
-    order = sorted(range(len(rows)), key=lambda i: (toxic[i], len(rows[i]), rows[i].tolist()))  # whatever order Spark gave
-    rows, toxic = [rows[i] for i in order], toxic[order]
-    size = int(feature.max()) + 1
+    order = sorted(range(len(rows)), key=lambda i: (toxic[i], len(rows[i]), rows[i].tobytes()))  # whatever order Spark gave
+    rows, toxic = [rows[i].astype(np.int64) for i in order], toxic[order]
+    size = max(1, int(feature.max()) + 1)
     machine = Machine(feature, float(np.log(toxic.mean() / (1 - toxic.mean()))), np.zeros(size), rng.normal(0, 0.03, (size, FACTORS)))
-    square = [np.full(size, 1e-3), np.full((size, FACTORS), 1e-3)]
-    sizes = np.array([len(r) for r in rows])
     test = rng.random(len(rows)) < 0.2
     train_rows = np.flatnonzero(~test)
+    count = lambda which: np.bincount(np.concatenate([*(rows[i] for i in which), np.zeros(0, np.int64)]), minlength=size)
+    n, rate = count(train_rows), toxic[~test].mean() if len(train_rows) else 0.5
+    far = (count(train_rows[toxic[train_rows] > 0]) - n * rate) / np.sqrt(n * rate * (1 - rate) + 5)
+    evidence = np.minimum(1, (far / 5) ** 2)
+    machine.factor *= evidence[:, None]
+    square_w, square_v = np.full(size, 1e-3), np.full((size, FACTORS), 1e-3)
+    sizes = np.array([len(r) for r in rows])
     for _ in range(epochs):
         rng.shuffle(train_rows)
         for lo in range(0, len(train_rows), batch):
             some = train_rows[lo : lo + batch]
-            text, f = np.repeat(np.arange(len(some)), sizes[some]), np.concatenate([rows[i] for i in some]).astype(np.int64)
+            text, f = np.repeat(np.arange(len(some)), sizes[some]), np.concatenate([rows[i] for i in some])
             z = machine._margin(text, f, len(some))
             grad = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - toxic[some]) / len(some)
-            sums = np.stack([np.bincount(text, weights=machine.factor[f, k], minlength=len(some)) for k in range(FACTORS)], 1)
-            g_w = np.bincount(f, weights=grad[text], minlength=size) + 1e-5 * machine.weight
-            own = grad[text, None] * (sums[text] - machine.factor[f])
-            g_v = np.stack([np.bincount(f, weights=own[:, k], minlength=size) for k in range(FACTORS)], 1) + 1e-4 * machine.factor
-            for value, g, s, rate in ((machine.weight, g_w, square[0], 0.3), (machine.factor, g_v, square[1], 0.05)):
-                s += g * g
-                value -= rate * g / np.sqrt(s)
+            here, at = np.unique(f, return_inverse=True)
+            v = machine.factor[f]
+            sums = np.stack([np.bincount(text, weights=v[:, k], minlength=len(some)) for k in range(FACTORS)], 1)
+            g_w = np.bincount(at, weights=grad[text], minlength=len(here)) + 1e-5 * machine.weight[here]
+            own = grad[text, None] * (sums[text] - v)
+            g_v = np.stack([np.bincount(at, weights=own[:, k], minlength=len(here)) for k in range(FACTORS)], 1) + 1e-4 * machine.factor[here]
+            for value, g, s, pace, scale in ((machine.weight, g_w, square_w, 0.3, evidence[here]), (machine.factor, g_v, square_v, 0.05, evidence[here, None])):
+                g = g * scale
+                s[here] += g * g
+                value[here] -= pace * scale * g / np.sqrt(s[here])
             machine.bias -= 0.1 * float(grad.sum())
     # The cut that the rows set apart like best (by F1) becomes log odds 0.
     pick = np.flatnonzero(test) if toxic[test].sum() >= 20 else np.arange(len(rows))
-    z = machine._margin(np.repeat(np.arange(len(pick)), sizes[pick]), np.concatenate([rows[i] for i in pick]).astype(np.int64), len(pick))
+    z = machine._margin(np.repeat(np.arange(len(pick)), sizes[pick]), np.concatenate([rows[i] for i in pick]), len(pick))
     by = np.argsort(-z, kind="stable")
     hits = np.cumsum(toxic[pick][by])
     f1 = 2 * hits / (np.arange(1, len(by) + 1) + toxic[pick].sum())
@@ -123,25 +129,27 @@ def _fit(feature: np.ndarray, rows: list[np.ndarray], toxic: np.ndarray, seed: i
     return machine
 
 
-def score(docs: DataFrame, machine: Machine, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per row the id and ``score`` (0 to 1); ``keep`` carries columns along.
+def _scores(machine: Machine, spark: SparkSession, text: str) -> Column:
+    """The score of a text column; only texts leave the JVM."""
+    sent = spark.sparkContext.broadcast(machine)
+
+    @F.arrow_udf("double")
+    def judge(texts: pa.Array) -> pa.Array:
+        parts = slices(pa.RecordBatch.from_arrays([texts], names=["text"]), 0)
+        z = np.concatenate([*(sent.value.margin(part.column(0)) for part in parts), np.zeros(0)])
+        return pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))
+
+    return judge(F.col(text))
+
+
+def score(docs: DataFrame, machine: Machine, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row the id and ``score`` (0 to 1).
 
     Whole texts are read; null and empty texts get the machine's bias as score.
     Rows stay as they are: repeated, null ids and empty tables alike; equal
-    texts get equal scores.
+    texts get equal scores. Other columns are not carried.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(machine)
-    carried = [c for c in [id_col, *keep] if c != "score"]
-    given = docs.select(*carried, F.col(text_col).alias("__text"))
-    schema = given.select(*carried, F.lit(0.0).alias("score")).schema
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, batch.schema.get_field_index("__text")):
-                z = sent.value.margin(part.column("__text"))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], names=[*carried, "score"])
-
-    return given.mapInArrow(work, schema)
+    return docs.select(F.col(id_col), _scores(machine, docs.sparkSession, text_col).alias("score"))
 
 
 def _held_out(id_col: str = "doc_id"):
@@ -158,5 +166,5 @@ def op7_toxicity(spark, sf_dir: str) -> DataFrame:
 def keep_clean(docs: DataFrame, labels: DataFrame, *, most: float = 0.5) -> DataFrame:
     """The documents with a toxicity score under ``most``."""
     machine = train(docs, labels.where(~_held_out()))
-    found = score(docs.withColumn("__all", F.struct(*docs.columns)), machine, keep=("__all",))
-    return found.where(F.col("score") < most).select("__all.*")
+    judged = docs.withColumn("__score", _scores(machine, docs.sparkSession, "text"))
+    return judged.where(F.col("__score") < most).select(*docs.columns)

@@ -123,8 +123,8 @@ def test_scan_against_brute_force(spark, scanner):
 
 def test_samples_are_whole_or_bounded(spark):
     df = spark.range(5000).withColumn("text", ls.F.col("id").cast("string"))
-    assert ls._some(df, 6000, "id").count() == 5000 and ls._some(df, 300, "id").count() == 300
-    assert ls._some(df, 300, "id").collect() == ls._some(df.repartition(7), 300, "id").collect()
+    assert ls.bounded(df, 6000, "id").count() == 5000 and ls.bounded(df, 300, "id").count() == 300
+    assert ls.bounded(df, 300, "id").collect() == ls.bounded(df.repartition(7), 300, "id").collect()
 
 
 def test_paragraphs_passed_over_are_uncertain(spark, scanner):

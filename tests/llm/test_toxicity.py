@@ -25,6 +25,9 @@ def test_learns_the_pair_held_out(spark):
     held = {r.doc_id: r.score for r in tx.score(df.where("doc_id % 5 = 0"), machine).collect()}
     right = [(held[i] >= 0.5) == bool(t) for i, _, t in corpus(1) if i in held]
     assert np.mean(right) > 0.95
+    bad, good = ([held[i] for i, _, t in corpus(1) if i in held and t == kind] for kind in (1, 0))
+    auc = np.mean([(a > b) + 0.5 * (a == b) for a in bad for b in good])
+    assert auc > 0.97
 
 
 def test_margin_is_every_pair():
@@ -49,3 +52,11 @@ def test_edges(spark):
         assert len({r.score for r in tx.score(df, plain).collect()}) == 1
     assert tx.score(df.limit(0), machine).collect() == []
     assert 0 < tx.keep_clean(df, df.where("doc_id is not null")).count() < 302
+
+
+def test_repeated_rows_and_long_texts(spark):
+    machine = tx.train(*2 * [spark.createDataFrame(corpus(3, 400), "doc_id long, text string, toxic int")])
+    long = "wa wb " * 700_000  # several pieces
+    df = spark.createDataFrame([(1, "vermin group wa"), (1, "vermin group wa"), (2, long + "vermin group"), (3, "wb wa vermin group")], "doc_id long, text string")
+    got = [(r.doc_id, r.score) for r in tx.score(df, machine).collect()]
+    assert got[0] == got[1] and np.isclose(got[2][1], got[3][1])
