@@ -20,7 +20,7 @@ def brute(docs, items):
             best = 0
             for s in range(-len(v), len(w)):
                 same = [int(0 <= s + j < len(w) and w[s + j] == v[j]) for j in range(len(v))]
-                if (any(sum(same[a : a + 13]) >= 11 for a in range(len(v) - 12)) if len(v) >= 13 else all(same)):
+                if (any(sum(same[a : a + 13]) >= 11 for a in range(len(v) - 12)) if len(v) >= 13 else sum(same) >= len(v) - (len(v) >= dc.LENIENT)):
                     best = max(best, sum(same))
             if best:
                 out.add((d, i, best))
@@ -32,10 +32,16 @@ def test_masks_are_lossless():
         assert any(all(o + p not in miss for p, c in enumerate(m) if c == "1") for m in dc.MASKS for o in range(dc.WINDOW - len(m) + 1))
 
 
+def test_short_mask_is_lossless():
+    for n in range(dc.SHORTEST, dc.WINDOW):
+        for miss in [(), *(((i,) for i in range(n)) if n >= dc.LENIENT else ())]:
+            assert any(all(o + p not in miss for p in range(4)) for o in range(n - 3))
+
+
 def corpus():
     rng = random.Random(5)
     vocab = ["the", "of", "É", "z9"] + [f"w{i}" for i in range(40)]
-    items = [(i, " ".join(rng.choices(vocab, k=rng.choice([3, 6, 7, 9, 12, 13, 14, 30, 50])))) for i in range(25)] + [(99, None), (98, ""), (25, "the " * 20)]
+    items = [(i, " ".join(rng.choices(vocab, k=rng.choice([3, 4, 6, 7, 9, 12, 13, 14, 30, 50])))) for i in range(25)] + [(99, None), (98, ""), (25, "the " * 20)]
     docs = []
     for d in range(60):
         words = rng.choices(vocab, k=rng.randint(0, 120))
