@@ -9,6 +9,7 @@ rows are exchanged once, and they are permuted again where they arrive.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,33 +26,57 @@ def exact_sizes(rows: int, shards: int) -> np.ndarray:
     return np.array([rows // shards + (s < rows % shards) for s in range(shards)], np.int64)
 
 
+#: Populations from which draws are made by summing the law itself; numpy's generator ends at 10^9.
+LARGE = 10**9
+
+
 def communication_matrix(counts: dict[int, int], sizes: np.ndarray, seed: int) -> dict[int, np.ndarray]:
-    """Rows to send from each partition to each shard."""
-    rng = np.random.default_rng(seed)
-    left, out = sizes.copy(), {}
-    for partition in sorted(counts):
-        take, pool, row = counts[partition], int(left.sum()), np.zeros(len(left), np.int64)
-        for s in range(len(left)):  # marginals of a multivariate hypergeometric law, one shard at a time
-            rest = pool - int(left[s])
-            row[s] = take if rest == 0 else (0 if left[s] == 0 or take == 0 else rng.hypergeometric(int(left[s]), rest, take) if pool < 10**9 else _large(rng, int(left[s]), rest, take))
-            take, pool = take - int(row[s]), rest
-        left = left - row
-        out[partition] = row
+    """Rows to send from each partition to each shard.
+
+    Many rows are split first: how much of each shard the first half of the
+    partitions fills is drawn, then each half is drawn by itself, so only few
+    draws are from large populations."""
+    rng, out = np.random.default_rng(seed), {}
+
+    def fill(partitions: list[int], left: np.ndarray) -> None:
+        if len(partitions) > 1 and left.sum() >= LARGE:
+            half = partitions[: len(partitions) // 2]
+            here = _draw(rng, left, sum(counts[p] for p in half))
+            fill(half, here)
+            fill(partitions[len(half) :], left - here)
+            return
+        for p in partitions:
+            out[p] = _draw(rng, left, counts[p])
+            left = left - out[p]
+
+    fill(sorted(counts), sizes.copy())
     return out
 
 
-def _large(rng: np.random.Generator, good: int, bad: int, take: int) -> int:
-    """Beyond the generator's limit of 10^9: binomial steps of a million draws
-    with the urn brought up to date between them. Sums stay exact; the law is
-    the hypergeometric one up to the change of the urn within a step."""
-    got = 0
-    while take > 0:
-        step = min(take, 10**6)
-        p = good / (good + bad)
-        draw = min(int(rng.binomial(step, p)), good, step)
-        draw = max(draw, step - bad)
-        got, good, bad, take = got + draw, good - draw, bad - (step - draw), take - step
-    return got
+def _draw(rng: np.random.Generator, left: np.ndarray, take: int) -> np.ndarray:
+    """``take`` rows out of shards with ``left`` places: the marginals of a
+    multivariate hypergeometric law, one shard at a time."""
+    row, pool = np.zeros(len(left), np.int64), int(left.sum())
+    for s in range(len(left)):
+        good, rest = int(left[s]), pool - int(left[s])
+        row[s] = take if rest == 0 else 0 if good == 0 or take == 0 else rng.hypergeometric(good, rest, take) if pool < LARGE else _summed(rng, good, rest, take)
+        take, pool = take - int(row[s]), rest
+    return row
+
+
+def _summed(rng: np.random.Generator, good: int, bad: int, take: int) -> int:
+    """One hypergeometric draw by inversion. The law is summed over twelve
+    standard deviations on both sides of its mean, from the quotients of
+    neighbouring terms, which holds at any population."""
+    pool = good + bad
+    mean = take * good / pool
+    spread = 12 * math.sqrt(mean * (bad / pool) * ((pool - take) / max(1, pool - 1))) + 12
+    low, high = max(0, take - bad, int(mean - spread)), min(good, take, int(mean + spread) + 1)
+    x = np.arange(low, high, dtype=np.float64)
+    step = np.log(good - x) + np.log(take - x) - np.log(x + 1) - np.log(bad - take + x + 1)
+    law = np.concatenate([[0.0], np.cumsum(step)])
+    law = np.cumsum(np.exp(law - law.max()))
+    return low + min(int(np.searchsorted(law, rng.random() * law[-1], "right")), high - low)
 
 
 def shard_rows(df: DataFrame, shards: int, *, seed: int = 0, rows_per_block: int = 200_000) -> DataFrame:
