@@ -7,10 +7,10 @@ five characters down to one, gives the score, and the word has their mean.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,12 +32,11 @@ _FOLD[NOT_LETTER] = 32
 class Table:
     """Hashed strings with a row of per-language scores each."""
 
-    def __init__(self, strings: list[str], scores: np.ndarray):
-        hashes = _hashes(strings)
-        size = 1 << max(4, (2 * len(strings)).bit_length())
+    def __init__(self, hashes: np.ndarray, scores: np.ndarray):
+        size = 1 << max(4, (2 * len(hashes)).bit_length())
         self.keys, self.rows, self.mask = np.zeros(size, np.uint64), np.full(size, -1, np.int32), np.uint64(size - 1)
         self.scores = scores.astype(np.float32)
-        todo, at = np.arange(len(strings)), hashes & self.mask
+        todo, at = np.arange(len(hashes)), hashes & self.mask
         while len(todo):
             free = np.flatnonzero(self.rows[at[todo]] < 0)
             free = free[np.unique(at[todo][free], return_index=True)[1]]  # one string a slot
@@ -59,16 +58,13 @@ class Table:
         return out
 
 
-def _hashes(strings: list[str]) -> np.ndarray:
+def _hashes(strings: pa.Array) -> np.ndarray:
     """The hash of each string."""
-    out = []
-    for lo in range(0, len(strings), 100_000):
-        data, offsets = raw(pa.array([s.encode("utf-8", "surrogatepass") for s in strings[lo : lo + 100_000]], pa.binary()))
-        up, down = _power(len(data) + 1)
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_VALUE[_FOLD[data]] * up[: len(data)], out=sums[1:])
-        out.append(mix((sums[offsets[1:]] - sums[offsets[:-1]]) * down[offsets[:-1]]))
-    return np.concatenate([*out, np.zeros(0, np.uint64)])
+    data, offsets = raw(strings)
+    up, down = _power(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_VALUE[_FOLD[data]] * up[: len(data)], out=sums[1:])
+    return mix((sums[offsets[1:]] - sums[offsets[:-1]]) * down[offsets[:-1]])
 
 
 @dataclass
@@ -138,8 +134,8 @@ class Model:
 
 def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learn from ``SAMPLE`` labelled rows at most (those of the smallest hashed
-    ids), whole texts. Frequencies are counted by Spark; the driver gets every
-    word and n-gram of the sample once for each language."""
+    ids), whole texts. Spark counts and hashes; the driver gets the hash and count of
+    every word and n-gram of the sample once for each language."""
     usable = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     picked = bounded(usable.select(id_col).distinct(), SAMPLE, id_col)
     some = usable.join(F.broadcast(picked), id_col, "left_semi").select(F.col(lang_col).alias("lang"), F.lower(text_col).alias("text"))
@@ -151,20 +147,26 @@ def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
         cut = F.transform(F.sequence(F.lit(1), F.length("word") + 3 - n), lambda i, n=n: F.substring(padded, i, F.lit(n)))
         part = counts.where(F.length("word") + 2 >= n).select("lang", "count", F.explode(cut).alias("gram"))
         grams = part if grams is None else grams.unionByName(part)
-    words, grams = counts.toPandas(), grams.groupBy("lang", F.col("gram").alias("word")).agg(F.sum("count").alias("count")).toPandas()
-    langs = sorted({*words["lang"]})
-    size = grams["word"].str.len()
-    return Model(langs, _scored(words, langs), [_scored(grams[size == n], langs) for n in range(1, LONGEST + 1)])
-
-
-def _scored(counts: pd.DataFrame, langs: list[str]) -> Table:
-    strings = sorted({*counts["word"]})
-    seen = np.full((len(strings), len(langs)), 0.5)
-    if strings:
-        row, lang = np.searchsorted(np.array(strings, object), counts["word"].to_numpy(object)), np.searchsorted(langs, counts["lang"].to_list())
-        np.add.at(seen, (row, lang), counts["count"].to_numpy(float))
-        seen = np.log(seen / seen.sum(axis=0))
-    return Table(strings, seen)
+    langs = [r.lang for r in counts.select("lang").distinct().orderBy("lang").collect()]
+    tables = [_scored(counts, langs)]
+    grams = reliable(grams.groupBy("lang", F.col("gram").alias("word")).agg(F.sum("count").alias("count")))
+    tables += [_scored(grams.where(F.length("word") == n), langs) for n in range(1, LONGEST + 1)]
+    return Model(langs, tables[0], tables[1:])
+
+
+def _scored(counts: DataFrame, langs: list[str]) -> Table:
+    """Log frequencies by language, half a count added to each."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_hashes(batch.column(0)).view(np.int64)), batch.column(1), batch.column(2)], names=["hash", "lang", "count"])
+
+    number = F.array_position(F.array(*map(F.lit, langs)).cast("array<string>"), F.col("lang")).cast("int") - 1
+    got = counts.select("word", number.alias("lang"), "count").mapInArrow(hashed, "hash long, lang int, count long").toArrow()
+    hashes, row = np.unique(got["hash"].to_numpy().view(np.uint64), return_inverse=True)
+    seen = np.full((len(hashes), len(langs)), 0.5)
+    np.add.at(seen, (row, got["lang"].to_numpy()), got["count"].to_numpy())
+    return Table(hashes, np.log(seen / seen.sum(axis=0)) if len(hashes) else seen)
 
 
 def _verdict(model: Model, spark: SparkSession, text: str) -> Column:

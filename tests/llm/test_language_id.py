@@ -21,7 +21,7 @@ def slow_log_scores(model, text):
     """The method, one word and one character at a time."""
     total = np.zeros(len(model.langs))
     for word in "".join(c if c.isascii() and c.isalpha() or ord(c) > 127 else " " for c in text.lower()).split():
-        row = model.words.find(li._hashes([word]))[0]
+        row = model.words.find(li._hashes(pa.array([word])))[0]
         if row >= 0:
             total += model.words.scores[row]
             continue
@@ -29,7 +29,7 @@ def slow_log_scores(model, text):
         for i in range(len(padded)):
             score = np.zeros(len(model.langs))
             for n in range(li.LONGEST, 0, -1):
-                if i + n <= len(padded) and (r := model.grams[n - 1].find(li._hashes([padded[i : i + n]]))[0]) >= 0:
+                if i + n <= len(padded) and (r := model.grams[n - 1].find(li._hashes(pa.array([padded[i : i + n]])))[0]) >= 0:
                     score = model.grams[n - 1].scores[r]
                     break
             scores.append(score)
