@@ -184,21 +184,24 @@ def median_baseline(df: DataFrame, *, key: str = "key", value: str = "value", th
     return df.join(base, key).withColumn("foreground", F.abs(F.col(value) - F.col("baseline")) > threshold)
 
 
-def snapshot_diff(previous: DataFrame, current: DataFrame, baseline: DataFrame, *, noise: float, threshold: float, shift_share: float = 0.45) -> DataFrame:
+def snapshot_diff(previous: DataFrame, current: DataFrame, baseline: DataFrame, *, noise: float, threshold: float, shift_share: float = 0.45, pair: tuple[str, ...] = ()) -> DataFrame:
     """``key, kind, shifted`` of keys whose value changed by more than ``noise``.
+    With ``pair`` columns many pairs of snapshots are compared at once, each by itself.
 
     Presence is the ratio to the key's baseline; without a baseline a key counts
     as present on both sides. ``shifted``: so many keys changed that the whole
     scene did, and kinds mean nothing.
     """
-    p, c = previous.select("key", F.col("value").alias("before")), current.select("key", F.col("value").alias("after"))
-    both = p.join(c, "key", "full_outer").join(baseline.select("key", F.col("value").alias("base")), "key", "left")
+    p, c = previous.select(*pair, "key", F.col("value").alias("before")), current.select(*pair, "key", F.col("value").alias("after"))
+    both = p.join(c, [*pair, "key"], "full_outer").join(baseline.select("key", F.col("value").alias("base")), "key", "left")
     changed = F.abs(F.coalesce("before", F.lit(0.0)) - F.coalesce("after", F.lit(0.0))) > noise
     both = both.withColumn("changed", changed)
-    share = both.agg(F.avg(F.col("changed").cast("double")).alias("share"))
+    share = both.groupBy(*pair).agg(F.avg(F.col("changed").cast("double")).alias("share"))  # a row a pair
     ratio = lambda v: F.coalesce(v, F.lit(0.0)) / F.nullif(F.col("base"), F.lit(0.0))
     kind = change_kinds(ratio(F.col("before")), ratio(F.col("after")), F.col("base"), threshold)
-    return both.where("changed").select("key", kind.alias("kind")).crossJoin(F.broadcast(share)).select("key", "kind", (F.coalesce("share", F.lit(0.0)) >= shift_share).alias("shifted"))  # one row
+    found = both.where("changed").select(*pair, "key", kind.alias("kind"))
+    found = found.join(share, list(pair)) if pair else found.crossJoin(F.broadcast(share))  # one row
+    return found.select(*pair, "key", "kind", (F.coalesce("share", F.lit(0.0)) >= shift_share).alias("shifted"))
 
 
 def peak_levels(df: DataFrame, *, key: str = "entity_id", ts: str = "ts", value: str = "value", width: str = "150 milliseconds") -> DataFrame:

@@ -147,9 +147,9 @@ def semi(spark, sf):
     return table(spark, sf, "customer").join(active, "c_nationkey", "left_semi").select("c_custkey")
 
 
-@query("u1_available", "SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 50 = 0)")
+@query("u1_available", "SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_custkey IS NOT NULL)")
 def u1(spark, sf):
-    return table(spark, sf, "customer").select(F.col("c_custkey").alias("id")).join(table(spark, sf, "orders").where("o_orderkey % 50 = 0").select(F.col("o_custkey").alias("id")), "id", "left_anti")
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("id")).join(table(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("id")), "id", "left_anti")
 
 
 @query("u3_ordered_union", """WITH u AS (SELECT o_custkey AS id, 0 AS part, o_orderkey AS ordinal FROM orders WHERE o_orderpriority = '1-URGENT' UNION ALL SELECT o_custkey, 1, o_orderkey FROM orders WHERE o_orderstatus = 'F'),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import quality as ql
@@ -127,18 +128,23 @@ def snapshots(spark, sf):
     return o.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.col("o_custkey").alias("key")).agg(F.sum("o_totalprice").alias("value"))
 
 
-SNAP = """s AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, o_custkey AS key, sum(o_totalprice) AS value FROM orders GROUP BY ALL), b AS (SELECT key, quantile_cont(value, 0.5) AS base FROM s WHERE key % 5 > 0 GROUP BY 1)"""
+SNAP = """s AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, o_custkey AS key, sum(o_totalprice) AS value FROM orders GROUP BY ALL), b AS (SELECT key, quantile_cont(value, 0.5) AS base FROM s GROUP BY 1)"""
 
 
-@query("j8_snapshot_diff", f"""WITH {SNAP}, p AS (SELECT key, value FROM s WHERE month = '1997-03'), c AS (SELECT key, value FROM s WHERE month = '1997-04'),
-f AS (SELECT key, p.value AS before, c.value AS after, abs(coalesce(p.value, 0) - coalesce(c.value, 0)) > 1000 AS changed FROM p FULL JOIN c USING (key)), d AS (SELECT f.*, base FROM f LEFT JOIN b USING (key)),
+@query("j8_snapshot_diff", f"""WITH {SNAP}, o AS (SELECT month, lead(month) OVER (ORDER BY month) AS next FROM (SELECT DISTINCT month FROM s)),
+p AS (SELECT next AS month, key, value FROM s JOIN o USING (month) WHERE next IS NOT NULL), c AS (SELECT s.* FROM s WHERE month IN (SELECT next FROM o)),
+f AS (SELECT month, key, p.value AS before, c.value AS after, abs(coalesce(p.value, 0) - coalesce(c.value, 0)) > 1000 AS changed FROM p FULL JOIN c USING (month, key)), d AS (SELECT f.*, base FROM f LEFT JOIN b USING (key)),
+g AS (SELECT month, avg(changed::INT) >= 0.45 AS shifted FROM f GROUP BY 1),
 k AS (SELECT *, CASE WHEN base IS NULL THEN 1.0 ELSE coalesce(before, 0) / base END >= 0.5 AS had, CASE WHEN base IS NULL THEN 1.0 ELSE coalesce(after, 0) / base END >= 0.5 AS has FROM d)
-SELECT key, CASE WHEN NOT had AND has THEN 'added' WHEN had AND NOT has THEN 'removed' WHEN had THEN 'moved_or_replaced' ELSE 'noise_or_lighting' END AS kind, (SELECT avg(changed::INT) FROM f) >= 0.45 AS shifted FROM k WHERE changed""")
+SELECT month, key, CASE WHEN NOT had AND has THEN 'added' WHEN had AND NOT has THEN 'removed' WHEN had THEN 'moved_or_replaced' ELSE 'noise_or_lighting' END AS kind, shifted FROM k JOIN g USING (month) WHERE changed""")
 def j8(spark, sf):
+    """Every month against the month before it."""
     s = snapshots(spark, sf)
-    base = s.where("key % 5 > 0").groupBy("key").agg(F.percentile("value", 0.5).alias("value"))
-    month = lambda m: s.where(F.col("month") == m).select("key", "value")
-    return st.snapshot_diff(month("1997-03"), month("1997-04"), base, noise=1000, threshold=0.5)
+    base = s.groupBy("key").agg(F.percentile("value", 0.5).alias("value"))
+    months = s.select("month").distinct().withColumn("next", F.lead("month").over(Window.orderBy("month"))).where("next is not null")  # a row a month
+    before = s.join(F.broadcast(months), "month").select(F.col("next").alias("month"), "key", "value")
+    after = s.join(F.broadcast(months.select(F.col("next").alias("month"))), "month", "left_semi")
+    return st.snapshot_diff(before, after, base, noise=1000, threshold=0.5, pair=("month",))
 
 
 @query("a13_median_baseline", f"WITH {SNAP}, m AS (SELECT key, quantile_cont(value, 0.5) AS baseline FROM s GROUP BY 1) SELECT month, count(*) AS n, count(*) FILTER (abs(value - baseline) > 50000) AS foreground FROM s JOIN m USING (key) GROUP BY 1")

@@ -5,11 +5,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import state as st
 from ..streaming import machines as mc
 from ..streaming import run
 from . import state as _batch  # noqa: F401  (registers the twins)
 from .catalog import ENTRIES, query
-from .tables import epoch_ms, table
+from .tables import READINGS, epoch_ms, table
 
 
 def reading_stream(spark, sf):
@@ -52,6 +53,65 @@ MACHINES = {
     "st11_recording": ("markers", mc.recording()),
     "st12_calibration_hold": ("calibration", mc.calibration_hold()),
 }
+_O = "OVER (PARTITION BY entity_id ORDER BY ts_ms, seq)"
+_N = f"n AS (SELECT *, row_number() {_O} AS i FROM r)"
+#: What machines without a batch twin give, said in SQL by windows or by recursion over each entity's rows.
+SQL = {
+    "st1_settle_gate": f"""WITH {READINGS}, n AS (SELECT *, value > 60 AS motion, seq % 17 = 0 OR seq % 19 = 0 AS result, row_number() {_O} AS i FROM r),
+a AS (SELECT *, count(*) FILTER (result) {_O} AS g FROM n),
+b AS (SELECT *, max(CASE WHEN motion AND NOT result THEN i END) OVER w AS m, min(CASE WHEN motion AND NOT result THEN i END) OVER w AS f FROM a WINDOW w AS (PARTITION BY entity_id, g ORDER BY i)),
+c AS (SELECT *, max(CASE WHEN i > f AND NOT motion AND NOT result THEN i END) OVER (PARTITION BY entity_id, g ORDER BY i) AS still FROM b),
+d AS (SELECT *, CASE WHEN first_value(still) OVER w IS NOT NULL THEN first_value(ts_ms) OVER w ELSE min(CASE WHEN i > m THEN ts_ms END) OVER (PARTITION BY entity_id, g, m) END AS since FROM c WINDOW w AS (PARTITION BY entity_id, g, m ORDER BY i)),
+e AS (SELECT *, min(CASE WHEN i > m AND ts_ms - since >= 40000000 THEN i END) OVER (PARTITION BY entity_id, g, m) AS hit FROM d),
+h AS (SELECT *, max(CASE WHEN i = hit THEN ts_ms - since END) OVER (PARTITION BY entity_id, g, m) AS long FROM e)
+SELECT entity_id, seq, CASE WHEN m IS NULL THEN 'holding_last_good' WHEN i >= hit THEN 'sampling_snapshots' ELSE 'settling' END AS state, coalesce(i = hit, false) AS should_sample,
+  CASE WHEN m IS NULL OR i = m THEN 0 WHEN i >= hit THEN long ELSE ts_ms - since END AS stable_for_ms FROM h""",
+    "st5_sample_collector": f"""WITH {READINGS}, n AS (SELECT *, ['empty','one_card','three_cards','other'][seq % 4 + 1] AS scenario, confidence > 0.1 AS passed, row_number() {_O} AS i FROM r),
+k AS (SELECT *, row_number() OVER (PARTITION BY entity_id, scenario ORDER BY i) AS k FROM n),
+c AS (SELECT *, bool_and(passed) FILTER (k <= 3) OVER (PARTITION BY entity_id, scenario ORDER BY i) AS good, count(*) FILTER (scenario = 'empty') {_O} AS n1, count(*) FILTER (scenario = 'one_card') {_O} AS n2, count(*) FILTER (scenario = 'three_cards') {_O} AS n3 FROM k)
+SELECT entity_id, seq, scenario, scenario <> 'other' AND k <= 3 AS kept, CASE WHEN scenario <> 'other' THEN least(k, 3) || '/3' END AS progress, scenario <> 'other' AND least(n1, n2, n3) >= 3 AS ready,
+  CASE WHEN scenario = 'other' THEN 'unknown_scenario' WHEN k < 3 THEN 'COLLECTING' WHEN good THEN 'PASS' ELSE 'FAIL' END AS stage FROM c""",
+    "st11_recording": f"""WITH {READINGS}, n AS (SELECT *, CASE WHEN seq % 9 = 0 THEN 'start' WHEN seq % 10 = 3 THEN 'stop' ELSE item_id END AS marker, row_number() {_O} AS i FROM r),
+b AS (SELECT *, max(CASE WHEN marker = 'start' THEN i END) {_O} AS s FROM n),
+c AS (SELECT *, first_value(ts_ms) OVER (PARTITION BY entity_id, s ORDER BY i) AS begin_ms, min(CASE WHEN marker = 'stop' THEN i END) OVER (PARTITION BY entity_id, s) AS e, i - s + 1 AS k FROM b WHERE s IS NOT NULL)
+SELECT entity_id, seq, begin_ms, ts_ms - begin_ms AS offset_ms, marker, CASE WHEN k > 500 THEN 'too_many_markers' END AS error, CASE WHEN marker = 'stop' THEN least(k, 500) END AS n FROM c WHERE e IS NULL OR i <= e""",
+    "st12_calibration_hold": f"""WITH RECURSIVE {READINGS}, n AS (SELECT entity_id, seq, value, confidence > 0.2 AS valid, floor(confidence * 1.01) AS params, row_number() {_O} AS i FROM r),
+c(entity_id, i, seq, age, params, detected, held) AS (SELECT entity_id, i, seq, 1, params, true, CASE WHEN valid THEN value END FROM n WHERE i = 1
+  UNION ALL SELECT n.entity_id, n.i, n.seq, CASE WHEN d THEN 1 ELSE age + 1 END, n.params, d, CASE WHEN d AND valid THEN value ELSE held END
+  FROM (SELECT n.*, c.age, c.held, c.age >= 30 OR n.params IS DISTINCT FROM c.params AS d FROM c JOIN n ON n.entity_id = c.entity_id AND n.i = c.i + 1) n)
+SELECT entity_id, seq, detected, held FROM c""",
+    "st3_snapshot_session": f"""WITH RECURSIVE {READINGS}, n AS (SELECT entity_id, seq, ['start','capture','set','commit','set','discard','clear','end','set'][seq % 9 + 1] AS x, row_number() {_O} AS i FROM r),
+c(entity_id, i, seq, command, error, act, locked, ref, now, previous) AS (SELECT DISTINCT entity_id, 0::BIGINT, 0::BIGINT, '', NULL::VARCHAR, false, false, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT FROM n
+  UNION ALL SELECT entity_id, i, seq, x, CASE WHEN x = 'capture' AND NOT act OR x = 'set' AND NOT act THEN 'session_not_active' WHEN x = 'clear' AND act AND locked THEN 'reference_locked' WHEN x = 'set' AND ref IS NULL THEN 'reference_required' WHEN x = 'commit' AND now IS NULL THEN 'current_missing' END,
+  CASE x WHEN 'start' THEN true WHEN 'end' THEN false ELSE act END, CASE WHEN x = 'end' OR wipe THEN false WHEN take THEN true ELSE locked END, CASE WHEN wipe THEN NULL WHEN take THEN seq ELSE ref END,
+  CASE WHEN x IN ('start', 'end', 'discard', 'commit') OR wipe OR take THEN NULL WHEN x = 'set' AND act AND ref IS NOT NULL THEN seq ELSE now END, CASE WHEN wipe THEN NULL WHEN take THEN seq WHEN x = 'commit' AND now IS NOT NULL THEN now ELSE previous END
+  FROM (SELECT n.*, act, locked, ref, now, previous, x = 'capture' AND act AS take, x = 'clear' AND NOT (act AND locked) AS wipe FROM c JOIN n ON n.entity_id = c.entity_id AND n.i = c.i + 1))
+SELECT entity_id, seq, command, error, act AND ref IS NOT NULL AND previous IS NOT NULL AND now IS NOT NULL AS ready, previous FROM c WHERE i > 0""",
+    "st4_table_state": f"""WITH RECURSIVE {READINGS}, n AS (SELECT entity_id, seq, ['upsert','upsert','reverify','upsert','remove_box','correct','reverify_box','remove'][seq % 8 + 1] AS op, list_position(['click','purchase','signup','view'], item_id) AS k, row_number() {_O} AS i FROM r),
+c(entity_id, i, seq, error, t, b, v) AS (SELECT DISTINCT entity_id, 0::BIGINT, 0::BIGINT, NULL::VARCHAR, []::INTEGER[], [NULL, NULL, NULL, NULL]::BIGINT[], [false, false, false, false] FROM n
+  UNION ALL SELECT entity_id, i, seq, CASE WHEN op = 'upsert' AND k IS NULL THEN 'unknown_id' END, t,
+    list_transform([1, 2, 3, 4], lambda j: CASE WHEN op = 'upsert' AND j = k THEN seq WHEN op = 'correct' AND b[k] IS NOT NULL AND j = 4 THEN b[k] WHEN op = 'correct' AND j = k THEN NULL WHEN op IN ('remove', 'remove_box') AND list_contains(t, j) THEN NULL ELSE b[j] END),
+    list_transform([1, 2, 3, 4], lambda j: CASE WHEN op = 'upsert' AND j = k THEN false WHEN op = 'correct' AND b[k] IS NOT NULL AND j = 4 THEN v[k] WHEN op IN ('reverify', 'reverify_box') AND list_contains(t, j) THEN true ELSE v[j] END)
+  FROM (SELECT *, CASE WHEN op = 'upsert' THEN CASE WHEN k IS NULL THEN [] ELSE [k] END WHEN op = 'correct' THEN CASE WHEN b[k] IS NULL THEN [] ELSE [4] END ELSE list_filter([1, 2, 3, 4], lambda j: b[j] IS NOT NULL AND CASE WHEN op IN ('reverify', 'remove') THEN j = k ELSE
+      11 * greatest(0, 30 - abs(b[j] % 60 - seq % 60)) * greatest(0, 40 - abs(b[j] % 45 - seq % 45)) >= 2400 END) END AS t
+    FROM (SELECT n.*, c.b, c.v FROM c JOIN n ON n.entity_id = c.entity_id AND n.i = c.i + 1)))
+SELECT entity_id, seq, error, coalesce(array_to_string(list_transform(t, lambda j: ['click','purchase','signup','view'][j]), ','), '') AS touched, len(list_filter(b, lambda x: x IS NOT NULL))::INTEGER AS tracked,
+  len(list_filter([1, 2, 3, 4], lambda j: b[j] IS NOT NULL AND v[j]))::INTEGER AS to_reverify FROM c WHERE i > 0""",
+    "st9_parameter_session": f"""WITH RECURSIVE {READINGS}, n AS (SELECT entity_id, seq, value AS x, item_id, CASE WHEN seq % 13 = 0 THEN 'commit' WHEN seq % 11 = 0 THEN 'rollback' ELSE 'update' END AS op, row_number() {_O} AS i FROM r),
+m AS (SELECT *, op = 'update' AND CASE item_id WHEN 'click' THEN x BETWEEN 0 AND 60 WHEN 'view' THEN x BETWEEN 5 AND 80 WHEN 'purchase' THEN x BETWEEN 0 AND 1 ELSE false END AS ok FROM n),
+c(entity_id, i, seq, error, a, b, d, sa, sb, sd, p) AS (SELECT DISTINCT entity_id, 0::BIGINT, 0::BIGINT, NULL::VARCHAR, 10::DOUBLE, 0.5::DOUBLE, 12::DOUBLE, 10::DOUBLE, 0.5::DOUBLE, 12::DOUBLE, NULL::DOUBLE FROM m
+  UNION ALL SELECT m.entity_id, m.i, m.seq, CASE WHEN op = 'update' AND NOT ok THEN CASE WHEN item_id IN ('click', 'view', 'purchase') THEN 'out_of_range' ELSE 'unknown_parameter' END END,
+    CASE WHEN ok AND item_id = 'click' THEN x WHEN op = 'rollback' THEN sa ELSE a END, CASE WHEN ok AND item_id = 'purchase' THEN x WHEN op = 'rollback' THEN sb ELSE b END, CASE WHEN ok AND item_id = 'view' THEN x WHEN op = 'rollback' THEN sd ELSE d END,
+    CASE WHEN op = 'commit' THEN a ELSE sa END, CASE WHEN op = 'commit' THEN b ELSE sb END, CASE WHEN op = 'commit' THEN d ELSE sd END, CASE WHEN ok AND item_id = 'view' THEN x WHEN op = 'update' THEN p END
+  FROM c JOIN m ON m.entity_id = c.entity_id AND m.i = c.i + 1)
+SELECT entity_id, seq, error, '{{"click": ' || a || ', "purchase": ' || b || ', "view": ' || d || '}}' AS current, CASE WHEN p IS NULL THEN '{{}}' ELSE '{{"view": ' || p || '}}' END AS pending FROM c WHERE i > 0""",
+    "st7_hysteresis": f"""WITH {READINGS}, p AS (SELECT entity_id, ts_ms, seq, confidence > 0.5 AS present FROM r), b AS (SELECT *, lag(present) OVER w AS was, max(ts_ms) OVER () AS ends FROM p WINDOW w AS (PARTITION BY entity_id ORDER BY ts_ms, seq)),
+f AS (SELECT *, lead(ts_ms) OVER (PARTITION BY entity_id ORDER BY ts_ms, seq) AS upto FROM b WHERE present IS DISTINCT FROM was AND (present OR was IS NOT NULL)),
+x AS (SELECT *, NOT present AND (upto IS NULL OR upto >= ts_ms + 20000000) AS off FROM f),
+o AS (SELECT *, lag(off) OVER (PARTITION BY entity_id ORDER BY ts_ms, seq) AS before FROM x)
+SELECT entity_id, ts_ms AS at_ms, 'on' AS switched FROM o WHERE present AND coalesce(before, true)
+UNION ALL SELECT entity_id, ts_ms + 20000000, 'off' FROM o WHERE off AND (upto IS NOT NULL OR ts_ms + 20000000 <= ends)""",
+}
 #: The SQL of batch twins that have one.
 TWINS = {"st2_identity": ("w4_identity_streak", ("seq", "state_id", "phase", "frames")), "st6_change_only": ("w6_change_only", ("seq", "entity_id", "item_id")), "st10_throttle": ("w16_throttle", ("entity_id", "seq"))}
 
@@ -66,13 +126,18 @@ def _stream_query(name, kind, machine, columns):
 
 for _name, (_kind, _machine) in MACHINES.items():
     _twin, _columns = TWINS.get(_name, (None, None))
-    query(_name, ENTRIES[_twin].sql if _twin else None)(_stream_query(_name, _kind, _machine, _columns))
+    query(_name, ENTRIES[_twin].sql if _twin else SQL.get(_name))(_stream_query(_name, _kind, _machine, _columns))
 
 
-@query("st8_peak_level")
+@query("st8_peak_level", ENTRIES["a17_peak_level"].sql)
 def st8(spark, sf):
-    r = reading_stream(spark, sf).withColumn("value", F.col("value") / 1000)
-    return run.drain(run.peak_levels(r, width="1 day", late="1 hour"))
+    """Peaks as the stream closes their windows, and those that its end leaves open."""
+    level = {"value": F.col("value") / 1000, "ts": F.col("ts").cast("timestamp")}
+    closed = run.drain(run.peak_levels(reading_stream(spark, sf).withColumns(level), width="1 day", late="1 hour"))
+    rows = as_readings(table(spark, sf, "events")).withColumns(level)
+    ends = rows.agg((F.max("ts") - F.expr("interval 1 hour")).alias("ends"))  # one row
+    left = rows.crossJoin(F.broadcast(ends)).where(F.window("ts", "1 day")["end"] > F.col("ends"))
+    return closed.unionByName(st.peak_levels(left, width="1 day")).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("st13_diff_loop")
@@ -93,7 +158,7 @@ def s14(spark, sf):
 
     to = f"{shared_dir(spark).rstrip('/')}/consumer-{uuid.uuid4()}"
     changes = mc.run_stream(reading_stream(spark, sf), mc.changes_only())
-    run.change_feed(changes, lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("append").parquet(to))
+    run.change_feed(changes, lambda df, n: df.write.mode("overwrite").parquet(f"{to}/batch={n}"))  # a repeated batch replaces itself
     return spark.read.parquet(to).select("entity_id", "seq", "item_id")
 
 

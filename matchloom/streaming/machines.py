@@ -41,16 +41,29 @@ class Machine(NamedTuple):
 
 
 def run_batch(df: DataFrame, machine: Machine, *, key: str = "entity_id", order: tuple[str, ...] = ("ts_ms", "seq")) -> DataFrame:
-    def replay(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        state: State = {}
-        rows = [(keys[0], *out) for row in pdf.sort_values(list(order)).itertuples(index=False) for out in machine.feed(state, row)]
-        return pd.DataFrame(rows, columns=[key, *machine.names])
+    """Every key's rows in order past the machine. Sorted rows are streamed: of a
+    key only its state is held, however many rows it has."""
+    schema = f"{key} {dict(df.dtypes)[key]}, {machine.columns}"
 
-    return df.groupBy(key).applyInPandas(replay, f"{key} {dict(df.dtypes)[key]}, {machine.columns}")
+    def replay(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        here: Any = None
+        state: State | None = None
+        for pdf in batches:
+            rows: list[tuple] = []
+            for row in pdf.itertuples(index=False):
+                now = getattr(row, key)
+                if state is None or (now != here and not (pd.isna(now) and pd.isna(here))):
+                    here, state = now, {}
+                rows += [(now, *out) for out in machine.feed(state, row)]
+            yield pd.DataFrame(rows, columns=[key, *machine.names])
+
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(replay, schema)
 
 
 def run_stream(df: DataFrame, machine: Machine, *, key: str = "entity_id", order: tuple[str, ...] = ("ts_ms", "seq"), watermark: tuple[str, str] = ("ts", "0 seconds")) -> DataFrame:
-    """Rows behind the watermark are dropped by it; within a micro-batch they are put in order."""
+    """Rows behind the watermark are dropped by it; within a micro-batch a key's
+    rows are put in order, so a micro-batch should hold no more of a key than a
+    task can (``table_stream`` takes some files at a time)."""
     timed = machine.deadline is not None
 
     def advance(keys: tuple, batches: Iterable[pd.DataFrame], held: GroupState) -> Iterable[pd.DataFrame]:
@@ -72,24 +85,34 @@ def run_stream(df: DataFrame, machine: Machine, *, key: str = "entity_id", order
     return keyed.applyInPandasWithState(advance, f"{key} {kind}, {machine.columns}", "json string", "append", GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.NoTimeout)
 
 
+#: Phases of the settle gate and the state each shows as; ``restless`` is motion after quiet had begun.
+SHOWN = {"idle": "holding_last_good", "moving": "settling", "quiet": "settling", "restless": "settling", "sampled": "sampling_snapshots"}
+#: Phase after an event; where none is given the phase stays.
+AFTER = {
+    "result": dict.fromkeys(SHOWN, "idle"),
+    "motion": {"idle": "moving", "quiet": "restless", "sampled": "restless"},
+    "still": {"moving": "quiet", "restless": "quiet"},
+}
+
+
 def settle_gate(settle_ms: int) -> Machine:
-    """holding_last_good, settling, sampling_snapshots. A published or rejected
-    result re-arms; motion during a quiet period restarts it at that moment."""
+    """Samples are asked for once it has been quiet for ``settle_ms``. Quiet time
+    counts from the first still reading after motion, or from the motion itself
+    where it broke a quiet time; a published or rejected result re-arms the gate."""
 
     def step(s: State, r: Row) -> Iterable[tuple]:
-        s.setdefault("state", "holding_last_good")
-        ask, outcome = False, getattr(r, "outcome", None)
-        if outcome in ("published", "rejected"):
-            s.update(state="holding_last_good", quiet=None, stable=0)
-        elif r.motion:
-            s.update(state="settling", quiet=int(r.ts_ms) if s.get("quiet") is not None else None, stable=0)
-        elif s["state"] == "settling":
-            if s.get("quiet") is None:
-                s["quiet"] = int(r.ts_ms)
-            s["stable"] = int(r.ts_ms) - s["quiet"]
-            if s["stable"] >= settle_ms:
-                s["state"], ask = "sampling_snapshots", True
-        yield int(r.seq), s["state"], ask, s.get("stable", 0)
+        event = "result" if getattr(r, "outcome", None) in ("published", "rejected") else "motion" if r.motion else "still"
+        was, now = s.get("phase", "idle"), int(r.ts_ms)
+        phase = AFTER[event].get(was, was)
+        if phase == "restless" or (was, phase) == ("moving", "quiet"):
+            s["since"] = now
+        if event != "still":
+            s["stable"] = 0
+        elif phase == "quiet":
+            s["stable"] = now - s["since"]
+        ask = phase == "quiet" and s["stable"] >= settle_ms
+        s["phase"] = "sampled" if ask else phase
+        yield int(r.seq), SHOWN[s["phase"]], ask, s.get("stable", 0)
 
     return Machine("seq long, state string, should_sample boolean, stable_for_ms long", step)
 
@@ -272,21 +295,21 @@ def throttled(least_ms: int) -> Machine:
 
 
 def recording(most: int = 500) -> Machine:
-    """Markers between start and stop; the whole timeline comes out at the stop."""
+    """Markers between start and stop: each is a row with its offset, the stop also
+    with their number. Those beyond ``most`` are rows with an error."""
 
     def step(s: State, r: Row) -> Iterable[tuple]:
         if r.marker == "start":
-            s.update(begin=int(r.ts_ms), marks=[])
+            s.update(begin=int(r.ts_ms), n=0)
         if s.get("begin") is None:
             return
-        offset = int(r.ts_ms) - s["begin"]
-        if len(s["marks"]) < most:
-            s["marks"].append([offset, r.marker])
-        if r.marker == "stop":
-            yield s["begin"], offset, len(s["marks"]), json.dumps(s["marks"])
-            s.update(begin=None, marks=[])
-
-    return Machine("begin_ms long, duration_ms long, n int, markers string", step)
+        s["n"] += 1
+        done = r.marker == "stop"
+        yield int(r.seq), s["begin"], int(r.ts_ms) - s["begin"], r.marker, "too_many_markers" if s["n"] > most else None, min(s["n"], most) if done else None
+        if done:
+            s["begin"] = None
+
+    return Machine("seq long, begin_ms long, offset_ms long, marker string, error string, n long", step)
 
 
 def calibration_hold(every: int = 30) -> Machine:
