@@ -12,8 +12,10 @@ from ..operators import matching as mt
 from .catalog import query
 from .tables import METHODS, PREDICTIONS, predictions, table
 
-#: The first so many vectors are queries.
-QUERIES = 100
+#: Vectors whose id this divides are queries, against all others.
+EVERY = 20
+#: Queries and references of ``q`` and ``r`` in SQL.
+MEET = f"q.item_id % {EVERY} = 0 AND q.item_id <> r.item_id"
 
 
 def descriptors(spark, sf):
@@ -28,12 +30,17 @@ def codes(spark, sf):
 
 
 def _split(df):
-    return df.where(F.col("item_id") < QUERIES), df.where(F.col("item_id") >= QUERIES)
+    """Queries and references; an item's results with itself are left out after."""
+    return df.where(F.col("item_id") % EVERY == 0), df
+
+
+def _others(df):
+    return df.where("query_id <> item_id")
 
 
 DESC = f"""e AS (SELECT vec_id AS item_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
 d AS (SELECT item_id, i AS desc_no, v[i * 4 + 1 : i * 4 + 4] AS vec FROM (SELECT item_id, v, unnest(range(0, 16)) AS i FROM e)),
-n AS (SELECT q.item_id AS query_id, q.desc_no AS query_no, r.item_id AS item_id, list_sort(list(list_distance(q.vec, r.vec))) AS ds FROM d q JOIN d r ON q.item_id < {QUERIES} AND r.item_id >= {QUERIES} GROUP BY ALL),
+n AS (SELECT q.item_id AS query_id, q.desc_no AS query_no, r.item_id AS item_id, list_sort(list(list_distance(q.vec, r.vec))) AS ds FROM d q JOIN d r ON {MEET} GROUP BY ALL),
 g AS (SELECT query_id, item_id, count(*) FILTER (ds[1] < 0.79 * ds[2]) AS good, count(*) AS total FROM n GROUP BY ALL)"""
 RANK = """k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM s),
 t AS (SELECT query_id, max(CASE WHEN rank = 1 THEN item_id END) AS predicted_id, max(CASE WHEN rank = 1 THEN score END) AS s1, max(CASE WHEN rank = 2 THEN score END) AS s2, string_agg(item_id::VARCHAR, ',' ORDER BY rank) FILTER (rank <= 3) AS top_ids FROM k GROUP BY 1)"""
@@ -41,12 +48,11 @@ t AS (SELECT query_id, max(CASE WHEN rank = 1 THEN item_id END) AS predicted_id,
 
 @query("j1_knn_join", f"WITH {DESC} SELECT query_id, item_id, good, total FROM g WHERE good > 0")
 def j1(spark, sf):
-    return mt.good_matches(mt.knn_join(*_split(descriptors(spark, sf)), reduce=0.79)).where("good > 0")
+    return _others(mt.good_matches(mt.knn_join(*_split(descriptors(spark, sf)), reduce=0.79))).where("good > 0")
 
 
 def _ranked(spark, sf):
-    scored = mt.run_method("ratio_test", *_split(descriptors(spark, sf)))
-    return mt.rank_candidates(scored)
+    return mt.rank_candidates(_others(mt.run_method("ratio_test", *_split(descriptors(spark, sf)))))
 
 
 def _top(df):
@@ -74,10 +80,10 @@ def flagship(spark, sf):
 def j2(spark, sf):
     """Approximate neighbours and their recall against the exact join."""
     q, r = _split(codes(spark, sf))
-    exact = mt.knn_join(q, r, metric="hamming").select("query_id", "item_id", F.col("d1").alias("exact"))
+    exact = _others(mt.knn_join(q, r, metric="hamming")).select("query_id", "item_id", F.col("d1").alias("exact"))
     at = Window.partitionBy("query_id").orderBy("exact", "item_id")
     nearest = exact.withColumn("rank", F.row_number().over(at)).where("rank <= 5")
-    found = mt.knn_codes_lsh(q, r).select("query_id", "item_id", "d1")
+    found = _others(mt.knn_codes_lsh(q, r)).select("query_id", "item_id", "d1")
     return nearest.join(found, ["query_id", "item_id"], "left").groupBy("query_id").agg(F.count("*").alias("n"), F.count("d1").alias("found"), F.count_if(F.col("d1") != F.col("exact")).alias("wrong"))
 
 
@@ -86,7 +92,7 @@ SELECT t.query_id AS sample_id, predicted_id, CASE WHEN t.query_id % 7 > 0 THEN
   coalesce(t.query_id % 7 > 0 AND list_contains(string_split(top_ids, ','), (100 + t.query_id % 50)::VARCHAR), false) AS top3_contains_expected FROM t""")
 def j9(spark, sf):
     p = _ranked(spark, sf).select(F.col("query_id").alias("sample_id"), "predicted_id", F.transform("candidates", lambda c: c["id"]).alias("top_ids"))
-    labels = table(spark, sf, "embeddings").where(f"vec_id < {QUERIES} and vec_id % 7 > 0").select(F.col("vec_id").alias("sample_id"), (100 + F.col("vec_id") % 50).alias("expected_id"))
+    labels = table(spark, sf, "embeddings").where(f"vec_id % {EVERY} = 0 and vec_id % 7 > 0").select(F.col("vec_id").alias("sample_id"), (100 + F.col("vec_id") % 50).alias("expected_id"))
     return ev.label_join(p, labels).select("sample_id", "predicted_id", "expected_id", "top1_correct", "top3_contains_expected")
 
 
@@ -108,30 +114,31 @@ def a14(spark, sf):
     return _hist(spark, sf)
 
 
-@query("a15_histogram_similarity", f"""WITH {HIST}, st AS (SELECT item_id, sum(n) AS s, sum(n * n) AS q FROM h GROUP BY 1), d AS (SELECT a.item_id AS query_id, b.item_id AS item_id, sum(a.n * b.n) AS dot FROM h a JOIN h b USING (bx, "by") WHERE a.item_id < {QUERIES} AND b.item_id >= {QUERIES} GROUP BY ALL)
+@query("a15_histogram_similarity", f"""WITH {HIST}, st AS (SELECT item_id, sum(n) AS s, sum(n * n) AS q FROM h GROUP BY 1), d AS (SELECT a.item_id AS query_id, b.item_id AS item_id, sum(a.n * b.n) AS dot FROM h a JOIN h b USING (bx, "by") WHERE a.item_id % {EVERY} = 0 AND b.item_id <> a.item_id GROUP BY ALL)
 SELECT query_id, d.item_id, round(greatest(0, least(1, ((dot - x.s * y.s / 36) / nullif(sqrt((x.q - x.s * x.s / 36) * (y.q - y.s * y.s / 36)), 0) + 1) / 2)), 9) AS score FROM d JOIN st x ON x.item_id = query_id JOIN st y ON y.item_id = d.item_id""")
 def a15(spark, sf):
-    return mt.histogram_similarity(*_split(_hist(spark, sf)), 36).select("query_id", "item_id", F.round("score", 9).alias("score"))
+    return _others(mt.histogram_similarity(*_split(_hist(spark, sf)), 36)).select("query_id", "item_id", F.round("score", 9).alias("score"))
 
 
 def _vectors(spark, sf):
+    """Every query's vector beside every other one: ``query_id, q, item_id, v``."""
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     q, r = _split(e)
-    return q.select(F.col("item_id").alias("query_id"), F.col("v").alias("q"), F.col("item_id").alias("b")).join(r, F.col("item_id") % QUERIES == F.col("b"))
+    return r.join(q.select(F.col("item_id").alias("query_id"), F.col("v").alias("q")), F.col("query_id") != F.col("item_id"))
 
 
 @query("a16_mse_similarity", f"""WITH e AS (SELECT vec_id AS item_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)
-SELECT q.item_id AS query_id, r.item_id, round(greatest(0, least(1, 1 - pow(list_distance(q.v, r.v), 2) / len(q.v) / 0.25)), 9) AS score FROM e q JOIN e r ON q.item_id < {QUERIES} AND r.item_id >= {QUERIES} AND r.item_id % {QUERIES} = q.item_id""")
+SELECT q.item_id AS query_id, r.item_id, round(greatest(0, least(1, 1 - pow(list_distance(q.v, r.v), 2) / len(q.v) / 0.25)), 9) AS score FROM e q JOIN e r ON {MEET}""")
 def a16(spark, sf):
     return _vectors(spark, sf).select("query_id", "item_id", F.round(mt.mse_similarity(F.col("q"), F.col("v"), 0.5), 9).alias("score"))
 
 
-@query("j11_score_fusion", f"""WITH {DESC}, m AS (SELECT q.item_id AS query_id, r.item_id, greatest(0, least(1, 1 - pow(list_distance(q.v, r.v), 2) / len(q.v) / 0.25)) AS other FROM e q JOIN e r ON q.item_id < {QUERIES} AND r.item_id >= {QUERIES} AND r.item_id % {QUERIES} = q.item_id)
+@query("j11_score_fusion", f"""WITH {DESC}, m AS (SELECT q.item_id AS query_id, r.item_id, greatest(0, least(1, 1 - pow(list_distance(q.v, r.v), 2) / len(q.v) / 0.25)) AS other FROM e q JOIN e r ON {MEET})
 SELECT query_id, item_id, round(good / total::DOUBLE * 0.68 + other * 0.32, 9) AS score FROM g JOIN m USING (query_id, item_id)""")
 def j11(spark, sf):
     a = mt.run_method("ratio_test", *_split(descriptors(spark, sf)))
     b = _vectors(spark, sf).select("query_id", "item_id", mt.mse_similarity(F.col("q"), F.col("v"), 0.5).alias("score"))
-    return mt.fuse(a, b).select("query_id", "item_id", F.round("score", 9).alias("score"))
+    return mt.fuse(_others(a), b).select("query_id", "item_id", F.round("score", 9).alias("score"))
 
 
 def _matches(spark, sf):
@@ -149,10 +156,10 @@ def a21(spark, sf):
     return mt.inlier_vote(_matches(spark, sf), cell=2).select("query_id", "item_id", "matches", "inliers", F.round("ratio", 9).alias("ratio"), F.round("score", 6).alias("score"), "reject_reason")
 
 
-@query("a22_recognise", f"""WITH {VOTE}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY (reject_reason IS NOT NULL), score DESC, item_id) AS r FROM w), q AS (SELECT unnest(range(0, 60)) AS query_id)
+@query("a22_recognise", f"""WITH {VOTE}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY (reject_reason IS NOT NULL), score DESC, item_id) AS r FROM w), q AS (SELECT DISTINCT p_partkey % 60 AS query_id FROM part)
 SELECT q.query_id, CASE WHEN k.reject_reason IS NULL THEN k.item_id END AS item_id, round(coalesce(score, 0.0), 6) AS score, CASE WHEN k.matches IS NULL THEN 'no_candidate' ELSE reject_reason END AS reject_reason FROM q LEFT JOIN k ON k.query_id = q.query_id AND r = 1""")
 def a22(spark, sf):
-    wanted = spark.range(60).select(F.col("id").alias("query_id"))
+    wanted = table(spark, sf, "part").select((F.col("p_partkey") % 60).alias("query_id")).distinct()
     return mt.recognise(wanted, mt.inlier_vote(_matches(spark, sf), cell=2)).select("query_id", "item_id", F.round("score", 6).alias("score"), "reject_reason")
 
 
@@ -163,7 +170,7 @@ def g1(spark, sf):
     d = d.withColumn("code", sc.sign_code(F.col("vec")) + F.col("whole").bitwiseAND(F.lit(-16).cast("long")))
     out = None
     for name in mt.REGISTRY:
-        best = mt.rank_candidates(mt.run_method(name, *_split(d)), keys=("method", "query_id")).select("method", "query_id", "predicted_id", "confidence")
+        best = mt.rank_candidates(_others(mt.run_method(name, *_split(d))), keys=("method", "query_id")).select("method", "query_id", "predicted_id", "confidence")
         out = best if out is None else out.unionByName(best)
     return out
 

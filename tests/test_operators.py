@@ -97,10 +97,33 @@ def test_nearest_neighbours_and_ranking(spark):
     assert rows(mt.good_matches(mt.knn_join(q, r, reduce=0.79))) == rows(mt.good_matches(mt.knn_join(q, r))) == [(1, 7, 2, 2), (1, 8, 0, 2)]
     with pytest.raises(ValueError):
         mt.run_method("none", q, r)
+    odd = r.unionByName(spark.createDataFrame([(9, 0, None), (9, 1, []), (None, 0, [1.0, 1.0]), (9, 2, [None, 1.0]), (9, 3, [1.0, 2.0, 3.0])], r.schema))
+    assert rows(mt.good_matches(mt.knn_join(q.unionByName(odd.where("item_id = 9")), odd, reduce=0.79)))[:2] == [(1, 7, 2, 2), (1, 8, 0, 2)]
+    assert mt.knn_join(q, r.limit(0)).collect() == [] == mt.knn_join(q.limit(0), r).collect()
     best = mt.rank_candidates(spark.createDataFrame([(1, 7, 0.9), (1, 8, 0.9), (1, 9, 0.1)], "query_id long, item_id long, score double")).first()
     assert (best.predicted_id, best.gap, best.ambiguous) == (7, 0.0, True)
 
 
+@pytest.mark.parametrize("metric", ["l2", "hamming"])
+def test_items_in_parts_have_the_same_neighbours(spark, monkeypatch, metric):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    made = [(i, k, [float(x) for x in rng.normal(size=3)], int(rng.integers(-(2**63), 2**63 - 1))) for i in range(12) for k in range(1 + 3 * i)]
+    d = spark.createDataFrame(made, "item_id long, desc_no int, vec array<double>, code long").repartition(3)
+    q = d.where("item_id % 4 = 3")
+    whole, counts = rows(mt.knn_join(q, d, metric=metric)), rows(mt.good_matches(mt.knn_join(q, d, metric=metric, reduce=0.9)))
+    assert len(whole) == q.count() * 12
+    by = {i: [m for m in made if m[0] == i] for i in range(12)}
+    far = (lambda a, b: sum((x - y) ** 2 for x, y in zip(a[2], b[2], strict=True)) ** 0.5) if metric == "l2" else (lambda a, b: float(((a[3] ^ b[3]) & (2**64 - 1)).bit_count()))
+    for qid, no, item, d1, d2 in whole:
+        mine = sorted(far(by[qid][no], m) for m in by[item])
+        assert d1 == pytest.approx(mine[0]) and (d2 == pytest.approx(mine[1]) if len(mine) > 1 else d2 is None)
+    monkeypatch.setattr(mt, "PART", 5)
+    assert rows(mt.knn_join(q, d, metric=metric)) == whole
+    assert rows(mt.good_matches(mt.knn_join(q, d, metric=metric, reduce=0.9))) == counts
+
+
 @pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
 def test_approximate_neighbours_recall(spark, sf):
     from matchloom.plans import matching as pm
