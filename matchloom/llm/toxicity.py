@@ -48,18 +48,18 @@ class Machine:
 
 
 def _terms(labelled: DataFrame) -> DataFrame:
-    """``toxic, terms``: each text's distinct buckets."""
-    schema = pa.schema([("toxic", pa.int32()), ("terms", pa.list_(pa.int32()))])
+    """``toxic, place, terms``: each text's distinct buckets."""
+    schema = pa.schema([("toxic", pa.int32()), ("place", pa.int64()), ("terms", pa.list_(pa.int32()))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1):
-                hashes, bounds = word_hashes(part.column(1), NOT_LETTER)
+            for part in slices(batch, 2):
+                hashes, bounds = word_hashes(part.column(2), NOT_LETTER)
                 bucket = (hashes & np.uint64(BUCKETS - 1)).astype(np.int32)
                 terms = [np.unique(bucket[lo:hi]) for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(terms, pa.list_(pa.int32()))], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(terms, pa.list_(pa.int32()))], schema=schema)
 
-    return labelled.mapInArrow(work, "toxic int, terms array<int>")
+    return labelled.mapInArrow(work, "toxic int, place long, terms array<int>")
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", seed: int = 0) -> Machine:
@@ -69,41 +69,49 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(F.col(label_col)).cast("int").alias("__toxic"))
     picked = bounded(known, SAMPLE, id_col)
     joined = docs.select(id_col, F.col(text_col).alias("__text")).join(F.broadcast(picked), id_col)
-    held = _terms(joined.select(F.col("__toxic").alias("toxic"), F.col("__text").alias("text"))).toPandas()
-    toxic, feature = held["toxic"].to_numpy(float), np.full(BUCKETS, -1, np.int32)
+    held = _terms(joined.select(F.col("__toxic").alias("toxic"), F.xxhash64(id_col, "__text").alias("place"), F.col("__text").alias("text"))).toArrow()
+    order = np.argsort(held["place"].to_numpy(), kind="stable")  # whatever order Spark gave
+    toxic, lists, feature = held["toxic"].to_numpy()[order].astype(float), held["terms"].combine_chunks(), np.full(BUCKETS, -1, np.int32)
     if not len(toxic) or toxic.sum() in (0, len(toxic)):
         rate = (toxic.sum() + 0.5) / (len(toxic) + 1) if len(toxic) else 0.01
         return Machine(feature, float(np.log(rate / (1 - rate))), np.zeros(1), np.zeros((1, FACTORS)))
-    seen = np.unique(np.concatenate([*held["terms"], np.zeros(0, np.int32)])).astype(np.int64)
+    lists = lists.take(pa.array(order))
+    terms, sizes = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False)
+    seen = np.unique(terms)
     feature[seen] = np.arange(len(seen))
-    return _fit(feature, [feature[np.asarray(t, np.int64)] for t in held["terms"]], toxic, seed)
+    return _fit(feature, feature[terms], sizes, toxic, seed)
 
 
-def _fit(feature: np.ndarray, rows: list[np.ndarray], toxic: np.ndarray, seed: int, epochs: int = 12, batch: int = 256) -> Machine:
+def _fit(feature: np.ndarray, terms: np.ndarray, sizes: np.ndarray, toxic: np.ndarray, seed: int, epochs: int = 12, batch: int = 256) -> Machine:
     """AdaGrad over batches; a step touches the features of its rows only.
 
     Every feature counts with its evidence: how far its number of toxic documents
     lies from chance, in standard deviations, with five of them as whole weight.
     So the many terms of few documents stay, but cannot be learned by heart."""
     rng = np.random.default_rng(seed)
-    order = sorted(range(len(rows)), key=lambda i: (toxic[i], len(rows[i]), rows[i].tobytes()))  # whatever order Spark gave
-    rows, toxic = [rows[i].astype(np.int64) for i in order], toxic[order]
+    begin = np.cumsum(sizes) - sizes
+
+    def of(some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of some rows each of their terms is in, and the terms."""
+        n = sizes[some]
+        text = np.repeat(np.arange(len(some)), n)
+        return text, terms[np.arange(len(text)) + (begin[some] - np.cumsum(n) + n)[text]]
+
     size = max(1, int(feature.max()) + 1)
     machine = Machine(feature, float(np.log(toxic.mean() / (1 - toxic.mean()))), np.zeros(size), rng.normal(0, 0.03, (size, FACTORS)))
-    test = rng.random(len(rows)) < 0.2
+    test = rng.random(len(toxic)) < 0.2
     train_rows = np.flatnonzero(~test)
-    count = lambda which: np.bincount(np.concatenate([*(rows[i] for i in which), np.zeros(0, np.int64)]), minlength=size)
+    count = lambda which: np.bincount(of(which)[1], minlength=size)
     n, rate = count(train_rows), toxic[~test].mean() if len(train_rows) else 0.5
     far = (count(train_rows[toxic[train_rows] > 0]) - n * rate) / np.sqrt(n * rate * (1 - rate) + 5)
     evidence = np.minimum(1, (far / 5) ** 2)
     machine.factor *= evidence[:, None]
     square_w, square_v = np.full(size, 1e-3), np.full((size, FACTORS), 1e-3)
-    sizes = np.array([len(r) for r in rows])
     for _ in range(epochs):
         rng.shuffle(train_rows)
         for lo in range(0, len(train_rows), batch):
             some = train_rows[lo : lo + batch]
-            text, f = np.repeat(np.arange(len(some)), sizes[some]), np.concatenate([rows[i] for i in some])
+            text, f = of(some)
             z = machine._margin(text, f, len(some))
             grad = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - toxic[some]) / len(some)
             here, at = np.unique(f, return_inverse=True)
@@ -118,8 +126,8 @@ def _fit(feature: np.ndarray, rows: list[np.ndarray], toxic: np.ndarray, seed: i
                 value[here] -= pace * scale * g / np.sqrt(s[here])
             machine.bias -= 0.1 * float(grad.sum())
     # The cut that the rows set apart like best (by F1) becomes log odds 0.
-    pick = np.flatnonzero(test) if toxic[test].sum() >= 20 else np.arange(len(rows))
-    z = machine._margin(np.repeat(np.arange(len(pick)), sizes[pick]), np.concatenate([rows[i] for i in pick]), len(pick))
+    pick = np.flatnonzero(test) if toxic[test].sum() >= 20 else np.arange(len(toxic))
+    z = machine._margin(*of(pick), len(pick))
     by = np.argsort(-z, kind="stable")
     hits = np.cumsum(toxic[pick][by])
     f1 = 2 * hits / (np.arange(1, len(by) + 1) + toxic[pick].sum())
