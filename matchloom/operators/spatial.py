@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,29 +11,48 @@ from ..functions import boxes as bx
 from ..session import reliable
 from .components import connected_components
 
+#: Edge of the smallest grid cells; those of level k have 2^k times as much.
 CELL = 16
 
 
-def _celled(df: DataFrame, grow: int = 0) -> DataFrame:
-    """A row for each grid cell that a box, grown by ``grow``, touches."""
-    span = lambda lo, hi: F.sequence(F.floor((lo - grow) / CELL), F.floor((hi + grow) / CELL))
+def _celled(df: DataFrame, grow: int, top: int, above: bool) -> DataFrame:
+    """A row for each grid cell that a box, grown by ``grow``, touches on the level
+    of its size (at most two a side), or on every level ``above`` it up to ``top``."""
     b = bx.Box.of()
-    return df.where(b.x.isNotNull()).withColumn("cx", F.explode(span(b.x, b.right))).withColumn("cy", F.explode(span(b.y, b.bottom)))
+    level = F.greatest(F.lit(0), F.ceil(F.log2((F.greatest(b.w, b.h, F.lit(1)) + 2 * grow) / CELL))).cast("int")
+    levels = F.when(level < top, F.sequence(level + 1, F.lit(top))).otherwise(F.array().cast("array<int>")) if above else F.array(level)
+    edge = CELL * F.pow(F.lit(2.0), "level")
+    span = lambda lo, hi: F.sequence(F.floor((lo - grow) / edge), F.floor((hi + grow) / edge))
+    out = df.where(b.x.isNotNull()).withColumn("level", F.explode(levels))
+    return out.withColumn("cx", F.explode(span(b.x, b.right))).withColumn("cy", F.explode(span(b.y, b.bottom)))
+
+
+_PLACE = ["frame_id", "level", "cx", "cy"]
 
 
 def _side(df: DataFrame, s: str) -> DataFrame:
-    return df.select("frame_id", "cx", "cy", *(F.col(c).alias(f"{s}_{c}") for c in df.columns if c not in ("frame_id", "cx", "cy")))
+    return df.select(*_PLACE, *(F.col(c).alias(f"{s}_{c}") for c in df.columns if c not in _PLACE))
 
 
 def overlaps(a: DataFrame, b: DataFrame, holds: Column, grow: int = 0) -> DataFrame:
     """Pairs of boxes of one frame for which ``holds`` (over ``a_*`` and ``b_*``).
 
-    Boxes meet by equal grid cell, so the work is local to a place; a pair that
-    shares several cells is kept in the one where its intersection begins.
+    Boxes meet by equal grid cell on the level of the larger one, so the work is
+    local to a place and a large box has few cells; a pair that shares several
+    cells is kept in the one where its intersection begins.
     """
-    met = _side(_celled(a, grow), "a").join(_side(_celled(b, grow), "b"), ["frame_id", "cx", "cy"])
-    home = lambda c, axis: F.col(c) == F.floor((F.greatest(F.col(f"a_{axis}"), F.col(f"b_{axis}")) - grow) / CELL)
-    return met.where(home("cx", "x") & home("cy", "y") & holds).drop("cx", "cy")
+    sides = bx.Box.of()
+    most = lambda df: df.agg(F.max(F.greatest(sides.w, sides.h))).first()[0] or 1
+    largest = most(a) if a is b else max(most(a), most(b))
+    top = max(0, math.ceil(math.log2((largest + 2 * grow) / CELL))) if largest > 0 else 0
+    own = lambda df: _celled(df, grow, top, False)
+    up = lambda df: _celled(df, grow, top, True)
+    level_b = own(b).unionByName(up(b)) if top else own(b)
+    met = _side(own(a), "a").join(_side(level_b, "b"), _PLACE)
+    if top:
+        met = met.unionByName(_side(up(a), "a").join(_side(own(b), "b"), _PLACE))
+    home = lambda c, axis: F.col(c) == F.floor((F.greatest(F.col(f"a_{axis}"), F.col(f"b_{axis}")) - grow) / (CELL * F.pow(F.lit(2.0), "level")))
+    return met.where(home("cx", "x") & home("cy", "y") & holds).drop("level", "cx", "cy")
 
 
 def iou_join(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
@@ -78,12 +99,16 @@ def best_in_region(boxes: DataFrame, regions: DataFrame) -> DataFrame:
     """Candidates of each region by rank: centre inside first, else any overlap,
     else the frame's only region; by score within each. ``frame_id, region_id,
     box_id, how, rank``."""
-    r = regions.select("frame_id", F.col("box_id").alias("b_box_id"), *(F.col(c).alias(f"b_{c}") for c in "xywh"))
-    b = boxes.select("frame_id", *(F.col(c).alias(f"a_{c}") for c in ("box_id", "x", "y", "w", "h", "score")))
-    sole = regions.groupBy("frame_id").agg((F.count("*") == 1).alias("sole"))
     a_, b_ = bx.Box.of("a_"), bx.Box.of("b_")
-    how = F.when(bx.center_inside(a_, b_), 1).when(bx.intersection(a_, b_) > 0, 2).when(F.col("sole"), 3)
-    pairs = b.join(r, "frame_id").join(sole, "frame_id").withColumn("how", how).where("how is not null")
+    how = F.when(bx.center_inside(a_, b_), 1).when(bx.intersection(a_, b_) > 0, 2)
+    keep = lambda df: df.select("frame_id", "a_box_id", "a_score", "b_box_id", "how")
+    sole = regions.groupBy("frame_id").agg(F.count("*").alias("n")).where("n = 1").select("frame_id")
+    # A frame's only region meets every box; of several regions each meets what is near.
+    r = regions.join(sole, "frame_id", "left_semi").select("frame_id", F.col("box_id").alias("b_box_id"), *(F.col(c).alias(f"b_{c}") for c in "xywh"))
+    b = boxes.select("frame_id", *(F.col(c).alias(f"a_{c}") for c in ("box_id", "x", "y", "w", "h", "score")))
+    alone = keep(b.join(r, "frame_id").withColumn("how", F.coalesce(how, F.lit(3))))
+    near = keep(overlaps(boxes, regions.join(sole, "frame_id", "left_anti"), how.isNotNull()).withColumn("how", how))
+    pairs = alone.unionByName(near)
     tier = Window.partitionBy("frame_id", "b_box_id")
     pairs = pairs.withColumn("first", F.min("how").over(tier)).where("how = first")
     at = tier.orderBy(F.desc("a_score"), "a_box_id")

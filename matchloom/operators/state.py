@@ -6,8 +6,9 @@ row share one shuffle on the entity.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,8 +100,6 @@ def smooth(df: DataFrame, value: str, alpha: float, *, key: str = "entity_id", o
     The recurrence is a sum with geometric weights, so a long series is cut into
     chunks: each is summed by itself and the chunks' ends are chained.
     """
-    import pandas as pd
-
     w = _over([key], order)
     given = df.withColumn("nth", F.row_number().over(w) - 1).withColumn("part", F.floor(F.col("nth") / chunk))
     keep = 1 - alpha
@@ -116,10 +115,19 @@ def smooth(df: DataFrame, value: str, alpha: float, *, key: str = "entity_id", o
 
     local = given.groupBy(key, "part").applyInPandas(run, given.withColumn("local", F.lit(0.0)).schema)
     ends = local.groupBy(key, "part").agg(F.max_by("local", "nth").alias("end"), F.count("*").alias("n"))
-    before = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    chained = ends.withColumn("past", F.collect_list(F.struct("end", "n")).over(before))  # one entry for each chunk
-    start = F.aggregate("past", F.lit(0.0), lambda s, p: p["end"] + s * F.pow(F.lit(keep), p["n"]))
-    return local.join(chained.select(key, "part", start.alias("start")), [key, "part"]).select(*df.columns, (F.col("local") + F.col("start") * F.pow(F.lit(keep), F.col("nth") % chunk + 1)).alias("smoothed"))
+
+    def chain(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        here, now = None, 0.0
+        for pdf in batches:  # a row for each chunk, in order
+            starts = []
+            for k, end, n in zip(pdf[key], pdf["end"], pdf["n"], strict=True):
+                here, now = k, now if k == here else 0.0
+                starts.append(now)
+                now = end + now * keep**n
+            yield pdf[[key, "part"]].assign(start=starts)
+
+    starts = ends.repartition(key).sortWithinPartitions(key, "part").mapInPandas(chain, ends.select(key, "part", F.lit(0.0).alias("start")).schema)
+    return local.join(starts, [key, "part"]).select(*df.columns, (F.col("local") + F.col("start") * F.pow(F.lit(keep), F.col("nth") % chunk + 1)).alias("smoothed"))
 
 
 def timeline(df: DataFrame, *, keys=("entity_id",), order=("ts_ms", "seq")) -> DataFrame:
@@ -164,18 +172,21 @@ def evenly_spaced(df: DataFrame, n: int, *, order: Sequence[str], keys: Sequence
 
 
 def throttle(df: DataFrame, least_ms: int, *, key: str = "entity_id", order=("ts_ms", "seq")) -> DataFrame:
-    """At most one row per ``least_ms`` since the last one kept, by a scan of each key."""
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(order))
-        last, kept = None, []
-        for t in pdf["ts_ms"]:
-            kept.append(last is None or t - last >= least_ms)
-            last = t if kept[-1] else last
-        return pdf[kept]
-
-    return df.groupBy(key).applyInPandas(run, df.schema)
+    """At most one row per ``least_ms`` since the last one kept. Sorted rows are
+    streamed; of a key only the last kept time is held."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        here, last = None, None
+        for pdf in batches:
+            kept = []
+            for k, t in zip(pdf[key], pdf["ts_ms"], strict=True):
+                if k != here:
+                    here, last = k, None
+                kept.append(last is None or t - last >= least_ms)
+                last = t if kept[-1] else last
+            yield pdf[kept]
+
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, df.schema)
 
 
 def median_baseline(df: DataFrame, *, key: str = "key", value: str = "value", threshold: float) -> DataFrame:

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import tables as tb
-from ..session import shared_dir
+from ..session import reliable, shared_dir
 from ..sources import files as fs
 from .catalog import query
 from .tables import PREDICTIONS, READINGS, predictions, readings, table
@@ -33,9 +33,9 @@ def s1(spark, sf):
 def s3(spark, sf):
     to = _folder(spark)
     deck = F.struct(F.col("n_name").alias("id"), F.lower(F.substring("n_name", 1, 3)).alias("prefix"), (F.col("n_regionkey") + 2).alias("card_count"))
-    table(spark, sf, "nation").agg(F.collect_list(deck).alias("decks")).write.json(to)
+    table(spark, sf, "nation").select(F.array(deck).alias("decks")).write.json(to)
     active = table(spark, sf, "nation").where("n_regionkey in (1, 3)").select(F.col("n_name").alias("deck_id"))
-    return fs.read_catalogue(spark, to, active)
+    return fs.read_catalogue(spark, to, active, lines=True)
 
 
 @query("s4_matrix_csv", f"WITH {PREDICTIONS} SELECT method, category, count(*) AS n, count(*) FILTER (is_known) AS known, count(*) FILTER (top1_correct) AS correct, round(sum(runtime_ms), 4) AS runtime_ms FROM p GROUP BY ALL")
@@ -45,13 +45,13 @@ def s4(spark, sf):
     return fs.read_matrix(spark, to).groupBy("method", "category").agg(F.count("*").alias("n"), F.count_if("is_known").alias("known"), F.count_if("top1_correct").alias("correct"), F.round(F.sum("runtime_ms"), 4).alias("runtime_ms"))
 
 
-@query("s5_report", "SELECT event_type, count(*) AS n, count(*) AS nested FROM events GROUP BY 1")
+@query("s5_report", "SELECT event_type, count(*) OVER (PARTITION BY event_type) AS n, event_id, value FROM events")
 def s5(spark, sf):
     to = _folder(spark)
     e = table(spark, sf, "events")
     fs.write_report(e.groupBy("event_type").agg(F.count("*").alias("n")), e.select("event_type", "event_id", "value"), to, "event_type")
     back = spark.read.schema("event_type string, n long, rows array<struct<event_id:long,value:double>>").json(to)
-    return back.select("event_type", "n", F.size("rows").cast("long").alias("nested"))
+    return back.select("event_type", "n", F.explode("rows").alias("r")).select("event_type", "n", "r.event_id", "r.value")
 
 
 @query("s6_file_tree", "SELECT DISTINCT 'priority=' || o_orderpriority AS deck, 'status=' || o_orderstatus AS mat FROM orders")
@@ -78,28 +78,32 @@ def s8(spark, sf):
     s = table(spark, sf, "supplier")
     key = F.col("s_suppkey").cast("string")
     label = F.struct(key.alias("k"), F.struct(F.col("s_name").alias("expected_id"), F.lit("upright").alias("orientation")).alias("v"))
-    doc = s.agg(F.collect_list(F.struct(key.alias("sample_id"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("category"))).alias("samples"), F.map_from_entries(F.collect_list(F.when(F.col("s_suppkey") % 3 > 0, label))).alias("labels"))
-    doc.write.json(to)
-    return fs.read_fixture(spark, to).select("sample_id", "category", "expected_id", "orientation")
+    sample = F.struct(key.alias("sample_id"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("category"))
+    s = s.withColumn("document", F.floor(F.col("s_suppkey") / 100))
+    docs = s.groupBy("document").agg(F.collect_list(sample).alias("samples"), F.map_from_entries(F.collect_list(F.when(F.col("s_suppkey") % 3 > 0, label))).alias("labels"))
+    docs.drop("document").write.json(to)
+    return fs.read_fixture(spark, to, lines=True).select("sample_id", "category", "expected_id", "orientation")
 
 
-@query("s10_session_log", "SELECT 'u' || user_id % 5 AS scenario, event_type AS event, count(*) AS n FROM events GROUP BY ALL")
+@query("s10_session_log", "SELECT 'u' || user_id % 5 AS scenario, event_type AS event, event_id, value FROM events")
 def s10(spark, sf):
     to = _folder(spark)
     e = table(spark, sf, "events").select(F.concat(F.lit("u"), (F.col("user_id") % 5).cast("string")).alias("scenario"), F.col("event_type").alias("event"), "event_id", "value")
     fs.append_session_log(e.where("event_id % 2 = 0"), to)
     fs.append_session_log(e.where("event_id % 2 = 1"), to)
-    back = spark.read.schema("event_id long, value double, scenario string, event string").json(to)
-    return back.groupBy("scenario", "event").agg(F.count("*").alias("n"))
+    return spark.read.schema("event_id long, value double, scenario string, event string").json(to)
 
 
-@query("s12_tree_fingerprint", "SELECT 'status=' || o_orderstatus AS folder, true AS unchanged FROM orders GROUP BY 1")
+@query("s12_tree_fingerprint", "SELECT 'status=' || o_orderstatus AS folder, o_orderstatus <> 'P' AS unchanged FROM orders GROUP BY o_orderstatus")
 def s12(spark, sf):
-    """A folder tree, and whether its fingerprints stay when files are read again."""
+    """A folder tree, of which one folder gets more files, and whose fingerprints stay."""
     to = _folder(spark)
-    table(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status")).write.partitionBy("status").json(to)
-    clean = lambda df: df.where("folder like 'status=%'")
-    before, after = clean(fs.tree_fingerprint(spark, to)), clean(fs.tree_fingerprint(spark, to))
+    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
+    o.write.partitionBy("status").json(to)
+    clean = lambda df: reliable(df.where("folder like 'status=%'"))
+    before = clean(fs.tree_fingerprint(spark, to))
+    o.where("status = 'P'").write.partitionBy("status").mode("append").json(to)
+    after = clean(fs.tree_fingerprint(spark, to))
     return before.join(after.withColumnsRenamed({"digest": "again", "files": "f"}), "folder").select("folder", (F.col("digest") == F.col("again")).alias("unchanged"))
 
 
@@ -108,18 +112,16 @@ RAW = """CASE event_id % 8 WHEN 0 THEN '{"type":"tuning_update","param":"p","val
  WHEN 6 THEN '{"type":"profile_save"}' ELSE '{"type":"studio_save_timeline","recording_id":"r","markers":[{"timestamp_ms":' || (event_id % 50 - 10) || ',"type":"operator_marker"}]}' END"""
 
 
-@query("s13_control_messages", """SELECT coalesce(code, 'VALID') AS outcome, count(*) AS n FROM (SELECT CASE event_id % 8 WHEN 0 THEN NULL WHEN 1 THEN CASE WHEN event_id % 30 / 20.0 > 1 THEN 'OUT_OF_RANGE' END WHEN 2 THEN 'INVALID_JSON' WHEN 3 THEN 'UNSUPPORTED_TYPE' WHEN 4 THEN CASE WHEN event_id % 3 = 0 THEN 'INVALID_NAME' END
- WHEN 5 THEN CASE WHEN event_id % 3 = 0 THEN 'INVALID_LIST' END WHEN 6 THEN 'MISSING_FIELD' ELSE CASE WHEN event_id % 50 < 10 THEN 'INVALID_MARKER' END END AS code FROM events) GROUP BY 1""")
+@query("s13_control_messages", """SELECT event_id, coalesce(code, 'VALID') AS outcome FROM (SELECT event_id, CASE event_id % 8 WHEN 0 THEN NULL WHEN 1 THEN CASE WHEN event_id % 30 / 20.0 > 1 THEN 'OUT_OF_RANGE' END WHEN 2 THEN 'INVALID_JSON' WHEN 3 THEN 'UNSUPPORTED_TYPE' WHEN 4 THEN CASE WHEN event_id % 3 = 0 THEN 'INVALID_NAME' END
+ WHEN 5 THEN CASE WHEN event_id % 3 = 0 THEN 'INVALID_LIST' END WHEN 6 THEN 'MISSING_FIELD' ELSE CASE WHEN event_id % 50 < 10 THEN 'INVALID_MARKER' END END AS code FROM events)""")
 def s13(spark, sf):
     valid, rejected = fs.parse_messages(table(spark, sf, "events").select("event_id", F.expr(RAW).alias("raw")))
-    outcomes = rejected.select(F.col("error_code").alias("outcome")).unionByName(valid.select(F.lit("VALID").alias("outcome")))
-    return outcomes.groupBy("outcome").agg(F.count("*").alias("n"))
+    return rejected.select("event_id", F.col("error_code").alias("outcome")).unionByName(valid.select("event_id", F.lit("VALID").alias("outcome")))
 
 
 @query("s15_review_index", f"""WITH {PREDICTIONS}, e AS (SELECT DISTINCT sample_id, unnest([{{'d': 'category', 'v': category}}, {{'d': 'orientation', 'v': orientation}}]) AS x FROM p WHERE NOT accepted AND confidence_gap > 0.07)
-SELECT x.d AS dimension, x.v AS value, count(*) AS n, min(sample_id) AS first, max(sample_id) AS last FROM e GROUP BY ALL""")
+SELECT DISTINCT x.d AS dimension, x.v AS value, sample_id FROM e""")
 def s15(spark, sf):
     rows = predictions(spark, sf).where(~F.col("accepted") & (F.col("confidence_gap") > 0.07))
     broken = tb.violations(("UNKNOWN_METHOD", rows.where("method is null"), "sample_id"))
-    out = fs.review_index(rows, broken, ("category", "orientation"))
-    return out.select("dimension", "value", F.size("ids").cast("long").alias("n"), F.array_min("ids").alias("first"), F.array_max("ids").alias("last"))
+    return fs.review_index(rows, broken, ("category", "orientation"))

@@ -29,27 +29,48 @@ def j4(spark, sf):
     return sp.unoccupied(*_halves(spark, sf)).select("frame_id", "box_id")
 
 
-@query("j5_assignment")
+def _sql_taking(lists: str, owner: str, columns: str) -> str:
+    """Each owner, in order, takes the first candidate of its list (``l``: structs with ``b``) that none before it took."""
+    return f"""{lists}, o AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY {owner}) AS i FROM k),
+c(frame_id, i, {owner}, x, used) AS (SELECT DISTINCT frame_id, 0::BIGINT, 0::BIGINT, NULL::STRUCT(b BIGINT, iou DOUBLE), []::BIGINT[] FROM o
+  UNION ALL SELECT frame_id, i, {owner}, x, CASE WHEN x IS NULL THEN used ELSE list_append(used, x.b) END FROM (SELECT o.*, used, list_filter(l, lambda y: NOT list_contains(used, y.b))[1] AS x FROM c JOIN o ON o.frame_id = c.frame_id AND o.i = c.i + 1))
+SELECT {columns} FROM c WHERE x IS NOT NULL"""
+
+
+def _sql_suppressed(order: str, least: float) -> str:
+    """Boxes that no box kept before overlaps by ``least``, in some order."""
+    cut = "greatest(0, least(k.x + k.w, n.x + n.w) - greatest(k.x, n.x)) * greatest(0, least(k.y + k.h, n.y + n.h) - greatest(k.y, n.y))"
+    iou = f"({cut})::DOUBLE / (k.w * k.h + n.w * n.h - {cut})"
+    return f"""WITH RECURSIVE {BOXES}, n AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY {order}, box_id) AS i FROM b),
+c(frame_id, i, box_id, stays, kept) AS (SELECT DISTINCT frame_id, 0::BIGINT, 0::BIGINT, false, []::STRUCT(x BIGINT, y BIGINT, w BIGINT, h BIGINT)[] FROM n
+  UNION ALL SELECT frame_id, i, box_id, stays, CASE WHEN stays THEN list_append(kept, {{'x': x, 'y': y, 'w': w, 'h': h}}) ELSE kept END
+  FROM (SELECT n.*, kept, len(list_filter(kept, lambda k: {iou} >= {least})) = 0 AS stays FROM c JOIN n ON n.frame_id = c.frame_id AND n.i = c.i + 1))"""
+
+
+@query("j5_assignment", _sql_taking(f"WITH RECURSIVE {BOXES}, {PAIR}, k AS (SELECT frame_id, a_box_id, list({{'b': b_box_id, 'iou': iou}} ORDER BY iou DESC, b_box_id) AS l FROM x WHERE iou >= 0.5 GROUP BY ALL)", "a_box_id", "frame_id, a_box_id, x.b AS b_box_id, x.iou AS iou"))
 def j5(spark, sf):
     return sp.assign(*_halves(spark, sf), 0.5)
 
 
-@query("j6_best_in_region", f"""WITH {BOXES}, r AS (SELECT * FROM b WHERE box_id <= 2), s AS (SELECT frame_id, count(*) = 1 AS sole FROM r GROUP BY 1),
+BEST = f"""{BOXES}, r AS (SELECT * FROM b WHERE box_id <= 2), s AS (SELECT frame_id, count(*) = 1 AS sole FROM r GROUP BY 1),
 h AS (SELECT a.frame_id, c.box_id AS region_id, a.box_id, a.score, CASE WHEN a.x + a.w / 2 BETWEEN c.x AND c.x + c.w AND a.y + a.h / 2 BETWEEN c.y AND c.y + c.h THEN 1 WHEN {sql_intersection('a', 'c')} > 0 THEN 2 WHEN sole THEN 3 END AS how FROM b a JOIN r c USING (frame_id) JOIN s USING (frame_id) WHERE a.box_id > 2),
-f AS (SELECT *, min(how) OVER (PARTITION BY frame_id, region_id) AS best FROM h WHERE how IS NOT NULL)
-SELECT frame_id, region_id, box_id, how, row_number() OVER (PARTITION BY frame_id, region_id ORDER BY score DESC, box_id) AS rank FROM f WHERE how = best""")
+f AS (SELECT *, min(how) OVER (PARTITION BY frame_id, region_id) AS best FROM h WHERE how IS NOT NULL),
+z AS (SELECT frame_id, region_id, box_id, how, row_number() OVER (PARTITION BY frame_id, region_id ORDER BY score DESC, box_id) AS rank FROM f WHERE how = best)"""
+
+
+@query("j6_best_in_region", f"WITH {BEST} SELECT * FROM z")
 def j6(spark, sf):
     b = boxes(spark, sf)
     return sp.best_in_region(b.where("box_id > 2"), b.where("box_id <= 2"))
 
 
-@query("j6_region_assignment")
+@query("j6_region_assignment", _sql_taking(f"WITH RECURSIVE {BEST}, k AS (SELECT frame_id, region_id, list({{'b': box_id, 'iou': 0.0::DOUBLE}} ORDER BY rank) AS l FROM z GROUP BY ALL)", "region_id", "frame_id, region_id, x.b AS box_id"))
 def j6b(spark, sf):
     b = boxes(spark, sf)
     return sp.assign_regions(sp.best_in_region(b.where("box_id > 2"), b.where("box_id <= 2")))
 
 
-@query("i1_suppression")
+@query("i1_suppression", _sql_suppressed("score DESC", 0.55) + " SELECT frame_id, box_id FROM c WHERE stays")
 def i1(spark, sf):
     b = boxes(spark, sf)
     return sp.suppress(b, 0.55, rank=-F.col("score")).select("frame_id", "box_id")
@@ -88,13 +109,12 @@ def t4(spark, sf):
     return tb.grid(spark, {"lo": [k * 10 for k in keys], "hi": [k * 12 for k in keys], "step": [1, 2]}, F.col("lo") < F.col("hi"), 15)
 
 
-@query("u2_union_then_suppress")
+@query("u2_union_then_suppress", _sql_suppressed("w * h DESC", 0.75) + " SELECT frame_id, box_id, CASE WHEN box_id % 2 = 0 THEN 'first' ELSE 'second' END AS detector FROM c WHERE stays")
 def u2(spark, sf):
-    """Boxes of two detectors with the better of both kept, and which detector gave more."""
+    """Boxes of two detectors, the larger of those that overlap."""
     a, b = _halves(spark, sf)
     tagged = a.withColumn("detector", F.lit("first")).unionByName(b.withColumn("detector", F.lit("second")))
-    kept = sp.suppress(tagged, 0.75, rank=-(F.col("w") * F.col("h")))
-    return kept.groupBy("detector").agg(F.count("*").alias("n"))
+    return sp.suppress(tagged, 0.75, rank=-(F.col("w") * F.col("h"))).select("frame_id", "box_id", "detector")
 
 
 @query("j7_prefix_join", "SELECT p_partkey AS part, CASE WHEN starts_with(p_type, 'SM') THEN 'small' WHEN starts_with(p_type, 'S') THEN 'other' WHEN starts_with(p_type, 'STANDARD') THEN 'std' ELSE 'unknown' END AS owner FROM part")
@@ -241,8 +261,9 @@ def y2(spark, sf):
     return tb.append_new(given, e.select(sc.stable_id(u, F.lit("click")).alias("stable_id")))
 
 
-@query("g3_document_rows", "SELECT conv_id, count(*) AS turns, count(DISTINCT role) AS roles FROM conversations GROUP BY 1")
+@query("g3_document_rows", "SELECT doc_id, i - 1 AS line_no, length(l[i]) AS n_chars FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))")
 def g3(spark, sf):
-    """Documents nested and exploded again."""
-    docs = table(spark, sf, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("turn", "role")).alias("turns"))
-    return docs.select("conv_id", F.explode("turns").alias("t")).groupBy("conv_id").agg(F.count("*").alias("turns"), F.countDistinct("t.role").alias("roles"))
+    """One document gives many rows: its lines."""
+    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.length("line").cast("long").alias("n_chars"))
+

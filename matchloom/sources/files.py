@@ -23,10 +23,11 @@ def read_telemetry(spark: SparkSession, path: str, *, stream: bool = False) -> D
     return (spark.readStream if stream else spark.read).schema(TELEMETRY).json(path)
 
 
-def read_catalogue(spark: SparkSession, manifest: str, active: DataFrame) -> DataFrame:
-    """``deck_id, prefix, item_no, item_id`` of the active decks of a manifest document."""
+def read_catalogue(spark: SparkSession, manifest: str, active: DataFrame, *, lines: bool = False) -> DataFrame:
+    """``deck_id, prefix, item_no, item_id`` of the active decks of manifest
+    documents: one a file, or with ``lines`` one a line."""
     schema = "decks array<struct<id:string,prefix:string,card_count:int>>"
-    decks = spark.read.schema(schema).option("multiLine", True).json(manifest).select(F.explode("decks").alias("d"))
+    decks = spark.read.schema(schema).option("multiLine", not lines).json(manifest).select(F.explode("decks").alias("d"))
     decks = decks.select(F.col("d.id").alias("deck_id"), F.col("d.prefix").alias("prefix"), F.col("d.card_count").alias("n")).join(active.select("deck_id").distinct(), "deck_id", "left_semi")
     numbered = decks.where("n > 0").select("deck_id", "prefix", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("item_no"))
     return numbered.withColumn("item_id", F.concat("prefix", F.lit("_"), F.lpad(F.col("item_no").cast("string"), 2, "0")))
@@ -45,9 +46,13 @@ def read_timings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TIMINGS).option("header", True).csv(path)
 
 
-def write_report(summary: DataFrame, rows: DataFrame, path: str, key: str) -> None:
-    """A document for each summary row with its rows nested."""
-    nested = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*[c for c in rows.columns if c != key]))).alias("rows"))
+def write_report(summary: DataFrame, rows: DataFrame, path: str, key: str, *, per_document: int = 1000) -> None:
+    """Documents of each summary row with its rows nested, about ``per_document``
+    of them in each: ``key, part``, the summary's columns and ``rows``."""
+    parts = rows.groupBy(key).agg(F.ceil(F.count("*") / per_document).alias("__parts"))
+    inner = [c for c in rows.columns if c != key]
+    dealt = rows.join(parts, key).withColumn("part", F.pmod(F.xxhash64(*inner), F.col("__parts")))
+    nested = dealt.groupBy(key, "part").agg(F.sort_array(F.collect_list(F.struct(*inner))).alias("rows"))
     summary.join(nested, key, "left").write.mode("overwrite").json(path)
 
 
@@ -66,10 +71,11 @@ def tree_fingerprint(spark: SparkSession, root: str, depth: int = 1) -> DataFram
     return one.groupBy("folder").agg(F.count("*").alias("files"), F.sha2(F.array_join(F.sort_array(F.collect_list("sha")), ","), 256).alias("digest"))
 
 
-def read_fixture(spark: SparkSession, path: str) -> DataFrame:
-    """Samples of a document joined with its map of labels."""
+def read_fixture(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
+    """Samples of fixture documents (one a file, or with ``lines`` one a line)
+    joined with their maps of labels."""
     schema = "samples array<struct<sample_id:string,category:string>>, labels map<string,struct<expected_id:string,orientation:string>>"
-    doc = spark.read.schema(schema).option("multiLine", True).json(path)
+    doc = spark.read.schema(schema).option("multiLine", not lines).json(path)
     samples = doc.select(F.explode("samples").alias("s")).select("s.*")
     labels = doc.select(F.explode("labels").alias("sample_id", "l")).select("sample_id", "l.*")
     return samples.join(labels, "sample_id", "left")
@@ -81,10 +87,10 @@ def append_session_log(events: DataFrame, path: str) -> None:
 
 
 def review_index(decisions: DataFrame, found_violations: DataFrame, by: Sequence[str]) -> DataFrame:
-    """``dimension, value, ids`` for review; empty unless validation passed."""
+    """``dimension, value, sample_id`` for review, each once; empty unless validation passed."""
     clean = found_violations.agg((F.count("*") == 0).alias("ok"))
     entries = F.explode(F.array(*(F.struct(F.lit(c).alias("dimension"), F.col(c).cast("string").alias("value")) for c in by))).alias("e")
-    out = decisions.select("sample_id", entries).groupBy("e.dimension", "e.value").agg(F.sort_array(F.collect_set("sample_id")).alias("ids"))
+    out = decisions.select("sample_id", entries).select("e.dimension", "e.value", "sample_id").distinct()
     return out.crossJoin(F.broadcast(clean)).where("ok").drop("ok")  # one row
 
 

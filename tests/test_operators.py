@@ -202,3 +202,23 @@ def test_smooth_over_chunks(spark):
         want.append(current)
     got = [r.smoothed for r in st.smooth(df, "value", 0.08, chunk=7).orderBy("seq").collect()]
     assert got == pytest.approx(want)
+
+
+def test_boxes_of_all_sizes_meet(spark):
+    import random
+
+    from matchloom.operators import spatial as sp
+
+    rng = random.Random(6)
+    size = lambda: rng.choice([0, 1, 5, 16, 17, 40, 300, 5000, 100_000])
+    made = [(rng.randint(0, 1), i, rng.randint(-400, 400), rng.randint(-400, 400), size(), size(), 0.5) for i in range(70)]
+    df = spark.createDataFrame(made, "frame_id int, box_id int, x long, y long, w long, h long, score double")
+    a, b = df.where("box_id % 2 = 0"), df.where("box_id % 2 = 1")
+    touch = lambda p, q, g: p[2] - g <= q[2] + q[4] and q[2] - g <= p[2] + p[4] and p[3] - g <= q[3] + q[5] and q[3] - g <= p[3] + p[5]
+    for grow in (0, 7):
+        c = lambda s, n: F.col(f"{s}_{n}")
+        holds = (c("a", "x") - grow <= c("b", "x") + c("b", "w")) & (c("b", "x") - grow <= c("a", "x") + c("a", "w")) & (c("a", "y") - grow <= c("b", "y") + c("b", "h")) & (c("b", "y") - grow <= c("a", "y") + c("a", "h"))
+        got = rows(sp.overlaps(a, b, holds, grow).select("a_box_id", "b_box_id"))
+        assert got == sorted((p[1], q[1]) for p in made for q in made if p[1] % 2 == 0 and q[1] % 2 == 1 and p[0] == q[0] and touch(p, q, grow))
+    assert sp._celled(a, 0, 13, False).count() <= 9 * a.count()
+    assert sp.overlaps(a.limit(0), b, F.lit(True)).collect() == []
