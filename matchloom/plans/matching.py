@@ -10,7 +10,7 @@ from ..functions import scores as so
 from ..operators import evaluate as ev
 from ..operators import matching as mt
 from .catalog import query
-from .tables import METHODS, PREDICTIONS, predictions, table
+from .tables import BOXES, METHODS, PREDICTIONS, boxes, predictions, table
 
 #: Vectors whose id this divides are queries, against all others.
 EVERY = 20
@@ -175,6 +175,15 @@ def g1(spark, sf):
     return out
 
 
+@query("g2_injected_steps", f"""WITH {BOXES}, c AS (SELECT frame_id, box_id, greatest(0, least(x + w, 45) - x) * greatest(0, least(y + h, 50) - y) AS area, w FROM b WHERE score >= 0.05)
+SELECT f.frame_id, box_id, CASE WHEN area >= 500 THEN 'item-' || w % 4 END AS item_id, CASE WHEN box_id IS NULL THEN 'no_candidate' WHEN area >= 500 THEN 'recognised' ELSE 'unrecognised' END AS status FROM (SELECT DISTINCT frame_id FROM b) f LEFT JOIN c USING (frame_id)""")
+def g2(spark, sf):
+    """Boxes of a good score, clipped to the frame, told by their width where enough is left of them."""
+    area = F.greatest(F.lit(0), F.least(F.col("x") + F.col("w"), F.lit(45)) - F.col("x")) * F.greatest(F.lit(0), F.least(F.col("y") + F.col("h"), F.lit(50)) - F.col("y"))
+    name = F.when(F.col("area") >= 500, F.concat(F.lit("item-"), (F.col("w") % 4).cast("string")))
+    return mt.analyse(boxes(spark, sf), find=lambda d: d.where("score >= 0.05"), crop=lambda d: d.withColumn("area", area), recognise=lambda d: d.withColumn("item_id", name))
+
+
 ROUND = "round(avg({0}::INT){1}, 9)"
 EVAL = """count(*) AS n, count(*) FILTER (is_known) AS known, count(*) FILTER (NOT is_known) AS wrong, round(avg(top1_correct::INT) FILTER (is_known), 9) AS top1, round(avg(top3_contains_expected::INT) FILTER (is_known), 9) AS top3,
   round(avg(false_accept::INT) FILTER (NOT is_known), 9) AS false_accept_rate, round(avg(confidence_gap), 9) AS mean_gap, round(avg(runtime_ms), 6) AS mean_ms, quantile_cont(runtime_ms, 0.5) AS p50_ms, round(quantile_cont(runtime_ms, 0.95), 6) AS p95_ms"""

@@ -140,7 +140,18 @@ def st8(spark, sf):
     return closed.unionByName(st.peak_levels(left, width="1 day")).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query("st13_diff_loop")
+@query("st13_diff_loop", """WITH RECURSIVE s AS (SELECT year(o_orderdate) AS y, o_custkey AS key, sum(o_totalprice) AS value FROM orders GROUP BY ALL), b AS (SELECT key, quantile_cont(value, 0.5) AS base FROM s WHERE key % 5 > 0 GROUP BY 1),
+o AS (SELECT y, row_number() OVER (ORDER BY y) AS i FROM (SELECT DISTINCT y FROM s)), v AS (SELECT i, key, value FROM s JOIN o USING (y)), pc AS (SELECT a.i AS p, c.i AS c FROM o a JOIN o c ON a.i < c.i),
+f AS (SELECT p, c, key, sum(value) FILTER (i = p) AS before, sum(value) FILTER (i = c) AS after FROM pc JOIN v ON i = p OR i = c GROUP BY ALL),
+k AS (SELECT f.*, abs(coalesce(before, 0) - coalesce(after, 0)) > 300000 AS changed, CASE WHEN base IS NULL THEN 1.0 ELSE coalesce(before, 0) / base END >= 0.5 AS had, CASE WHEN base IS NULL THEN 1.0 ELSE coalesce(after, 0) / base END >= 0.5 AS has FROM f LEFT JOIN b USING (key)),
+g AS (SELECT p, c, avg(changed::INT) >= 0.6 AS shifted, count(*) FILTER (changed) AS n, coalesce(list(key) FILTER (changed AND NOT had AND has), []) AS added, coalesce(list(key) FILTER (changed AND had AND NOT has), []) AS removed, coalesce(list(key) FILTER (changed AND had AND has), []) AS moved FROM k GROUP BY ALL),
+z(i, committed, outcome, a, r, m, t, v) AS (SELECT 1::BIGINT, 1::BIGINT, 'waiting_for_diff_pair', 0::BIGINT, 0::BIGINT, 0::BIGINT, []::BIGINT[], []::BIGINT[]
+  UNION ALL SELECT g.c, CASE WHEN shifted AND n > 0 THEN committed ELSE g.c END, CASE WHEN shifted AND n > 0 THEN 'resync_required' WHEN len(added) + len(removed) + len(moved) > 0 THEN 'state_updated' WHEN n > 0 THEN 'noise_or_lighting' ELSE 'no_state_change' END,
+    CASE WHEN shifted THEN 0 ELSE len(added) END, CASE WHEN shifted THEN 0 ELSE len(removed) END, CASE WHEN shifted OR len(added) > 0 THEN 0 ELSE len(moved) END,
+    CASE WHEN shifted THEN t ELSE list_distinct(list_concat(list_filter(t, lambda x: NOT list_contains(removed, x)), added)) END,
+    CASE WHEN shifted THEN v ELSE list_distinct(list_concat(list_filter(v, lambda x: NOT list_contains(removed, x) AND NOT list_contains(added, x)), CASE WHEN len(added) > 0 THEN [] ELSE list_filter(moved, lambda x: list_contains(t, x)) END)) END
+  FROM z JOIN g ON g.p = z.committed AND g.c = z.i + 1)
+SELECT y::VARCHAR AS snapshot_id, outcome, a AS added, r AS removed, m AS moved, len(t)::BIGINT AS tracked, len(v)::BIGINT AS to_reverify FROM z JOIN o USING (i)""")
 def st13(spark, sf):
     o = table(spark, sf, "orders")
     yearly = o.groupBy(F.year("o_orderdate").alias("snapshot_id"), F.col("o_custkey").alias("key")).agg(F.sum("o_totalprice").alias("value"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import state as st
-from ..session import shared_dir
+from ..session import reliable, shared_dir
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, files_at_once: int | None = None) -> DataFrame:
@@ -42,28 +42,40 @@ def peak_levels(stream: DataFrame, *, ts: str = "ts", width: str = "150 millisec
 
 
 def diff_loop(snapshots: DataFrame, baseline: DataFrame, order: list, *, noise: float, threshold: float, shift_share: float = 0.45) -> DataFrame:
-    """Each snapshot against the last committed one: ``snapshot_id, outcome,
-    added, removed, moved``. A shift of the whole scene is discarded (and asks for
-    a resync); a change is applied and committed; so is a quiet snapshot.
+    """Each snapshot against the last committed one, applied to the table of
+    tracked keys: ``snapshot_id, outcome, added, removed, moved, tracked,
+    to_reverify``. A shift of the whole scene is discarded (and asks for a resync).
+    Otherwise removed keys leave the table, moved ones are marked for
+    verification unless something was added (additions are looked at first), added
+    ones are locked, and the snapshot is committed; so is a quiet one.
 
     What is committed depends on the outcome before, so snapshots go one by one;
-    each comparison is a distributed join and gives one row.
+    each comparison is a distributed join and gives one row, and the table is
+    written to the shared folder.
     """
     spark, rows, committed = snapshots.sparkSession, [], None
+    table = snapshots.select("key", F.lit(False).alias("reverify")).limit(0)
+    tracked, due = 0, 0
     for snapshot_id in order:
         current = snapshots.where(F.col("snapshot_id") == snapshot_id).select("key", "value")
         if committed is None:
-            rows.append((str(snapshot_id), "waiting_for_diff_pair", 0, 0, 0))
+            rows.append((str(snapshot_id), "waiting_for_diff_pair", 0, 0, 0, 0, 0))
             committed = current
             continue
-        found = st.snapshot_diff(committed, current, baseline, noise=noise, threshold=threshold, shift_share=shift_share)
+        found = reliable(st.snapshot_diff(committed, current, baseline, noise=noise, threshold=threshold, shift_share=shift_share))
         n = lambda k: F.count_if(F.col("kind") == k)
         shifted, added, removed, moved, all_ = found.agg(F.max("shifted"), n("added"), n("removed"), n("moved_or_replaced"), F.count("*")).first()
         if shifted:
-            rows.append((str(snapshot_id), "resync_required", 0, 0, 0))
+            rows.append((str(snapshot_id), "resync_required", 0, 0, 0, tracked, due))
             continue
-        moved = 0 if added else moved  # additions are looked at first
+        moved = 0 if added else moved
         outcome = "state_updated" if added or removed or moved else "noise_or_lighting" if all_ else "no_state_change"
-        rows.append((str(snapshot_id), outcome, added, removed, moved))
+        if added or removed or moved:
+            seen = table.withColumn("held", F.lit(True)).join(found.where("kind <> 'noise_or_lighting'").select("key", "kind"), "key", "full_outer")
+            mark = F.when(F.col("kind") == "added", False).when((F.col("kind") == "moved_or_replaced") & F.lit(bool(moved)), True).otherwise(F.col("reverify"))
+            stays = (F.col("kind") == "added") | (F.col("held") & (F.col("kind").isNull() | (F.col("kind") != "removed")))
+            table = reliable(seen.where(F.coalesce(stays, F.lit(False))).select("key", mark.alias("reverify")))
+            tracked, due = table.agg(F.count("*"), F.count_if("reverify")).first()
+        rows.append((str(snapshot_id), outcome, added, removed, moved, tracked, due))
         committed = current
-    return spark.createDataFrame(rows, "snapshot_id string, outcome string, added long, removed long, moved long")
+    return spark.createDataFrame(rows, "snapshot_id string, outcome string, added long, removed long, moved long, tracked long, to_reverify long")
