@@ -250,7 +250,8 @@ def scan(docs: DataFrame, scanner: Scanner, *, id_col: str = "doc_id", text_col:
     repeated results; of equally similar templates the first holds (null without
     a family). Whole texts are read; other columns are not carried.
     """
-    near = paragraphs(docs, id_col, text_col).select("doc_id", "paragraph", runs(F.col("body"), scanner.known).alias("runs"))
+    once = F.explode(F.array(runs(F.col("body"), scanner.known)))  # else the filter below would compute the runs anew
+    near = paragraphs(docs, id_col, text_col).select("doc_id", "paragraph", once.alias("runs"))
     near = near.where((F.size("runs") > 0) & scanner.reachable(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.split(r, " "))))))
     terms = _fixed(list(scanner.vocabulary.vocabulary), "array<string>")  # others count nowhere
     found = reliable(near.select("doc_id", "paragraph", F.array_intersect(_grams_of_runs(F.col("runs")), terms).alias("grams")))
