@@ -91,7 +91,7 @@ def pieces(docs: DataFrame, capacity: int, *, id_col: str = "doc_id", text_col:
     return rows.select("doc_id", "source", "cluster", "all", F.explode(starts).alias("start")).select("doc_id", "source", "cluster", "start", F.least(F.col("all") - F.col("start"), F.lit(capacity)).cast("int").alias("n_tokens"))
 
 
-def pack_documents(docs: DataFrame, *, capacity: int = 2048, group_rows: int = 4000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster: Column | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, *, capacity: int = 2048, group_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster: Column | None = None) -> DataFrame:
     """One row per piece: ``doc_id, start, n_tokens, source, bin_group, bin``.
 
     In a bin (``bin_group``, ``bin``) the tokens are ``capacity`` at most and no
@@ -101,7 +101,7 @@ def pack_documents(docs: DataFrame, *, capacity: int = 2048, group_rows: int = 4
     Every row is packed, repeated ones too; ties of length go by hash, id and
     start; an empty table gives no rows. Groups have about ``group_rows`` pieces
     by a hash of all of a piece's columns, so that a hot source or cluster is
-    spread over all groups.
+    spread over all groups; the tightest bin is that of a piece's own group.
     """
     cut = reliable(pieces(docs, capacity, id_col=id_col, text_col=text_col, source_col=source_col, cluster=cluster))
     groups = max(1, -(-cut.count() // group_rows))
