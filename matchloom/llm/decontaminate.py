@@ -46,14 +46,18 @@ def _seeded(df: DataFrame, ids: list[str], masks: list[str]) -> DataFrame:
     return at.select(*ids, seed.alias("seed"), "pos").where("seed is not null")
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _key(id_col: str, text_col: str) -> Column:
     """A row's identity: its id (null told apart from every id) and its text's hash."""
-    return docs.select("*", F.struct(F.col(id_col).isNull().alias("no"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), F.xxhash64(text_col).alias("print")).alias("__row"))
+    return F.struct(F.col(id_col).isNull().alias("no"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), F.xxhash64(text_col).alias("print"))
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(id_col, text_col, _key(id_col, text_col).alias("__row"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document row and benchmark item that overlap: ``__row`` (see
-    ``_keyed``), the item and ``matched``, the most equal tokens on a diagonal.
+    ``_key``), the item and ``matched``, the most equal tokens on a diagonal.
 
     Null and empty texts overlap with nothing. Equal items are reported each,
     items with a null id under that null; repeated document rows are reported
@@ -93,10 +97,13 @@ def _equal(j: Column) -> Column:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **items: str) -> DataFrame:
-    """The document rows that no benchmark item overlaps with, columns as they were."""
+    """The document rows that no benchmark item overlaps with. Null and empty
+    texts, null ids and repeated rows stay; columns of any names are as they
+    were; an empty table gives no rows."""
     found = reliable(leaks(docs, benchmark, id_col=id_col, text_col=text_col, **items).select("__row").distinct())
     small = found.count() <= SENT_HITS
-    return _keyed(docs, id_col, text_col).join(F.broadcast(found) if small else found, "__row", "left_anti").drop("__row")
+    keyed = docs.select(F.struct(*docs.columns).alias("__doc"), _key(id_col, text_col).alias("__row"))
+    return keyed.join(F.broadcast(found) if small else found, "__row", "left_anti").select("__doc.*")
 
 
 def op6_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -310,6 +310,7 @@ def keep_one(docs: DataFrame, *, n: int = 5, id_col: str = "doc_id", text_col: s
     """One row of each group of linked rows, columns as they were: that of the
     smallest id, null ids last, among rows of one id by text. Of repeated rows
     (equal id and text) one stays; rows without words are no copies and all stay.
+    Columns of any names are as they were; an empty table gives no rows.
     """
     members, links, count = jaccard_classes(docs, n=n, id_col=id_col, text_col=text_col)
     held = members.where("key is not null").groupBy(*ROW, "key").agg(F.count("*").alias("c"))
@@ -320,11 +321,11 @@ def keep_one(docs: DataFrame, *, n: int = 5, id_col: str = "doc_id", text_col: s
     marked = reliable(marked.select(F.col("row").alias("__row"), F.col("stays").alias("__again")))
     found = marked.count()
     sent = F.broadcast(marked) if found <= SENT_IDS else marked
-    judged = docs.withColumn("__row", F.struct(*_row(id_col, text_col))).join(sent, "__row", "left")
-    rest = judged.where("__again is null").select(*docs.columns)
+    judged = docs.select(F.struct(*docs.columns).alias("__doc"), F.struct(*_row(id_col, text_col)).alias("__row")).join(sent, "__row", "left")
+    rest = judged.where("__again is null").select("__doc.*")
     if marked.where("__again").isEmpty():
         return rest
-    return rest.unionByName(judged.where("__again").dropDuplicates(["__row"]).select(*docs.columns))
+    return rest.unionByName(judged.where("__again").dropDuplicates(["__row"]).select("__doc.*"))
 
 
 def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -218,7 +218,9 @@ def op1_language_id(spark, sf_dir: str) -> DataFrame:
 
 def keep_identified(docs: DataFrame, *, least: float = 0.3) -> DataFrame:
     """The documents with letters whose language is told with a score of ``least``
-    or more; the language is learned from the ``lang`` that these documents carry."""
+    or more; the language is learned from the ``lang`` that these documents carry.
+    Null and empty texts go; null ids stay and repeated rows stay repeated; columns
+    of any names are as they were; an empty table gives no rows."""
     model = train(docs.where(~_held_out()))
-    judged = docs.withColumn("__verdict", _verdict(model, docs.sparkSession, "text"))
-    return judged.where((F.col("__verdict.lang_pred") != "und") & (F.col("__verdict.score") >= least)).select(*docs.columns)
+    judged = docs.select(F.struct(*docs.columns).alias("doc"), _verdict(model, docs.sparkSession, "text").alias("verdict"))
+    return judged.where((F.col("verdict.lang_pred") != "und") & (F.col("verdict.score") >= least)).select("doc.*")

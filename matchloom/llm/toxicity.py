@@ -172,7 +172,9 @@ def op7_toxicity(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, *, most: float = 0.5) -> DataFrame:
-    """The documents with a toxicity score under ``most``."""
+    """The documents with a toxicity score under ``most``. Null and empty texts
+    have the machine's bias as score; null ids and repeated rows are rows like
+    others; columns of any names are as they were; an empty table gives no rows."""
     machine = train(docs, labels.where(~_held_out()))
-    judged = docs.withColumn("__score", _scores(machine, docs.sparkSession, "text"))
-    return judged.where(F.col("__score") < most).select(*docs.columns)
+    judged = docs.select(F.struct(*docs.columns).alias("doc"), _scores(machine, docs.sparkSession, "text").alias("score"))
+    return judged.where(F.col("score") < most).select("doc.*")

@@ -39,3 +39,19 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert dirty == {301} and ids("decontamination") == ids("jaccard_join") - dirty
     assert ids("packing") == ids("decontamination")
     assert {(r.doc_id, r.bin_group, r.bin) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {(r.doc_id, r.bin_group, r.bin) for r in at["packing"]}
+
+
+def test_stages_take_odd_rows_and_names(spark, tmp_path):
+    names = ["doc", "verdict", "score", "row", "key", "item", "print", "no", "id"]
+    rows = [(i, f"word{i % 3} kamo tire moka {i}", "aa", None, 1) for i in range(20)] + [(None, None, None, None, None), (3, "", "bb", "s", 0), (None, "schu ganzei", "bb", "s", 2), (None, "schu ganzei", "bb", "s", 2)]
+    docs = spark.createDataFrame([(*r, *["x"] * len(names)) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    for name, schema in (("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    for given in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, given, str(tmp_path))
+            got = out.collect()
+            if name != "packing":
+                assert out.columns == docs.columns and all(r.verdict == "x" for r in got)
+            if given is docs:
+                assert len(got) == {"language_id": 22, "jaccard_join": 23}.get(name, 24)
