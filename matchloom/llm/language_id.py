@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import reliable
-from .samples import bounded
+from .samples import first, thinned
 from .words import _VALUE, NOT_LETTER, _pieces, _power, mix, raw, slices
 
 LONGEST = 5
@@ -137,7 +137,7 @@ def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     ids), whole texts. Spark counts and hashes; the driver gets the hash and count of
     every word and n-gram of the sample once for each language."""
     usable = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    picked = bounded(usable.select(id_col).distinct(), SAMPLE, id_col)
+    picked = first(thinned(usable.select(id_col), SAMPLE, id_col).distinct(), SAMPLE, id_col)
     some = usable.join(F.broadcast(picked), id_col, "left_semi").select(F.col(lang_col).alias("lang"), F.lower(text_col).alias("text"))
     counts = some.select("lang", F.explode(F.split("text", r"[^a-z\x{80}-\x{10FFFF}]+")).alias("word")).where("word <> ''").groupBy("lang", "word").count()
     counts = reliable(counts)

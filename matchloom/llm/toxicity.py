@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .samples import bounded
+from .samples import first, thinned
 from .words import NOT_LETTER, slices, word_hashes
 
 #: Learning looks at so many labelled documents at most; terms are hashed to so
@@ -66,8 +66,9 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     """Learn from ``SAMPLE`` labelled documents at most (those of the smallest
     hashed ids; where labels of one id differ the larger holds). Spark hashes the
     terms of their whole texts; the driver fits the machine on the buckets."""
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(F.col(label_col)).cast("int").alias("__toxic"))
-    picked = bounded(known, SAMPLE, id_col)
+    some = thinned(labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()), SAMPLE, id_col)
+    known = some.groupBy(id_col).agg(F.max(F.col(label_col)).cast("int").alias("__toxic"))
+    picked = first(known, SAMPLE, id_col)
     joined = docs.select(id_col, F.col(text_col).alias("__text")).join(F.broadcast(picked), id_col)
     held = _terms(joined.select(F.col("__toxic").alias("toxic"), F.xxhash64(id_col, "__text").alias("place"), F.col("__text").alias("text"))).toArrow()
     order = np.argsort(held["place"].to_numpy(), kind="stable")  # whatever order Spark gave
