@@ -76,7 +76,14 @@ def i1(spark, sf):
     return sp.suppress(b, 0.55, rank=-F.col("score")).select("frame_id", "box_id")
 
 
-@query("i2_box_merge")
+@query("i2_box_merge", f"""WITH RECURSIVE {BOXES}, l AS (SELECT frame_id, list({{'id': box_id, 'x': x * 9, 'y': y * 9, 'r': x * 9 + w, 'd': y * 9 + h, 'area': w * h, 'n': 1::BIGINT}} ORDER BY box_id) AS l FROM b GROUP BY 1),
+c(frame_id, l, p) AS (SELECT frame_id, l, NULL::STRUCT(i BIGINT, j BIGINT) FROM l
+  UNION ALL SELECT frame_id, CASE WHEN p IS NULL THEN l ELSE list_append(list_filter(l, lambda x: x.id <> l[p.i].id AND x.id <> l[p.j].id),
+    {{'id': least(l[p.i].id, l[p.j].id), 'x': least(l[p.i].x, l[p.j].x), 'y': least(l[p.i].y, l[p.j].y), 'r': greatest(l[p.i].r, l[p.j].r), 'd': greatest(l[p.i].d, l[p.j].d), 'area': l[p.i].area + l[p.j].area, 'n': l[p.i].n + l[p.j].n}}) END, coalesce(p, {{'i': -1::BIGINT, 'j': -1::BIGINT}})
+  FROM (SELECT frame_id, l, list_filter(flatten(list_transform(range(1, len(l) + 1), lambda i: list_transform(range(i + 1, len(l) + 1), lambda j: {{'i': i, 'j': j}}))),
+    lambda q: NOT (l[q.i].r + 12 < l[q.j].x OR l[q.j].r + 12 < l[q.i].x OR l[q.i].d + 12 < l[q.j].y OR l[q.j].d + 12 < l[q.i].y))[1] AS p FROM c WHERE p IS NULL OR p.i > 0)),
+u AS (SELECT frame_id, unnest(l) AS x FROM c WHERE p.i < 0)
+SELECT frame_id, x.id AS box_id, x.x AS x, x.y AS y, x.r - x.x AS w, x.d - x.y AS h, x.area AS area, x.n AS n FROM u""")
 def i2(spark, sf):
     b = boxes(spark, sf)
     far = b.withColumns({"x": F.col("x") * 9, "y": F.col("y") * 9})
