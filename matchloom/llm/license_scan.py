@@ -184,7 +184,7 @@ def train(corpus: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     ``CONTRARY``, from fragments of the templates that name none, and from ``PLAIN`` paragraphs
     of the sample that hold no half of any template. Half of the sample's documents
     train the classes. On the other half, which the classes have not seen, the
-    calibration is fitted. Null ids and texts and repeated rows are rows like others.
+    calibration is fitted. Null ids and texts are rows like others; repeated rows count once.
     """
     spark = corpus.sparkSession
     rows = spark.createDataFrame([(i, f, t) for i, (f, t) in enumerate(TEMPLATES)], "template int, family string, body string").coalesce(1)
@@ -204,7 +204,9 @@ def train(corpus: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     vocabulary = vocabulary.setBinary(True) if hasattr(vocabulary, "setBinary") else vocabulary
     out = Scanner(labels, vocabulary, None, None, held)
     # Paragraphs of the corpus.
-    some = bounded(corpus.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), SAMPLE, "doc_id", "text")
+    placed = corpus.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("place"))
+    picked = bounded(placed.select("place"), SAMPLE, "place")
+    some = placed.join(F.broadcast(picked), "place", "left_semi").dropDuplicates(["place"])  # repeated rows count once
     said = paragraphs(some).select((F.abs(F.xxhash64("doc_id", "body")) % 2 == 0).alias("test"), "body")
     said = reliable(said.select("test", "body", _grams_of_runs(runs(F.col("body"), out.known)).alias("grams")))
     each = _fixed([r.pairs for r in templates], "array<array<string>>")
