@@ -14,6 +14,7 @@ import json
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -145,24 +146,24 @@ class Scanner:
         """False only where the classifier gives less than ``CERTAIN`` to these
         words in any order.
 
-        The log odds of any licence are at most log(classes - 1) + the largest
-        intercept + the sum of each present term's best weight, both against no
-        licence, where that is positive. A term is present only with all its
-        words, so its weight is put on the longest of them."""
+        Against no licence, a class has its intercept and at most the weights of
+        its terms that are positive. A term is present only with all its words, so
+        its weight is put on the longest of them; the odds of any licence are
+        the sum over the classes."""
         slope, base = float(self.calibration.coefficients[0]), float(self.calibration.intercept)
         if slope <= 0:
             return F.lit(True)
         weights, intercepts = self.classes.coefficientMatrix.toArray(), self.classes.interceptVector.toArray()
-        most = (weights[1:] - weights[0]).max(axis=0)
-        gain: dict[str, float] = {}
-        for term, w in zip(self.vocabulary.vocabulary, most, strict=True):
-            if w > 0:
-                word = max(term.split(" "), key=lambda x: (len(x), x))
-                gain[word] = gain.get(word, 0.0) + float(w)
-        start = math.log(len(self.labels) - 1) + float((intercepts[1:] - intercepts[0]).max())
-        need = (math.log(CERTAIN / (1 - CERTAIN)) - base) / slope - start - 1e-6
+        more, gain = np.maximum(0, weights[1:] - weights[0]), {}
+        for term, w in zip(self.vocabulary.vocabulary, more.T, strict=True):
+            word = max(term.split(" "), key=lambda x: (len(x), x))
+            gain[word] = gain.get(word, 0) + w
+        gain = {word: w.tolist() for word, w in gain.items() if w.any()}
+        need = (math.log(CERTAIN / (1 - CERTAIN)) - base) / slope - 1e-6
         present = F.array_intersect(tokens, _fixed(sorted(gain), "array<string>"))
-        return F.aggregate(present, F.lit(0.0), lambda s, x: s + F.element_at(_fixed(gain, "map<string,double>"), x)) >= need
+        start = _fixed((intercepts[1:] - intercepts[0]).tolist(), "array<double>")
+        each = F.aggregate(present, start, lambda s, x: F.zip_with(s, F.element_at(_fixed(gain, "map<string,array<double>>"), x), lambda a, b: a + b))
+        return F.log(F.aggregate(each, F.lit(0.0), lambda s, x: s + F.exp(x))) >= need
 
 
 def _fixed(value: list | dict, kind: str) -> Column:
