@@ -115,7 +115,8 @@ def mark(rows: DataFrame, *groups: DataFrame) -> DataFrame:
     for more in groups[1:]:
         every = every.union(more)
     chosen = F.max(F.when(F.col("fresh"), F.col("row"))).alias("chosen")
-    every = every.groupBy("digest").agg(F.first("keep_id").alias("keep_id"), F.sum("copies").alias("group_size"), chosen)
+    # Written first: the join then has shuffles on both sides, of which skewed parts can be split.
+    every = stored(every.groupBy("digest").agg(F.first("keep_id").alias("keep_id"), F.sum("copies").alias("group_size"), chosen))
     kept = F.coalesce(F.col("row") == F.col("chosen"), F.lit(False))
     return rows.join(every.hint("merge"), "digest").select("id", "digest", "keep_id", "group_size", kept.alias("kept"))
 
