@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, exact_dedup, jaccard_join, language_id, license_scan, packing, sharding, topk_search, toxicity, url_filter
+from . import chat_format, decontaminate, exact_dedup, jaccard_join, language_id, license_scan, packing, sharding, token_align, topk_search, toxicity, url_filter
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op10_license_scan": license_scan.op10_license_scan,
+    "op12_token_align": token_align.op12_token_align,
     "op13_exact_dedup": exact_dedup.op13_exact_dedup,
     "op2_topk_search": topk_search.op2_topk_search,
     "op3_chat_format": chat_format.op3_chat_format,
