@@ -264,13 +264,12 @@ def encode(vectors: DataFrame, books: Codebooks | None, *more, id_col: str = "ve
     or null ids are rows like others; the first entries are those of the smallest
     ids, of equal ids the smaller vectors first. Empty tables give no rows."""
     rows = _usable(vectors, id_col, vec_col, *more)
-    fixed = "code string, error long, too_far boolean"
-    kept = [f for f in rows.schema.fields if f.name != "v"]
+    none = {"code": F.lit(None).cast("string"), "error": F.lit(None).cast("long"), "too_far": F.lit(False)}
     if books is None:
-        return rows.drop("v").withColumns({"code": F.lit(None).cast("string"), "error": F.lit(None).cast("long"), "too_far": F.lit(False)})
+        return rows.drop("v").withColumns(none)
     trees, scale, width = books.trees(), books.scale, books.width
     each = width // len(trees)
-    names = [f.name for f in kept]
+    names = [c for c in rows.columns if c != "v"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, points in _matrices(batches, len(names), width, scale):
@@ -284,10 +283,10 @@ def encode(vectors: DataFrame, books: Codebooks | None, *more, id_col: str = "ve
             errors[far] = None
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(texts, pa.string()), pa.array(errors, pa.int64()), pa.array(far.astype(bool))], names=[*names, "code", "error", "too_far"])
 
-    schema = rows.drop("v").withColumns({"code": F.lit(""), "error": F.lit(0).cast("long"), "too_far": F.lit(False)}).schema
+    schema = rows.drop("v").withColumns(none).schema
     fits = F.size("v") == width
     coded = rows.where(fits).select(*names, "v").mapInArrow(work, schema)
-    return coded.union(rows.where(~fits).drop("v").withColumns({"code": F.lit(None).cast("string"), "error": F.lit(None).cast("long"), "too_far": F.lit(False)}))
+    return coded.union(rows.where(~fits).drop("v").withColumns(none))
 
 
 def with_label_error(coded: DataFrame) -> DataFrame:
