@@ -21,6 +21,8 @@ from .words import NOT_LETTER, slices, word_hashes
 #: Learning looks at so many labelled documents at most; terms are hashed to so
 #: many buckets, and every bucket that occurs in those documents is a feature.
 SAMPLE, BUCKETS, FACTORS = 20_000, 1 << 18, 8
+#: Of learning: the penalties of a weight and of a factor, steps a phase, and rounds without gain that end it.
+L1, GROUP, STEPS, PATIENCE = 4e-3, 1e-3, 400, 8
 
 
 @dataclass
@@ -83,12 +85,15 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     return _fit(feature, feature[terms], sizes, toxic, seed)
 
 
-def _fit(feature: np.ndarray, terms: np.ndarray, sizes: np.ndarray, toxic: np.ndarray, seed: int, epochs: int = 12, batch: int = 256) -> Machine:
-    """AdaGrad over batches; a step touches the features of its rows only.
+def _fit(feature: np.ndarray, terms: np.ndarray, sizes: np.ndarray, toxic: np.ndarray, seed: int, batch: int = 256) -> Machine:
+    """AdaGrad over batches in two phases; a step touches the features of its rows only.
 
-    Every feature counts with its evidence: how far its number of toxic documents
-    lies from chance, in standard deviations, with five of them as whole weight.
-    So the many terms of few documents stay, but cannot be learned by heart."""
+    First the weights alone, under an L1 penalty that leaves few of the many terms of
+    few documents. Then the factors beside them: the weights that are left grow free
+    of the penalty, others may still come in against it, and each factor is shrunk as
+    a whole. No term's part in a pair is judged by how it goes with the label alone:
+    a factor starts and moves by how often its term occurs, and nothing else. Each
+    phase ends with the state of the least loss on a fifth of the rows, set apart."""
     rng = np.random.default_rng(seed)
     begin = np.cumsum(sizes) - sizes
 
@@ -99,45 +104,67 @@ def _fit(feature: np.ndarray, terms: np.ndarray, sizes: np.ndarray, toxic: np.nd
         return text, terms[np.arange(len(text)) + (begin[some] - np.cumsum(n) + n)[text]]
 
     size = max(1, int(feature.max()) + 1)
-    machine = Machine(feature, float(np.log(toxic.mean() / (1 - toxic.mean()))), np.zeros(size), rng.normal(0, 0.03, (size, FACTORS)))
+    machine = Machine(feature, float(np.log(toxic.mean() / (1 - toxic.mean()))), np.zeros(size), np.zeros((size, 0)))
     test = rng.random(len(toxic)) < 0.2
     train_rows = np.flatnonzero(~test)
-    count = lambda which: np.bincount(of(which)[1], minlength=size)
-    n, rate = count(train_rows), toxic[~test].mean() if len(train_rows) else 0.5
-    far = (count(train_rows[toxic[train_rows] > 0]) - n * rate) / np.sqrt(n * rate * (1 - rate) + 5)
-    evidence = np.minimum(1, (far / 5) ** 2)
-    machine.factor *= evidence[:, None]
+    apart = np.flatnonzero(test) if toxic[test].sum() >= 20 and not toxic[test].all() else np.arange(len(toxic))
+    n = np.bincount(of(train_rows)[1], minlength=size)
+    often = n / (n + 50.0)
     square_w, square_v = np.full(size, 1e-3), np.full((size, FACTORS), 1e-3)
-    for _ in range(epochs):
-        rng.shuffle(train_rows)
-        for lo in range(0, len(train_rows), batch):
-            some = train_rows[lo : lo + batch]
-            text, f = of(some)
-            z = machine._margin(text, f, len(some))
-            grad = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - toxic[some]) / len(some)
-            here, at = np.unique(f, return_inverse=True)
-            v = machine.factor[f]
-            sums = np.stack([np.bincount(text, weights=v[:, k], minlength=len(some)) for k in range(FACTORS)], 1)
-            g_w = np.bincount(at, weights=grad[text], minlength=len(here)) + 1e-5 * machine.weight[here]
-            own = grad[text, None] * (sums[text] - v)
-            g_v = np.stack([np.bincount(at, weights=own[:, k], minlength=len(here)) for k in range(FACTORS)], 1) + 1e-4 * machine.factor[here]
-            for value, g, s, pace, scale in ((machine.weight, g_w, square_w, 0.3, evidence[here]), (machine.factor, g_v, square_v, 0.05, evidence[here, None])):
-                g = g * scale
-                s[here] += g * g
-                value[here] -= pace * scale * g / np.sqrt(s[here])
-            machine.bias -= 0.1 * float(grad.sum())
+    free = np.zeros(size, bool)
+    for phase in ("weights", "factors"):
+        if phase == "factors":
+            free = machine.weight != 0
+            machine.factor = rng.normal(0, 0.03, (size, FACTORS)) * often[:, None]
+        k = machine.factor.shape[1]
+        least, kept, since, steps = np.inf, None, 0, 0
+        while since < PATIENCE and (steps < STEPS or kept is None):
+            rng.shuffle(train_rows)
+            for lo in range(0, len(train_rows), batch):
+                some = train_rows[lo : lo + batch]
+                text, f = of(some)
+                grad = (_chance(machine._margin(text, f, len(some))) - toxic[some]) / len(some)
+                here, at = np.unique(f, return_inverse=True)
+                g = np.bincount(at, weights=grad[text], minlength=len(here))
+                square_w[here] += g * g
+                pace = 0.1 / np.sqrt(square_w[here])
+                w = machine.weight[here] - pace * g
+                machine.weight[here] = np.where(free[here], w, np.sign(w) * np.maximum(0, np.abs(w) - L1 * pace))
+                if k:
+                    v = machine.factor[f]
+                    sums = np.stack([np.bincount(text, weights=v[:, c], minlength=len(some)) for c in range(k)], 1)
+                    own = grad[text, None] * (sums[text] - v)
+                    g = np.stack([np.bincount(at, weights=own[:, c], minlength=len(here)) for c in range(k)], 1) * often[here, None]
+                    square_v[here] += g * g
+                    pace = 0.05 * often[here, None] / np.sqrt(square_v[here])
+                    v = machine.factor[here] - pace * g
+                    norm = np.sqrt((v * v).sum(axis=1)) + 1e-12
+                    machine.factor[here] = v * np.maximum(0, 1 - GROUP * pace.mean(axis=1) / norm)[:, None]
+                machine.bias -= 0.1 * float(grad.sum())
+                steps += 1
+            p = np.clip(_chance(machine._margin(*of(apart), len(apart))), 1e-9, 1 - 1e-9)
+            loss = -float(np.mean(np.where(toxic[apart] > 0, np.log(p), np.log(1 - p))))
+            since += 1
+            if loss < least:
+                least, kept, since = loss, (machine.bias, machine.weight.copy(), machine.factor.copy()), 0
+            if not len(train_rows):
+                break
+        machine.bias, machine.weight, machine.factor = kept
     # The cut that the rows set apart like best (by F1) becomes log odds 0.
-    pick = np.flatnonzero(test) if toxic[test].sum() >= 20 else np.arange(len(toxic))
-    z = machine._margin(*of(pick), len(pick))
+    z = machine._margin(*of(apart), len(apart))
     by = np.argsort(-z, kind="stable")
-    hits = np.cumsum(toxic[pick][by])
-    f1 = 2 * hits / (np.arange(1, len(by) + 1) + toxic[pick].sum())
+    hits = np.cumsum(toxic[apart][by])
+    f1 = 2 * hits / (np.arange(1, len(by) + 1) + toxic[apart].sum())
     best = int(np.argmax(f1))
     nearest = z[by[min(best + 1, len(by) - 1)]]
     machine.bias -= float((z[by[best]] + nearest) / 2)
     return machine
 
 
+def _chance(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
 def _scores(machine: Machine, spark: SparkSession, text: str) -> Column:
     """The score of a text column; only texts leave the JVM."""
     sent = spark.sparkContext.broadcast(machine)

@@ -60,3 +60,41 @@ def test_repeated_rows_and_long_texts(spark):
     df = spark.createDataFrame([(1, "vermin group wa"), (1, "vermin group wa"), (2, long + "vermin group"), (3, "wb wa vermin group")], "doc_id long, text string")
     got = [(r.doc_id, r.score) for r in tx.score(df, machine).collect()]
     assert got[0] == got[1] and np.isclose(got[2][1], got[3][1])
+
+
+def auc(z, y):
+    order = np.argsort(z, kind="stable")
+    rank = np.empty(len(z))
+    rank[order] = np.arange(1, len(z) + 1)
+    return (rank[y > 0].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (len(y) - y.sum()))
+
+
+def pairs(rule, n, seed):
+    """Two terms in half of the texts each, other terms beside them; the rule's label."""
+    rng = np.random.default_rng(seed)
+    a, b = rng.random((2, n)) < 0.5
+    texts = [np.unique([*rng.choice(np.arange(10, 50), 12, replace=False), *[1] * int(x), *[2] * int(y)]) for x, y in zip(a, b, strict=True)]
+    return texts, rule(a, b).astype(float)
+
+
+def margins(machine, texts):
+    return machine._margin(np.repeat(np.arange(len(texts)), [len(t) for t in texts]), machine.feature[np.concatenate(texts)], len(texts))
+
+
+def test_terms_that_tell_nothing_alone_are_learned_as_pairs():
+    for rule in (np.not_equal, np.equal, np.logical_and):
+        texts, label = pairs(rule, 6000, 1)
+        feature = np.full(tx.BUCKETS, -1, np.int32)
+        feature[np.unique(np.concatenate(texts))] = np.arange(len(np.unique(np.concatenate(texts))))
+        machine = tx._fit(feature, feature[np.concatenate(texts)], np.array([len(t) for t in texts]), label, 0)
+        fresh, truth = pairs(rule, 3000, 2)
+        assert auc(margins(machine, fresh), truth) > 0.95
+        if rule is not np.logical_and:  # additive weights alone are no better than chance
+            plain = tx.Machine(machine.feature, machine.bias, machine.weight, machine.factor * 0)
+            assert abs(auc(margins(plain, fresh), truth) - 0.5) < 0.1
+
+
+def test_held_out_rows_of_the_given_tables(spark):
+    base = "/root/testdata/sf0.1"
+    scored = tx.op7_toxicity(spark, base).join(spark.read.parquet(f"{base}/labels.parquet"), "doc_id").where("held_out and toxic is not null").select("score", "toxic").toPandas()
+    assert auc(scored.score.to_numpy(), scored.toxic.to_numpy()) > 0.97
