@@ -9,6 +9,8 @@ from ..functions import scalars as sc
 from ..functions import scores as so
 from ..operators import evaluate as ev
 from ..operators import matching as mt
+from ..operators.nearest import Index
+from ..session import folder, stored
 from .catalog import query
 from .tables import BOXES, METHODS, PREDICTIONS, boxes, predictions, table
 
@@ -76,17 +78,43 @@ def flagship(spark, sf):
     return judged.agg(F.count("*").alias("n"), mean((F.col("expected") == F.col("predicted")).cast("double")).alias("top1"), mean("confidence").alias("mean_confidence"), mean(F.col("ambiguous").cast("double")).alias("ambiguous_rate")).select(F.lit("ratio_test").alias("method"), "*")
 
 
-@query("j2_knn_lsh")
-def j2(spark, sf):
-    """Approximate neighbours and their recall against the exact join."""
+def _nearest_codes(spark, sf):
+    """The five nearest other codes of each query, by distance and id, from the exact join."""
     q, r = _split(codes(spark, sf))
     exact = _others(mt.knn_join(q, r, metric="hamming")).select("query_id", "item_id", F.col("d1").alias("exact"))
     at = Window.partitionBy("query_id").orderBy("exact", "item_id")
-    nearest = exact.withColumn("rank", F.row_number().over(at)).where("rank <= 5")
+    return exact.withColumn("rank", F.row_number().over(at)).where("rank <= 5")
+
+
+@query("j2_knn_lsh")
+def j2(spark, sf):
+    """Approximate neighbours and their recall against the exact join."""
+    nearest, (q, r) = _nearest_codes(spark, sf), _split(codes(spark, sf))
     found = _others(mt.knn_codes_lsh(q, r)).select("query_id", "item_id", "d1")
     return nearest.join(found, ["query_id", "item_id"], "left").groupBy("query_id").agg(F.count("*").alias("n"), F.count("d1").alias("found"), F.count_if(F.col("d1") != F.col("exact")).alias("wrong"))
 
 
+CODES = """c AS (SELECT vec_id AS item_id, list_sum(list_transform(range(0, 64), lambda i: CASE WHEN embedding[i + 1] >= 0 AND i < 63 THEN (1::HUGEINT << i) WHEN embedding[i + 1] >= 0 THEN -(1::HUGEINT << 63) ELSE 0 END))::BIGINT AS code FROM embeddings)"""
+
+
+@query("j2_index_search", f"""WITH {CODES}, d AS (SELECT q.item_id AS query_id, r.item_id, bit_count(xor(q.code, r.code)) AS d FROM c q JOIN c r ON {MEET}),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, item_id) AS rank FROM d)
+SELECT query_id, string_agg(d::VARCHAR, ',' ORDER BY rank) AS distances, true AS recalled FROM k WHERE rank <= 5 GROUP BY 1""")
+def j2_index(spark, sf):
+    """The exact distances of each query's five nearest, and whether a search in the
+    trained index, at the number of cells measured for it, finds 0.9 of such
+    neighbours over all queries (a row at the same distance is as good)."""
+    q, r = _split(codes(spark, sf))
+    exact = stored(_nearest_codes(spark, sf))
+    index = Index.build(r, folder(spark, "index"), value="code")
+    found = index.search(q, 5, probes=index.probes_for(0.9, 5, others=True), value="code", others=True).select("query_id", "item_id", F.col("distance").alias("found"))
+    limit = exact.groupBy("query_id").agg(F.max("exact").alias("limit"), F.count("*").alias("n"))
+    hits = limit.join(found, "query_id", "left").groupBy("query_id").agg(F.first("n").alias("n"), F.least(F.first("n"), F.count_if(F.col("found") <= F.col("limit"))).alias("hits"))
+    recall = stored(hits.agg((F.sum("hits") >= 0.9 * F.sum("n")).alias("recalled")))  # one row
+    told = exact.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "exact"))), lambda x: x["exact"].cast("int").cast("string")), ",").alias("distances"))
+    return told.crossJoin(F.broadcast(recall))
+
+
 @query("j9_label_join", f"""WITH {DESC}, s AS (SELECT query_id, item_id, good / total::DOUBLE AS score FROM g), {RANK}
 SELECT t.query_id AS sample_id, predicted_id, CASE WHEN t.query_id % 7 > 0 THEN 100 + t.query_id % 50 END AS expected_id, coalesce(t.query_id % 7 > 0 AND predicted_id = 100 + t.query_id % 50, false) AS top1_correct,
   coalesce(t.query_id % 7 > 0 AND list_contains(string_split(top_ids, ','), (100 + t.query_id % 50)::VARCHAR), false) AS top3_contains_expected FROM t""")
@@ -117,27 +145,24 @@ def a14(spark, sf):
 @query("a15_histogram_similarity", f"""WITH {HIST}, st AS (SELECT item_id, sum(n) AS s, sum(n * n) AS q FROM h GROUP BY 1), d AS (SELECT a.item_id AS query_id, b.item_id AS item_id, sum(a.n * b.n) AS dot FROM h a JOIN h b USING (bx, "by") WHERE a.item_id % {EVERY} = 0 AND b.item_id <> a.item_id GROUP BY ALL)
 SELECT query_id, d.item_id, round(greatest(0, least(1, ((dot - x.s * y.s / 36) / nullif(sqrt((x.q - x.s * x.s / 36) * (y.q - y.s * y.s / 36)), 0) + 1) / 2)), 9) AS score FROM d JOIN st x ON x.item_id = query_id JOIN st y ON y.item_id = d.item_id""")
 def a15(spark, sf):
-    return _others(mt.histogram_similarity(*_split(_hist(spark, sf)), 36)).select("query_id", "item_id", F.round("score", 9).alias("score"))
+    return _others(mt.histogram_similarity(*_split(_hist(spark, sf)), 6)).select("query_id", "item_id", F.round("score", 9).alias("score"))
 
 
 def _vectors(spark, sf):
-    """Every query's vector beside every other one: ``query_id, q, item_id, v``."""
-    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    q, r = _split(e)
-    return r.join(q.select(F.col("item_id").alias("query_id"), F.col("v").alias("q")), F.col("query_id") != F.col("item_id"))
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
 
 
 @query("a16_mse_similarity", f"""WITH e AS (SELECT vec_id AS item_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)
 SELECT q.item_id AS query_id, r.item_id, round(greatest(0, least(1, 1 - pow(list_distance(q.v, r.v), 2) / len(q.v) / 0.25)), 9) AS score FROM e q JOIN e r ON {MEET}""")
 def a16(spark, sf):
-    return _vectors(spark, sf).select("query_id", "item_id", F.round(mt.mse_similarity(F.col("q"), F.col("v"), 0.5), 9).alias("score"))
+    return _others(mt.mse_similarity(*_split(_vectors(spark, sf)), 0.5)).select("query_id", "item_id", F.round("score", 9).alias("score"))
 
 
 @query("j11_score_fusion", f"""WITH {DESC}, m AS (SELECT q.item_id AS query_id, r.item_id, greatest(0, least(1, 1 - pow(list_distance(q.v, r.v), 2) / len(q.v) / 0.25)) AS other FROM e q JOIN e r ON {MEET})
 SELECT query_id, item_id, round(good / total::DOUBLE * 0.68 + other * 0.32, 9) AS score FROM g JOIN m USING (query_id, item_id)""")
 def j11(spark, sf):
     a = mt.run_method("ratio_test", *_split(descriptors(spark, sf)))
-    b = _vectors(spark, sf).select("query_id", "item_id", mt.mse_similarity(F.col("q"), F.col("v"), 0.5).alias("score"))
+    b = mt.mse_similarity(*_split(_vectors(spark, sf)), 0.5)
     return mt.fuse(_others(a), b).select("query_id", "item_id", F.round("score", 9).alias("score"))
 
 
@@ -163,18 +188,44 @@ def a22(spark, sf):
     return mt.recognise(wanted, mt.inlier_vote(_matches(spark, sf), cell=2)).select("query_id", "item_id", F.round("score", 6).alias("score"), "reject_reason")
 
 
-@query("g1_method_registry", None)
-def g1(spark, sf):
-    """Every registered scorer by name on the same descriptors."""
+def _told(spark, sf):
+    """Descriptors with codes: the signs of the whole vector, the lowest four those of the descriptor."""
     d = descriptors(spark, sf).join(codes(spark, sf).select("item_id", F.col("code").alias("whole")), "item_id")
-    d = d.withColumn("code", sc.sign_code(F.col("vec")) + F.col("whole").bitwiseAND(F.lit(-16).cast("long")))
-    out = None
-    for name in mt.REGISTRY:
-        best = mt.rank_candidates(_others(mt.run_method(name, *_split(d))), keys=("method", "query_id")).select("method", "query_id", "predicted_id", "confidence")
+    return d.withColumn("code", sc.sign_code(F.col("vec")) + F.col("whole").bitwiseAND(F.lit(-16).cast("long")))
+
+
+def _best_of(spark, sf, names):
+    d, out = _told(spark, sf), None
+    for name in names:
+        scored = _others(mt.run_method(name, *_split(d))).withColumn("score", F.round("score", 9))
+        best = mt.rank_candidates(scored, keys=("method", "query_id")).select("method", "query_id", "predicted_id", "confidence")
         out = best if out is None else out.unionByName(best)
     return out
 
 
+@query("g1_method_registry", f"""WITH {DESC}, {HIST.replace("e AS (SELECT vec_id AS item_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),", "")}, {CODES},
+dc AS (SELECT d.item_id, desc_no, (c.code & -16) + list_sum(list_transform(range(0, 4), lambda i: CASE WHEN vec[i + 1] >= 0 THEN 1 << i ELSE 0 END))::BIGINT AS code FROM d JOIN c ON c.item_id = d.item_id),
+cn AS (SELECT q.item_id AS query_id, q.desc_no, r.item_id, list_sort(list(bit_count(xor(q.code, r.code)))) AS ds FROM dc q JOIN dc r ON {MEET} GROUP BY ALL),
+st AS (SELECT item_id, sum(n) AS s, sum(n * n) AS q FROM h GROUP BY 1), hd AS (SELECT q.item_id AS query_id, r.item_id, sum(q.n * r.n) AS dot FROM h q JOIN h r USING (bx, "by") WHERE {MEET} GROUP BY ALL),
+ms AS (SELECT q.item_id AS query_id, r.item_id, greatest(0, least(1, 1 - pow(list_distance(q.v, r.v), 2) / len(q.v) / 0.25)) AS score FROM e q JOIN e r ON {MEET}),
+al AS (SELECT 'ratio_test' AS method, query_id, item_id, good / total::DOUBLE AS score FROM g
+  UNION ALL SELECT 'code_ratio_test', query_id, item_id, count(*) FILTER (ds[1] < 0.79 * ds[2]) / count(*)::DOUBLE FROM cn GROUP BY ALL
+  UNION ALL SELECT 'histogram', query_id, hd.item_id, coalesce(greatest(0, least(1, ((dot - x.s * y.s / 36) / nullif(sqrt((x.q - x.s * x.s / 36) * (y.q - y.s * y.s / 36)), 0) + 1) / 2)), 1) FROM hd JOIN st x ON x.item_id = query_id JOIN st y ON y.item_id = hd.item_id
+  UNION ALL SELECT 'mse', query_id, item_id, score FROM ms
+  UNION ALL SELECT 'fusion', query_id, item_id, good / total::DOUBLE * 0.68 + ms.score * 0.32 FROM g JOIN ms USING (query_id, item_id)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY method, query_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM al)
+SELECT method, query_id, item_id AS predicted_id, round(score, 9) AS confidence FROM rk WHERE rank = 1""")
+def g1(spark, sf):
+    """Every registered scorer that misses no pair, by name, on the same descriptors."""
+    return _best_of(spark, sf, [m for m in mt.REGISTRY if m not in mt.APPROXIMATE])
+
+
+@query("g1_approximate")
+def g1_approximate(spark, sf):
+    """The registered scorers that may miss pairs."""
+    return _best_of(spark, sf, sorted(mt.APPROXIMATE))
+
+
 @query("g2_injected_steps", f"""WITH {BOXES}, c AS (SELECT frame_id, box_id, greatest(0, least(x + w, 45) - x) * greatest(0, least(y + h, 50) - y) AS area, w FROM b WHERE score >= 0.05)
 SELECT f.frame_id, box_id, CASE WHEN area >= 500 THEN 'item-' || w % 4 END AS item_id, CASE WHEN box_id IS NULL THEN 'no_candidate' WHEN area >= 500 THEN 'recognised' ELSE 'unrecognised' END AS status FROM (SELECT DISTINCT frame_id FROM b) f LEFT JOIN c USING (frame_id)""")
 def g2(spark, sf):

@@ -142,7 +142,8 @@ def test_approximate_neighbours_are_counted_once(spark):
 def test_every_registered_method_runs(spark):
     from matchloom.plans import matching as pm
 
-    got = pm.g1(spark, "/root/testdata/sf0.001").groupBy("method").count().collect()
+    base = "/root/testdata/sf0.001"
+    got = pm.g1(spark, base).unionByName(pm.g1_approximate(spark, base)).groupBy("method").count().collect()
     assert {x["method"] for x in got} == set(mt.REGISTRY) and len({x["count"] for x in got}) == 1
 
 
