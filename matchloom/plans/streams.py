@@ -33,7 +33,7 @@ def inputs(r, name):
         "table": {"op": pick("upsert", "upsert", "reverify", "upsert", "remove_box", "correct", "reverify_box", "remove"), "box": box, "to_id": F.lit("view")},
         "collector": {"scenario": pick("empty", "one_card", "three_cards", "other"), "passed": F.col("confidence") > 0.1},
         "presence": {"present": F.col("confidence") > 0.5},
-        "params": {"op": F.when(s % 13 == 0, "commit").when(s % 11 == 0, "rollback").otherwise("update"), "name": F.col("item_id")},
+        "params": {"op": F.when(s % 13 == 0, "commit").when(s % 11 == 0, "rollback").when(s % 7 == 0, "save").when(s % 17 == 0, "apply").otherwise("update"), "name": F.when((s % 13 > 0) & (s % 11 > 0) & ((s % 7 == 0) | (s % 17 == 0)), "kept").otherwise(F.col("item_id"))},
         "markers": {"marker": F.when(s % 9 == 0, "start").when(s % 10 == 3, "stop").otherwise(F.col("item_id"))},
         "calibration": {"valid": F.col("confidence") > 0.2, "params": F.floor(F.col("confidence") * 1.01)},
     }
@@ -97,14 +97,16 @@ c(entity_id, i, seq, error, t, b, v) AS (SELECT DISTINCT entity_id, 0::BIGINT, 0
     FROM (SELECT n.*, c.b, c.v FROM c JOIN n ON n.entity_id = c.entity_id AND n.i = c.i + 1)))
 SELECT entity_id, seq, error, coalesce(array_to_string(list_transform(t, lambda j: ['click','purchase','signup','view'][j]), ','), '') AS touched, len(list_filter(b, lambda x: x IS NOT NULL))::INTEGER AS tracked,
   len(list_filter([1, 2, 3, 4], lambda j: b[j] IS NOT NULL AND v[j]))::INTEGER AS to_reverify FROM c WHERE i > 0""",
-    "st9_parameter_session": f"""WITH RECURSIVE {READINGS}, n AS (SELECT entity_id, seq, value AS x, item_id, CASE WHEN seq % 13 = 0 THEN 'commit' WHEN seq % 11 = 0 THEN 'rollback' ELSE 'update' END AS op, row_number() {_O} AS i FROM r),
+    "st9_parameter_session": f"""WITH RECURSIVE {READINGS}, n AS (SELECT entity_id, seq, value AS x, item_id, CASE WHEN seq % 13 = 0 THEN 'commit' WHEN seq % 11 = 0 THEN 'rollback' WHEN seq % 7 = 0 THEN 'save' WHEN seq % 17 = 0 THEN 'apply' ELSE 'update' END AS op, row_number() {_O} AS i FROM r),
 m AS (SELECT *, op = 'update' AND CASE item_id WHEN 'click' THEN x BETWEEN 0 AND 60 WHEN 'view' THEN x BETWEEN 5 AND 80 WHEN 'purchase' THEN x BETWEEN 0 AND 1 ELSE false END AS ok FROM n),
-c(entity_id, i, seq, error, a, b, d, sa, sb, sd, p) AS (SELECT DISTINCT entity_id, 0::BIGINT, 0::BIGINT, NULL::VARCHAR, 10::DOUBLE, 0.5::DOUBLE, 12::DOUBLE, 10::DOUBLE, 0.5::DOUBLE, 12::DOUBLE, NULL::DOUBLE FROM m
-  UNION ALL SELECT m.entity_id, m.i, m.seq, CASE WHEN op = 'update' AND NOT ok THEN CASE WHEN item_id IN ('click', 'view', 'purchase') THEN 'out_of_range' ELSE 'unknown_parameter' END END,
-    CASE WHEN ok AND item_id = 'click' THEN x WHEN op = 'rollback' THEN sa ELSE a END, CASE WHEN ok AND item_id = 'purchase' THEN x WHEN op = 'rollback' THEN sb ELSE b END, CASE WHEN ok AND item_id = 'view' THEN x WHEN op = 'rollback' THEN sd ELSE d END,
-    CASE WHEN op = 'commit' THEN a ELSE sa END, CASE WHEN op = 'commit' THEN b ELSE sb END, CASE WHEN op = 'commit' THEN d ELSE sd END, CASE WHEN ok AND item_id = 'view' THEN x WHEN op = 'update' THEN p END
+c(entity_id, i, seq, error, a, b, d, sa, sb, sd, p, ka, kb, kd, f) AS (SELECT DISTINCT entity_id, 0::BIGINT, 0::BIGINT, NULL::VARCHAR, 10::DOUBLE, 0.5::DOUBLE, 12::DOUBLE, 10::DOUBLE, 0.5::DOUBLE, 12::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::VARCHAR FROM m
+  UNION ALL SELECT m.entity_id, m.i, m.seq, CASE WHEN op = 'update' AND NOT ok THEN CASE WHEN item_id IN ('click', 'view', 'purchase') THEN 'out_of_range' ELSE 'unknown_parameter' END WHEN op = 'apply' AND ka IS NULL THEN 'unknown_profile' END,
+    CASE WHEN ok AND item_id = 'click' THEN x WHEN op = 'rollback' THEN sa WHEN op = 'apply' THEN coalesce(ka, a) ELSE a END, CASE WHEN ok AND item_id = 'purchase' THEN x WHEN op = 'rollback' THEN sb WHEN op = 'apply' THEN coalesce(kb, b) ELSE b END, CASE WHEN ok AND item_id = 'view' THEN x WHEN op = 'rollback' THEN sd WHEN op = 'apply' THEN coalesce(kd, d) ELSE d END,
+    CASE WHEN op = 'commit' THEN a WHEN op = 'apply' THEN coalesce(ka, sa) ELSE sa END, CASE WHEN op = 'commit' THEN b WHEN op = 'apply' THEN coalesce(kb, sb) ELSE sb END, CASE WHEN op = 'commit' THEN d WHEN op = 'apply' THEN coalesce(kd, sd) ELSE sd END,
+    CASE WHEN ok AND item_id = 'view' THEN x WHEN op IN ('update', 'save') OR op = 'apply' AND ka IS NULL THEN p END,
+    CASE WHEN op = 'save' THEN a ELSE ka END, CASE WHEN op = 'save' THEN b ELSE kb END, CASE WHEN op = 'save' THEN d ELSE kd END, CASE WHEN op = 'save' OR op = 'apply' AND ka IS NOT NULL THEN 'kept' ELSE f END
   FROM c JOIN m ON m.entity_id = c.entity_id AND m.i = c.i + 1)
-SELECT entity_id, seq, error, '{{"click": ' || a || ', "purchase": ' || b || ', "view": ' || d || '}}' AS current, CASE WHEN p IS NULL THEN '{{}}' ELSE '{{"view": ' || p || '}}' END AS pending FROM c WHERE i > 0""",
+SELECT entity_id, seq, error, '{{"click": ' || a || ', "purchase": ' || b || ', "view": ' || d || '}}' AS current, CASE WHEN p IS NULL THEN '{{}}' ELSE '{{"view": ' || p || '}}' END AS pending, f AS profile FROM c WHERE i > 0""",
     "st7_hysteresis": f"""WITH {READINGS}, p AS (SELECT entity_id, ts_ms, seq, confidence > 0.5 AS present FROM r), b AS (SELECT *, lag(present) OVER w AS was, max(ts_ms) OVER () AS ends FROM p WINDOW w AS (PARTITION BY entity_id ORDER BY ts_ms, seq)),
 f AS (SELECT *, lead(ts_ms) OVER (PARTITION BY entity_id ORDER BY ts_ms, seq) AS upto FROM b WHERE present IS DISTINCT FROM was AND (present OR was IS NOT NULL)),
 x AS (SELECT *, NOT present AND (upto IS NULL OR upto >= ts_ms + 20000000) AS off FROM f),

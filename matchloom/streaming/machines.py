@@ -7,13 +7,16 @@ the state store. On input in order both give the same rows.
 
 from __future__ import annotations
 
+import heapq
 import json
-from collections.abc import Callable, Iterable
+import pickle
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 from typing import Any, NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 Row = Any
 State = dict[str, Any]
@@ -60,29 +63,94 @@ def run_batch(df: DataFrame, machine: Machine, *, key: str = "entity_id", order:
     return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(replay, schema)
 
 
-def run_stream(df: DataFrame, machine: Machine, *, key: str = "entity_id", order: tuple[str, ...] = ("ts_ms", "seq"), watermark: tuple[str, str] = ("ts", "0 seconds")) -> DataFrame:
-    """Rows behind the watermark are dropped by it; within a micro-batch a key's
-    rows are put in order, so a micro-batch should hold no more of a key than a
-    task can (``table_stream`` takes some files at a time)."""
-    timed = machine.deadline is not None
-
-    def advance(keys: tuple, batches: Iterable[pd.DataFrame], held: GroupState) -> Iterable[pd.DataFrame]:
-        state: State = json.loads(held.get[0]) if held.exists else {}
-        rows: list[tuple] = []
-        if held.hasTimedOut:
-            if (due := machine.deadline(state)) is not None:
-                rows += [(keys[0], *out) for out in machine.expire(state, due)]
-        else:
-            pdf = pd.concat(list(batches)).sort_values(list(order))
-            rows += [(keys[0], *out) for row in pdf.itertuples(index=False) for out in machine.feed(state, row)]
-        held.update((json.dumps(state),))
-        if timed and (due := machine.deadline(state)) is not None:
-            held.setTimeoutTimestamp(max(due, held.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(rows, columns=[key, *machine.names])
+#: Rows of a chunk of the buffer: of each run one chunk is in memory while runs are merged.
+CHUNK = 500
+
+
+class Keyed(StatefulProcessor):
+    """A machine over a stream: its state in a value state, its deadline as an event
+    time timer. A micro-batch brings a key's rows frame by frame. One frame is put in
+    order as it is; where more come, each becomes a sorted run of chunks in a map
+    state, and the runs are merged, so that however many rows a key has there, one
+    frame and a chunk of each run are in memory."""
+
+    def __init__(self, machine: Machine, key: str, order: tuple[str, ...]):
+        self.machine, self.key, self.order = machine, key, order
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", "json string")
+        self.runs = handle.getMapState("runs", "run int, chunk int", "rows binary")
+        if self.machine.deadline:
+            self.timers = handle.getListState("timers", "ms long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        state = json.loads(self.state.get()[0]) if self.state.exists() else {}
+        out: list[tuple] = []
+        for row in self._in_order(rows):
+            out += [(key[0], *made) for made in self.machine.feed(state, row)]
+            if len(out) >= 10_000:
+                yield self._frame(out)
+                out = []
+        self._keep(state, timerValues)
+        yield self._frame(out)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        state, out = json.loads(self.state.get()[0]) if self.state.exists() else {}, []
+        self.timers.clear()
+        if (due := self.machine.deadline(state)) is not None and due <= expiredTimerInfo.getExpiryTimeInMs():
+            out = [(key[0], *made) for made in self.machine.expire(state, due)]
+        self._keep(state, timerValues)
+        yield self._frame(out)
+
+    def close(self) -> None:
+        pass
+
+    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[self.key, *self.machine.names])
+
+    def _keep(self, state: State, timer_values: Any) -> None:
+        self.state.update((json.dumps(state),))
+        if not self.machine.deadline:
+            return
+        for (ms,) in list(self.timers.get()):
+            self.handle.deleteTimer(ms)
+        self.timers.clear()
+        if (due := self.machine.deadline(state)) is not None:
+            due = max(due, timer_values.getCurrentWatermarkInMs() + 1)
+            self.handle.registerTimer(due)
+            self.timers.put([(due,)])
+
+    def _in_order(self, frames: Iterator[pd.DataFrame]) -> Iterator[Row]:
+        first = next(frames, None)
+        if first is None:
+            return
+        second = next(frames, None)
+        if second is None:
+            yield from first.sort_values(list(self.order)).itertuples(index=False)
+            return
+        chunks = []
+        for run, frame in enumerate(chain([first, second], frames)):
+            frame = frame.sort_values(list(self.order))
+            for chunk, lo in enumerate(range(0, len(frame), CHUNK)):
+                self.runs.updateValue((run, chunk), (pickle.dumps(frame.iloc[lo : lo + CHUNK]),))
+            chunks.append(-(-len(frame) // CHUNK))
+        del first, second
+        yield from heapq.merge(*(self._run(run, n) for run, n in enumerate(chunks)), key=lambda row: [(pd.isna(v), v) for v in (getattr(row, c) for c in self.order)])
+        self.runs.clear()
+
+    def _run(self, run: int, chunks: int) -> Iterator[Row]:
+        for chunk in range(chunks):
+            yield from pickle.loads(self.runs.getValue((run, chunk))[0]).itertuples(index=False)
+
+
+def run_stream(df: DataFrame, machine: Machine, *, key: str = "entity_id", order: tuple[str, ...] = ("ts_ms", "seq"), watermark: tuple[str, str] = ("ts", "0 seconds")) -> DataFrame:
+    """Rows behind the watermark are dropped by it; within a micro-batch a key's rows
+    are put in order, however many there are (see ``Keyed``). The state store is
+    RocksDB, which is set for the session's queries from here on."""
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     kind = dict(df.dtypes)[key]
-    keyed = df.withWatermark(*watermark).groupBy(key)
-    return keyed.applyInPandasWithState(advance, f"{key} {kind}, {machine.columns}", "json string", "append", GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.NoTimeout)
+    return df.withWatermark(*watermark).groupBy(key).transformWithStateInPandas(Keyed(machine, key, order), f"{key} {kind}, {machine.columns}", "Append", "EventTime")
 
 
 #: Phases of the settle gate and the state each shows as; ``restless`` is motion after quiet had begun.
@@ -261,28 +329,52 @@ def hysteresis(off_ms: int) -> Machine:
     return Machine("at_ms long, switched string", step, deadline, expire)
 
 
-def parameter_session(ranges: dict[str, tuple[float, float, bool]], defaults: dict[str, float]) -> Machine:
-    """update, commit, rollback: current, stable and pending values."""
+def parameter_session(ranges: dict[str, tuple[float, float, bool]], defaults: dict[str, float], profiles: dict[str, dict[str, float]] | None = None) -> Machine:
+    """update, commit, rollback, save, apply: current, stable and pending values.
+
+    ``save`` keeps the current values as the profile ``name``; ``apply`` takes over a
+    saved or given profile value by value and then commits. A value that its range
+    forbids ends it with an error: those before it are current, nothing is
+    committed. ``profile`` is the one last saved or applied."""
+
+    def change(s: State, name: str, value: float) -> str | None:
+        low, high, live = ranges.get(name, (1, 0, True))
+        if not low <= value <= high:
+            return "out_of_range" if name in ranges else "unknown_parameter"
+        s["current"][name] = float(value)
+        s["pending"].pop(name, None)
+        if not live:
+            s["pending"][name] = float(value)
+        return None
+
+    def commit(s: State) -> None:
+        s.update(stable=dict(s["current"]), pending={})
 
     def step(s: State, r: Row) -> Iterable[tuple]:
-        current, error = s.setdefault("current", dict(defaults)), None
-        stable, pending = s.setdefault("stable", dict(defaults)), s.setdefault("pending", {})
+        if not s:
+            s.update(current=dict(defaults), stable=dict(defaults), pending={}, saved={}, profile=None)
+        error = None
         if r.op == "update":
-            low, high, live = ranges.get(r.name, (1, 0, True))
-            if not low <= r.value <= high:
-                error = "out_of_range" if r.name in ranges else "unknown_parameter"
-            else:
-                current[r.name] = float(r.value)
-                pending.pop(r.name, None)
-                if not live:
-                    pending[r.name] = float(r.value)
+            error = change(s, r.name, r.value)
         elif r.op == "commit":
-            s["stable"], s["pending"] = dict(current), {}
+            commit(s)
         elif r.op == "rollback":
-            s["current"], s["pending"] = dict(stable), {}
-        yield int(r.seq), error, json.dumps(s["current"], sort_keys=True), json.dumps(s["pending"], sort_keys=True)
+            s.update(current=dict(s["stable"]), pending={})
+        elif r.op == "save":
+            s["saved"][r.name] = dict(s["current"])
+            s["profile"] = r.name
+        elif r.op == "apply":
+            values = s["saved"].get(r.name, (profiles or {}).get(r.name))
+            if values is None:
+                error = "unknown_profile"
+            else:
+                error = next((e for e in (change(s, k, v) for k, v in values.items()) if e), None)
+                if not error:
+                    commit(s)
+                    s["profile"] = r.name
+        yield int(r.seq), error, json.dumps(s["current"], sort_keys=True), json.dumps(s["pending"], sort_keys=True), s["profile"]
 
-    return Machine("seq long, error string, current string, pending string", step)
+    return Machine("seq long, error string, current string, pending string, profile string", step)
 
 
 def throttled(least_ms: int) -> Machine:

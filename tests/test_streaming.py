@@ -74,3 +74,46 @@ def test_peaks_leave_open_windows_out(spark, folder):
     whole = streams._batch.st.peak_levels(streams.as_readings(spark.read.parquet(f"{folder}/events.parquet")), width="1 day")
     seen, every = {tuple(r) for r in got.collect()}, {tuple(r) for r in whole.collect()}
     assert seen <= every and len(every) - len(seen) <= 6
+
+
+def test_profiles_are_saved_and_applied():
+    session = mc.parameter_session({"a": (0, 10, True), "b": (0, 10, False)}, {"a": 1.0, "b": 2.0}, {"given": {"a": 5, "b": 6}, "bad": {"a": 7, "b": 99}})
+    ops = [("update", "b", 3), ("save", "mine", 0), ("update", "a", 9), ("apply", "mine", 0), ("apply", "given", 0), ("apply", "bad", 0), ("rollback", "", 0), ("apply", "none", 0), ("update", "c", 1)]
+    out = [o[1:] for o in feed(session, [(0, *o) for o in ops], ("ts_ms", "op", "name", "value"))]
+    values = lambda a, b: f'{{"a": {a}, "b": {b}}}'
+    assert out == [
+        (None, values(1.0, 3.0), '{"b": 3.0}', None), (None, values(1.0, 3.0), '{"b": 3.0}', "mine"), (None, values(9.0, 3.0), '{"b": 3.0}', "mine"), (None, values(1.0, 3.0), "{}", "mine"), (None, values(5.0, 6.0), "{}", "given"),
+        ("out_of_range", values(7.0, 6.0), "{}", "given"), (None, values(5.0, 6.0), "{}", "given"), ("unknown_profile", values(5.0, 6.0), "{}", "given"), ("unknown_parameter", values(5.0, 6.0), "{}", "given"),
+    ]
+
+
+def test_a_million_rows_of_one_key_in_a_micro_batch(spark, tmp_path):
+    """Rows come out in order, and the worker that merges them stays under 400 MB (they take over 1 GB as one frame's rows)."""
+    n = 1_000_000
+    ts = F.timestamp_seconds(F.lit(1.7e9) + (F.col("id") * 7919) % n).cast("timestamp_ntz").alias("ts")
+    spark.range(0, n, 1, 1).select(F.col("id").alias("event_id"), ts, F.lit(1).cast("long").alias("user_id"), F.lit("click").alias("event_type"), F.rand(1).alias("value"), F.lit('{"k": 5}').alias("props")).write.parquet(f"{tmp_path}/events.parquet")
+
+    def step(s, r):
+        import resource
+
+        s["n"], s["wrong"], s["last"] = s.get("n", 0) + 1, s.get("wrong", 0) + (s.get("last", 0) > r.ts_ms), int(r.ts_ms)
+        if s["n"] % 250_000 == 0:
+            yield s["n"], s["wrong"], resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024
+
+    got = run.drain(mc.run_stream(streams.as_readings(run.table_stream(spark, str(tmp_path), "events")), mc.Machine("n long, wrong long, mb long", step))).collect()
+    assert sorted((r.n, r.wrong) for r in got) == [(k * 250_000, 0) for k in range(1, 5)]
+    assert max(r.mb for r in got) < 400
+
+
+def test_runs_are_merged_in_order(spark, folder, monkeypatch):
+    monkeypatch.setattr(mc, "CHUNK", 3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    spark.conf.set("spark.sql.execution.arrow.transformWithStateInPySpark.maxStateRecordsPerBatch", 7)
+    try:
+        kind, machine = streams.MACHINES["st1_settle_gate"]
+        batch = mc.run_batch(streams.inputs(streams.as_readings(spark.read.parquet(f"{folder}/events.parquet")), kind), machine).collect()
+        got = run.drain(mc.run_stream(streams.inputs(streams.as_readings(run.table_stream(spark, folder, "events")), kind), machine)).collect()
+        assert sorted(map(str, got)) == sorted(map(str, batch))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.unset("spark.sql.execution.arrow.transformWithStateInPySpark.maxStateRecordsPerBatch")
