@@ -1,7 +1,7 @@
 """Window operators over keyed, ordered readings, and snapshot comparison.
 
-Every operator partitions by the entity and orders by ``order``; several in a
-row share one shuffle on the entity.
+Running functions go along each entity's rows in ``order``; an entity of very many
+rows is cut into ranges (``series``; ``long`` and ``rows`` set from where on and how long).
 """
 
 from __future__ import annotations
@@ -14,84 +14,116 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import change_kinds
 from ..session import reliable
+from . import series as sr
+from .series import Series, along
 
 
 def _over(keys: Sequence[str], order: Sequence[str]):
     return Window.partitionBy(*keys).orderBy(*order)
 
 
-def rolling_mean(df: DataFrame, value: str, *, keys=("entity_id",), order=("ts_ms", "seq"), n: int = 60, digits: int = 3) -> DataFrame:
+def rolling_mean(df: DataFrame, value: str, *, keys=("entity_id",), order=("ts_ms", "seq"), n: int = 60, digits: int = 3, **size) -> DataFrame:
     """``rolling``: mean of the last ``n`` values, rounded half-even, 0 without any."""
-    w = _over(keys, order).rowsBetween(1 - n, 0)
-    return df.withColumn("rolling", F.coalesce(F.bround(F.avg(value).over(w), digits), F.lit(0.0)))
+    out = along(df, lambda s: s.add(rolling=sr.mean(F.col(value), n)), keys=keys, order=order, **size)
+    return out.withColumn("rolling", F.coalesce(F.bround("rolling", digits), F.lit(0.0)))
 
 
-def reading_change(df: DataFrame, value: str, *, keys=("entity_id",), order=("ts_ms", "seq"), threshold: float) -> DataFrame:
+def reading_change(df: DataFrame, value: str, *, keys=("entity_id",), order=("ts_ms", "seq"), threshold: float, **size) -> DataFrame:
     """``motion`` (change over ``threshold``; first rows have none) and ``rate`` per second."""
-    w = _over(keys, order)
-    gap = (F.col("ts_ms") - F.lag("ts_ms").over(w)) / 1000
-    moved = F.abs(F.col(value) - F.lag(value).over(w)) > threshold
-    return df.withColumns({"motion": F.coalesce(moved, F.lit(False)), "rate": F.when(gap > 0, 1 / gap).otherwise(0.0)})
+    out = along(df, lambda s: s.add(__ts=sr.before(F.col("ts_ms")), __was=sr.before(F.col(value))), keys=keys, order=order, **size)
+    gap = (F.col("ts_ms") - F.col("__ts")) / 1000
+    moved = F.abs(F.col(value) - F.col("__was")) > threshold
+    return out.withColumns({"motion": F.coalesce(moved, F.lit(False)), "rate": F.when(gap > 0, 1 / gap).otherwise(0.0)}).drop("__ts", "__was")
 
 
-def settle_detection(df: DataFrame, still: int, *, keys=("entity_id",), order=("ts_ms", "seq")) -> DataFrame:
+def settle_detection(df: DataFrame, still: int, *, keys=("entity_id",), order=("ts_ms", "seq"), **size) -> DataFrame:
     """``settled`` on the ``still``-th still row after motion, once per motion
     episode; never before the first motion."""
-    w = _over(keys, order)
-    out = df.withColumn("episode", F.sum(F.col("motion").cast("int")).over(w))
-    inside = F.sum((~F.col("motion")).cast("int")).over(_over([*keys, "episode"], order))
-    return out.withColumn("settled", (F.col("episode") > 0) & ~F.col("motion") & (inside == still))
+    quiet = (~F.col("motion")).cast("long")
 
+    def steps(s: Series) -> Series:
+        s = s.add(episode=sr.total(F.col("motion").cast("long")), __still=sr.total(quiet))
+        return s.add(__base=sr.latest(F.when(F.col("motion"), F.col("__still"))))
 
-def identity_streak(df: DataFrame, *, keys=("entity_id",), order=("ts_ms", "seq"), confirm: int = 5, least: float = 0.8) -> DataFrame:
+    inside = F.col("__still") - F.coalesce("__base", F.lit(0))
+    out = along(df, steps, keys=keys, order=order, **size)
+    return out.withColumn("settled", (F.col("episode") > 0) & ~F.col("motion") & (inside == still)).drop("__still", "__base")
+
+
+def identity_streak(df: DataFrame, *, keys=("entity_id",), order=("ts_ms", "seq"), confirm: int = 5, least: float = 0.8, **size) -> DataFrame:
     """``state_id``, ``phase``, ``frames``: the run of one id above a confidence.
     A low reading empties the id and breaks the run; a null confidence is low."""
-    w = _over(keys, order)
     low = F.coalesce(F.col("confidence") < least, F.lit(True))
-    out = df.withColumn("low", low).withColumn("broke", (F.col("low") | F.coalesce(F.lag("low").over(w), F.lit(True)) | ~F.col("item_id").eqNullSafe(F.lag("item_id").over(w))).cast("int"))
-    out = out.withColumn("island", F.sum("broke").over(w))
-    run = F.row_number().over(_over([*keys, "island"], order))
-    frames = F.when(F.col("low"), 0).otherwise(run)
-    phase = F.when(F.col("low"), "empty").when(run >= confirm, "confirmed").otherwise("candidate")
-    return out.select(*df.columns, F.when(~F.col("low"), F.col("item_id")).alias("state_id"), phase.alias("phase"), frames.alias("frames"))
+
+    def steps(s: Series) -> Series:
+        s = s.put(__low=low).add(__was=sr.before(F.struct(F.col("__low").alias("low"), F.col("item_id").alias("id"))), __at=sr.number())
+        broke = F.col("__low") | F.coalesce(F.col("__was.low"), F.lit(True)) | ~F.col("item_id").eqNullSafe(F.col("__was.id"))
+        return s.add(__from=sr.latest(F.when(broke, F.col("__at"))))
+
+    out = along(df, steps, keys=keys, order=order, **size)
+    run = F.col("__at") - F.col("__from") + 1
+    frames = F.when(F.col("__low"), 0).otherwise(run).cast("int")
+    phase = F.when(F.col("__low"), "empty").when(run >= confirm, "confirmed").otherwise("candidate")
+    return out.select(*df.columns, F.when(~F.col("__low"), F.col("item_id")).alias("state_id"), phase.alias("phase"), frames.alias("frames"))
+
+
+def carry_forward(df: DataFrame, name: str, value: Column, *, keys=("entity_id",), order=("ts_ms", "seq"), **size) -> DataFrame:
+    """``df`` with ``name``: the last value that is not null, up to this row."""
+    return along(df, lambda s: s.add(**{name: sr.latest(value)}), keys=keys, order=order, **size)
 
 
-def carry_forward(df: DataFrame, value: Column, *, keys=("entity_id",), order=("ts_ms", "seq")) -> Column:
-    """The last value that is not null, up to this row."""
-    return F.last(value, ignorenulls=True).over(_over(keys, order).rowsBetween(Window.unboundedPreceding, 0))
+def as_of_join(left: DataFrame, right: DataFrame, *, keys=("entity_id",), time: str = "ts_ms", order: Sequence[str] = (), **size) -> DataFrame:
+    """Each row of ``left`` with ``match``, the last row of ``right`` (as a struct) of its
+    key whose ``time`` is not later; null without one. Of right rows at one time the
+    last by ``order`` counts. Both tables are merged along the time of each key, and
+    what a range of a long key begins with is carried over from the range before.
+    Rows of ``right`` without a time match nothing, nor do rows of ``left`` without one."""
+    row = lambda df: F.struct(*(df[f"`{c}`"] for c in df.columns))
+    placed = lambda df: [*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col(time).alias("__time")]
+    mine = left.select(*placed(left), F.lit(1).alias("__left"), row(left).alias("__row"))
+    other = right.where(F.col(time).isNotNull()).select(*placed(right), F.lit(0).alias("__left"), *(F.col(c).alias(f"__o{i}") for i, c in enumerate(order)), row(right).alias("match"))
+    both = mine.unionByName(other, allowMissingColumns=True)
+    names = [f"__k{i}" for i in range(len(keys))]
+    out = along(both, lambda s: s.add(__found=sr.latest(F.col("match"))), keys=names, order=["__time", "__left", *(f"__o{i}" for i in range(len(order)))], **size)
+    return out.where("__left = 1").select("__row.*", F.col("__found").alias("match"))
 
 
-def empty_streak(df: DataFrame, *, keys=("entity_id",), order=("ts_ms", "seq"), clear_after: int = 2) -> DataFrame:
+def empty_streak(df: DataFrame, *, keys=("entity_id",), order=("ts_ms", "seq"), clear_after: int = 2, **size) -> DataFrame:
     """``held``: the last item, cleared only by ``clear_after`` empty rows in a
     row; ``layout_id`` counts publishes and clears."""
-    w = _over(keys, order)
     empty = F.col("item").isNull()
-    out = df.withColumn("run", F.sum((~empty).cast("int")).over(w))
-    streak = F.sum(empty.cast("int")).over(_over([*keys, "run"], order))
-    out = out.withColumns({"last": carry_forward(df, F.col("item"), keys=keys, order=order), "streak": streak})
-    cleared = F.col("streak") >= clear_after
-    event = ~empty | ((F.col("streak") == clear_after) & F.col("last").isNotNull())
-    return out.withColumns({"held": F.when(~cleared, F.col("last")), "layout_id": F.sum(event.cast("int")).over(w)}).drop("run", "last", "streak")
 
+    def steps(s: Series) -> Series:
+        s = s.add(__empty=sr.total(empty.cast("long")), __last=sr.latest(F.col("item")))
+        s = s.add(__base=sr.latest(F.when(~empty, F.col("__empty"))))
+        s = s.put(__streak=F.col("__empty") - F.coalesce("__base", F.lit(0)))
+        event = ~empty | ((F.col("__streak") == clear_after) & F.col("__last").isNotNull())
+        return s.add(layout_id=sr.total(event.cast("long")))
 
-def change_only(df: DataFrame, columns: Sequence[str], *, keys=("entity_id",), order=("ts_ms", "seq")) -> DataFrame:
+    out = along(df, steps, keys=keys, order=order, **size)
+    return out.withColumn("held", F.when(F.col("__streak") < clear_after, F.col("__last"))).select(*df.columns, "held", "layout_id")
+
+
+def change_only(df: DataFrame, columns: Sequence[str], *, keys=("entity_id",), order=("ts_ms", "seq"), **size) -> DataFrame:
     """Rows that differ from the one before in ``columns``."""
     print_ = F.struct(*columns)
-    w = _over(keys, order)
-    out = df.withColumns({"same": F.lag(print_).over(w).eqNullSafe(print_), "nth": F.row_number().over(w)})
-    return out.where((F.col("nth") == 1) | ~F.col("same")).drop("same", "nth")
+    out = along(df, lambda s: s.add(__was=sr.before(print_), __at=sr.number()), keys=keys, order=order, **size)
+    return out.where((F.col("__at") == 1) | ~F.col("__was").eqNullSafe(print_)).drop("__was", "__at")
 
 
 def last_n(df: DataFrame, n: int, *, keys=("entity_id",), order=("ts_ms", "seq")) -> DataFrame:
     return df.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in order)))).where(F.col("r") <= n).drop("r")
 
 
-def refresh_hold(df: DataFrame, value: str, *, every: int = 30, keys=("entity_id",), order=("ts_ms", "seq")) -> DataFrame:
+def refresh_hold(df: DataFrame, value: str, *, every: int = 30, keys=("entity_id",), order=("ts_ms", "seq"), **size) -> DataFrame:
     """``calibration``: taken anew on every ``every``-th row, held between; a
     missing value keeps the last good one."""
-    w = _over(keys, order)
-    out = df.withColumn("due", (F.row_number().over(w) - 1) % every == 0)
-    return out.withColumn("calibration", carry_forward(out, F.when(F.col("due"), F.col(value)), keys=keys, order=order))
+
+    def steps(s: Series) -> Series:
+        s = s.add(__at=sr.number()).put(due=(F.col("__at") - 1) % every == 0)
+        return s.add(calibration=sr.latest(F.when(F.col("due"), F.col(value))))
+
+    return along(df, steps, keys=keys, order=order, **size).drop("__at")
 
 
 def smooth(df: DataFrame, value: str, alpha: float, *, key: str = "entity_id", order=("ts_ms", "seq"), chunk: int = 10_000) -> DataFrame:
@@ -130,16 +162,18 @@ def smooth(df: DataFrame, value: str, alpha: float, *, key: str = "entity_id", o
     return local.join(starts, [key, "part"]).select(*df.columns, (F.col("local") + F.col("start") * F.pow(F.lit(keep), F.col("nth") % chunk + 1)).alias("smoothed"))
 
 
-def timeline(df: DataFrame, *, keys=("entity_id",), order=("ts_ms", "seq")) -> DataFrame:
+def timeline(df: DataFrame, *, keys=("entity_id",), order=("ts_ms", "seq"), **size) -> DataFrame:
     """Markers between a start and a stop: ``session``, ``offset_ms`` since its
     start and ``duration_ms``, the last offset."""
-    w = _over(keys, order)
-    out = df.withColumns({"session": F.sum((F.col("marker") == "start").cast("int")).over(w), "stops": F.sum((F.col("marker") == "stop").cast("int")).over(w)})
-    s = [*keys, "session"]
-    inside = Window.partitionBy(*s).orderBy(*order)
-    out = out.where("session > 0").withColumns({"begin": F.first("ts_ms").over(inside), "stopped": F.coalesce(F.sum((F.col("marker") == "stop").cast("int")).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
-    out = out.where("stopped = 0").withColumn("offset_ms", F.col("ts_ms") - F.col("begin"))
-    return out.withColumn("duration_ms", F.max("offset_ms").over(Window.partitionBy(*s))).drop("stops", "begin", "stopped")
+    start, stop = F.col("marker") == "start", (F.col("marker") == "stop").cast("long")
+
+    def steps(s: Series) -> Series:
+        s = s.add(session=sr.total(start.cast("long")), __stops=sr.total(stop)).put(__before=F.col("__stops") - stop)
+        s = s.add(__begin=sr.latest(F.when(start, F.struct(F.col("ts_ms").alias("ms"), F.col("__before").alias("stops")))))
+        s = s.where((F.col("session") > 0) & (F.col("__before") == F.col("__begin.stops"))).put(offset_ms=F.col("ts_ms") - F.col("__begin.ms"))
+        return s.per("duration_ms", F.max("offset_ms"), "session")
+
+    return along(df, steps, keys=keys, order=order, **size).select(*df.columns, "session", "offset_ms", "duration_ms")
 
 
 def best_of(df: DataFrame, score: str, *, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

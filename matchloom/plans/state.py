@@ -71,8 +71,8 @@ def w7(spark, sf):
 @query("w10_motion_to_publish", f"""WITH {MOTION}, p AS (SELECT *, max(CASE WHEN motion THEN ts_ms END) OVER (PARTITION BY entity_id ORDER BY ts_ms, seq ROWS UNBOUNDED PRECEDING) AS moved FROM m) SELECT seq, ts_ms - moved AS ms FROM p WHERE item_id = 'purchase'""")
 def w10(spark, sf):
     m = _motion(spark, sf)
-    moved = st.carry_forward(m, F.when(F.col("motion"), F.col("ts_ms")))
-    return m.withColumn("ms", F.col("ts_ms") - moved).where("item_id = 'purchase'").select("seq", "ms")
+    moved = st.carry_forward(m, "moved", F.when(F.col("motion"), F.col("ts_ms")))
+    return moved.withColumn("ms", F.col("ts_ms") - F.col("moved")).where("item_id = 'purchase'").select("seq", "ms")
 
 
 @query("w11_refresh_hold", f"""WITH {READINGS}, n AS (SELECT *, (row_number() OVER {W} - 1) % 30 = 0 AS due FROM r) SELECT seq, due, last_value(CASE WHEN due THEN value END IGNORE NULLS) OVER (PARTITION BY entity_id ORDER BY ts_ms, seq ROWS UNBOUNDED PRECEDING) AS calibration FROM n""")
@@ -120,7 +120,16 @@ def w17(spark, sf):
 @query("j12_as_of", f"""WITH {READINGS} SELECT seq, last_value(CASE WHEN item_id = 'click' THEN value END IGNORE NULLS) OVER (PARTITION BY entity_id ORDER BY ts_ms, seq ROWS UNBOUNDED PRECEDING) AS last_click FROM r""")
 def j12(spark, sf):
     r = readings(spark, sf)
-    return r.select("seq", st.carry_forward(r, F.when(F.col("item_id") == "click", F.col("value"))).alias("last_click"))
+    return st.carry_forward(r, "last_click", F.when(F.col("item_id") == "click", F.col("value"))).select("seq", "last_click")
+
+
+@query("j12_as_of_join", f"""WITH {READINGS}, c AS (SELECT entity_id, ts_ms, arg_max(seq, seq) AS seq, arg_max(value, seq) AS value FROM r WHERE item_id = 'click' GROUP BY ALL), p AS (SELECT * FROM r WHERE item_id <> 'click')
+SELECT p.seq, p.item_id, c.seq AS click_seq, c.value AS click_value FROM p ASOF LEFT JOIN c ON p.entity_id = c.entity_id AND p.ts_ms >= c.ts_ms""")
+def j12_join(spark, sf):
+    """Every reading that is no click with the user's last click."""
+    r = readings(spark, sf)
+    out = st.as_of_join(r.where("item_id <> 'click'"), r.where("item_id = 'click'"), order=("seq",))
+    return out.select("seq", "item_id", F.col("match.seq").alias("click_seq"), F.col("match.value").alias("click_value"))
 
 
 def snapshots(spark, sf):
