@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+from .selection import percentiles
+
 
 def rate(flag: Column, among: Column | None = None) -> Column:
     """Share of rows with ``flag``; null over no rows."""
@@ -12,25 +17,46 @@ def rate(flag: Column, among: Column | None = None) -> Column:
     return F.avg(one if among is None else F.when(among, one))
 
 
+#: Percentiles of the latency, by name.
+LATENCY = {"p50_ms": 0.5, "p95_ms": 0.95}
+
+
 def measures() -> list[Column]:
     known = F.col("is_known")
     return [
         F.count("*").alias("n"), F.count_if(known).alias("known"), F.count_if(~known).alias("wrong"),
         rate(F.col("top1_correct"), known).alias("top1"), rate(F.col("top3_contains_expected"), known).alias("top3"), rate(F.col("false_accept"), ~known).alias("false_accept_rate"),
-        F.avg("confidence_gap").alias("mean_gap"), F.avg("runtime_ms").alias("mean_ms"), F.percentile("runtime_ms", 0.5).alias("p50_ms"), F.percentile("runtime_ms", 0.95).alias("p95_ms"),
+        F.avg("confidence_gap").alias("mean_gap"), F.avg("runtime_ms").alias("mean_ms"),
     ]
 
 
 def evaluate(predictions: DataFrame, *by: str) -> DataFrame:
     """Accuracy, false accepts, gap and latency per group."""
-    return predictions.groupBy(*by).agg(*measures())
+    summary = predictions.groupBy(*by).agg(*measures())
+    return _with(summary, percentiles(predictions, by, "runtime_ms", LATENCY), by)
 
 
 def evaluate_levels(predictions: DataFrame, levels: list[tuple[str, ...]]) -> DataFrame:
     """``evaluate`` at several levels in one pass of grouping sets; ``level`` is
     the bit vector of the columns that a row sums over."""
     columns = list(dict.fromkeys(c for level in levels for c in level))
-    return predictions.groupingSets([list(map(F.col, level)) for level in levels], *columns).agg(F.grouping_id().alias("level"), *measures())
+    summary = predictions.groupingSets([list(map(F.col, level)) for level in levels], *columns).agg(F.grouping_id().alias("level"), *measures())
+    latency, times = None, stored(predictions.groupBy(*columns, "runtime_ms").agg(F.count("*").alias("times")))
+    for level in levels:
+        bits = sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in level)
+        one = percentiles(times, level, "runtime_ms", LATENCY, weight="times")
+        one = one.select(*(F.col(c) if c in level else F.lit(None).cast(predictions.schema[c].dataType).alias(c) for c in columns), F.lit(bits).cast("long").alias("level"), *LATENCY)
+        latency = one if latency is None else latency.unionByName(one)
+    return _with(summary, latency, [*columns, "level"])
+
+
+def _with(summary: DataFrame, other: DataFrame, on) -> DataFrame:
+    """``summary`` with the other columns of ``other``, both a row a group; groups may be null."""
+    if not on:
+        return summary.crossJoin(other)  # one row each
+    other = other.withColumnsRenamed({c: f"__of_{c}" for c in on})
+    same = functools.reduce(lambda a, b: a & b, (summary[c].eqNullSafe(other[f"__of_{c}"]) for c in on))
+    return summary.join(other, same, "left").drop(*(f"__of_{c}" for c in on))
 
 
 def method_summary(predictions: DataFrame, ambiguous: float = 0.04) -> DataFrame:
