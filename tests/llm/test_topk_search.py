@@ -6,7 +6,7 @@ from matchloom.llm.topk_search import Best, search_block, top_k
 
 
 def brute(rows, queries, k):
-    ok = [(i, [math.floor(256 * float(x)) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    ok = [(i, [int(float(x)) * 256 if abs(float(x)) > 2**53 else math.floor(256 * float(x)) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     out = []
     for q in queries:
         mine = next((v for i, v in ok if i == q), None)
@@ -49,7 +49,15 @@ def test_equal_vectors_of_large_norm():
 
 def test_large_components(spark):
     rng = np.random.default_rng(3)
-    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=8) * 2.0 ** rng.integers(0, 20)]) for i in range(120)] + [(200, [1e30] * 8)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = sorted(tuple(r) for r in top_k(df, df.where("vec_id % 10 = 0"), 5).collect())
-    assert got == brute(rows[:-1], range(0, 120, 10), 5)
+    rows = [(i, [float(x) for x in rng.normal(size=24) * 2.0 ** rng.integers(0, 20)]) for i in range(120)]
+    rows += [(200, [1e30] * 24), (210, [-1e30] * 24), (211, [3e7] * 24), (212, [1.7e308] * 24), (213, [-1.7e308, 5e-324] * 12), (214, [1e30] * 24), (220, [3e7] * 8), (221, [0.1] * 8), (230, [0.2] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    want = [(q, r, i, s if -(2**63) <= s < 2**63 else None) for q, r, i, s in brute(rows, range(0, 231, 10), 5)]
+    assert any(w[3] is None for w in want)
+    assert sorted(tuple(r) for r in top_k(df, df.where("vec_id % 10 = 0"), 5).collect()) == want
+
+
+def test_vectors_of_large_norm_are_found(spark):
+    df = spark.createDataFrame([(0, [3e7] * 8), (1, [0.1] * 8), (2, [0.2] * 8)], "vec_id long, embedding array<float>")
+    got = [tuple(r) for r in top_k(df, df.where("vec_id = 1"), 5).collect()]
+    assert got == [(1, 1, 0, 8 * math.floor(256 * float(np.float32(3e7))) * 25), (1, 2, 2, 8 * 51 * 25)]
