@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -134,6 +136,18 @@ def quad_features(points: Column) -> dict[str, Column]:
     }
 
 
+def quad_box(points: Column) -> dict[str, Column]:
+    """The upright box of a quad in whole numbers, corners rounded half to even."""
+    end = lambda f, axis: F.rint(f(F.transform(points, lambda p: p[axis]))).cast("long")
+    x, y = end(F.array_min, "x"), end(F.array_min, "y")
+    return {"x": x, "y": y, "w": F.greatest(F.lit(0).cast("long"), end(F.array_max, "x") - x), "h": F.greatest(F.lit(0).cast("long"), end(F.array_max, "y") - y)}
+
+
+def layout_angle(points: Column, turned: Column) -> Column:
+    """Angle of the top edge against the axis, upwards positive; half a turn more where ``turned``."""
+    return -F.atan2(points[1]["y"] - points[0]["y"], points[1]["x"] - points[0]["x"]) + F.when(turned, F.lit(math.pi)).otherwise(0.0)
+
+
 def expand_quad(points: Column, ratio: float, width: float, height: float) -> Column:
     """Points moved away from their centroid by ``ratio``, kept in the frame."""
     mean = lambda axis: F.aggregate(points, F.lit(0.0), lambda s, p: s + p[axis]) / F.size(points)

@@ -90,6 +90,15 @@ def geometry_confidence(rectangularity: Column, border: Column, support: Column,
     return clamp01(0.30 * fit + 0.25 * rectangularity + 0.20 * near(border) + 0.15 * near(support) + 0.10 * corner + bonus)
 
 
+def region_confidence(aspect: Column, fill: Column, area: Column, rectangularity: Column, support: Column) -> dict[str, Column]:
+    """Confidence of an outline cut from a region (``aspect`` longer over shorter side,
+    the others shares), the reason that rejects it whatever its confidence, and a status."""
+    off = F.abs(aspect - 1.65) / 1.65
+    confidence = weighted([(1 - off * 2.0, 0.35), (fill, 0.25), (target_range(area, 0.08, 0.75, 0.03, 0.90), 0.20), (rectangularity, 0.10), (support * 8.0, 0.10)])
+    reject = first_rule([("card_area_too_small", area < 0.03), ("bad_aspect_ratio", (aspect < 1.05) | (aspect > 2.40)), ("low_foreground_fill", fill < 0.12)])
+    return {"confidence": confidence, "reject_reason": reject, "status": F.when(reject.isNotNull(), "FAIL").otherwise(grade(confidence))}
+
+
 def grade(v: Column, passing: float = 0.68, yellow: float = 0.35) -> Column:
     return first_rule([("PASS", v >= passing), ("YELLOW", v >= yellow)], "FAIL")
 
@@ -197,6 +206,28 @@ def sample_score(geometry: Column, recognition: Column, candidates: Column, acce
     return g * 0.35 + r * 0.85 + ratio * 0.70 + a * 0.10 - f * 2.0 - late * 0.35
 
 
+def session_score(identified: Column, good_matches: Column, false_outlines: Column, jitter: Column, matching_ms: Column) -> Column:
+    """Score of a calibration session's sample: identification outweighs all else."""
+    return F.when(identified, 1000.0).otherwise(0.0) + F.least(good_matches, F.lit(80.0)) * 2.0 - false_outlines * 20.0 - jitter * 120.0 - F.greatest(F.lit(0.0), matching_ms - 120.0) * 0.5
+
+
+def candidate_score(geometry: Column, matches: Column, inlier_ratio: Column) -> Column:
+    """Score of a snapshot's candidate; without recognition (null ``matches``) its geometry counts little."""
+    recognised = F.least(matches / 30.0, F.lit(1.0)) * clamp01(F.coalesce(inlier_ratio, F.lit(0.0)))
+    return F.when(matches.isNull(), geometry * 0.4).otherwise(geometry * 0.45 + recognised * 1.10)
+
+
+def quad_score(area: Column, x: Column, y: Column, w: Column, h: Column, frame_w: float, frame_h: float) -> Column:
+    """Score of an outline of some ``area`` with its upright box: its box's aspect against
+    1.72, less for outlines of over 0.15 of the frame, a little less off the centre; 0 out of bounds."""
+    share, off = area / (frame_w * frame_h), F.abs(F.greatest(w, h) / F.nullif(F.least(w, h), F.lit(0)) - 1.72)
+    size = F.when(share <= 0.15, 1.0).otherwise(F.greatest(F.lit(0.0), 1.0 - (share - 0.15) / (0.6 - 0.15)))
+    dx, dy = x + w / 2 - frame_w / 2, y + h / 2 - frame_h / 2
+    central = 1.0 - F.sqrt(dx * dx + dy * dy) / ((frame_w**2 + frame_h**2) ** 0.5 / 2)
+    out = (share < 0.0001) | (share > 0.6) | (w <= 0) | (h <= 0) | (off > 0.45)
+    return F.when(out, 0.0).otherwise((1.0 - off / 0.45) * size * (0.8 + 0.2 * central))
+
+
 def explain_status(decks: Column, calibrated: Column, markers: Column, layout: Column, candidates: Column, cards: Column) -> dict[str, Column]:
     """Five steps with state and value, and a severity ladder."""
     waiting = layout.isin("settling", "sampling_snapshots", "analyzing_snapshot")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import boxes as bx
-from ..session import reliable
+from ..session import release, reliable
 from .components import connected_components
 
 #: Edge of the smallest grid cells; those of level k have 2^k times as much.
@@ -121,27 +122,89 @@ def assign_regions(ranked: DataFrame) -> DataFrame:
     return _first_unused(rows, [F.col("region_id"), F.col("rank")], "region_id", "box_id").drop("rank")
 
 
-def suppress(boxes: DataFrame, least: float, *, rank: Column) -> DataFrame:
+#: Conflict pairs of a frame, or of a component of conflicts, that one task takes in order.
+ORDERED = 1_000_000
+
+
+def suppress(boxes: DataFrame, least: float, *, rank: Column, ordered: int | None = None) -> DataFrame:
     """Boxes that survive non-maximum suppression: in the order of ``rank`` (ties
     by id), a box stays unless a box that stays before it overlaps it by
     ``least`` or more. Null boxes stay.
 
-    In rounds over the conflict pairs: a box without a better one left stays,
-    its worse neighbours go, until no pair is left.
+    The conflict pairs of a frame are taken in one ordered pass, however long its
+    chains are. A frame of more than ``ordered`` pairs is first cut into its connected
+    components, each of which is a pass; only a component of more goes in rounds.
     """
+    ordered = ORDERED if ordered is None else ordered
     ranked = boxes.withColumn("rank", rank)
     pairs = iou_join(ranked, ranked, least).where((F.col("a_rank") < F.col("b_rank")) | ((F.col("a_rank") == F.col("b_rank")) & (F.col("a_box_id") < F.col("b_box_id"))))
-    pairs = reliable(pairs.select("frame_id", F.col("a_box_id").alias("a"), F.col("b_box_id").alias("b")))
-    gone = None
+    pairs = reliable(pairs.select("frame_id", F.col("a_box_id").alias("a"), F.col("b_box_id").alias("b"), "b_rank"))
+    wide = lambda df, key: reliable(df.groupBy(key).count().where(F.col("count") > ordered).select(key))
+    large = wide(pairs, "frame_id")
+    if large.isEmpty():
+        gone = _suppressed(pairs, "frame_id")
+    else:
+        node = lambda s: F.struct("frame_id", F.col(s).alias("id"))
+        inside = pairs.join(large, "frame_id", "left_semi")
+        roots = reliable(connected_components(inside.select(node("a").alias("a"), node("b").alias("b"))))
+        tagged = reliable(inside.withColumn("node", node("a")).join(roots, "node").drop("node"))
+        giant = wide(tagged, "root")
+        gone = _suppressed(pairs.join(large, "frame_id", "left_anti"), "frame_id").unionByName(_suppressed(tagged.join(giant, "root", "left_anti"), "root"))
+        rest = tagged.join(giant, "root", "left_semi").select("frame_id", "a", "b")
+        if not rest.isEmpty() and (more := _suppressed_in_rounds(rest)) is not None:
+            gone = gone.unionByName(more)
+    return boxes.join(gone, ["frame_id", "box_id"], "left_anti")
+
+
+def _suppressed(pairs: DataFrame, key: str) -> DataFrame:
+    """``frame_id, box_id`` that go, by one pass over each key's pairs in the order of
+    their worse boxes: what became of the better one is then known."""
+
+    def scan(batches):
+        here, gone = None, set()
+        for pdf in batches:
+            out = []
+            for group, frame, a, b in zip(pdf["group"], pdf["frame_id"], pdf["a"], pdf["b"], strict=True):
+                if group != here:
+                    here, gone = group, set()
+                if a not in gone and b not in gone:
+                    gone.add(b)
+                    out.append((frame, b))
+            yield pd.DataFrame(out, columns=["frame_id", "box_id"])
+
+    kinds = {c: pairs.schema[c].dataType.simpleString() for c in ("frame_id", "b")}
+    group = F.col(key) if key == "frame_id" else F.to_json(key)
+    in_order = pairs.withColumn("group", group).repartition("group").sortWithinPartitions("group", "b_rank", "b").select("group", "frame_id", "a", "b")
+    return in_order.mapInPandas(scan, f"frame_id {kinds['frame_id']}, box_id {kinds['b']}")
+
+
+def _suppressed_in_rounds(pairs: DataFrame) -> DataFrame | None:
+    """The same in rounds: a box without a better one left stays, its worse
+    neighbours go, until no pair is left."""
+    gone, pairs = None, reliable(pairs)
     while not pairs.isEmpty():
         worse = pairs.select("frame_id", F.col("b").alias("box_id")).distinct()
         stays = pairs.select("frame_id", F.col("a").alias("box_id")).distinct().join(worse, ["frame_id", "box_id"], "left_anti")
         out = reliable(pairs.join(stays.withColumnRenamed("box_id", "a"), ["frame_id", "a"], "left_semi").select("frame_id", F.col("b").alias("box_id")).distinct())
         gone = out if gone is None else gone.unionByName(out)
+        left = pairs
         for side in "ab":
-            pairs = pairs.join(out.withColumnRenamed("box_id", side), ["frame_id", side], "left_anti")
-        pairs = reliable(pairs.join(stays.withColumnRenamed("box_id", "a"), ["frame_id", "a"], "left_anti"))
-    return boxes if gone is None else boxes.join(gone, ["frame_id", "box_id"], "left_anti")
+            left = left.join(out.withColumnRenamed("box_id", side), ["frame_id", side], "left_anti")
+        left = reliable(left.join(stays.withColumnRenamed("box_id", "a"), ["frame_id", "a"], "left_anti"))
+        release(pairs)
+        pairs = left
+    return gone
+
+
+def best_detector(tagged: DataFrame, order: tuple[str, ...], *, keys: tuple[str, ...] = ("frame_id",)) -> DataFrame:
+    """``keys, best_detector``: the detector (``detector``) with most rows, the first in
+    ``order`` of equals; detectors that ``order`` does not name come last, by name."""
+    at = F.array_position(F.lit(list(order)), F.col("detector"))
+    counted = tagged.groupBy(*keys, "detector").agg(F.count("*").alias("n"))
+    place = F.struct(F.col("n"), -F.when(at > 0, at).otherwise(len(order) + 1))
+    best = counted.withColumn("place", place).groupBy(*keys).agg(F.max("place").alias("top"))
+    same = counted.withColumn("place", place).join(best, list(keys)).where(F.col("place") == F.col("top"))
+    return same.groupBy(*keys).agg(F.min("detector").alias("best_detector"))
 
 
 def merge(boxes: DataFrame, pad: int = 12) -> DataFrame:

@@ -229,6 +229,29 @@ def median_baseline(df: DataFrame, *, key: str = "key", value: str = "value", th
     return df.join(base, key).withColumn("foreground", F.abs(F.col(value) - F.col("baseline")) > threshold)
 
 
+def foreground_ratio(cells: DataFrame, regions: DataFrame, *, width: int, height: int, keys: Sequence[str] = ("frame_id",)) -> DataFrame:
+    """``keys, region_id, ratio``: the share of a region's cells that are foreground.
+    ``cells`` (keys, cx, cy, foreground) are those of a frame's grid of ``width`` x
+    ``height``, absent ones background; ``regions`` (keys, region_id, x, y, w, h) are cut
+    at the frame. A region without a cell inside the frame has 0, as has a frame
+    without foreground.
+
+    Cells and regions meet in the tiles of the grid that a region touches, 16 cells
+    wide, so a frame is no single group."""
+    tile = 16
+    left, top = F.greatest(F.lit(0), F.col("x")), F.greatest(F.lit(0), F.col("y"))
+    right, bottom = F.least(F.lit(width), F.col("x") + F.col("w")), F.least(F.lit(height), F.col("y") + F.col("h"))
+    cut = regions.select(*keys, "region_id", left.cast("long").alias("l"), top.cast("long").alias("t"), right.cast("long").alias("r"), bottom.cast("long").alias("b"))
+    size = F.greatest(F.lit(0).cast("long"), F.col("r") - F.col("l")) * F.greatest(F.lit(0).cast("long"), F.col("b") - F.col("t"))
+    cut = cut.withColumn("cells", size)
+    tiles = lambda lo, hi: F.sequence(F.floor(F.col(lo) / tile), F.floor((F.col(hi) - 1) / tile))
+    spread = cut.where("cells > 0").withColumn("tx", F.explode(tiles("l", "r"))).withColumn("ty", F.explode(tiles("t", "b")))
+    lit = cells.where("foreground").select(*keys, "cx", "cy", F.floor(F.col("cx") / tile).alias("tx"), F.floor(F.col("cy") / tile).alias("ty"))
+    met = lit.join(spread, [*keys, "tx", "ty"]).where((F.col("cx") >= F.col("l")) & (F.col("cx") < F.col("r")) & (F.col("cy") >= F.col("t")) & (F.col("cy") < F.col("b")))
+    hits = met.groupBy(*keys, "region_id").agg(F.count("*").alias("hits"))
+    return cut.join(hits, [*keys, "region_id"], "left").select(*keys, "region_id", F.coalesce(F.col("hits") / F.nullif(F.col("cells"), F.lit(0)), F.lit(0.0)).alias("ratio"))
+
+
 def snapshot_diff(previous: DataFrame, current: DataFrame, baseline: DataFrame, *, noise: float, threshold: float, shift_share: float = 0.45, pair: tuple[str, ...] = ()) -> DataFrame:
     """``key, kind, shifted`` of keys whose value changed by more than ``noise``.
     With ``pair`` columns many pairs of snapshots are compared at once, each by itself.

@@ -88,10 +88,13 @@ def p7(spark, sf):
 @query("p8_quad_features", f"""WITH {_QUAD}, d AS (SELECT *, (sqrt((tr.x-tl.x)*(tr.x-tl.x)+(tr.y-tl.y)*(tr.y-tl.y)) + sqrt((br.x-bl.x)*(br.x-bl.x)+(br.y-bl.y)*(br.y-bl.y))) / 2 AS across,
   (sqrt((bl.x-tl.x)*(bl.x-tl.x)+(bl.y-tl.y)*(bl.y-tl.y)) + sqrt((br.x-tr.x)*(br.x-tr.x)+(br.y-tr.y)*(br.y-tr.y))) / 2 AS down FROM o)
 SELECT frame_id, box_id, round((tl.x+tr.x+br.x+bl.x)/4, 6) AS cx, round((tl.y+tr.y+br.y+bl.y)/4, 6) AS cy, round(atan2(tr.y-tl.y, tr.x-tl.x), 6) AS angle,
-  round(abs(tl.x*tr.y-tr.x*tl.y + tr.x*br.y-br.x*tr.y + br.x*bl.y-bl.x*br.y + bl.x*tl.y-tl.x*bl.y)/2, 4) AS area, round(greatest(across, down)/greatest(1e-9, least(across, down)), 6) AS aspect FROM d""")
+  round(abs(tl.x*tr.y-tr.x*tl.y + tr.x*br.y-br.x*tr.y + br.x*bl.y-bl.x*br.y + bl.x*tl.y-tl.x*bl.y)/2, 4) AS area, round(greatest(across, down)/greatest(1e-9, least(across, down)), 6) AS aspect,
+  round_even(least(tl.x, tr.x, br.x, bl.x), 0)::BIGINT AS x, round_even(least(tl.y, tr.y, br.y, bl.y), 0)::BIGINT AS y, greatest(0, round_even(greatest(tl.x, tr.x, br.x, bl.x), 0)::BIGINT - round_even(least(tl.x, tr.x, br.x, bl.x), 0)::BIGINT) AS w,
+  greatest(0, round_even(greatest(tl.y, tr.y, br.y, bl.y), 0)::BIGINT - round_even(least(tl.y, tr.y, br.y, bl.y), 0)::BIGINT) AS h, round(-atan2(tr.y-tl.y, tr.x-tl.x) + CASE WHEN box_id % 2 = 0 THEN pi() ELSE 0.0 END, 6) AS layout_angle FROM d""")
 def p8(spark, sf):
     f = bx.quad_features(F.col("pts"))
-    return _keyed(_quad(spark, sf), **{k: F.round(v, 4 if k == "area" else 6) for k, v in f.items()})
+    angle = bx.layout_angle(F.col("pts"), F.col("box_id") % 2 == 0)
+    return _keyed(_quad(spark, sf), **{k: F.round(v, 4 if k == "area" else 6) for k, v in f.items()}, **bx.quad_box(F.col("pts")), layout_angle=F.round(angle, 6))
 
 
 @query("p9_expand_quad", f"""WITH {_QUAD}, c AS (SELECT *, (tl.x+tr.x+br.x+bl.x)/4 AS cx, (tl.y+tr.y+br.y+bl.y)/4 AS cy FROM o)
@@ -142,6 +145,16 @@ def p14(spark, sf):
     return _keyed(boxes(spark, sf), confidence=F.round(c, 9), grade=so.grade(c))
 
 
+@query("p14_region_confidence", f"""WITH {BOXES}, m AS (SELECT frame_id, box_id, greatest(w, h) / least(w, h)::DOUBLE AS aspect, score * 10 AS fill, w * h / 4096.0::DOUBLE AS area, x / 40.0::DOUBLE AS rect, score * score AS support FROM b),
+c AS (SELECT *, (0.35 * greatest(0, least(1, 1 - abs(aspect - 1.65) / 1.65 * 2.0)) + 0.25 * greatest(0, least(1, fill)) + 0.20 * CASE WHEN area BETWEEN 0.08 AND 0.75 THEN 1.0 WHEN area < 0.03 OR area > 0.90 THEN 0.0 WHEN area < 0.08 THEN (area - 0.03) / (0.08 - 0.03) * 0.5 + 0.5 ELSE (0.90 - area) / (0.90 - 0.75) * 0.5 + 0.5 END
+  + 0.10 * greatest(0, least(1, rect)) + 0.10 * greatest(0, least(1, support * 8.0))) / (0.35 + 0.25 + 0.20 + 0.10 + 0.10) AS c, CASE WHEN area < 0.03 THEN 'card_area_too_small' WHEN aspect < 1.05 OR aspect > 2.40 THEN 'bad_aspect_ratio' WHEN fill < 0.12 THEN 'low_foreground_fill' END AS reject_reason FROM m)
+SELECT frame_id, box_id, round(greatest(0, least(1, c)), 9) AS confidence, reject_reason, CASE WHEN reject_reason IS NOT NULL THEN 'FAIL' WHEN round(c, 12) >= 0.68 THEN 'PASS' WHEN round(c, 12) >= 0.35 THEN 'YELLOW' ELSE 'FAIL' END AS status FROM c""")
+def p14_region(spark, sf):
+    b, s = bx.Box.of(), F.col("score")
+    c = so.region_confidence(F.greatest(b.w, b.h) / F.least(b.w, b.h), s * 10, b.area / 4096.0, b.x / 40.0, s * s)
+    return _keyed(boxes(spark, sf), confidence=F.round(c["confidence"], 9), reject_reason=c["reject_reason"], status=c["status"])
+
+
 @query("p15_signal_screen", """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: 100 + 100 * x::DOUBLE) AS v FROM embeddings),
 d AS (SELECT vec_id, v, list_transform(range(1, len(v) - 1), lambda i: v[i + 2] - v[i + 1] - (v[i + 1] - v[i])) AS s FROM v),
 m AS (SELECT vec_id, list_avg(v) AS mean, list_stddev_pop(v) AS std, list_var_pop(s) AS blur FROM d)
@@ -237,6 +250,18 @@ def p23(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.round(score, 9).alias("score"))
 
 
+@query("p23_tuning_scores", f"""WITH {BOXES}, m AS (SELECT *, CASE WHEN box_id % 3 > 0 THEN box_id * 11 END AS matches, w * h * 0.9::DOUBLE / 4096.0 AS share, abs(greatest(w, h) / least(w, h)::DOUBLE - 1.72) AS off, x + w / 2.0 - 32 AS dx, y + h / 2.0 - 32 AS dy FROM b)
+SELECT frame_id, box_id, round(CASE WHEN box_id % 2 = 0 THEN 1000.0 ELSE 0.0 END + least(w, 80.0) * 2.0 - box_id % 4 * 20.0 - score * 120.0 - greatest(0.0, h * 5 - 120.0) * 0.5, 9) AS session_score,
+  round(CASE WHEN matches IS NULL THEN score * 10 * 0.4 ELSE score * 10 * 0.45 + least(matches / 30.0, 1.0) * greatest(0, least(1, score * 12)) * 1.10 END, 9) AS candidate_score,
+  round(CASE WHEN share < 0.0001 OR share > 0.6 OR off > 0.45 THEN 0.0 ELSE (1.0 - off / 0.45) * CASE WHEN share <= 0.15 THEN 1.0 ELSE greatest(0.0, 1.0 - (share - 0.15) / (0.6 - 0.15)) END * (0.8 + 0.2 * (1.0 - sqrt(dx * dx + dy * dy) / (sqrt(64.0 * 64 + 64 * 64) / 2))) END, 9) AS quad_score FROM m""")
+def p23_tuning(spark, sf):
+    b, s, n = bx.Box.of(), F.col("score"), F.col("box_id")
+    session = so.session_score(n % 2 == 0, b.w, n % 4, s, b.h * 5)
+    candidate = so.candidate_score(s * 10, F.when(n % 3 > 0, n * 11), s * 12)
+    quad = so.quad_score(b.area * 0.9, b.x, b.y, b.w, b.h, 64, 64)
+    return _keyed(boxes(spark, sf), session_score=F.round(session, 9), candidate_score=F.round(candidate, 9), quad_score=F.round(quad, 9))
+
+
 @query("p24_normalise_document", """SELECT event_id, coalesce(json_extract_string(props, '$.state'), 'unknown') AS state, coalesce(try_cast(json_extract_string(props, '$.k') AS INTEGER), 0) AS k,
   'fps=' || coalesce(json_extract_string(props, '$.k'), '0') || ';lag=0;mode=auto' AS metrics FROM events""")
 def p24(spark, sf):

@@ -116,12 +116,14 @@ def t4(spark, sf):
     return tb.grid(spark, {"lo": [k * 10 for k in keys], "hi": [k * 12 for k in keys], "step": [1, 2]}, F.col("lo") < F.col("hi"), 15)
 
 
-@query("u2_union_then_suppress", _sql_suppressed("w * h DESC", 0.75) + " SELECT frame_id, box_id, CASE WHEN box_id % 2 = 0 THEN 'first' ELSE 'second' END AS detector FROM c WHERE stays")
+@query("u2_union_then_suppress", _sql_suppressed("w * h DESC", 0.75) + """, d AS (SELECT frame_id, CASE WHEN count(*) FILTER (box_id % 2 = 1) > count(*) FILTER (box_id % 2 = 0) THEN 'second' ELSE 'first' END AS best_detector FROM b GROUP BY 1)
+SELECT frame_id, box_id, CASE WHEN box_id % 2 = 0 THEN 'first' ELSE 'second' END AS detector, best_detector FROM c JOIN d USING (frame_id) WHERE stays""")
 def u2(spark, sf):
-    """Boxes of two detectors, the larger of those that overlap."""
+    """Boxes of two detectors, the larger of those that overlap, and which detector found most."""
     a, b = _halves(spark, sf)
     tagged = a.withColumn("detector", F.lit("first")).unionByName(b.withColumn("detector", F.lit("second")))
-    return sp.suppress(tagged, 0.75, rank=-(F.col("w") * F.col("h"))).select("frame_id", "box_id", "detector")
+    kept = sp.suppress(tagged, 0.75, rank=-(F.col("w") * F.col("h")))
+    return kept.join(sp.best_detector(tagged, ("first", "second")), "frame_id").select("frame_id", "box_id", "detector", "best_detector")
 
 
 @query("j7_prefix_join", "SELECT p_partkey AS part, CASE WHEN starts_with(p_type, 'SM') THEN 'small' WHEN starts_with(p_type, 'S') THEN 'other' WHEN starts_with(p_type, 'STANDARD') THEN 'std' ELSE 'unknown' END AS owner FROM part")

@@ -156,6 +156,24 @@ def j8(spark, sf):
     return st.snapshot_diff(before, after, base, noise=1000, threshold=0.5, pair=("month",))
 
 
+#: A month's customers as a grid of 64 by 64 cells, a cell's value the sum of its customers' orders.
+CELLS = """c AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, o_custkey % 64 AS cx, o_custkey // 64 % 64 AS cy, sum(o_totalprice) AS value FROM orders GROUP BY ALL),
+g AS (SELECT month, cx, cy, abs(value - quantile_cont(value, 0.5) OVER (PARTITION BY cx, cy)) > 50000 AS foreground FROM c)"""
+
+
+@query("a13_region_foreground", f"""WITH {CELLS}, m AS (SELECT DISTINCT month FROM g), r AS (SELECT month, r_regionkey AS region_id, r_regionkey * 14 - 4 AS x, r_regionkey * 11 - 2 AS y, 20 AS w, 25 AS h FROM m CROSS JOIN region),
+k AS (SELECT *, greatest(0, x) AS l, greatest(0, y) AS t, least(64, x + w) AS e, least(64, y + h) AS b FROM r)
+SELECT k.month, region_id, round(count(*) FILTER (g.foreground) / ((e - l) * (b - t))::DOUBLE, 9) AS ratio FROM k LEFT JOIN g ON g.month = k.month AND cx >= l AND cx < e AND cy >= t AND cy < b GROUP BY k.month, region_id, l, t, e, b""")
+def a13_region(spark, sf):
+    o = table(spark, sf, "orders")
+    key = F.col("o_custkey")
+    cells = o.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month"), (key % 64).alias("cx"), (F.floor(key / 64) % 64).alias("cy")).agg(F.sum("o_totalprice").alias("value"))
+    seen = st.median_baseline(cells.withColumn("key", F.struct("cx", "cy")), threshold=50_000).select("month", "cx", "cy", "foreground")
+    n = F.col("r_regionkey")
+    regions = cells.select("month").distinct().crossJoin(F.broadcast(table(spark, sf, "region").select(n.alias("region_id"), (n * 14 - 4).alias("x"), (n * 11 - 2).alias("y"), F.lit(20).alias("w"), F.lit(25).alias("h"))))  # five rows
+    return st.foreground_ratio(seen, regions, width=64, height=64, keys=("month",)).select("month", "region_id", F.round("ratio", 9).alias("ratio"))
+
+
 @query("a13_median_baseline", f"WITH {SNAP}, m AS (SELECT key, quantile_cont(value, 0.5) AS baseline FROM s GROUP BY 1) SELECT month, count(*) AS n, count(*) FILTER (abs(value - baseline) > 50000) AS foreground FROM s JOIN m USING (key) GROUP BY 1")
 def a13(spark, sf):
     out = st.median_baseline(snapshots(spark, sf), threshold=50000)

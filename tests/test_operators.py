@@ -83,6 +83,27 @@ def test_suppression_and_merge_against_brute_force(spark):
     assert rows(sp.merge(df, 3), "frame_id", "x", "y", "w", "h") == brute_merge(boxes, 3)
 
 
+@pytest.mark.parametrize("ordered", [10**6, 20, 0])
+def test_suppression_by_frames_components_and_rounds(spark, ordered):
+    import random
+
+    rng = random.Random(8)
+    boxes = [(rng.choice([1, 1, 1, 2]), n, rng.randrange(60), rng.randrange(20), 10, 10, rng.randrange(6) / 5) for n in range(90)]
+    df = spark.createDataFrame(boxes, "frame_id long, box_id long, x long, y long, w long, h long, score double").repartition(3)
+    assert rows(sp.suppress(df, 0.2, rank=-F.col("score"), ordered=ordered), "frame_id", "box_id") == brute_nms(boxes, 0.2)
+
+
+def test_a_long_chain_takes_as_many_jobs_as_a_short_one(spark):
+    jobs, next_id = [], lambda: spark.sparkContext._jsc.sc().dagScheduler().nextJobId()
+    for n in (100, 10_000):
+        chain = spark.range(n).select(F.lit(1).alias("frame_id"), F.col("id").alias("box_id"), (F.col("id") * 5).alias("x"), F.lit(0).alias("y"), F.lit(10).alias("w"), F.lit(10).alias("h"), (-F.col("id")).alias("score"))
+        before = next_id()
+        kept = sorted(r.box_id for r in sp.suppress(chain, 0.3, rank=-F.col("score")).collect())
+        jobs.append(next_id() - before)
+        assert kept == list(range(0, n, 2))
+    assert abs(jobs[0] - jobs[1]) <= 6  # adaptive execution may plan a stage more
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 30)] + [(100, 101), (5, 5), (None, 3), (101, 100)], "a long, b long")
     for known in (None, 34):
