@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import state as st
 from ..streaming import machines as mc
+from ..session import folder, stored
 from ..streaming import run
 from . import state as _batch  # noqa: F401  (registers the twins)
 from .catalog import ENTRIES, query
@@ -142,34 +143,36 @@ def st8(spark, sf):
     return closed.unionByName(st.peak_levels(left, width="1 day")).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query("st13_diff_loop", """WITH RECURSIVE s AS (SELECT year(o_orderdate) AS y, o_custkey AS key, sum(o_totalprice) AS value FROM orders GROUP BY ALL), b AS (SELECT key, quantile_cont(value, 0.5) AS base FROM s WHERE key % 5 > 0 GROUP BY 1),
-o AS (SELECT y, row_number() OVER (ORDER BY y) AS i FROM (SELECT DISTINCT y FROM s)), v AS (SELECT i, key, value FROM s JOIN o USING (y)), pc AS (SELECT a.i AS p, c.i AS c FROM o a JOIN o c ON a.i < c.i),
+@query("st13_diff_loop", """WITH RECURSIVE y AS (SELECT year(o_orderdate) AS y, o_custkey AS key, sum(o_totalprice) AS value FROM orders GROUP BY ALL), b AS (SELECT key, quantile_cont(value, 0.5) AS base FROM y GROUP BY 1),
+o AS (SELECT y, n, y || '.' || n AS id, NOT (y % 3 = 0 AND n = 1) AS stable, row_number() OVER (ORDER BY y, n) AS i FROM (SELECT DISTINCT y FROM y), (VALUES (1), (2)) AS t(n)), v AS (SELECT i, key, value FROM y JOIN o USING (y)), pc AS (SELECT a.i AS p, c.i AS c FROM o a JOIN o c ON a.i < c.i),
 f AS (SELECT p, c, key, sum(value) FILTER (i = p) AS before, sum(value) FILTER (i = c) AS after FROM pc JOIN v ON i = p OR i = c GROUP BY ALL),
 k AS (SELECT f.*, abs(coalesce(before, 0) - coalesce(after, 0)) > 300000 AS changed, CASE WHEN base IS NULL THEN 1.0 ELSE coalesce(before, 0) / base END >= 0.5 AS had, CASE WHEN base IS NULL THEN 1.0 ELSE coalesce(after, 0) / base END >= 0.5 AS has FROM f LEFT JOIN b USING (key)),
 g AS (SELECT p, c, avg(changed::INT) >= 0.6 AS shifted, count(*) FILTER (changed) AS n, coalesce(list(key) FILTER (changed AND NOT had AND has), []) AS added, coalesce(list(key) FILTER (changed AND had AND NOT has), []) AS removed, coalesce(list(key) FILTER (changed AND had AND has), []) AS moved FROM k GROUP BY ALL),
-z(i, committed, outcome, a, r, m, t, v) AS (SELECT 1::BIGINT, 1::BIGINT, 'waiting_for_diff_pair', 0::BIGINT, 0::BIGINT, 0::BIGINT, []::BIGINT[], []::BIGINT[]
-  UNION ALL SELECT g.c, CASE WHEN shifted AND n > 0 THEN committed ELSE g.c END, CASE WHEN shifted AND n > 0 THEN 'resync_required' WHEN len(added) + len(removed) + len(moved) > 0 THEN 'state_updated' WHEN n > 0 THEN 'noise_or_lighting' ELSE 'no_state_change' END,
-    CASE WHEN shifted THEN 0 ELSE len(added) END, CASE WHEN shifted THEN 0 ELSE len(removed) END, CASE WHEN shifted OR len(added) > 0 THEN 0 ELSE len(moved) END,
-    CASE WHEN shifted THEN t ELSE list_distinct(list_concat(list_filter(t, lambda x: NOT list_contains(removed, x)), added)) END,
-    CASE WHEN shifted THEN v ELSE list_distinct(list_concat(list_filter(v, lambda x: NOT list_contains(removed, x) AND NOT list_contains(added, x)), CASE WHEN len(added) > 0 THEN [] ELSE list_filter(moved, lambda x: list_contains(t, x)) END)) END
-  FROM z JOIN g ON g.p = z.committed AND g.c = z.i + 1)
-SELECT y::VARCHAR AS snapshot_id, outcome, a AS added, r AS removed, m AS moved, len(t)::BIGINT AS tracked, len(v)::BIGINT AS to_reverify FROM z JOIN o USING (i)""")
+z(i, committed, outcome, a, r, m, t, v) AS (SELECT 0::BIGINT, NULL::BIGINT, '', 0::BIGINT, 0::BIGINT, 0::BIGINT, []::BIGINT[], []::BIGINT[]
+  UNION ALL SELECT i, CASE WHEN wait LIKE '%pair' THEN i WHEN wait IS NOT NULL OR shifted AND n > 0 THEN committed ELSE i END,
+    CASE WHEN wait IS NOT NULL THEN wait WHEN shifted AND n > 0 THEN 'resync_required' WHEN len(added) + len(removed) + len(moved) > 0 THEN 'state_updated' WHEN n > 0 THEN 'noise_or_lighting' ELSE 'no_state_change' END,
+    CASE WHEN skip THEN 0 ELSE len(added) END, CASE WHEN skip THEN 0 ELSE len(removed) END, CASE WHEN skip OR len(added) > 0 THEN 0 ELSE len(moved) END,
+    CASE WHEN skip THEN t ELSE list_distinct(list_concat(list_filter(t, lambda x: NOT list_contains(removed, x)), added)) END,
+    CASE WHEN skip THEN v ELSE list_distinct(list_concat(list_filter(v, lambda x: NOT list_contains(removed, x) AND NOT list_contains(added, x)), CASE WHEN len(added) > 0 THEN [] ELSE list_filter(moved, lambda x: list_contains(t, x)) END)) END
+  FROM (SELECT x.*, g.*, wait IS NOT NULL OR shifted AS skip FROM (SELECT o.i, z.committed, z.t, z.v, CASE WHEN o.id < '1993.1' THEN 'waiting_for_empty_reference' WHEN NOT o.stable THEN 'waiting_for_stable_frame' WHEN z.committed IS NULL THEN 'waiting_for_diff_pair' END AS wait FROM z JOIN o ON o.i = z.i + 1) x
+    LEFT JOIN g ON g.p = x.committed AND g.c = x.i))
+SELECT id AS snapshot_id, outcome, a AS added, r AS removed, m AS moved, len(t)::BIGINT AS tracked, len(v)::BIGINT AS to_reverify FROM z JOIN o USING (i)""")
 def st13(spark, sf):
+    """Each year's orders by customer, sampled twice; in every third year the first sample is not stable."""
     o = table(spark, sf, "orders")
-    yearly = o.groupBy(F.year("o_orderdate").alias("snapshot_id"), F.col("o_custkey").alias("key")).agg(F.sum("o_totalprice").alias("value"))
-    base = yearly.where("key % 5 > 0").groupBy("key").agg(F.percentile("value", 0.5).alias("value"))
-    years = sorted(r[0] for r in yearly.select("snapshot_id").distinct().collect())  # one row for each snapshot
-    return run.diff_loop(yearly, base, years, noise=300_000, threshold=0.5, shift_share=0.6)
+    yearly = o.groupBy(F.year("o_orderdate").alias("year"), F.col("o_custkey").alias("key")).agg(F.sum("o_totalprice").alias("value"))
+    twice = yearly.withColumn("n", F.explode(F.array(F.lit(1), F.lit(2)))).select(F.concat_ws(".", "year", "n").alias("snapshot_id"), "key", "value", (~((F.col("year") % 3 == 0) & (F.col("n") == 1))).alias("stable"))
+    arrived = folder(spark, "snapshots")
+    twice.write.parquet(arrived)
+    base = stored(yearly.groupBy("key").agg(F.percentile("value", 0.5).alias("value")))
+    loop = run.SnapshotLoop(spark, folder(spark, "snapshot-loop"), base, noise=300_000, threshold=0.5, shift_share=0.6, reference_at="1993.1")
+    return run.diff_stream(spark.readStream.schema(twice.schema).parquet(arrived), loop)
 
 
 @query("s14_change_feed")
 def s14(spark, sf):
     """The changes that a consumer got, micro-batch by micro-batch."""
-    import uuid
-
-    from ..session import shared_dir
-
-    to = f"{shared_dir(spark).rstrip('/')}/consumer-{uuid.uuid4()}"
+    to = folder(spark, "consumer")
     changes = mc.run_stream(reading_stream(spark, sf), mc.changes_only())
     run.change_feed(changes, lambda df, n: df.write.mode("overwrite").parquet(f"{to}/batch={n}"))  # a repeated batch replaces itself
     return spark.read.parquet(to).select("entity_id", "seq", "item_id")

@@ -117,3 +117,32 @@ def test_runs_are_merged_in_order(spark, folder, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
         spark.conf.unset("spark.sql.execution.arrow.transformWithStateInPySpark.maxStateRecordsPerBatch")
+
+
+def test_snapshot_loop_over_restarts(spark):
+    """Every outcome, three runs of one stream, a micro-batch repeated and one run again after it was lost."""
+    from matchloom import session
+
+    values = [(10, 10, 0, 0), (10, 10, 0, 0), (10, 10, 0, 0), (10, 10, 0, 0), (10, 10, 10, 0), (10, 10, 10, 4), (0, 0, 0, 10), (10, 10, 0, 4), (15, 10, 0, 4)]
+    rows = [(f"s{n}", key, float(v), n != 1) for n, snapshot in enumerate(values) for key, v in enumerate(snapshot)]
+    want = [
+        ("s0", "waiting_for_empty_reference", 0, 0, 0, 0, 0), ("s1", "waiting_for_stable_frame", 0, 0, 0, 0, 0), ("s2", "waiting_for_diff_pair", 0, 0, 0, 0, 0), ("s3", "no_state_change", 0, 0, 0, 0, 0), ("s4", "state_updated", 1, 0, 0, 1, 0),
+        ("s5", "noise_or_lighting", 0, 0, 0, 1, 0), ("s6", "resync_required", 0, 0, 0, 1, 0), ("s7", "state_updated", 0, 1, 0, 0, 0), ("s8", "state_updated", 0, 0, 1, 0, 0),
+    ]
+    ddl = "snapshot_id string, key int, value double, stable boolean"
+    with session.scratch():
+        arrived, path = session.folder(spark, "arrived"), session.folder(spark, "loop")
+        base = spark.createDataFrame([(k, 10.0) for k in range(4)], "key int, value double")
+        made = lambda: run.SnapshotLoop(spark, path, base, noise=2, threshold=0.5, shift_share=0.8, reference_at="s1")
+        for part in range(3):
+            mine = spark.createDataFrame([r for r in rows if int(r[0][1:]) // 3 == part], ddl)
+            mine.coalesce(1).write.mode("append").parquet(arrived)
+            got = run.diff_stream(spark.readStream.schema(ddl).parquet(arrived), made())
+        assert sorted(tuple(r) for r in got.collect()) == want
+        loop = made()
+        loop(mine, 1)  # has its manifest: nothing happens, whatever comes
+        loop._files.delete(loop._fs_path(f"{path}/manifest/2"), True)
+        loop(mine, 2)
+        assert sorted(tuple(r) for r in loop.outcomes().collect()) == want
+        with pytest.raises(RuntimeError):
+            loop(mine, 9)
