@@ -12,10 +12,17 @@ from ..functions.scores import first_rule
 
 def prefix_join(ids: DataFrame, owners: DataFrame, default: str) -> DataFrame:
     """``id`` with its owner by the first listed prefix (``owners``: ``owner,
-    prefix, ordinal``, a short list), else the text before ``_`` in lower case,
-    else ``default``."""
-    hits = ids.join(F.broadcast(owners), F.startswith(F.col("id"), F.col("prefix")), "left")
-    first = hits.groupBy("id").agg(F.min(F.when(F.col("owner").isNotNull(), F.struct("ordinal", "owner"))).alias("o"))
+    prefix, ordinal``, of any number), else the text before ``_`` in lower case,
+    else ``default``.
+
+    An id meets prefixes by equality: it has a row for each length that prefixes
+    have, with as much of its beginning."""
+    lengths = owners.agg(F.collect_set(F.length("prefix")).alias("lengths"))  # one row, as long as prefixes have lengths
+    fit = F.filter("lengths", lambda n: n <= F.length("id"))
+    begun = ids.select("id").crossJoin(F.broadcast(lengths)).select("id", F.explode_outer(fit).alias("n"))
+    firsts = owners.groupBy(F.col("prefix").alias("begin")).agg(F.min(F.struct("ordinal", "owner")).alias("hit"))
+    hits = begun.withColumn("begin", F.left("id", F.col("n"))).join(firsts, "begin", "left")
+    first = hits.groupBy("id").agg(F.min("hit").alias("o"))
     lead = F.lower(F.substring_index("id", "_", 1))
     return first.select("id", F.coalesce("o.owner", F.when(F.contains(F.col("id"), F.lit("_")) & (lead != ""), lead), F.lit(default)).alias("owner"))
 

@@ -104,6 +104,17 @@ def test_a_long_chain_takes_as_many_jobs_as_a_short_one(spark):
     assert abs(jobs[0] - jobs[1]) <= 6  # adaptive execution may plan a stage more
 
 
+def test_a_hundred_thousand_prefixes_meet_by_equality(spark):
+    from matchloom.operators import tables as tb
+
+    owners = spark.range(100_000).select(F.concat(F.lit("o"), "id").alias("owner"), F.concat(F.lit("p"), "id").alias("prefix"), F.col("id").alias("ordinal"))
+    ids = spark.createDataFrame([("p7",), ("p99999x",), ("p123456_z",), ("q_1",), ("Ab_c",), ("none",), ("",), (None,)], "id string")
+    out = tb.prefix_join(ids, owners, "other")
+    assert {r.id: r.owner for r in out.collect()} == {"p7": "o7", "p99999x": "o9", "p123456_z": "o1", "q_1": "q", "Ab_c": "ab", "none": "other", "": "other", None: "other"}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "prefix" not in "".join(line for line in plan.splitlines() if "NestedLoopJoin" in line)  # that join is with the one row of lengths
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 30)] + [(100, 101), (5, 5), (None, 3), (101, 100)], "a long, b long")
     for known in (None, 34):
