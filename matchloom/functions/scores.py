@@ -228,6 +228,50 @@ def quad_score(area: Column, x: Column, y: Column, w: Column, h: Column, frame_w
     return F.when(out, 0.0).otherwise((1.0 - off / 0.45) * size * (0.8 + 0.2 * central))
 
 
+#: Each step's label, and what is said where it is in order and where it is not.
+STEP_TEXTS = {
+    "decks": ("Aktywne talie", None, "Brak aktywnej talii"),
+    "markers": ("ArUco", "Stol skalibrowany", "Pokaz markery ArUco w kadrze"),
+    "snapshot": ("Snapshot", "Snapshot gotowy", "Czeka na stabilny snapshot"),
+    "candidates": ("Kandydaci kart", "Wykryto kandydatow kart", "Brak kandydatow kart"),
+    "recognition": ("Rozpoznanie", "Karty zaakceptowane", "Czeka na rozpoznanie"),
+}
+#: What an operator is told to do; without a rule the last warning, else ``check_diagnostics``.
+ACTION_TEXTS = {
+    "choose_decks": "Wybierz 1-3 talie w Studio.",
+    "check_camera": "Sprawdz kamere i launcher CV.",
+    "show_markers": "Pokaz wszystkie markery ArUco w kadrze.",
+    "keep_still": "Zostaw mate nieruchomo przez kilka sekund.",
+    "improve_light": "Popraw swiatlo, kontrast albo polozenie kart.",
+    "run_session": "Mozna prowadzic sesje.",
+    "check_diagnostics": "Sprawdz diagnostyke CV.",
+}
+
+
+def step_messages(steps: Column, deck_names: Column) -> Column:
+    """``label, message`` of each step of ``explain_status``; decks in order are named."""
+
+    def told(step: Column) -> Column:
+        label, message = F.lit(None).cast("string"), F.lit(None).cast("string")
+        for name, (text, good, bad) in STEP_TEXTS.items():
+            said = F.when(step["state"] == "ok", F.array_join(deck_names, ", ") if good is None else F.lit(good)).otherwise(bad)
+            label, message = F.when(step["step"] == name, text).otherwise(label), F.when(step["step"] == name, said).otherwise(message)
+        return F.struct(label.alias("label"), message.alias("message"))
+
+    return F.transform(steps, told)
+
+
+def action_text(action: Column, warnings: Column | None = None) -> Column:
+    """What an action says; where no rule fits, the last of ``warnings`` if there is one."""
+    out = F.lit(None).cast("string")
+    for name, text in ACTION_TEXTS.items():
+        out = F.when(action == name, text).otherwise(out)
+    if warnings is None:
+        return out
+    last = F.get(warnings, F.size(warnings) - 1)
+    return F.when((action == "check_diagnostics") & last.isNotNull(), last).otherwise(out)
+
+
 def explain_status(decks: Column, calibrated: Column, markers: Column, layout: Column, candidates: Column, cards: Column) -> dict[str, Column]:
     """Five steps with state and value, and a severity ladder."""
     waiting = layout.isin("settling", "sampling_snapshots", "analyzing_snapshot")

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import stable_id
 from ..functions.scores import first_rule
+from .state import evenly_spaced
 
 
 def prefix_join(ids: DataFrame, owners: DataFrame, default: str) -> DataFrame:
@@ -120,3 +122,20 @@ def search_parameters(samples: DataFrame, candidates: DataFrame, scorer, schema:
     out = trials.groupBy("ordinal").agg(F.avg(F.coalesce("score", F.lit(0.0))).alias("score"), F.count("error").alias("failed"))
     tier = first_rule([("HIGH", F.col("score") >= 0.7), ("MEDIUM", F.col("score") >= 0.4)], "LOW")
     return out.withColumns({"tier": tier, "best": F.row_number().over(Window.orderBy(F.desc("score"), "ordinal")) == 1})
+
+
+#: How known items are altered.
+KNOWN_CATEGORIES = ("upright_clean", "reversed_clean", "perspective", "blur", "exposure", "extra_margin", "yellow_combined")
+
+
+def validation_plan(items: DataFrame, known: str, *, seed: int, per_known: int = 24, per_foreign: int = 12) -> DataFrame:
+    """Samples to make of ``items`` (``deck, item``): ``per_known`` evenly spaced items of
+    the ``known`` deck in every category, and ``per_foreign`` of each other deck as
+    ``wrong_deck``: ``sample_id, deck, item, expected, is_known, category, orientation``.
+    Decks of no more items are taken whole."""
+    ours = evenly_spaced(items.where(F.col("deck") == known), per_known, order=("item",), keys=("deck",)).withColumn("category", F.explode(F.array(*map(F.lit, KNOWN_CATEGORIES))))
+    others = evenly_spaced(items.where(F.col("deck") != known), per_foreign, order=("item",), keys=("deck",)).withColumn("category", F.lit("wrong_deck"))
+    turned = F.when(F.col("category") == "reversed_clean", "reversed").otherwise("upright")
+    rows = ours.unionByName(others).withColumns({"is_known": F.col("deck") == known, "orientation": turned})
+    sample = stable_id(F.lit(str(seed)), F.col("deck"), F.col("item").cast("string"), F.col("category"), F.col("orientation"))
+    return rows.select(sample.alias("sample_id"), "deck", "item", F.when(F.col("is_known"), F.col("item")).alias("expected"), "is_known", "category", "orientation")

@@ -216,6 +216,22 @@ def p18(spark, sf):
     return readings(spark, sf).select("seq", e["next_action"].alias("next_action"), e["severity"].alias("severity"), steps.alias("steps"))
 
 
+@query("p18_messages", f"""WITH {READINGS}, e AS (SELECT seq, seq % 4 AS decks, confidence > 0.3 AS cal, CASE WHEN seq % 11 = 0 THEN 'no_camera' WHEN item_id = 'click' THEN 'settling' ELSE 'holding_last_good' END AS layout, seq % 3 AS cand, seq % 2 AS cards, CASE WHEN seq % 5 = 0 THEN 'warned at ' || seq END AS warned FROM r)
+SELECT seq, CASE WHEN decks <= 0 THEN 'Wybierz 1-3 talie w Studio.' WHEN layout = 'no_camera' THEN 'Sprawdz kamere i launcher CV.' WHEN NOT cal THEN 'Pokaz wszystkie markery ArUco w kadrze.' WHEN layout = 'settling' THEN 'Zostaw mate nieruchomo przez kilka sekund.'
+    WHEN cand < 1 AND cards <= 0 THEN 'Popraw swiatlo, kontrast albo polozenie kart.' WHEN cards > 0 THEN 'Mozna prowadzic sesje.' ELSE coalesce(warned, 'Sprawdz diagnostyke CV.') END AS advice,
+  concat_ws(' | ', 'Aktywne talie: ' || CASE decks WHEN 0 THEN 'Brak aktywnej talii' WHEN 1 THEN 'deck-0' WHEN 2 THEN 'deck-0, deck-1' ELSE 'deck-0, deck-1, deck-2' END, 'ArUco: ' || CASE WHEN cal THEN 'Stol skalibrowany' ELSE 'Pokaz markery ArUco w kadrze' END,
+    'Snapshot: ' || CASE WHEN layout = 'settling' THEN 'Czeka na stabilny snapshot' ELSE 'Snapshot gotowy' END, 'Kandydaci kart: ' || CASE WHEN cand > 0 THEN 'Wykryto kandydatow kart' ELSE 'Brak kandydatow kart' END,
+    'Rozpoznanie: ' || CASE WHEN cards > 0 THEN 'Karty zaakceptowane' ELSE 'Czeka na rozpoznanie' END) AS messages FROM e""")
+def p18_messages(spark, sf):
+    s = F.col("seq")
+    layout = F.when(s % 11 == 0, "no_camera").when(F.col("item_id") == "click", "settling").otherwise("holding_last_good")
+    e = so.explain_status(s % 4, F.col("confidence") > 0.3, s % 5, layout, s % 3, s % 2)
+    names = F.transform(F.slice(F.array(F.lit(0), F.lit(1), F.lit(2)), 1, (s % 4).cast("int")), lambda n: F.concat(F.lit("deck-"), n.cast("string")))
+    warned = F.when(s % 5 == 0, F.array(F.concat(F.lit("warned at "), s.cast("string")))).otherwise(F.array().cast("array<string>"))
+    messages = F.array_join(F.transform(so.step_messages(e["steps"], names), lambda m: F.concat(m["label"], F.lit(": "), m["message"])), " | ")
+    return readings(spark, sf).select("seq", so.action_text(e["next_action"], warned).alias("advice"), messages.alias("messages"))
+
+
 @query("p19_count_verdict", f"""WITH {BOXES}, c AS (SELECT frame_id, count(*) AS n, min(score) AS least FROM b GROUP BY 1)
 SELECT frame_id, CASE WHEN n = 4 AND least >= 0.01 THEN 'PASS' WHEN abs(n - 4) <= 1 THEN 'YELLOW' ELSE 'FAIL' END AS verdict FROM c""")
 def p19(spark, sf):

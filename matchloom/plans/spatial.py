@@ -276,3 +276,12 @@ def g3(spark, sf):
     lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.length("line").cast("long").alias("n_chars"))
 
+
+@query("y1_validation_plan", """WITH i AS (SELECT p_brand AS deck, p_partkey AS item, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS pos, count(*) OVER (PARTITION BY p_brand) AS size FROM part),
+k AS (SELECT deck, item, unnest(['upright_clean', 'reversed_clean', 'perspective', 'blur', 'exposure', 'extra_margin', 'yellow_combined']) AS category FROM i WHERE deck = 'Brand#4' AND (size <= 24 OR pos IN (SELECT round_even(j * (size - 1) / 23.0, 0)::BIGINT FROM unnest(range(0, 24)) t(j)))),
+f AS (SELECT deck, item, 'wrong_deck' AS category FROM i WHERE deck <> 'Brand#4' AND (size <= 12 OR pos IN (SELECT round_even(j * (size - 1) / 11.0, 0)::BIGINT FROM unnest(range(0, 12)) t(j)))),
+a AS (SELECT *, CASE WHEN category = 'reversed_clean' THEN 'reversed' ELSE 'upright' END AS orientation, deck = 'Brand#4' AS is_known FROM (SELECT * FROM k UNION ALL SELECT * FROM f))
+SELECT substr(sha256('6042026|' || deck || '|' || item || '|' || category || '|' || orientation), 1, 20) AS sample_id, deck, item, CASE WHEN is_known THEN item END AS expected, is_known, category, orientation FROM a""")
+def y1_validation(spark, sf):
+    parts = table(spark, sf, "part").select(F.col("p_brand").alias("deck"), F.col("p_partkey").alias("item"))
+    return tb.validation_plan(parts, "Brand#4", seed=6042026)
