@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import stable_id
 from ..functions.scores import first_rule
+from ..session import stored
 from .state import evenly_spaced
 
 
@@ -96,13 +97,20 @@ def verdict(found: DataFrame, warnings: Sequence[str]) -> DataFrame:
 
 def dataset_rules(rows: DataFrame, minimums: DataFrame, *, total: int, key: str = "sample_id") -> DataFrame:
     """Repeated keys, categories under their minimum, too few rows, and fewer
-    than two similarity groups of two members."""
-    twice = rows.groupBy(key).count().where("count > 1")
-    per = rows.groupBy("category").agg(F.count("*").alias("n"))
+    than two similarity groups of two members.
+
+    All rules share one scan and one aggregation, by key, category, similarity group
+    and whole table at once; of its rows only those that a rule can need are kept."""
+    levels = {"key": 0b011, "category": 0b101, "group": 0b110, "whole": 0b111}
+    plain = rows.select(F.col(key).alias("key"), "category", F.col("similarity_group").alias("group"))
+    counted = plain.groupingSets([[F.col("key")], [F.col("category")], [F.col("group")], []], "key", "category", "group").agg(F.grouping_id().alias("level"), F.count("*").alias("n"))
+    counted = stored(counted.where((F.col("level") != levels["key"]) | (F.col("n") > 1)))
+    at = lambda name: F.col("level") == levels[name]
+    per = counted.where(at("category")).select("category", "n")
     short = F.broadcast(minimums).join(per, "category", "left").where(F.coalesce("n", F.lit(0)) < F.col("least"))
-    few = rows.agg(F.count("*").alias("n")).where(F.col("n") < total)
-    groups = rows.groupBy("similarity_group").count().where("count >= 2").agg(F.count("*").alias("n")).where("n < 2")
-    return violations(("DUPLICATE_ID", twice, key), ("MINIMUM_CATEGORY", short, "category"), ("MINIMUM_TOTAL", few, "n"), ("SIMILARITY_GROUPS", groups, "n"))
+    few = counted.agg(F.coalesce(F.max(F.when(at("whole"), F.col("n"))), F.lit(0)).alias("n")).where(F.col("n") < total)
+    groups = counted.agg(F.count_if(at("group") & (F.col("n") >= 2)).alias("n")).where("n < 2")
+    return violations(("DUPLICATE_ID", counted.where(at("key")), "key"), ("MINIMUM_CATEGORY", short, "category"), ("MINIMUM_TOTAL", few, "n"), ("SIMILARITY_GROUPS", groups, "n"))
 
 
 def append_new(given: DataFrame, recorded: DataFrame, key: str = "stable_id") -> DataFrame:
