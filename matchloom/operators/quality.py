@@ -89,6 +89,32 @@ def grade_setup(scenarios: DataFrame, *keys: str) -> DataFrame:
     return out.select(*keys, F.bround("mean", 3).alias("score"), grade.alias("grade"), ((F.col("mean") >= 0.75) & (F.col("blocking_count") == 0)).alias("ready"), "sample_count", "blocking_count", "warning_count")
 
 
+def operator_messages(scenarios: DataFrame, *keys: str) -> DataFrame:
+    """``keys, messages``: what each graded scenario says, in order of their names, and
+    whether the session can start. The texts are fixed values; a mean count in them has
+    one decimal, ties to even."""
+    has = lambda codes, code: F.array_contains(codes, code)
+    m, warned, blocked = F.col, F.col("warnings"), F.col("blocking")
+    expected = F.when(m("scenario") == "one_card", "1").otherwise("3")
+    mean = F.bround(m("avg_accepted").cast("decimal(10,2)"), 1).cast("decimal(10,1)").cast("string")
+    of_empty = so.first_rule([("Pusta mata zawiera zaakceptowane karty.", has(blocked, "accepted_on_empty")), ("Pusta mata generuje fałszywych kandydatów.", has(warned, "candidates_on_empty")), ("Pusta mata zweryfikowana poprawnie.", m("status") == "ok")])
+    of_cards = (
+        F.when(has(blocked, "nothing_found"), F.concat(F.lit("Brak wykrytych kart (oczekiwano "), expected, F.lit(").")))
+        .when(has(blocked, "low_confidence"), "Pewność rozpoznania poniżej krytycznego progu.")
+        .when(has(warned, "too_few"), F.concat(F.lit("Wykryto za mało kart ("), mean, F.lit("/"), expected, F.lit(").")))
+        .when(has(warned, "too_many"), "Wykryto za dużo kart.")
+        .when(has(warned, "fair_confidence"), "Pewność rozpoznania jest niska.")
+        .when(has(warned, "many_rejections"), "Wykryto wysoki wskaźnik odrzuceń kandydatów.")
+        .when(m("status") == "ok", F.concat(F.lit("Scenariusz "), expected, F.lit(" kart zaliczony pomyslnie.")))
+    )
+    text = F.when(m("scenario") == "empty", of_empty).otherwise(of_cards)
+    said = scenarios.select(*keys, "scenario", F.concat(F.lit("["), "scenario", F.lit("] "), text).alias("text"))
+    said = said.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("scenario", "text")))).alias("said"))  # a row a scenario
+    setup = grade_setup(scenarios, *keys)
+    end = F.when(F.col("ready"), "Warunki sa wystarczajace do rozpoczecia sesji.").when(F.col("blocking_count") > 0, "Wykryto problemy blokujace rozpoczęcie sesji.").otherwise("Jakosć stanowiska jest zbyt niska na start sesji.")
+    return setup.join(said, list(keys)).select(*keys, F.concat(F.transform("said", lambda x: x["text"]), F.array(end)).alias("messages"))
+
+
 def score_profiles(profiles: DataFrame, samples: DataFrame) -> DataFrame:
     """``profiles(profile, ordinal)`` scored over their samples; -999 without any.
     ``chosen`` marks the best, the first of equals."""

@@ -209,20 +209,32 @@ def a7(spark, sf):
     return m.select("session", "scenario", "sample_count", "avg_detected", "avg_accepted", F.round("avg_analysis_ms", 0).alias("avg_analysis_ms"), "avg_quality", "avg_confidence", "min_confidence", "recognition_rejections")
 
 
-@query("a8_setup_grade", f"""WITH {METRICS}, e AS (SELECT *, CASE scenario WHEN 'one_card' THEN 1 ELSE 3 END AS x, CASE scenario WHEN 'one_card' THEN 0.75 ELSE 0.70 END AS good, CASE scenario WHEN 'one_card' THEN 0.60 ELSE 0.55 END AS low FROM m),
+GRADED = METRICS + """, e AS (SELECT *, CASE scenario WHEN 'one_card' THEN 1 ELSE 3 END AS x, CASE scenario WHEN 'one_card' THEN 0.75 ELSE 0.70 END AS good, CASE scenario WHEN 'one_card' THEN 0.60 ELSE 0.55 END AS low FROM m),
 g AS (SELECT *, CASE WHEN scenario = 'empty' THEN CASE WHEN avg_accepted > 0 THEN 0.0 ELSE 1 - CASE WHEN avg_detected > 0 THEN least(0.4, avg_detected * 0.15) ELSE 0 END - CASE WHEN avg_quality < 0.7 THEN (0.7 - avg_quality) * 0.5 ELSE 0 END END
   ELSE CASE WHEN avg_accepted = 0 THEN 0 WHEN avg_accepted < x THEN avg_accepted / x WHEN avg_accepted > x THEN 0.8 ELSE 1.0 END - CASE WHEN avg_accepted > 0 AND avg_confidence < good THEN (good - avg_confidence) * 0.8 ELSE 0 END
    - CASE WHEN recognition_rejections > 0 THEN least(0.3, recognition_rejections / sample_count * 0.05) ELSE 0 END - CASE WHEN avg_analysis_ms > 1500 THEN 0.15 WHEN avg_analysis_ms > 750 THEN 0.05 ELSE 0 END END AS raw,
   CASE WHEN scenario = 'empty' THEN CASE WHEN avg_accepted > 0 OR avg_quality < 0.55 THEN 'bad' WHEN avg_quality < 0.7 THEN 'warning' ELSE 'ok' END
    ELSE CASE WHEN avg_accepted = 0 OR avg_confidence < low THEN 'bad' WHEN avg_confidence < good OR avg_accepted <> x THEN 'warning' ELSE 'ok' END END AS status,
   CASE WHEN scenario = 'empty' THEN (avg_accepted > 0)::INT ELSE (avg_accepted = 0)::INT + (avg_accepted > 0 AND avg_confidence < low)::INT END AS blocking FROM e),
-c AS (SELECT *, round_even(greatest(0, least(1, CASE status WHEN 'warning' THEN least(raw, 0.74) WHEN 'bad' THEN least(raw, 0.54) ELSE raw END)), 3) AS score FROM g)
+c AS (SELECT *, round_even(greatest(0, least(1, CASE status WHEN 'warning' THEN least(raw, 0.74) WHEN 'bad' THEN least(raw, 0.54) ELSE raw END)), 3) AS score FROM g)"""
+
+
+@query("a8_setup_grade", f"""WITH {GRADED}
 SELECT session, CASE WHEN avg(score) >= 0.9 THEN 'excellent' WHEN avg(score) >= 0.75 THEN 'good' WHEN avg(score) >= 0.55 THEN 'warning' ELSE 'bad' END AS grade, avg(score) >= 0.75 AND sum(blocking) = 0 AS ready, sum(sample_count)::BIGINT AS sample_count, sum(blocking)::BIGINT AS blocking_count FROM c GROUP BY 1""")
 def a8(spark, sf):
     graded = ql.grade_scenarios(ql.scenario_metrics(samples(spark, sf), "session", "scenario"))
     return ql.grade_setup(graded, "session").select("session", "grade", "ready", "sample_count", "blocking_count")
 
 
+@query("a8_operator_messages", f"""WITH {GRADED}, t AS (SELECT *, CASE WHEN scenario = 'empty' THEN CASE WHEN avg_accepted > 0 THEN 'Pusta mata zawiera zaakceptowane karty.' WHEN avg_detected > 0 THEN 'Pusta mata generuje fałszywych kandydatów.' WHEN status = 'ok' THEN 'Pusta mata zweryfikowana poprawnie.' END
+  WHEN avg_accepted = 0 THEN 'Brak wykrytych kart (oczekiwano ' || x || ').' WHEN avg_confidence < low THEN 'Pewność rozpoznania poniżej krytycznego progu.' WHEN avg_accepted < x THEN 'Wykryto za mało kart (' || round_even(avg_accepted, 1)::DECIMAL(10,1) || '/' || x || ').' WHEN avg_accepted > x THEN 'Wykryto za dużo kart.'
+  WHEN avg_confidence < good THEN 'Pewność rozpoznania jest niska.' WHEN recognition_rejections > 0 THEN 'Wykryto wysoki wskaźnik odrzuceń kandydatów.' WHEN status = 'ok' THEN 'Scenariusz ' || x || ' kart zaliczony pomyslnie.' END AS text FROM c)
+SELECT session, coalesce(string_agg('[' || scenario || '] ' || text, ' | ' ORDER BY scenario) || ' | ', '') || CASE WHEN avg(score) >= 0.75 AND sum(blocking) = 0 THEN 'Warunki sa wystarczajace do rozpoczecia sesji.' WHEN sum(blocking) > 0 THEN 'Wykryto problemy blokujace rozpoczęcie sesji.' ELSE 'Jakosć stanowiska jest zbyt niska na start sesji.' END AS messages FROM t GROUP BY 1""")
+def a8_messages(spark, sf):
+    graded = ql.grade_scenarios(ql.scenario_metrics(samples(spark, sf), "session", "scenario"))
+    return ql.operator_messages(graded, "session").select("session", F.array_join("messages", " | ").alias("messages"))
+
+
 @query("a9_profile_scoring", f"""WITH {READINGS}, f(profile, ordinal) AS (VALUES ('click', 0), ('view', 1), ('purchase', 2), ('absent', 3)), o AS (SELECT item_id AS profile, confidence*0.35 + confidence*0.85 + CASE WHEN seq % 4 > 0 THEN (seq % 3) / (seq % 4) ELSE 0 END * 0.7 + (seq % 3) * 0.1 - (seq % 50 = 0)::INT * 2.0 - greatest(0, value - 120) / 120 * 0.35 AS s, seq % 3 AS a, (seq % 50 = 0)::INT AS fp FROM r),
 a AS (SELECT profile, avg(s) AS avg, sum(a) AS acc, sum(fp) AS fp, count(*) AS n FROM o GROUP BY 1)
 SELECT profile, round(coalesce(avg, -999.0), 9) AS score, CASE WHEN n IS NULL THEN 'LOW' WHEN avg >= 1.2 AND acc > 0 AND fp = 0 THEN 'HIGH' WHEN avg >= 0.5 THEN 'MEDIUM' ELSE 'LOW' END AS confidence, CASE WHEN n IS NULL THEN 'no_samples' ELSE concat_ws(';', CASE WHEN fp > 0 THEN 'false_positive_penalty' END, CASE WHEN acc > 0 THEN 'accepted_cards_reward' END, CASE WHEN fp <= 0 AND acc <= 0 THEN 'geometry_only' END) END AS reasons,
