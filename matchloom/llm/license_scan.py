@@ -88,6 +88,8 @@ SAMPLE, PLAIN = 20_000, 3_000
 #: Least share of a template's word pairs in the paragraph; least calibrated
 #: probability of a licence; least share of its family where no template confirms it.
 SIMILAR, CERTAIN, CLEAR = 0.7, 0.5, 0.9
+#: Probability of any licence that a further family without a template's confirmation needs.
+SURE = 0.9
 
 _BREAK = r"(?:\r\n|[\n\r\x{2028}\x{2029}])"
 #: Blank lines end a paragraph, and so does a line that ends a sentence; other lines go on in the next.
@@ -248,8 +250,10 @@ def scan(docs: DataFrame, scanner: Scanner, *, id_col: str = "doc_id", text_col:
     ``CERTAIN`` at least. ``family`` is the likeliest where a template of it is
     found by ``SIMILAR`` of its word pairs (``confirmed``) or where it has ``CLEAR``
     of the probability of all licences; else ``unknown``: a licence that is none
-    of the families or not clearly one. A paragraph that grants two licences has
-    the likelier one. Null and empty texts have no paragraph; repeated rows give
+    of the families or not clearly one. ``families`` has it first and then the others
+    that the paragraph grants: what reads as a further family, told by a word that
+    only it has, once the terms with words that only the families before have are left
+    out; by a template, or by ``CLEAR`` and ``SURE``. Null and empty texts have no paragraph; repeated rows give
     repeated results; of equally similar templates the first holds (null without
     a family). Whole texts are read; other columns are not carried.
     """
@@ -258,9 +262,39 @@ def scan(docs: DataFrame, scanner: Scanner, *, id_col: str = "doc_id", text_col:
     near = near.where((F.size("runs") > 0) & scanner.reachable(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.split(r, " "))))))
     terms = _fixed(list(scanner.vocabulary.vocabulary), "array<string>")  # others count nowhere
     found = reliable(near.select("doc_id", "paragraph", F.array_intersect(_grams_of_runs(F.col("runs")), terms).alias("grams")))
-    judged = _judged(found, scanner).where(F.col("probability") >= CERTAIN)
     family = F.when(F.col("confirmed") | (F.col("share") >= CLEAR), F.col("guess")).otherwise(UNKNOWN)
-    return judged.select("doc_id", "paragraph", family.alias("family"), "probability", "template", "similarity", "confirmed")
+    judged = reliable(_judged(found, scanner).where(F.col("probability") >= CERTAIN).withColumns({"family": family, "row": F.monotonically_increasing_id()}))
+    further = _further(judged, scanner)
+    families = F.when(F.col("more").isNull(), F.array("family")).otherwise(F.concat(F.array("family"), "more"))
+    out = judged.join(further, "row", "left") if further is not None else judged.withColumn("more", F.lit(None).cast("array<string>"))
+    return out.select("doc_id", "paragraph", "family", "probability", "template", "similarity", "confirmed", families.alias("families"))
+
+
+def _further(judged: DataFrame, scanner: Scanner) -> DataFrame | None:
+    """``row, more``: the families of licence paragraphs after their first, in the order
+    found. Each pass leaves out the terms with a word that only the family found last
+    has, so it ends after as many passes as there are families."""
+    own: dict[str, set[str]] = {}
+    for r in scanner.templates.select("family", "w").collect():  # the templates of this module
+        own.setdefault(r.family, set()).update(r.w)
+    names = {f: sorted(w for w in ws if sum(w in other for other in own.values()) == 1) for f, ws in own.items()}
+    names_of = lambda c: F.element_at(_fixed(names, "map<string,array<string>>"), c)
+    left, passes = judged.where(F.col("family") != UNKNOWN).select("row", "grams", "family", F.array("family").alias("seen")), []
+    while True:
+        rest = F.filter("grams", lambda g: ~F.arrays_overlap(F.split(g, " "), names_of(F.col("family"))))
+        again = _judged(left.select("row", "seen", rest.alias("grams")).where(F.size("grams") > 0), scanner)
+        told = F.col("confirmed") | ((F.col("share") >= CLEAR) & (F.col("probability") >= SURE))
+        new = (F.col("guess") != UNKNOWN) & ~F.array_contains("seen", F.col("guess")) & F.arrays_overlap("grams", names_of(F.col("guess")))
+        left = reliable(again.where((F.col("probability") >= CERTAIN) & told & F.coalesce(new, F.lit(False))).select("row", "grams", F.col("guess").alias("family"), F.concat("seen", F.array("guess")).alias("seen")))
+        if left.isEmpty():
+            break
+        passes.append(left.select("row", F.struct(F.lit(len(passes)).alias("n"), "family").alias("found")))
+    if not passes:
+        return None
+    every = passes[0]
+    for more in passes[1:]:
+        every = every.union(more)
+    return every.groupBy("row").agg(F.transform(F.array_sort(F.collect_list("found")), lambda x: x["family"]).alias("more"))
 
 
 def _judged(rows: DataFrame, scanner: Scanner) -> DataFrame:

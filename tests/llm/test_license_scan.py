@@ -136,3 +136,16 @@ def test_paragraphs_passed_over_are_uncertain(spark, scanner):
     odd = docs.limit(40).unionByName(spark.createDataFrame([(900 + i, t[: 3 * len(t) // 4] + "\n" + t.upper()) for i, (_, t) in enumerate(ls.TEMPLATES)], docs.schema))
     every = Open(s.labels, s.vocabulary, s.classes, s.calibration, s.templates)
     assert sorted(map(str, ls.scan(odd, s).collect())) == sorted(map(str, ls.scan(odd, every).collect()))
+
+
+def test_every_licence_of_a_paragraph(spark, scanner):
+    lines = {
+        "Licensed under the MIT License or the Apache License, Version 2.0, at your option.": {"mit", "apache-2.0"},
+        "Available under the BSD 3-Clause License and the Mozilla Public License 2.0.": {"bsd", "mpl-2.0"},
+        "This file is licensed under the GNU Lesser General Public License v3.": {"lgpl"},
+        "License: MIT": {"mit"},
+    }
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r.doc_id: r.families for r in ls.scan(df, scanner[1]).collect()}
+    assert [set(got[n]) for n in range(len(lines))] == list(lines.values())
+    assert all(len(f) == len(set(f)) for f in got.values())
