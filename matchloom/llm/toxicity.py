@@ -7,6 +7,7 @@ which additive weights cannot say.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,8 +22,8 @@ from .words import NOT_LETTER, slices, word_hashes
 #: Learning looks at so many labelled documents at most; terms are hashed to so
 #: many buckets, and every bucket that occurs in those documents is a feature.
 SAMPLE, BUCKETS, FACTORS = 20_000, 1 << 18, 8
-#: Of learning: the penalties of a weight and of a factor, steps a phase, and rounds without gain that end it.
-L1, GROUP, STEPS, PATIENCE = 4e-3, 1e-3, 400, 8
+#: Of learning: the penalties of a weight and of a factor, steps a phase, rounds without gain that end it, and least steps of a round.
+L1, GROUP, STEPS, PATIENCE, ROUND = 4e-3, 1e-3, 400, 8, 10
 
 
 @dataclass
@@ -112,6 +113,8 @@ def _fit(feature: np.ndarray, terms: np.ndarray, sizes: np.ndarray, toxic: np.nd
     often = n / (n + 50.0)
     square_w, square_v = np.full(size, 1e-3), np.full((size, FACTORS), 1e-3)
     free = np.zeros(size, bool)
+    # What a rate of few rows is off by goes with the root of their number; so do the penalties, for few rows.
+    few = max(1.0, math.sqrt(2500 / max(1, len(train_rows))))
     for phase in ("weights", "factors"):
         if phase == "factors":
             free = machine.weight != 0
@@ -119,9 +122,11 @@ def _fit(feature: np.ndarray, terms: np.ndarray, sizes: np.ndarray, toxic: np.nd
         k = machine.factor.shape[1]
         least, kept, since, steps = np.inf, None, 0, 0
         while since < PATIENCE and (steps < STEPS or kept is None):
-            rng.shuffle(train_rows)
-            for lo in range(0, len(train_rows), batch):
-                some = train_rows[lo : lo + batch]
+            batches = []
+            while len(train_rows) and len(batches) < ROUND:  # a few rows are passed several times
+                rng.shuffle(train_rows)
+                batches += [train_rows[lo : lo + batch].copy() for lo in range(0, len(train_rows), batch)]
+            for some in batches:
                 text, f = of(some)
                 grad = (_chance(machine._margin(text, f, len(some))) - toxic[some]) / len(some)
                 here, at = np.unique(f, return_inverse=True)
@@ -129,7 +134,7 @@ def _fit(feature: np.ndarray, terms: np.ndarray, sizes: np.ndarray, toxic: np.nd
                 square_w[here] += g * g
                 pace = 0.1 / np.sqrt(square_w[here])
                 w = machine.weight[here] - pace * g
-                machine.weight[here] = np.where(free[here], w, np.sign(w) * np.maximum(0, np.abs(w) - L1 * pace))
+                machine.weight[here] = np.where(free[here], w, np.sign(w) * np.maximum(0, np.abs(w) - L1 * few * pace))
                 if k:
                     v = machine.factor[f]
                     sums = np.stack([np.bincount(text, weights=v[:, c], minlength=len(some)) for c in range(k)], 1)
@@ -139,7 +144,7 @@ def _fit(feature: np.ndarray, terms: np.ndarray, sizes: np.ndarray, toxic: np.nd
                     pace = 0.05 * often[here, None] / np.sqrt(square_v[here])
                     v = machine.factor[here] - pace * g
                     norm = np.sqrt((v * v).sum(axis=1)) + 1e-12
-                    machine.factor[here] = v * np.maximum(0, 1 - GROUP * pace.mean(axis=1) / norm)[:, None]
+                    machine.factor[here] = v * np.maximum(0, 1 - GROUP * few * pace.mean(axis=1) / norm)[:, None]
                 machine.bias -= 0.1 * float(grad.sum())
                 steps += 1
             p = np.clip(_chance(machine._margin(*of(apart), len(apart))), 1e-9, 1 - 1e-9)
