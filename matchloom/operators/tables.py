@@ -113,11 +113,13 @@ def dataset_rules(rows: DataFrame, minimums: DataFrame, *, total: int, key: str
     return violations(("DUPLICATE_ID", counted.where(at("key")), "key"), ("MINIMUM_CATEGORY", short, "category"), ("MINIMUM_TOTAL", few, "n"), ("SIMILARITY_GROUPS", groups, "n"))
 
 
-def append_new(given: DataFrame, recorded: DataFrame, key: str = "stable_id") -> DataFrame:
-    """``given`` with ``status``: RECORDED, ALREADY_RECORDED, or why it is no sample. Repeats in ``given`` count once."""
+def append_new(given: DataFrame, recorded: DataFrame, key: str = "stable_id", *, bad: Column | None = None) -> DataFrame:
+    """``given`` with ``status``: RECORDED, ALREADY_RECORDED, or why it is no sample. Repeats in ``given`` count once.
+    ``bad`` tells which ids are none; by default those that are not 20 hex digits."""
+    bad = ~F.col(key).rlike("^[0-9a-f]{20}$") if bad is None else bad
     seen = recorded.select(key, F.lit(True).alias("seen")).distinct()
     once = given.dropDuplicates([key])
-    status = first_rule([("BAD_ID", ~F.col(key).rlike("^[0-9a-f]{20}$")), ("MISSING_FILE", F.col("path").isNull()), ("ALREADY_RECORDED", F.col("seen").isNotNull())], "RECORDED")
+    status = first_rule([("BAD_ID", bad), ("MISSING_FILE", F.col("path").isNull()), ("ALREADY_RECORDED", F.col("seen").isNotNull())], "RECORDED")
     return once.join(seen, key, "left").select(*given.columns, status.alias("status"))
 
 

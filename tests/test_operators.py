@@ -255,3 +255,11 @@ def test_boxes_of_all_sizes_meet(spark):
         assert got == sorted((p[1], q[1]) for p in made for q in made if p[1] % 2 == 0 and q[1] % 2 == 1 and p[0] == q[0] and touch(p, q, grow))
     assert sp._celled(a, 0, 13, False).count() <= 9 * a.count()
     assert sp.overlaps(a.limit(0), b, F.lit(True)).collect() == []
+
+
+def test_a_hash_that_begins_with_bad_follows_the_sql(spark, tmp_path):
+    from matchloom.plans import spatial as ps
+
+    spark.createDataFrame([(183, "click"), (183, "view"), (9, "view")], "user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.stable_id: r.status for r in ps.y2(spark, str(tmp_path)).collect()}
+    assert got["badcf018955c6a823723"] == "BAD_ID" and got["bad9"] == "BAD_ID" and sorted(got.values()) == ["BAD_ID", "BAD_ID", "RECORDED"]
