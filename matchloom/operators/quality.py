@@ -35,16 +35,24 @@ def usable_samples(samples: DataFrame) -> DataFrame:
     return samples.withColumns({"reject_reason": reason, "false_positive_count": F.greatest(F.lit(0), F.col("detected_count") - expected), "recognition_score": mean})
 
 
-def scenario_metrics(samples: DataFrame, *keys: str) -> DataFrame:
-    """Means and totals per scenario, rounded as later thresholds expect."""
+def scenario_metrics(samples: DataFrame, *keys: str, order: tuple[str, ...] = ()) -> DataFrame:
+    """Means and totals per scenario, rounded as later thresholds expect.
+
+    With ``order`` sums are taken in that order, so that a mean next to a tie rounds the
+    same way however the rows are spread over tasks."""
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     conf = F.coalesce("recognition_confidences", F.array().cast("array<double>"))
     n = F.count("*")
-    total, count = F.sum(F.aggregate(conf, F.lit(0.0), lambda s, v: s + v)), F.sum(F.size(conf))
+    count = F.sum(F.size(conf))
+    added = {"analysis_ms": zero("analysis_ms"), "snapshot_quality_score": zero("snapshot_quality_score"), "confidence": F.aggregate(conf, F.lit(0.0), lambda s, v: s + v)}
+    if order:
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        samples = samples.withColumns({"__nth": F.row_number().over(w), **{f"__{c}": F.sum(v).over(w) for c, v in added.items()}})
+    total = {c: F.max_by(f"__{c}", "__nth") if order else F.sum(v) for c, v in added.items()}
     return samples.groupBy(*keys).agg(
         n.alias("sample_count"), F.bround(F.sum(zero("detected_count")) / n, 2).alias("avg_detected"), F.bround(F.sum(zero("accepted_count")) / n, 2).alias("avg_accepted"),
-        F.bround(F.sum(zero("analysis_ms")) / n, 2).alias("avg_analysis_ms"), F.bround(F.sum(zero("snapshot_quality_score")) / n, 2).alias("avg_quality"),
-        F.bround(F.when(count > 0, total / count).otherwise(0.0), 3).alias("avg_confidence"), F.bround(F.coalesce(F.min(F.array_min(conf)), F.lit(0.0)), 3).alias("min_confidence"),
+        F.bround(total["analysis_ms"] / n, 2).alias("avg_analysis_ms"), F.bround(total["snapshot_quality_score"] / n, 2).alias("avg_quality"),
+        F.bround(F.when(count > 0, total["confidence"] / count).otherwise(0.0), 3).alias("avg_confidence"), F.bround(F.coalesce(F.min(F.array_min(conf)), F.lit(0.0)), 3).alias("min_confidence"),
         F.sum(zero("recognition_rejections")).alias("recognition_rejections"), F.sum(zero("candidate_validation_rejections")).alias("validation_rejections"),
     )
 

@@ -195,7 +195,7 @@ def samples(spark, sf):
     return readings(spark, sf).select(
         e.alias("session"), F.element_at(F.array(*map(F.lit, ("empty", "one_card", "three_cards"))), (kind + 1).cast("int")).alias("scenario"), F.when(kind == 0, s % 2).when(kind == 1, 1).otherwise(2 + s % 2).alias("detected_count"),
         F.when(kind == 0, (e % 4 == 0).cast("int")).when(kind == 1, 1).otherwise(3).alias("accepted_count"), (0.5 + F.col("confidence") / 2).alias("snapshot_quality_score"), (F.col("value") * 12).alias("analysis_ms"),
-        F.array("confidence").alias("recognition_confidences"), (s % 4 == 0).cast("int").alias("recognition_rejections"), F.lit(0).alias("candidate_validation_rejections"),
+        "seq", F.array("confidence").alias("recognition_confidences"), (s % 4 == 0).cast("int").alias("recognition_rejections"), F.lit(0).alias("candidate_validation_rejections"),
     )
 
 
@@ -205,7 +205,7 @@ METRICS = SAMPLES + """, m AS (SELECT session, scenario, count(*) AS sample_coun
 
 @query("a7_scenario_metrics", f"WITH {METRICS} SELECT session, scenario, sample_count, avg_detected, avg_accepted, round(avg_analysis_ms, 0) AS avg_analysis_ms, avg_quality, avg_confidence, min_confidence, recognition_rejections FROM m")
 def a7(spark, sf):
-    m = ql.scenario_metrics(samples(spark, sf), "session", "scenario")
+    m = ql.scenario_metrics(samples(spark, sf), "session", "scenario", order=("seq",))
     return m.select("session", "scenario", "sample_count", "avg_detected", "avg_accepted", F.round("avg_analysis_ms", 0).alias("avg_analysis_ms"), "avg_quality", "avg_confidence", "min_confidence", "recognition_rejections")
 
 
@@ -222,7 +222,7 @@ c AS (SELECT *, round_even(greatest(0, least(1, CASE status WHEN 'warning' THEN
 @query("a8_setup_grade", f"""WITH {GRADED}
 SELECT session, CASE WHEN avg(score) >= 0.9 THEN 'excellent' WHEN avg(score) >= 0.75 THEN 'good' WHEN avg(score) >= 0.55 THEN 'warning' ELSE 'bad' END AS grade, avg(score) >= 0.75 AND sum(blocking) = 0 AS ready, sum(sample_count)::BIGINT AS sample_count, sum(blocking)::BIGINT AS blocking_count FROM c GROUP BY 1""")
 def a8(spark, sf):
-    graded = ql.grade_scenarios(ql.scenario_metrics(samples(spark, sf), "session", "scenario"))
+    graded = ql.grade_scenarios(ql.scenario_metrics(samples(spark, sf), "session", "scenario", order=("seq",)))
     return ql.grade_setup(graded, "session").select("session", "grade", "ready", "sample_count", "blocking_count")
 
 
@@ -231,7 +231,7 @@ def a8(spark, sf):
   WHEN avg_confidence < good THEN 'Pewność rozpoznania jest niska.' WHEN recognition_rejections > 0 THEN 'Wykryto wysoki wskaźnik odrzuceń kandydatów.' WHEN status = 'ok' THEN 'Scenariusz ' || x || ' kart zaliczony pomyslnie.' END AS text FROM c)
 SELECT session, coalesce(string_agg('[' || scenario || '] ' || text, ' | ' ORDER BY scenario) || ' | ', '') || CASE WHEN avg(score) >= 0.75 AND sum(blocking) = 0 THEN 'Warunki sa wystarczajace do rozpoczecia sesji.' WHEN sum(blocking) > 0 THEN 'Wykryto problemy blokujace rozpoczęcie sesji.' ELSE 'Jakosć stanowiska jest zbyt niska na start sesji.' END AS messages FROM t GROUP BY 1""")
 def a8_messages(spark, sf):
-    graded = ql.grade_scenarios(ql.scenario_metrics(samples(spark, sf), "session", "scenario"))
+    graded = ql.grade_scenarios(ql.scenario_metrics(samples(spark, sf), "session", "scenario", order=("seq",)))
     return ql.operator_messages(graded, "session").select("session", F.array_join("messages", " | ").alias("messages"))
 
 

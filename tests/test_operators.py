@@ -257,6 +257,13 @@ def test_boxes_of_all_sizes_meet(spark):
     assert sp.overlaps(a.limit(0), b, F.lit(True)).collect() == []
 
 
+def test_sums_of_a_scenario_go_in_order(spark):
+    values = {1: 1e16, 2: 1.0, 3: -1e16, 4: 1.0}
+    df = spark.createDataFrame([(n, v) for n, v in values.items()], "seq long, analysis_ms double").repartition(2, F.col("seq") % 2 == 0)
+    df = df.selectExpr("seq", "analysis_ms", "1 AS k", "0 AS detected_count", "0 AS accepted_count", "0.5D AS snapshot_quality_score", "array(0.5D) AS recognition_confidences", "0 AS recognition_rejections", "0 AS candidate_validation_rejections")
+    assert rows(ql.scenario_metrics(df, "k", order=("seq",)), "avg_analysis_ms", "avg_quality") == [(0.25, 0.5)]
+
+
 def test_a_hash_that_begins_with_bad_follows_the_sql(spark, tmp_path):
     from matchloom.plans import spatial as ps
 
