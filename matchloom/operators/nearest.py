@@ -19,6 +19,8 @@ from ..session import reliable, stored
 
 #: Rows that centroids are trained on at most, centroids at most, rows of a block, and queries of a pack.
 SAMPLE, CELLS, BLOCK, PACK = 50_000, 4096, 4096, 256
+#: Queries that are routed at once: their distances to all centroids are held together.
+ROUTED = 512
 #: Queries of the sample that a recall is measured on at most.
 MEASURED = 200
 
@@ -148,7 +150,7 @@ class Index:
         take = min(probes, len(centroids))
 
         def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches if take else ():
+            for batch in (b.slice(lo, ROUTED) for b in batches for lo in range(0, len(b), ROUTED)) if take else ():
                 points, column = _numbers(batch.column(len(names)), codes), batch.column(len(names))
                 ranked = np.argsort(_away(points, sent.value), axis=1, kind="stable")[:, :take]
                 row, rank = np.repeat(np.arange(len(points)), take), np.tile(np.arange(take), len(points))

@@ -307,3 +307,27 @@ def test_components_in_frames(spark, monkeypatch, ordered):
     monkeypatch.setattr(sp, "ORDERED", ordered)
     pairs = spark.createDataFrame([(1, 1, 2), (1, 5, 2), (1, 7, 8), (1, 8, 9), (2, 3, 1), (2, 4, 6)], "frame_id long, a long, b long")
     assert rows(sp.components_in_frames(pairs), "frame_id", "box_id", "root") == [(1, 1, 1), (1, 2, 1), (1, 5, 1), (1, 7, 7), (1, 8, 7), (1, 9, 7), (2, 1, 1), (2, 3, 1), (2, 4, 4), (2, 6, 4)]
+
+
+@pytest.mark.parametrize("metric", ["l2", "hamming"])
+@pytest.mark.parametrize("scale", [1.0, 1e9])
+def test_pair_scores_are_those_of_the_search(spark, monkeypatch, metric, scale):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    made = [(i, k, [float(scale * x) for x in rng.normal(size=3)], int(rng.integers(-(2**63), 2**63 - 1))) for i in range(40) for k in range(1 + i % 5)]
+    made += [(50 + i, k, v, c) for i, k, v, c in made if i in (3, 4)]  # copies, and a descriptor twice
+    made += [(60, 0, *made[9][2:]), (60, 1, *made[9][2:])]
+    d = spark.createDataFrame(made, "item_id long, desc_no int, vec array<double>, code long").repartition(3)
+    q = d.where("item_id % 4 = 3 or item_id = 60")
+    monkeypatch.setattr(mt, "REFERENCE_BLOCK", 20)
+    want = rows(mt.good_matches(mt.knn_join(q, d, metric=metric, reduce=0.79)).where("query_id <> item_id"))
+    all_ = mt.pair_scores(q, d, metric=metric, others=True)
+    assert rows(all_, "query_id", "item_id", "good", "total") == want and len(want) > 300
+    first = lambda df: rows(mt.rank_candidates(df).select("query_id", F.col("candidates").cast("string")))
+    assert first(mt.pair_scores(q, d, metric=metric, best=3, others=True)) == first(all_)
+    if metric == "l2":
+        both = mt.fuse(all_, mt.mse_similarity(mt.whole_vectors(q), mt.whole_vectors(d), 0.5))
+        assert rows(mt.pair_scores(q, d, fused=(0.68, 0.5), others=True), "query_id", "item_id", "score") == rows(both, "query_id", "item_id", "score")
+    monkeypatch.setattr(mt, "PART", 2)
+    assert rows(mt.pair_scores(q, d, metric=metric, others=True), "query_id", "item_id", "good", "total") == want
