@@ -136,16 +136,19 @@ def smooth(df: DataFrame, value: str, alpha: float, *, key: str = "entity_id", o
     given = df.withColumn("nth", F.row_number().over(w) - 1).withColumn("part", F.floor(F.col("nth") / chunk))
     keep = 1 - alpha
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("nth")
-        current, out = 0.0, []
-        first = pdf["nth"].iloc[0] == 0
-        for i, v in enumerate(pdf[value]):
-            current = v if first and i == 0 else current + (v - current) * alpha
-            out.append(current)
-        return pdf.assign(local=out)
-
-    local = given.groupBy(key, "part").applyInPandas(run, given.withColumn("local", F.lit(0.0)).schema)
+    def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        current = 0.0
+        for pdf in batches:  # chunks one after the other; a row tells where the next begins
+            out = []
+            for nth, v in zip(pdf["nth"].tolist(), pdf[value].tolist(), strict=True):
+                if nth % chunk == 0:
+                    current = 0.0
+                current = v if nth == 0 else current + (v - current) * alpha
+                out.append(current)
+            yield pdf.assign(local=out)
+
+    near = given.repartition(key, "part").sortWithinPartitions(key, "part", "nth")
+    local = near.mapInPandas(run, given.withColumn("local", F.lit(0.0)).schema)
     ends = local.groupBy(key, "part").agg(F.max_by("local", "nth").alias("end"), F.count("*").alias("n"))
 
     def chain(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:

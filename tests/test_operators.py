@@ -331,3 +331,9 @@ def test_pair_scores_are_those_of_the_search(spark, monkeypatch, metric, scale):
         assert rows(mt.pair_scores(q, d, fused=(0.68, 0.5), others=True), "query_id", "item_id", "score") == rows(both, "query_id", "item_id", "score")
     monkeypatch.setattr(mt, "PART", 2)
     assert rows(mt.pair_scores(q, d, metric=metric, others=True), "query_id", "item_id", "good", "total") == want
+
+
+def test_smoothing_makes_no_group_a_chunk(spark):
+    df = spark.createDataFrame([(1, n, n, float(n % 5)) for n in range(40)], "entity_id long, ts_ms long, seq long, value double")
+    plan = st.smooth(df, "value", 0.08, chunk=4)._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "MapInPandas" in plan
