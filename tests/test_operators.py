@@ -337,3 +337,35 @@ def test_smoothing_makes_no_group_a_chunk(spark):
     df = spark.createDataFrame([(1, n, n, float(n % 5)) for n in range(40)], "entity_id long, ts_ms long, seq long, value double")
     plan = st.smooth(df, "value", 0.08, chunk=4)._jdf.queryExecution().toString()
     assert "FlatMapGroupsInPandas" not in plan and "MapInPandas" in plan
+
+
+@pytest.mark.parametrize("scale", [1.0, 30.0, 1e9, 1e200])
+def test_scores_are_rounded_where_blocks_meet(spark, scale):
+    """Every pair, once, to the digit of a plain computation, near halves and of norms a product cannot tell apart too."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    made = rng.normal(size=(90, 8)) * scale / 6
+    made[40:60] = made[0] + rng.normal(size=(20, 8)) * scale * 1e-6
+    step = np.sqrt((np.arange(20) + 0.5) * 1e-3 * 8 * 0.25)  # from all zeros the scores lie at halves of the third digit
+    made[60:80] = 0
+    made[60:80, 0] = np.where(np.arange(20) > 0, step, 0)
+    d = spark.createDataFrame([(i, v) for i, v in enumerate(made.tolist())], "item_id long, vec array<double>").repartition(3)
+    q = d.where("item_id % 4 = 0")
+    for digits in (3, 9):
+        with np.errstate(over="ignore"):
+            plain = {(i, j): mt._mse_scores(made[i : i + 1], made[j : j + 1], 0.5)[0, 0] for i in range(0, 90, 4) for j in range(90) if i != j}
+        up = lambda x: np.floor(x * 10.0**digits + 0.5) / 10.0**digits  # noqa: B023, E731
+        got = rows(mt.mse_similarity(q, d, 0.5, digits=digits, others=True), "query_id", "item_id", "score")
+        assert got == sorted((i, j, up(x)) for (i, j), x in plain.items())
+        with np.errstate(over="ignore"):
+            assert (mt._mse_rounded(made, made, 0.5, digits) == mt._rounded(mt._mse_scores(made, made, 0.5), digits)).all()
+
+
+@pytest.mark.parametrize("name", ["a16"])
+def test_no_row_by_row_step_stands_behind_all_pairs(spark, name):
+    """What Spark did to each of the pairs (rounding, leaving out an item's own) cost more than the pairs."""
+    from matchloom.plans import matching as plans
+
+    plan = getattr(plans, name)(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("MapInArrow") and "round(" not in plan
