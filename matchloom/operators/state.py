@@ -262,15 +262,17 @@ def snapshot_diff(previous: DataFrame, current: DataFrame, baseline: DataFrame,
     Presence is the ratio to the key's baseline; without a baseline a key counts
     as present on both sides. ``shifted``: so many keys changed that the whole
     scene did, and kinds mean nothing.
+
+    The baseline has a row a key, as snapshots have, and is met by a sorted shuffle:
+    sent out, it would pass the driver whole, at every comparison again.
     """
     p, c = previous.select(*pair, "key", F.col("value").alias("before")), current.select(*pair, "key", F.col("value").alias("after"))
-    both = p.join(c, [*pair, "key"], "full_outer").join(baseline.select("key", F.col("value").alias("base")), "key", "left")
     changed = F.abs(F.coalesce("before", F.lit(0.0)) - F.coalesce("after", F.lit(0.0))) > noise
-    both = both.withColumn("changed", changed)
+    both = p.join(c, [*pair, "key"], "full_outer").withColumn("changed", changed)
     share = both.groupBy(*pair).agg(F.avg(F.col("changed").cast("double")).alias("share"))  # a row a pair
     ratio = lambda v: F.coalesce(v, F.lit(0.0)) / F.nullif(F.col("base"), F.lit(0.0))
     kind = change_kinds(ratio(F.col("before")), ratio(F.col("after")), F.col("base"), threshold)
-    found = both.where("changed").select(*pair, "key", kind.alias("kind"))
+    found = both.where("changed").join(baseline.select("key", F.col("value").alias("base")).hint("merge"), "key", "left").select(*pair, "key", kind.alias("kind"))
     found = found.join(share, list(pair)) if pair else found.crossJoin(F.broadcast(share))  # one row
     return found.select(*pair, "key", "kind", (F.coalesce("share", F.lit(0.0)) >= shift_share).alias("shifted"))
 

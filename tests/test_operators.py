@@ -388,3 +388,13 @@ def test_histogram_scores_are_rounded_where_blocks_meet(spark):
                 score = 1.0 if root == 0 else min(max(((a @ b - a.sum() * b.sum() / 4) / root + 1) / 2, 0.0), 1.0)
                 want.append((i, j, float(np.floor(score * 1000 + 0.5) / 1000)))
     assert rows(mt.histogram_similarity(d.where("item_id % 5 = 0"), d, 2, digits=3, others=True), "query_id", "item_id", "score") == want and 1.0 in {w[2] for w in want}
+
+
+def test_a_baseline_is_not_sent_out(spark):
+    """However small it looks: each comparison would bring it to the driver, whole, again."""
+    side = lambda n: spark.range(n).select(F.lit("a").alias("month"), F.col("id").alias("key"), (F.col("id") * 1.0).alias("value"))
+    held, base = side(30), side(40).select("key", "value")
+    for pair, sent in (((), 0), (("month",), 1)):  # a row a pair may be
+        plan = st.snapshot_diff(held, held.withColumn("value", F.col("value") * 3), base, noise=2.0, threshold=0.5, pair=pair)
+        assert sorted(plan.select("key", "kind", "shifted").collect()) == [(k, "moved_or_replaced", True) for k in range(2, 30)]
+        assert plan._jdf.queryExecution().sparkPlan().toString().count("BroadcastHashJoin") <= sent
