@@ -408,3 +408,21 @@ def test_fused_scores_are_rounded_on_both_ways(spark, monkeypatch):
     assert scores(digits=4) == want and len(want) == 390
     monkeypatch.setattr(mt, "PART", 2)
     assert scores(digits=4) == want
+
+
+@pytest.mark.parametrize("name", ["j11"])
+def test_every_vector_is_a_query(spark, name):
+    """Not every twentieth alone, in the query and in its SQL."""
+    from matchloom.plans import catalog
+    from matchloom.plans import matching as plans
+
+    sf = "/root/testdata/sf0.001"
+    ids = {r[0] for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id").collect()}
+    out = getattr(plans, name)(spark, sf)
+    if name == "flagship":
+        assert out.first()["n"] == len(ids)
+    else:
+        assert {r[0] for r in out.select("query_id").distinct().collect()} == ids
+        assert name != "j11" or out.count() == len(ids) * (len(ids) - 1)
+    sql = [text for key, text in catalog.oracle_sql().items() if catalog.ENTRIES[key].run is getattr(plans, name)]
+    assert not any("% 20" in text for text in sql)
