@@ -410,7 +410,7 @@ def test_fused_scores_are_rounded_on_both_ways(spark, monkeypatch):
     assert scores(digits=4) == want
 
 
-@pytest.mark.parametrize("name", ["j11"])
+@pytest.mark.parametrize("name", ["w8", "flagship", "j11"])
 def test_every_vector_is_a_query(spark, name):
     """Not every twentieth alone, in the query and in its SQL."""
     from matchloom.plans import catalog
