@@ -410,7 +410,7 @@ def test_fused_scores_are_rounded_on_both_ways(spark, monkeypatch):
     assert scores(digits=4) == want
 
 
-@pytest.mark.parametrize("name", ["w8", "flagship", "j11"])
+@pytest.mark.parametrize("name", ["w8", "flagship", "j11", "j2"])
 def test_every_vector_is_a_query(spark, name):
     """Not every twentieth alone, in the query and in its SQL."""
     from matchloom.plans import catalog
@@ -426,3 +426,38 @@ def test_every_vector_is_a_query(spark, name):
         assert name != "j11" or out.count() == len(ids) * (len(ids) - 1)
     sql = [text for key, text in catalog.oracle_sql().items() if catalog.ENTRIES[key].run is getattr(plans, name)]
     assert not any("% 20" in text for text in sql)
+
+
+def test_codes_within_a_limit_are_those_of_the_tables(spark):
+    """Blocks of keys that begin alike bring the same pairs together as rows of whole keys, with nothing broadcast."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    made = rng.integers(-(2**63), 2**63 - 1, 1100).tolist()
+    made[100:400] = [made[0] ^ (1 << int(b)) for b in rng.integers(0, 63, 300)]  # a lump
+    c = spark.createDataFrame([(n, 0, x) for n, x in enumerate(made)] + [(5000, 0, None)], "item_id long, desc_no int, code long")
+    q = c.where("item_id % 9 = 0").withColumns({"most": (F.col("item_id") % 31).cast("int"), "last": F.lit(600).cast("long")})
+    out = mt.codes_within(q, c)
+    want = mt.knn_codes_lsh(q, c).join(q.select(F.col("item_id").alias("query_id"), "most"), "query_id").where("d1 < most or d1 = most and item_id <= 600")
+    got = rows(out, "query_id", "item_id", "distance")
+    assert got == rows(want, "query_id", "item_id", "d1") and len(got) > 1000
+    assert got == rows(mt.codes_within(q, c.limit(0).unionByName(c), radius=3), "query_id", "item_id", "distance")
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert mt.codes_within(q, c.limit(0)).count() == 0 == mt.codes_within(q.limit(0), c).count()
+
+
+def test_nearest_codes_go_by_exact_limits(spark):
+    """One descriptor an item goes by whole numbers: the same rows as all pairs ranked, ties and own pairs too."""
+    import numpy as np
+    from pyspark.sql import Window
+
+    rng = np.random.default_rng(8)
+    made = np.concatenate([rng.integers(-(2**63), 2**63 - 1, 300), rng.integers(0, 9, 300)]).tolist()
+    c = spark.createDataFrame([(n, 0, x) for n, x in enumerate(made)], "item_id long, desc_no int, code long")
+    at = Window.partitionBy("query_id").orderBy("d1", "item_id")
+    five = lambda df: rows(df.withColumn("rank", F.row_number().over(at)).where("rank <= 5"), "query_id", "item_id", "d1", "d2")
+    for few in (600, 7, 3):
+        some = c.where(F.col("item_id") % 600 < few)
+        pairs = mt.knn_join(c, some, metric="hamming", others=True)
+        near = mt.knn_join(c, some, metric="hamming", best=5, others=True)
+        assert five(near) == five(pairs) and near.count() <= 5 * 600 * 4  # of each block, however many tie
