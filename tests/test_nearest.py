@@ -79,3 +79,12 @@ def test_odd_rows(spark):
         assert sorted((r.query_id or 0, r.item_id or 0) for r in got if r.query_id) == [(1, 0), (1, 6), (1, 6), (6, 0), (6, 0), (6, 1), (6, 1)]
         empty = Index.build(df.limit(0), session.folder(spark, "index"))
         assert empty.search(df, 3, probes=2).collect() == [] == index.search(df.limit(0), 3, probes=2).collect()
+
+
+def test_the_kth_distance_of_codes():
+    """By bounds and counts as by order, with ties and own rows (255), in whole numbers that take an eighth of the memory."""
+    rng = np.random.default_rng(2)
+    for width, k in ((4096, 10), (500, 5), (161, 10), (40, 10), (12, 10)):
+        d = rng.binomial(64, 0.5, (70, width)).astype(np.uint8)
+        d[3], d[5, : width - 4] = 7, 255
+        assert (nearest._kth(d, k) == np.sort(d, axis=1)[:, k - 1]).all()
